@@ -1,4 +1,6 @@
 """Queries over the test tables, each with the SQL it must agree with."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import documents, mining, sales  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
