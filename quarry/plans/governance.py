@@ -146,10 +146,13 @@ def decide_scope(view_types: list[str], login: str, own: tuple, department: tupl
 
 def expand_tree(nodes: DataFrame, roots: list) -> DataFrame:
     """Departments (id, parent) at or below the roots, level by level; cycles end since ids repeat."""
-    spark = nodes.sparkSession
-    found = nodes.where(F.col("id").isin(*roots)).select("id").distinct()
+    found = nodes.where(F.col("id").isin(*roots)).select(F.col("id").alias("_in")).distinct()
     while True:
-        more = nodes.join(found, nodes.parent == found.id, "left_semi").select("id").join(found, "id", "left_anti").distinct()
-        if not more.head(1):
-            return found
-        found = spark.createDataFrame(found.union(more).collect(), found.schema) if found.count() < 10_000 else found.union(more)
+        below = nodes.join(found, F.col("parent") == F.col("_in"), "left_semi").select("id")
+        more = below.join(found, F.col("id") == F.col("_in"), "left_anti").distinct()
+        fresh = [r.id for r in more.limit(100_001).collect()]
+        if len(fresh) > 100_000:
+            raise ScopeError("a department tree of over 100,000 nodes a level")
+        if not fresh:
+            return found.select(F.col("_in").alias("id"))
+        found = found.union(nodes.sparkSession.createDataFrame([(x,) for x in fresh], found.schema))
