@@ -239,7 +239,7 @@ def copurchase_parts(t, spark):
     return R.copurchase(edges(t), t("part").where("p_partkey < 3"), 20)
 
 
-@query("SELECT day, sum(n) AS n FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT strftime(l_shipdate, '%Y-%m-%d'), count(*) FROM lineitem GROUP BY 1) GROUP BY 1")
+@query("SELECT day, CAST(sum(n) AS BIGINT) AS n FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT strftime(l_shipdate, '%Y-%m-%d'), count(*) FROM lineitem GROUP BY 1) GROUP BY 1")
 def union_all_streams(t, spark):
     a = t("orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
     return a.unionByName(t("lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))).groupBy("day").agg(F.count("*").alias("n"))
