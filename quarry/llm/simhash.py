@@ -30,24 +30,29 @@ def radii(radius: int) -> list[int]:
     return [max(-1, spare // 3 + (k < spare % 3)) for k in range(3)] if spare >= 0 else [0] * 3
 
 
-def fingerprint(text: bytes, size: int) -> int:
-    """Bit k is 1 if it is set in over half of the shingles' XXH64 values."""
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """XXH64 of each shingle of `size` words, repeats included; a shorter text is one shingle, a blank one has none."""
     words = lower_words(text)
-    n = len(words)
-    if not n:
-        return 0
+    n, digest = len(words), xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if n <= size:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], "<u8")
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - size + 1].tolist(), ends[size - 1 :].tolist())], "<u8")
-    total = np.zeros(64, np.int64)
+        return np.array([digest(joined, 42)][: min(n, 1)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: n - size + 1].tolist(), ends[size - 1 :].tolist())], "<u8")
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Per column of hashes (rows, words of 64 bits): the bits that are set in over half of the rows."""
+    total = np.zeros(64 * hashes.shape[1], np.int64)
     for k in range(0, len(hashes), 4096):
-        total += np.unpackbits(hashes[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
+        total += np.unpackbits(hashes[k : k + 4096].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(text: bytes, size: int) -> int:
+    """Bit k is 1 if it is set in over half of the shingles' XXH64 values."""
+    return int(majority(shingle_hashes(text, size)[:, None])[0])
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", size: int = 4) -> DataFrame:
@@ -101,20 +106,22 @@ def route(values: np.ndarray, tree: tuple[np.ndarray, np.ndarray], r: int, nativ
     return row, node - (2**depth - 1), home
 
 
-def close_pairs(fp: np.ndarray, homes: np.ndarray, guests: np.ndarray, s: int, r: int, radius: int, leaf: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within `radius`, of homes with one another and with guests: a tree inside the shard, then its leaves."""
-    found: list[np.ndarray] = []
+def close_pairs(v: np.ndarray, homes: np.ndarray, guests: np.ndarray, seed: int, r: int, gap, radius: int, thin, leaf: int = 48) -> tuple[np.ndarray, ...]:
+    """Index pairs of homes with one another and with guests: a tree inside the shard, then its leaves.
+
+    v are the rows' segments, searched within r; gap gives the whole distance of index pairs, which is at most
+    `radius` in a result. thin(a, b, d) leaves out edges that the components don't need.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
     depth = max(0, min(14, math.ceil(math.log2(max(1, len(homes)) / leaf))))
-    v = segment(fp, s)
     everyone = np.concatenate([homes, guests])
     native = np.concatenate([np.ones(len(homes), bool), np.zeros(len(guests), bool)])
     if depth:
-        tree = grow(v[homes][:: max(1, len(homes) // 20000)], depth, s)
+        tree = grow(v[homes][:: max(1, len(homes) // 20000)], depth, seed)
         row, at, home = route(v[everyone], tree, r, native)
     else:
         row, at, home = np.arange(len(everyone)), np.zeros(len(everyone), np.int64), native
-    settled = home
-    h = np.flatnonzero(settled)
+    h = np.flatnonzero(home)
     h = h[np.argsort(at[h], kind="stable")]
     first = np.searchsorted(at[h], at, "left")
     count = np.searchsorted(at[h], at, "right") - first
@@ -127,14 +134,65 @@ def close_pairs(fp: np.ndarray, homes: np.ndarray, guests: np.ndarray, s: int, r
         c = count[start:stop]
         left = np.repeat(ids[start:stop], c)
         right = ids[h[np.repeat(first[start:stop] - np.cumsum(c) + c, c) + np.arange(c.sum())]]
-        near = (np.bitwise_count(fp[left] ^ fp[right]) <= radius) & (left != right)
+        d = gap(left, right)
+        near = (d <= radius) & (left != right)
         if near.any():
-            found.append(np.stack(forest(left[near], right[near])))
+            found.append(thin(left[near], right[near], d[near]))
         start = stop
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.concatenate(found, axis=1)
-    return forest(both[0], both[1])
+    return thin(*(np.concatenate(x) for x in zip(*found)))[:2]
+
+
+def stars(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges with the same components as (a, b), by way of their least members."""
+    x, y = forest(a, b)
+    return x, y, np.zeros(len(x), np.uint8)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The minimum spanning forest: in rounds, every component takes its shortest edge that leads out."""
+    order = np.argsort(d, kind="stable")
+    a, b, d = a[order], b[order], d[order]
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    root, kept = np.arange(len(ids)), np.zeros(len(a), bool)
+    live = np.arange(len(a))
+    while len(live := live[root[x[live]] != root[y[live]]]):
+        best = np.full(len(ids), len(a))
+        np.minimum.at(best, root[x[live]], live)
+        np.minimum.at(best, root[y[live]], live)
+        pick = np.unique(best[best < len(a)])
+        kept[pick] = True
+        top, member = forest(root[x[pick]], root[y[pick]])
+        joined = np.arange(len(ids))
+        joined[member] = top
+        root = joined[root]
+    return a[kept], b[kept], d[kept]
+
+
+def block_tasks(spread: DataFrame, shard: int, guests: int, *carried: str) -> DataFrame:
+    """Rows (cell, i, j, home, carried) of the tasks that together compare a cell's homes with its homes and guests.
+
+    A cell with more homes than twice `shard`, or guests than `guests`, is dealt out in blocks: tasks are (home
+    block i, home block j >= i) and (home block i, guest block hb + j).
+    """
+    sizes = spread.groupBy("cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g"))
+    plan = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("h") / (2 * shard))).alias("hb"), F.greatest(F.lit(0), F.ceil(F.col("g") / guests)).alias("gb"))
+    placed = spread.join(plan, "cell").withColumn("k", F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("hb")).otherwise(F.greatest(F.col("gb"), F.lit(1)))))
+    as_home = F.expr("concat(transform(sequence(k, hb + gb - 1), j -> struct(k AS i, j AS j, true AS home)), filter(transform(sequence(0L, k), j -> struct(j AS i, k AS j, false AS home)), x -> x.i < k))")
+    as_guest = F.expr("transform(sequence(0L, hb - 1), j -> struct(j AS i, hb + k AS j, false AS home))")
+    return placed.select("cell", *carried, F.explode(F.when(F.col("home"), as_home).otherwise(as_guest)).alias("t")).select("cell", "t.i", "t.j", F.col("t.home").alias("home"), *carried)
+
+
+def leaves(values: np.ndarray, tree: tuple[np.ndarray, np.ndarray] | None, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """route() with every (row, leaf) once, since a row can reach a leaf on several ways; one leaf without a tree."""
+    if tree is None:
+        return np.arange(len(values)), np.zeros(len(values), np.int64), np.ones(len(values), bool)
+    row, at, home = route(values, tree, r)
+    keep = np.unique(np.stack([row, at, ~home]), axis=1)
+    one = np.concatenate([[True], (np.diff(keep[:2], axis=1) != 0).any(0)]) if keep.size else np.zeros(0, bool)
+    return keep[0][one], keep[1][one], keep[2][one] == 0
 
 
 def links(prints: DataFrame, radius: int = 4, shard: int = 8192, guests: int = 32768, fit: int = 20000) -> DataFrame:
@@ -158,31 +216,18 @@ def links(prints: DataFrame, radius: int = 4, shard: int = 8192, guests: int = 3
             for s in range(3):
                 if rs[s] < 0:
                     continue
-                row, at, home = route(segment(fp, s), trees[s], rs[s]) if depth else (np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool))
-                # a row can reach a leaf on several ways
-                keep = np.unique(np.stack([row, at, ~home]), axis=1)
-                one = np.concatenate([[True], (np.diff(keep[:2], axis=1) != 0).any(0)]) if keep.size else np.zeros(0, bool)
-                row, at, home = keep[0][one], keep[1][one], keep[2][one] == 0
+                row, at, home = leaves(segment(fp, s), trees[s], rs[s])
                 yield record("cell long, home boolean, fp long, rep long", [at * 3 + s, home, fp[row].view(np.int64), rep[row]])
 
-    spread = prints.select("fp", "rep").mapInArrow(deal, "cell long, home boolean, fp long, rep long")
-    spread = cut(spread)
-    sizes = spread.groupBy("cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g"))
-    plan = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("h") / (2 * shard))).alias("hb"), F.greatest(F.lit(0), F.ceil(F.col("g") / guests)).alias("gb"))
-    placed = spread.join(plan, "cell").withColumn("k", F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("hb")).otherwise(F.greatest(F.col("gb"), F.lit(1)))))
-    # tasks of a cell: (home block i, home block j >= i) and (home block i, guest block hb + j)
-    i = F.col("k")
-    as_home = F.expr("concat(transform(sequence(k, hb + gb - 1), j -> struct(k AS i, j AS j, true AS home)), filter(transform(sequence(0L, k), j -> struct(j AS i, k AS j, false AS home)), x -> x.i < k))")
-    as_guest = F.expr("transform(sequence(0L, hb - 1), j -> struct(j AS i, hb + k AS j, false AS home))")
-    tasks = placed.select("cell", "fp", "rep", F.explode(F.when(F.col("home"), as_home).otherwise(as_guest)).alias("t")).select("cell", "t.i", "t.j", F.col("t.home").alias("home"), "fp", "rep")
+    spread = cut(prints.select("fp", "rep").mapInArrow(deal, "cell long, home boolean, fp long, rep long"))
 
     def shard_links(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         fp, rep, home = t.fp.to_numpy().view(np.uint64), t.rep.to_numpy(), t.home.to_numpy()
         s = int(key[0]) % 3
-        a, b = close_pairs(fp, np.flatnonzero(home), np.flatnonzero(~home), s, rs[s], radius)
+        a, b = close_pairs(segment(fp, s), np.flatnonzero(home), np.flatnonzero(~home), s, rs[s], lambda i, j: np.bitwise_count(fp[i] ^ fp[j]), radius, stars)
         return pd.DataFrame({"a": rep[a], "b": rep[b]})
 
-    return tasks.groupBy("cell", "i", "j").applyInPandas(shard_links, "a long, b long")
+    return block_tasks(spread, shard, guests, "fp", "rep").groupBy("cell", "i", "j").applyInPandas(shard_links, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, text: str = "text", size: int = 4, radius: int = 4) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarry.llm import common, cotraining, embedding_dedup, gru, language_id, lm_scoring, mixing, packing, quality_rules, secrets, sharding, simhash
+from quarry.llm import common, cotraining, embedding_dedup, gru, language_id, lm_scoring, mixing, near_copies, packing, quality_rules, secrets, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string"
@@ -89,6 +89,44 @@ def test_simhash_links_across_shards(spark, shard, guests):
     assert all(got.get(i, i) == want[i] for i in range(len(fp)))
 
 
+def test_spanning_forest():
+    rng = np.random.default_rng(6)
+    a, b, d = rng.integers(0, 60, 400), rng.integers(0, 60, 400), rng.integers(0, 9, 400)
+    a, b, d = a[a != b], b[a != b], d[a != b]
+    x, y, w = simhash.spanning(a, b, d)
+    for most in range(9):  # the forest keeps the components at every distance
+        full = closure(range(60), list(zip(a[d <= most].tolist(), b[d <= most].tolist())))
+        assert closure(range(60), list(zip(x[w <= most].tolist(), y[w <= most].tolist()))) == full
+    assert len(x) == 60 - len(set(closure(range(60), list(zip(a.tolist(), b.tolist()))).values()))
+
+
+@pytest.mark.parametrize("shard, guests", [(8192, 32768), (64, 60)])
+def test_near_copies_brute_force(spark, odd, empty, shard, guests):
+    rng = np.random.default_rng(7)
+    rows = [tuple(r) for r in odd.collect()]
+    long = [r for r in rows if r[0] is not None and r[1] and 60 < len(words(r[1])) < 2000][:60]
+    for k, r in enumerate(long):
+        w = r[1].split()
+        for _ in range(max(1, len(w) // int(rng.choice([30, 60, 120])))):
+            w[rng.integers(len(w))] = f"edit{rng.integers(1000)}"
+        rows.append((910000 + k, " ".join(w), *r[2:]))
+    docs = spark.createDataFrame(rows, DOCS)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (words(r[1]) for r in rows)]
+    same = lambda a, b: sets[a] == sets[b] or rows[a][0] is not None and rows[b][0] is not None and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if same(a, b)]
+    low = closure(range(len(rows)), pairs)
+    group = {}
+    for k, r in enumerate(rows):
+        group.setdefault(low[k], []).append(r[0])
+    want = Counter((r[0], min((i for i in group[low[k]] if i is not None), default=None)) for k, r in enumerate(rows))
+    got = Counter(tuple(r) for r in near_copies.near_copies(docs, shard=shard, guests=guests).collect())
+    assert sum((want - got).values()) <= 0.02 * len(rows), want - got
+    # no row is in a group that isn't its own: a missed link only leaves its least doc_id
+    comp = {i: c for i, c in want}
+    assert all(i is None or comp.get(c) == comp[i] for i, c in got)
+    assert near_copies.near_copies(empty).count() == 0
+
+
 def test_embeddings_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 16)).astype("f4")
