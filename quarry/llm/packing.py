@@ -165,11 +165,11 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int], cu
     return out, []
 
 
-def pack(docs: DataFrame, path: str, size: int = 2048, segments: int = 256, loss: int | None = None, buffer: int = 1 << 19) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 2048, segments: int = 256, loss: int | None = None, buffer: int = 1 << 19, most: int = 8192) -> DataFrame:
     """Pieces of every row of docs (doc_id, text) packed into sequences of at most `size` tokens.
 
     A text's ids are those of the tokenizers file at `path`, then END. Each task packs its own rows, by
-    buffers of about `buffer` tokens, so nothing is shuffled and memory is bounded; sequences get ids that no
+    buffers of about `buffer` tokens or `most` items, so nothing is shuffled and memory and work are bounded; sequences get ids that no
     other task gives. Whole windows of `size` tokens are sequences of their own; what is left over is placed by
     vectors of tokens, segments and loss-bearing tokens (in plain documents, all of them). Null text counts as
     empty and gives the one token END; repeated rows and null ids are packed like any other; an empty table
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, segments: int = 256, loss
             k = 0
             while k < len(texts):
                 stop, chars = k, 0
-                while stop < len(texts) and chars < 1 << 21:
+                while stop < len(texts) and chars < 1 << 21 and stop - k < most:
                     chars += len(texts[stop] or "")
                     stop += 1
                 for doc, tokens in zip(ids[k:stop], enc.encode([t or "" for t in texts[k:stop]])):
@@ -222,7 +222,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, segments: int = 256, loss
                         pending.append((doc, tokens, whole))
                         held += len(tokens)
                 k = stop
-                if held >= buffer:
+                if held >= buffer or len(pending) >= most:
                     flush(False)
                     held = sum(len(i) for _, i, _ in pending)
                 if rows:

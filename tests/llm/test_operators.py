@@ -182,6 +182,16 @@ def test_placement_limits():
     assert all(len(s) <= 4 and sum(t[k] for k, _, _ in s) <= 128 and sum(l[k] for k, _, _ in s) <= 60 for s in out)
 
 
+def test_packing_many_empty_texts(spark):
+    import public_tokenizers
+
+    docs = spark.range(30000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    pieces = packing.pack(docs.coalesce(1), public_tokenizers.path("byte_bpe_50k.json"), most=2000).toPandas()
+    assert sorted(pieces.doc_id) == list(range(30000)) and (pieces.length == 1).all()
+    n = pieces.groupby("sequence_id").length.sum()
+    assert n.max() <= 256 and len(n) <= 30000 // 256 + 1 + 30000 // 2000
+
+
 def test_quality_rules_brute_force(spark, odd, empty):
     got = {(r.doc_id, r.n_words): r for r in quality_rules.quality_rules(odd, least=30).collect()}
     for r in odd.collect():
