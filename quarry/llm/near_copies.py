@@ -4,8 +4,9 @@ At a Jaccard similarity of 0.8 two signatures differ in about 15 % of their bits
 over 64 bits to prune anything. A signature here has 192 bits in twelve segments; a pair counts as a candidate
 if some segment differs in at most one bit and the whole in at most `most` bits. At similarity 0.8 a segment is
 that close with probability 0.28, so one of twelve is with 0.98 (0.999 at 0.85). Each segment has its tree.
-Inside a shard only the minimum spanning forest of the candidates is kept, so that a large group gives few
-edges, and the edges' texts are then compared shingle by shingle.
+The texts of a shard's minimum spanning forest of candidates are compared first, shingle by shingle, so that a
+large group gives few edges. Where an edge of the forest fails, all other candidates between the components that
+passed so far are compared too, in rounds by a hash of the pair, the smallest share first.
 """
 
 from __future__ import annotations
@@ -42,14 +43,22 @@ def matrix(signatures) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), "<u2").reshape(-1, SEGMENTS)
 
 
-def candidates(reps: DataFrame, most: int, shard: int, guests: int, fit: int, r: int = 1) -> DataFrame:
-    """Edges (a, b) of the shards' minimum spanning forests; reps has distinct sig and rep."""
+def level_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The round, 1 to LEVELS, in which a pair is compared: one pair of 4,096 up to the first, eight times as many up to each next."""
+    lo, hi = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
+    x = (lo * np.uint64(0x9E3779B97F4A7C15) ^ hi) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(52)
+    return 1 + np.searchsorted(np.array([1, 8, 64, 512], np.uint64), x, "right")
+
+
+LEVELS = 5
+
+
+def spread_out(reps: DataFrame, shard: int, fit: int, r: int = 1) -> DataFrame:
+    """Rows (cell, home, sig, rep): where the trees of the segments send each of reps (distinct sig and rep)."""
     n = reps.count()
-    picked = [x.sig for x in sample(reps, fit, "sig").select("sig").collect()]
-    if n < 2 or not picked:
-        return reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    fitted = matrix(picked).astype(np.uint32)
-    depth = min(14, max(0, math.ceil(math.log2(n / shard))))
+    fitted = matrix([x.sig for x in sample(reps, fit, "sig").select("sig").collect()]).astype(np.uint32)
+    depth = min(14, max(0, math.ceil(math.log2(max(1, n) / shard)))) if len(fitted) else 0
     trees = [grow(fitted[:, s], depth, 7 + s) if depth else None for s in range(SEGMENTS)]
 
     def deal(batches):
@@ -60,19 +69,31 @@ def candidates(reps: DataFrame, most: int, shard: int, guests: int, fit: int, r:
                 row, at, home = leaves(m[:, s], trees[s], r)
                 yield record("cell long, home boolean, sig binary, rep long", [at * SEGMENTS + s, home, raw.take(pa.array(row)), rep[row]])
 
-    spread = cut(reps.select("sig", "rep").mapInArrow(deal, "cell long, home boolean, sig binary, rep long"))
+    return reps.select("sig", "rep").mapInArrow(deal, "cell long, home boolean, sig binary, rep long")
+
+
+def candidates(spread: DataFrame, most: int, shard: int, guests: int, level: int = 0, r: int = 1) -> DataFrame:
+    """Edges (a, b) of the shards' minimum spanning forests; with a level all its pairs of unlike root."""
 
     def shard_links(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         m, rep, home = matrix(t.sig), t.rep.to_numpy(), t.home.to_numpy()
         wide, s = m.view("<u8"), int(key[0]) % SEGMENTS
+        root = t.root.to_numpy() if level else None
 
         def gap(i, j):
             return sum(np.bitwise_count(wide[i, k] ^ wide[j, k]) for k in range(WORDS))
 
-        a, b = close_pairs(m[:, s].astype(np.uint32), np.flatnonzero(home), np.flatnonzero(~home), s, r, gap, most, spanning)
+        def apart(i, j, d):
+            keep = np.flatnonzero(root[i] != root[j])
+            keep = keep[level_of(rep[i[keep]], rep[j[keep]]) == level]
+            one = np.unique(np.minimum(i[keep], j[keep]) * len(rep) + np.maximum(i[keep], j[keep]))
+            return one // len(rep), one % len(rep), np.zeros(len(one), np.uint8)
+
+        a, b = close_pairs(m[:, s].astype(np.uint32), np.flatnonzero(home), np.flatnonzero(~home), s, r, gap, most, apart if level else spanning)
         return pd.DataFrame({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
 
-    return block_tasks(spread, shard, guests, "sig", "rep").groupBy("cell", "i", "j").applyInPandas(shard_links, "a long, b long").where("a <> b").distinct()
+    tasks = block_tasks(spread, shard, guests, "sig", "rep", *(["root"] if level else []))
+    return tasks.groupBy("cell", "i", "j").applyInPandas(shard_links, "a long, b long").where("a <> b").distinct()
 
 
 def near_copies(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8, most: int = 46, shard: int = 8192, guests: int = 32768, fit: int = 20000) -> DataFrame:
@@ -80,7 +101,7 @@ def near_copies(docs: DataFrame, text: str = "text", size: int = 5, similarity:
 
     Similarity is the Jaccard index of the sets of `size`-word shingles, A-Z in lower case; a shorter text is one
     shingle. Texts of one signature are one class without a further look; other links are candidates whose whole
-    texts reach `similarity`. A component's id is its least doc_id. Null, empty and blank texts are one class;
+    texts reach `similarity`, and no candidate between two components is left uncompared. A component's id is its least doc_id. Null, empty and blank texts are one class;
     repeated rows are each returned; a row without an id joins the class of its signature alone and gets its
     component's id (null if it has none); rows that share an id share a component; an empty table gives no rows.
     """
@@ -88,7 +109,8 @@ def near_copies(docs: DataFrame, text: str = "text", size: int = 5, similarity:
     sign = F.arrow_udf(lambda t: pa.array([signature(b, size) for b in as_bytes(t)], pa.binary()), "binary")
     prints = cut(docs.select("doc_id", sign("text").alias("sig")))
     reps = cut(prints.groupBy("sig").agg(F.min("doc_id").alias("first"))).withColumn("rep", F.coalesce("first", F.lit(2**63 - 1)))
-    edges = cut(candidates(reps.where("first is not null").select("sig", "rep"), most, shard, guests, fit))
+    spread = cut(spread_out(reps.where("first is not null").select("sig", "rep"), shard, fit))
+    edges = cut(candidates(spread, most, shard, guests))
     ends = cut(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     shingles = F.arrow_udf(lambda t: pa.array([np.unique(shingle_hashes(b, size)).tobytes() for b in as_bytes(t)], pa.binary()), "binary")
     sets = cut(docs.join(small(ends), "doc_id", "left_semi").select("doc_id", shingles("text").alias("set")))
@@ -102,7 +124,27 @@ def near_copies(docs: DataFrame, text: str = "text", size: int = 5, similarity:
         return pa.array(out, pa.float64())
 
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    verified = edges.join(left, "a").join(right, "b").where(F.arrow_udf(share, "double")("x", "y") >= similarity).select("a", "b")
+    passes = F.arrow_udf(share, "double")("x", "y") >= similarity
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return cut(pairs.join(left, "a").join(right, "b").where(passes).select("a", "b").distinct())
+
+    verified = verify(edges)
     joined = components(verified)
+    # a pair that the forests left out joins two components only if each has an end of a forest edge that failed
+    rooted = edges.join(verified, ["a", "b"], "left_anti")
+    for x in ("a", "b"):
+        rooted = rooted.join(joined.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
+    opened = cut(rooted.where("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("root")).distinct())
+    if opened.head(1):
+        roots = joined.select(F.col("node").alias("rep"), "root")
+        of = spread.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        again = cut(of.join(small(opened), "root", "left_semi").select("cell", "home", "sig", "rep"))
+        for level in range(1, LEVELS + 1):
+            now = again.join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+            more = verify(cut(candidates(now, most, shard, guests, level)))
+            if more.head(1):
+                verified = verified.unionByName(more)
+                joined = components(verified)
     of = reps.join(joined, reps.rep == joined.node, "left").select("sig", F.coalesce("root", "first").alias("component_id"))
     return prints.join(of, "sig").select("doc_id", "component_id")

@@ -127,6 +127,34 @@ def test_near_copies_brute_force(spark, odd, empty, shard, guests):
     assert near_copies.near_copies(empty).count() == 0
 
 
+@pytest.mark.parametrize("shard, guests", [(8192, 32768), (64, 60)])
+def test_near_copies_of_two_families(spark, shard, guests):
+    """Two families of copies of one page, with few links of 0.8 between them, are one group."""
+    rng = np.random.default_rng(11)
+    rows, groups = [], []
+    for g in range(16):
+        page = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        other = list(page)
+        for at in rng.choice(400, 8 + g % 4, replace=False):
+            other[at] = f"o{rng.integers(5000)}"
+        group = []
+        for base in (page, other):
+            for _ in range(40):
+                w = list(base)
+                for at in rng.choice(400, int(rng.integers(1, 5)), replace=False):
+                    w[at] = f"e{rng.integers(5000)}"
+                group.append(w)
+        groups.append(range(len(rows), len(rows) + len(group)))
+        rows += group
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in rows]
+    pairs = [(a, b) for g in groups for a in g for b in g if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = closure(range(len(rows)), pairs)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    got = dict(tuple(r) for r in near_copies.near_copies(docs, shard=shard, guests=guests).collect())
+    wrong = [g[0] for g in groups if any(got[k] != want[k] for k in g)]
+    assert not wrong
+
+
 def test_embeddings_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 16)).astype("f4")
