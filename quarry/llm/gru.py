@@ -97,9 +97,9 @@ def picked(v: np.ndarray, at: np.ndarray) -> np.ndarray:
 def likelihood(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray) -> np.ndarray:
     """As output() without gradients, in place and on each class's block of weights alone."""
     classes, members = p["wb"].shape
-    order = np.argsort(word.astype(np.uint16), kind="stable")
+    order = np.argsort((word // members).astype(np.uint16), kind="stable")
     word, h = word[order], h[order]
-    ends = np.searchsorted(word, np.arange(classes + 1) * members)
+    ends = np.searchsorted(word // members, np.arange(classes + 1))
     v = h @ p["a"]
     v += p["ca"]
     ll = picked(v, word // members)
@@ -162,7 +162,9 @@ def window_gradient(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndar
         dv = np.concatenate([dz, dr, dc * r], 1)
         g["u"] += before[t].T @ dv
         dh = (dh * z + dv @ p["u"].T) * (given[t] != END)[:, None]
-    np.add.at(g["x"], given.ravel(), dx.reshape(-1, 3 * n))
+    order = np.argsort(given.ravel(), kind="stable")
+    word, first = np.unique(given.ravel()[order], return_index=True)
+    g["x"][word] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], first)
     return -ll.mean(), g, h
 
 

@@ -72,15 +72,21 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, CHUNK)
 
 
-def lookups(packed: DataFrame, top: int, entries: int) -> DataFrame:
+def sides(distinct: int) -> int:
+    """Classes, and words a class, of a network for so many distinct words: four times their root in all, 1,024 at least."""
+    return max(32, math.ceil(2 * distinct**0.25))
+
+
+def lookups(packed: DataFrame, top: int | None, entries: int) -> DataFrame:
     """Counts over all training documents: rows (kind, chunk, bucket, payload, n, v).
 
     A chunk's sorted hashes are cut into ranges, one a bucket; the chunk has each word once, so no word is hot.
     kind 0 answers a chunk with the counts of its hashes in a bucket; kind 1 has a bucket's tokens n, distinct
-    words v, and its `top` most frequent words. Buckets follow the number of entries, about `entries` in each.
+    words v, and its `top` most frequent words, by default as many as the network can have. Buckets follow the number of entries, about `entries` in each.
     """
     n = packed.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
     buckets = max(1, math.ceil(n / 8 / entries))
+    top = top or sides(n // 8) ** 2  # a distinct word is an entry of some chunk
     width = (1 << 64) // buckets + 1
 
     def split(batches):
@@ -122,23 +128,20 @@ class Language:
         return np.where(self.hashes[at] == h, self.ids[at], gru.UNKNOWN)
 
 
-def improve(packed: DataFrame, language: Language, dims: tuple[int, int, int], share: float) -> np.ndarray | None:
-    """One round of local training: every task goes on from the weights over a share of its chunks' training
-    documents; the weights are averaged by the number of tokens, first in groups, then on the driver."""
+def improve(packed: DataFrame, language: Language) -> tuple[np.ndarray | None, int]:
+    """One round of local training: every task goes on from the weights over all training documents of its
+    chunks; the weights are averaged by the number of tokens, first in groups, then in one. Also gives the tokens."""
     shared = packed.sparkSession.sparkContext.broadcast(language)
 
     def run(batches):
         lang, p, seen = shared.value, None, 0
         for b in batches:
             for held, lengths, words, hashes in zip(*(b.column(x).to_pylist() for x in ("held", "lengths", "words", "hashes"))):
-                n = np.frombuffer(lengths, "<i4").astype(np.int64)
-                learn = np.flatnonzero(~np.frombuffer(held, bool))
-                learn = learn[:: max(1, round(1 / share))]
-                if not len(learn):
+                learn = np.repeat(~np.frombuffer(held, bool), np.frombuffer(lengths, "<i4"))
+                stream = lang.words(np.frombuffer(hashes, "<u8"))[open_up(words, "<i4")[learn]]
+                if not len(stream):
                     continue
-                at, ends = open_up(words, "<i4"), np.cumsum(n)
-                stream = lang.words(np.frombuffer(hashes, "<u8"))[np.concatenate([at[ends[i] - n[i] : ends[i]] for i in learn])]
-                p = gru.train(p or lang.weights, stream, rate=1.5e-3)
+                p = gru.train(p or lang.weights, stream, streams=min(512, max(32, len(stream) // 1024)), rate=1.5e-3)
                 seen += len(stream)
         if p:
             yield record("g long, n long, w binary", [[TaskContext.get().partitionId()], [seen], [gru.pack(p).tobytes()]])
@@ -147,32 +150,33 @@ def improve(packed: DataFrame, language: Language, dims: tuple[int, int, int], s
         total = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for w, n in zip(t.w, t.n))
         return pd.DataFrame({"n": [int(t.n.sum())], "w": [(total / t.n.sum()).astype(np.float32).tobytes()]})
 
+    groups = max(16, math.isqrt(packed.rdd.getNumPartitions()))
     parts = packed.select("held", "lengths", "words", "hashes").mapInArrow(run, "g long, n long, w binary")
-    got = parts.withColumn("k", F.pmod("g", F.lit(16))).groupBy("k").applyInPandas(merge, "n long, w binary").collect()
-    if not got:
-        return None
-    n = sum(x.n for x in got)
-    return sum(np.frombuffer(x.w, np.float32).astype(np.float64) * (x.n / n) for x in got).astype(np.float32)
+    grouped = parts.withColumn("k", F.pmod("g", F.lit(groups))).groupBy("k").applyInPandas(merge, "n long, w binary")
+    got = grouped.groupBy(F.lit(0).alias("k")).applyInPandas(merge, "n long, w binary").collect()
+    return (np.frombuffer(got[0].w, np.float32), got[0].n) if got else (None, 0)
 
 
-def lm_scores(docs: DataFrame, dims: tuple[int, int, int] = (32, 32, 32), chunk: int = 10 << 20, entries: int = 2_000_000, start: int = 600, share: float = 0.01, rounds: int = 1) -> DataFrame:
+def lm_scores(docs: DataFrame, dims: tuple[int, int, int] | None = None, chunk: int = 10 << 20, entries: int = 2_000_000, start: int = 600, rounds: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     Counts are of all documents whose id's CRC-32 modulo 7 is not 2. The recurrent model has dims = (hidden,
     classes, words a class): the most frequent words of all training documents, the end, and one id for other
-    words, whose share is dealt out by their counts plus one. It is started on about `start` training documents
-    and goes on in every task over a `share` of its training documents, then weights are averaged. Every text is
-    scored whole from its first word to its end, its state carried along. Null text counts as empty: one token,
+    words, whose share is dealt out by their counts plus one. By default hidden is 32 and the vocabulary grows
+    with the distinct words of the training documents, as sides() says. The model is started on about `start`
+    training documents and goes on in every task over all its training documents, then weights are averaged.
+    Every text is scored whole from its first word to its end, its state carried along. Null text counts as empty: one token,
     the end. Repeated rows are scored alike; without training documents N and V are 0 and the model is uniform
     over its ids; an empty table gives no rows. Words are told apart by their 64-bit hashes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out("doc_id", 7))
-    hidden, classes, members = dims
     packed = cut(chunks(docs, chunk))
-    answers = cut(lookups(packed, classes * members, entries))
+    answers = cut(lookups(packed, dims and dims[1] * dims[2], entries))
     stats = answers.where("kind = 1")
     sums = stats.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     tokens, distinct = int(sums.n or 0), int(sums.v or 0)
+    dims = dims or (32, sides(distinct), sides(distinct))
+    _, classes, members = dims
 
     def unroll(batches):
         for b in batches:
@@ -197,7 +201,7 @@ def lm_scores(docs: DataFrame, dims: tuple[int, int, int] = (32, 32, 32), chunk:
         stream = np.concatenate([language.words(np.append(word_hashes(lower_words((t or "").encode())), END_HASH)) for t in first.text])
         language.weights = gru.train(language.weights, stream)
         for _ in range(rounds):
-            flat = improve(packed, language, dims, share)
+            flat, _ = improve(packed, language)
             if flat is not None:
                 language.weights = gru.unpack(flat, *dims)
     shared = docs.sparkSession.sparkContext.broadcast(language)

@@ -332,6 +332,16 @@ def test_lm_scores(spark, odd, empty):
     assert lm_scoring.lm_scores(empty).count() == 0
 
 
+def test_lm_trains_on_all_documents(spark, odd):
+    """Every training token is seen in training, and the vocabulary grows with the words."""
+    packed = lm_scoring.chunks(odd.select("doc_id", "text").withColumn("held_out", common.held_out("doc_id", 7)), 60_000)
+    language = lm_scoring.Language(np.zeros(1, np.uint64), np.array([gru.END]), gru.start(np.ones(64), 8, 8, 8), 1, 1, 0, 0)
+    weights, seen = lm_scoring.improve(packed, language)
+    assert len(weights) == len(gru.pack(language.weights))
+    assert seen == sum(len(words(r.text)) + 1 for r in odd.collect() if zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 7 != 2)
+    assert [lm_scoring.sides(v) ** 2 for v in (0, 1000, 10**6, 10**8)] == [1024, 1024, 64**2, 200**2]
+
+
 def test_mixing(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     m = mixing.mix(docs, leaf=16, fan=4).toPandas()
