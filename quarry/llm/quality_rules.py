@@ -57,10 +57,16 @@ def chi2(p: int, z: float) -> float:
     return p * (1 - 2 / (9 * p) + z * math.sqrt(2 / (9 * p))) ** 3
 
 
+def floored(flat: list) -> F.Column:
+    """A flat covariance with the variance floors added."""
+    p, least = len(FEATURES), [x * x for x in FEATURES.values()]
+    return F.array(*[c + F.lit(least[k // p] if k // p == k % p else 0.0) for k, c in enumerate(flat)])
+
+
 def inverse(sums: pa.Array) -> pa.Array:
-    """Row-major inverse of each covariance, given as flat lists, with the variance floors added."""
-    p, floor = len(FEATURES), np.diag([x * x for x in FEATURES.values()])
-    out = [np.linalg.inv(np.array(x, float).reshape(p, p) + floor).ravel().tolist() for x in sums.to_pylist()]
+    """Row-major inverse of each covariance, given as flat lists."""
+    p = len(FEATURES)
+    out = [np.linalg.inv(np.array(x, float).reshape(p, p)).ravel().tolist() for x in sums.to_pylist()]
     return pa.array(out, pa.list_(pa.float64()))
 
 
@@ -75,7 +81,7 @@ def distance(mean: str = "mean", inv: str = "inv") -> F.Column:
 
 
 def mcd(stats: DataFrame, keys: list[str], share: float, steps: int) -> DataFrame:
-    """Location, inverse scatter and scale of each group by concentration steps over all its rows.
+    """Location, scatter (flat, its scale multiplied in) and rows n of each group by concentration steps over all its rows.
 
     Starts from medians and median absolute deviations; each step keeps the `share` of rows with the least
     distance and takes their mean and covariance, all as aggregates that are combined before the shuffle.
@@ -85,37 +91,55 @@ def mcd(stats: DataFrame, keys: list[str], share: float, steps: int) -> DataFram
     med = stats.groupBy(*keys).agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x)])
     far = stats.join(small(cut(med)), keys).groupBy(*keys).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, c in enumerate(x)])
     flat = [F.pow(1.4826 * F.col(f"a{i}"), 2) if i == j else F.lit(0.0) for i in range(p) for j in range(p)]
-    est = far.select(*keys, F.array(*[F.col(f"m{i}") for i in range(p)]).alias("mean"), inv(F.array(*flat)).alias("inv"))
+    est = far.select(*keys, F.array(*[F.col(f"m{i}") for i in range(p)]).alias("mean"), floored(flat).alias("cov"))
     for _ in range(steps):
-        d = stats.join(small(est := cut(est)), keys).withColumn("d2", distance())
+        d = stats.join(small(est := cut(est.withColumn("inv", inv("cov")))), keys).withColumn("d2", distance())
         edge = cut(d.groupBy(*keys).agg(F.percentile_approx("d2", share, 1000).alias("edge")))
         inside = d.join(small(edge), keys).where("d2 <= edge")
         pairs = [(i, j) for i in range(p) for j in range(i, p)]
         sums = inside.groupBy(*keys).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs])
         flat = [F.coalesce(F.col(f"c{min(i, j)}_{max(i, j)}"), F.lit(0.0)) for i in range(p) for j in range(p)]
-        est = sums.select(*keys, F.array(*[F.col(f"m{i}") for i in range(p)]).alias("mean"), inv(F.array(*flat)).alias("inv"))
-    est = cut(est)
-    scale = stats.join(small(est), keys).groupBy(*keys).agg((F.percentile_approx(distance(), 0.5, 1000) / chi2(p, 0.0)).alias("scale"))
-    return cut(est.join(scale, keys))
-
-
-def quality_rules(docs: DataFrame, least: int = 400, share: float = 0.75, steps: int = 3, z: float = 10.0) -> DataFrame:
+        est = sums.select(*keys, F.array(*[F.col(f"m{i}") for i in range(p)]).alias("mean"), floored(flat).alias("cov"))
+    est = cut(est.withColumn("inv", inv("cov")))
+    scale = stats.join(small(est), keys).groupBy(*keys).agg(F.greatest(F.percentile_approx(distance(), 0.5, 1000) / chi2(p, 0.0), F.lit(1e-9)).alias("scale"), F.count("*").alias("n"))
+    return cut(est.join(scale, keys).select(*keys, "mean", F.transform("cov", lambda c: c * F.col("scale")).alias("scatter"), "n"))
+
+
+def shrunk(groups: DataFrame, least: int) -> DataFrame:
+    """groups has mean, scatter and n (null without rows) and the prior's p_mean and p_scatter: all by n / (n + least)."""
+    w = F.col("n") / (F.col("n") + F.lit(least))
+    for x in ("mean", "scatter"):
+        groups = groups.withColumn(x, F.when(F.col("n").isNull(), F.col(f"p_{x}")).otherwise(F.zip_with(x, f"p_{x}", lambda a, b: w * a + (1 - w) * b)))
+    return groups.drop("p_mean", "p_scatter", "n")
+
+
+def estimates(base: DataFrame, share: float, steps: int, least: int) -> DataFrame:
+    """(lang, source, mean, inv) of every group: its own estimate drawn to its language's, and that to the pooled one."""
+    keys = ["level", "g_lang", "g_source"]
+    passing = base.where("not base_failed").select("lang", "source", *FEATURES)
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), a.alias("g_lang"), b.alias("g_source")) for k, (a, b) in enumerate([(F.lit(""), F.lit("")), (F.col("lang"), F.lit("")), (F.col("lang"), F.col("source"))])])
+    est = mcd(passing.select(F.explode(levels).alias("g"), *FEATURES).select("g.*", *FEATURES), keys, share, steps)
+    prior = lambda df: df.withColumnsRenamed({"mean": "p_mean", "scatter": "p_scatter"})
+    all_groups = cut(base.select("lang", "source").distinct())
+    pooled = prior(est.where("level = 0").select("mean", "scatter"))
+    own = est.where("level = 1").select(F.col("g_lang").alias("lang"), "mean", "scatter", "n")
+    by_lang = prior(shrunk(all_groups.select("lang").distinct().join(own, "lang", "left").crossJoin(F.broadcast(pooled)), least))
+    own = est.where("level = 2").select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), "mean", "scatter", "n")
+    by_group = shrunk(all_groups.join(by_lang, "lang").join(own, ["lang", "source"], "left"), least)
+    return cut(by_group.select("lang", "source", "mean", F.arrow_udf(inverse, "array<double>")("scatter").alias("inv")))
+
+
+def quality_rules(docs: DataFrame, least: int = 400, share: float = 0.75, steps: int = 3, z: float = 6.0) -> DataFrame:
     """Statistics, the two base rules and a Mahalanobis verdict for every row of docs (doc_id, text, lang, source).
 
-    A group is a language and source with at least `least` rows that pass the base rules; smaller ones share
-    one pooled estimate. A row is rejected if its squared distance, scaled so that the group's median fits
-    chi-square, lies beyond the chi-square quantile at the normal quantile z, which is far out because the
-    statistics have heavy tails. Null text counts as empty and fails the base rules; null lang or source is a
+    A group is a language and source. Its location and scatter, scaled so that its median distance fits
+    chi-square, come from its n rows that pass the base rules with the weight n / (n + least), for the rest from
+    its language's, which are drawn to those of all rows alike. A row is rejected if its squared distance lies
+    beyond the chi-square quantile at the normal quantile z, chosen by the rejections of good and bad rows. Null text counts as empty and fails the base rules; null lang or source is a
     group value of its own; repeated rows get one result each; an empty table gives no rows.
     """
     base = with_stats(docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))).select("doc_id", "lang", "source", "_s.*")
     base = base.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     base = cut(base)
-    sizes = base.where("not base_failed").groupBy("lang", "source").count().where(F.col("count") >= least).select("lang", "source", F.lit(True).alias("own"))
-    keyed = base.join(small(cut(sizes)), ["lang", "source"], "left").withColumns({"g_lang": F.when(F.col("own"), F.col("lang")).otherwise("*"), "g_source": F.when(F.col("own"), F.col("source")).otherwise("*")})
-    keys = ["g_lang", "g_source"]
-    # the pooled estimate is over all rows that pass, not over the rows of small groups alone
-    fit = keyed.where("not base_failed").select(*keys, *FEATURES).where("g_lang <> '*'").unionByName(base.where("not base_failed").select(F.lit("*").alias("g_lang"), F.lit("*").alias("g_source"), *FEATURES))
-    est = mcd(fit, keys, share, steps)
-    d2 = keyed.join(small(est), keys, "left").withColumn("distance", distance() / F.greatest("scale", F.lit(1e-9)))
+    d2 = base.join(small(estimates(base, share, steps, least)), ["lang", "source"], "left").withColumn("distance", distance())
     return d2.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi2(len(FEATURES), z))).alias("kept"), "distance")
