@@ -110,6 +110,6 @@ def trigram_similarity(t, spark):
 
 @query()
 def ppr_top_chunks(t, spark):
-    mentions = t("lineitem").where("l_partkey < 60").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity"))
-    relations = t("lineitem").where("l_partkey < 60").select(F.col("l_partkey").alias("src"), F.pmod(F.col("l_suppkey") * 7, F.lit(60)).alias("dst"), F.col("l_quantity").alias("weight"))
+    mentions = t("lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity"))
+    relations = t("lineitem").select(F.col("l_partkey").alias("src"), F.pmod(F.col("l_suppkey") * 7, F.lit(60)).alias("dst"), F.col("l_quantity").alias("weight"))
     return graph_route(mentions, relations, [1, 2])

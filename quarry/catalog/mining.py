@@ -61,3 +61,10 @@ def shared_tag_pairs(t, spark):
     a = t("lineitem").where("l_partkey < 20").select(F.col("l_suppkey").alias("x"), F.array(F.col("l_suppkey") % 7).alias("tags"))
     b = t("supplier").select(F.col("s_suppkey").alias("y"), F.array((F.col("s_nationkey") % 7).cast("long")).alias("tags"))
     return array_overlap(a, b, "x", "y", "tags")
+
+
+@query("SELECT DISTINCT a.l_suppkey AS a, b.s_suppkey AS b FROM (SELECT DISTINCT l_suppkey FROM lineitem) a JOIN supplier b ON a.l_suppkey % 7 = b.s_nationkey % 7")
+def all_shared_tag_pairs(t, spark):
+    a = t("lineitem").select(F.col("l_suppkey").alias("x"), F.array(F.col("l_suppkey") % 7).alias("tags"))
+    b = t("supplier").select(F.col("s_suppkey").alias("y"), F.array((F.col("s_nationkey") % 7).cast("long")).alias("tags"))
+    return array_overlap(a, b, "x", "y", "tags")

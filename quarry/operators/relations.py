@@ -26,8 +26,8 @@ def ancestors(paths: DataFrame, col: str = "path") -> DataFrame:
 
 def array_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, col: str) -> DataFrame:
     """Pairs of ids that share an element, by an equality join of the elements."""
-    a = left.select(F.col(left_id).alias("a"), F.explode(F.array_distinct(col)).alias("_e"))
-    b = right.select(F.col(right_id).alias("b"), F.explode(F.array_distinct(col)).alias("_e"))
+    a = left.select(F.col(left_id).alias("a"), F.explode(F.array_distinct(col)).alias("_e")).distinct()
+    b = right.select(F.col(right_id).alias("b"), F.explode(F.array_distinct(col)).alias("_e")).distinct()
     return a.join(b, "_e").select("a", "b").distinct()
 
 
