@@ -20,95 +20,60 @@ SPACES = re.compile(r"\s\s")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss long"
 
 
+class Parts(dict):
+    """Ids, as bytes, of the parts between single spaces, told apart by their own characters; long ones aren't kept."""
+
+    def __init__(self, bpe, longest: int = 64):
+        super().__init__()
+        self.bpe, self.longest = bpe, longest
+
+    def __missing__(self, part: str) -> bytes:
+        ids = np.array(self.bpe(" " + part), "<u4").tobytes()
+        if len(part) <= self.longest:
+            self[part] = ids
+        return ids
+
+
 class Encoder:
-    """Byte-level BPE of a tokenizers file; each distinct part between single spaces is encoded once a batch.
+    """Byte-level BPE of a tokenizers file; a part between single spaces is encoded once as long as the table keeps it.
 
     No token reaches over a space that has no white space beside it, so the text's ids are those of its parts.
-    Texts where white space meets white space, or stands at an end, are encoded whole. Parts are told apart by a
-    64-bit polynomial hash of random byte values; the table of parts that outlasts a batch is bounded.
+    Texts where white space meets white space, or stands at an end, are encoded whole. The file's special tokens
+    are taken out of a text first, and what lies between them is encoded apart, as the tokenizers library does.
+    The table is bounded.
     """
 
     def __init__(self, path: str, bound: int = 400_000):
         import tiktoken
 
-        vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        file = json.load(open(path, encoding="utf-8"))
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
-        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if all(c in byte for c in t)}
-        ranks = {t: i for t, i in ranks.items() if t != b"<|endoftext|>"}
+        self.special = {x["content"]: x["id"] for x in file["added_tokens"]}
+        self.marks = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) or "(?!)")
+        ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in self.special and all(c in byte for c in t)}
         self.whole = tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         # without the look-ahead, which matters only where white space meets white space
         self.bpe = tiktoken.Encoding("parts", pat_str=PATTERN.replace(r"|\s+(?!\S)", ""), mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.width = np.zeros(max(ranks.values()) + 2, np.int64)
-        self.width[list(ranks.values())] = [len(t) for t in ranks]
-        self.bound = bound
-        rng = np.random.default_rng(5)
-        self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.base = int(rng.integers(1 << 62, 1 << 63)) | 1
-        self.powers = self.inverse = np.ones(1, np.uint64)
-        self.clear()
-
-    def clear(self) -> None:
-        self.hash, self.first, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def hashes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.powers) <= len(raw):
-            n = len(raw) + 1
-            step = np.full(n, self.base, np.uint64)
-            back = np.full(n, pow(self.base, -1, 1 << 64), np.uint64)
-            step[0] = back[0] = 1
-            self.powers, self.inverse = np.multiply.accumulate(step), np.multiply.accumulate(back)
-        total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(self.value[raw] * self.powers[: len(raw)])])
-        return (total[ends] - total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64)
-
-    def learn(self, hashes: np.ndarray, body: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Ids of the parts, encoded in one text and taken apart by their widths in bytes."""
-        text = b"".join([body[a:b] for a, b in zip(starts.tolist(), ends.tolist())]).decode()
-        ids = np.array(self.bpe(text), np.int64)
-        cut = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(ends - starts), "left") + 1
-        first = np.concatenate([[0], cut[:-1]])
-        h = np.concatenate([self.hash, hashes])
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.first = np.concatenate([self.first, first + len(self.flat)])[order]
-        self.count = np.concatenate([self.count, cut - first])[order]
-        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, then END."""
-        out: list[np.ndarray] = [None] * len(texts)  # type: ignore[list-item]
-        easy, heads, bodies = [], [], []
-        for k, t in enumerate(texts):
-            at = t.find(" ")
-            if at <= 0 or t[-1].isspace() or t[0].isspace() or SPACES.search(t):
-                out[k] = np.array([*self.whole(t), END], np.uint32)
-            else:
-                easy.append(k)
-                heads.append(self.bpe(t[:at]))
-                bodies.append(t[at:].encode())
-        if not easy:
-            return out
-        body = b"".join(bodies)
-        raw = np.frombuffer(body, np.uint8)
-        starts = np.flatnonzero(raw == 32)
-        ends = np.append(starts[1:], len(raw))
-        distinct, at, which = np.unique(self.hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        if len(self.hash) > self.bound:
-            self.clear()
-        seen = np.searchsorted(self.hash, distinct)
-        new = np.flatnonzero((seen == len(self.hash)) | (self.hash[np.minimum(seen, len(self.hash) - 1)] != distinct)) if len(self.hash) else np.arange(len(distinct))
-        if len(new):
-            self.learn(distinct[new], body, starts[at[new]], ends[at[new]])
-        row = np.searchsorted(self.hash, distinct)[which]
-        n = self.count[row]
-        to = np.cumsum(n)
-        flat = self.flat[np.repeat(self.first[row] - to + n, n) + np.arange(to[-1])]
-        parts = np.searchsorted(starts, np.cumsum([len(b) for b in bodies]), "left")
-        last = 0
-        for k, head, p in zip(easy, heads, to[parts - 1].tolist()):
-            out[k] = np.concatenate([np.array(head, np.uint32), flat[last:p], np.array([END], np.uint32)])
-            last = p
-        return out
+        self.parts, self.bound = Parts(self.bpe), bound
+
+    def ids(self, text: str) -> bytes:
+        """Ids of a text without special tokens, as little-endian unsigned 32-bit bytes."""
+        if text.find(" ") <= 0 or text[-1].isspace() or text[0].isspace() or SPACES.search(text):
+            return np.array(self.whole(text), "<u4").tobytes()
+        if len(self.parts) > self.bound:
+            self.parts.clear()
+        head, *rest = text.split(" ")
+        return np.array(self.bpe(head), "<u4").tobytes() + b"".join(map(self.parts.__getitem__, rest))
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text, then END."""
+        out, at = [], 0
+        for m in self.marks.finditer(text):
+            out += [self.ids(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
+            at = m.end()
+        out += [self.ids(text[at:]), np.array([END], "<u4").tobytes()]
+        return np.frombuffer(b"".join(out), "<u4")
 
 
 _encoders: dict[str, Encoder] = {}
@@ -120,43 +85,51 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def place(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int], cut: bool, last: bool, least_gap: int = 32):
+def place(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int], cut: bool, last: bool, sums: list[np.ndarray] | None = None, least_gap: int = 32):
     """Sequences as lists of (item, from, length); items that are left for a later call, as (item, from).
 
     limits: tokens, segments, loss-bearing tokens of a sequence. The open sequence takes the item that fits and
     has the largest dot product of its vector with the room that is left, each dimension as a share of its limit.
-    If none fits and `cut` is on, the item with the least tokens beyond the gap is cut to fill it; else the
-    sequence closes. Unless `last`, a sequence that isn't full stays open: its items are handed back.
+    If none fits and `cut` is on, the item with the least tokens of which a part fits is cut to fill the gap; else
+    the sequence closes. sums[k] counts item k's loss-bearing tokens before each of its tokens and behind the
+    last; without sums every token bears loss. Unless `last`, a sequence that isn't full stays open: its items
+    are handed back.
     """
-    n = len(tokens)
-    t, l, at = tokens.astype(float) / limits[0], loss.astype(float) / limits[2], np.zeros(n, np.int64)
-    one, slack = 1 / limits[1], 1 + 1e-12
-    free = np.ones(n, bool)
+    t, l, at = np.array(tokens, np.int64), np.array(loss, np.int64), np.zeros(len(tokens), np.int64)
+    free, size = np.ones(len(t), bool), np.array(limits, float)
     out: list[list[tuple[int, int, int]]] = []
+
+    def part(k: int, gap: int, room: int) -> int:
+        """How many tokens of item k fit from where it stands, fewer than all."""
+        if sums is None:
+            return min(gap, room, int(t[k]) - 1)
+        fits = int(np.searchsorted(sums[k], sums[k][at[k]] + room, "right")) - 1 - int(at[k])
+        return min(gap, fits, int(t[k]) - 1)
+
     while free.any():
-        room_t, room_s, room_l = 1.0, 1.0, 1.0
+        room = np.array(limits, np.int64)
         mine: list[tuple[int, int, int]] = []
-        while room_s * slack >= one:
-            score = np.where(free & (t <= room_t * slack) & (l <= room_l * slack), t * room_t + l * room_l + one * room_s, -1.0)
+        while room[1] > 0:
+            r = room / size
+            score = np.where(free & (t <= room[0]) & (l <= room[2]), t * (r[0] / size[0]) + l * (r[2] / size[2]) + r[1] / size[1], -1.0)
             k = int(score.argmax())
             if score[k] < 0:
                 break
-            mine.append((k, int(at[k]), int(tokens[k] - at[k])))
-            room_t, room_s, room_l = room_t - t[k], room_s - one, room_l - l[k]
-            if room_t < 1e-9:
-                room_t = 0.0
+            mine.append((k, int(at[k]), int(t[k])))
+            room -= (t[k], 1, l[k])
             free[k] = False
-        gap = int(round(room_t * limits[0]))
-        if cut and gap >= min(least_gap, limits[0]) and room_s * slack >= one and free.any():
-            k = int(np.argmin(np.where(free, t, np.inf)))
-            left = int(tokens[k] - at[k])
-            per = l[k] * limits[2] / left
-            take = min(gap, left - 1, int(room_l * limits[2] / per + 1e-9) if per else gap)
-            if take > 0:
-                mine.append((k, int(at[k]), take))
-                at[k] += take
-                t[k], l[k] = (left - take) / limits[0], per * (left - take) / limits[2]
-                gap -= take
+        gap = int(room[0])
+        if cut and gap >= min(least_gap, limits[0]) and room[1] > 0 and free.any():
+            some = np.flatnonzero(free)
+            for k in some[np.argsort(t[some], kind="stable")].tolist():
+                take = part(k, gap, int(room[2]))
+                if take > 0:
+                    mine.append((k, int(at[k]), take))
+                    at[k] += take
+                    t[k] -= take
+                    l[k] = t[k] if sums is None else sums[k][-1] - sums[k][at[k]]
+                    gap -= take
+                    break
         if not mine:
             raise ValueError("an item exceeds the limits of a sequence")
         if not last and not free.any() and gap:
@@ -165,70 +138,129 @@ def place(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int], cu
     return out, []
 
 
-def pack(docs: DataFrame, path: str, size: int = 2048, segments: int = 256, loss: int | None = None, buffer: int = 1 << 19, most: int = 8192) -> DataFrame:
-    """Pieces of every row of docs (doc_id, text) packed into sequences of at most `size` tokens.
+class Packer:
+    """One task's sequences: items wait in a buffer of about `buffer` tokens or `most` items, then are placed.
 
-    A text's ids are those of the tokenizers file at `path`, then END. Each task packs its own rows, by
-    buffers of about `buffer` tokens or `most` items, so nothing is shuffled and memory and work are bounded; sequences get ids that no
-    other task gives. Whole windows of `size` tokens are sequences of their own; what is left over is placed by
-    vectors of tokens, segments and loss-bearing tokens (in plain documents, all of them). Null text counts as
-    empty and gives the one token END; repeated rows and null ids are packed like any other; an empty table
-    gives no rows. A retried task gives the same rows, as its input rows come in the same order.
+    An item is (keys, ids, loss sums or None, from). Rows are the keys, then start, length, ids_crc32, doc_tokens,
+    sequence_id, offset and loss.
     """
-    limits = (size, segments, loss or size)
 
-    def run(batches):
-        enc = encoder(path)
+    def __init__(self, limits: tuple[int, int, int], schema: str, buffer: int, most: int):
         task = TaskContext.get()
-        sequence = (task.partitionId() if task else 0) << 33
-        rows: list[tuple] = []
-        pending: list[tuple] = []  # (doc_id, ids, from)
+        self.limits, self.schema, self.buffer, self.most = limits, schema, buffer, most
+        self.sequence = (task.partitionId() if task else 0) << 33
+        self.rows: list[tuple] = []
+        self.pending: list[tuple] = []
+        self.held = 0
+
+    def emit(self, keys, ids, sums, start, length, at):
+        loss = length if sums is None else int(sums[start + length] - sums[start])
+        self.rows.append((*keys, start, length, zlib.crc32(ids[start : start + length].astype("<u4").tobytes()), len(ids), self.sequence, at, loss))
 
-        def emit(doc, ids, start, length, at):
-            rows.append((doc, start, length, zlib.crc32(ids[start : start + length].astype("<u4").tobytes()), len(ids), sequence, at, length))
+    def add(self, keys: tuple, ids: np.ndarray, sums: np.ndarray | None = None) -> None:
+        """Whole windows of `size` tokens are sequences of their own where every token bears loss and may."""
+        size, first = self.limits[0], 0
+        if sums is None and self.limits[2] >= size:
+            while len(ids) - first >= size:
+                self.emit(keys, ids, None, first, size, 0)
+                self.sequence += 1
+                first += size
+        if first < len(ids):
+            self.pending.append((keys, ids, sums, first))
+            self.held += len(ids) - first
+        if self.held >= self.buffer or len(self.pending) >= self.most:
+            self.flush(False)
 
-        def flush(last):
-            nonlocal pending, sequence
-            n = np.array([len(i) - a for _, i, a in pending], np.int64)
-            done, left = place(n, n, limits, True, last) if len(n) else ([], [])
+    def flush(self, last: bool) -> None:
+        items = self.pending
+        if items:
+            sums = None if items[0][2] is None else [s[a:] - s[a] for _, _, s, a in items]
+            n = np.array([len(i) - a for _, i, _, a in items], np.int64)
+            loss = n if sums is None else np.array([s[-1] for s in sums], np.int64)
+            done, left = place(n, loss, self.limits, True, last, sums)
             for s in done:
                 at = 0
                 for k, a, length in s:
-                    emit(pending[k][0], pending[k][1], pending[k][2] + a, length, at)
+                    keys, ids, own, first = items[k]
+                    self.emit(keys, ids, own, first + a, length, at)
                     at += length
-                sequence += 1
-            pending = [(pending[k][0], pending[k][1], pending[k][2] + a) for k, a in left]
+                self.sequence += 1
+            self.pending = [(*items[k][:3], items[k][3] + a) for k, a in left]
+        self.held = sum(len(i) - a for _, i, _, a in self.pending)
+
+    def drain(self):
+        out = record(self.schema, [list(x) for x in zip(*self.rows)])
+        self.rows = []
+        return out
 
-        def drain():
-            out = record(PIECES, [list(x) for x in zip(*rows)])
-            rows.clear()
-            return out
 
-        held = 0
+def pack(docs: DataFrame, path: str, size: int = 2048, segments: int = 256, loss: int | None = None, buffer: int = 1 << 19, most: int = 8192) -> DataFrame:
+    """Pieces of every row of docs (doc_id, text) packed into sequences of at most `size` tokens.
+
+    A text's ids are those of the tokenizers file at `path`, then END. Each task packs its own rows, by
+    buffers of about `buffer` tokens or `most` items, so nothing is shuffled and memory and work are bounded;
+    sequences get ids that no other task gives. Whole windows of `size` tokens are sequences of their own; what is
+    left over is placed by vectors of tokens, segments and loss-bearing tokens (in plain documents, all of them;
+    pack_conversations() has a mask). Null text counts as empty and gives the one token END; repeated rows and
+    null ids are packed like any other; an empty table gives no rows. A retried task gives the same rows, as its
+    input rows come in the same order.
+    """
+
+    def run(batches):
+        enc, task = encoder(path), Packer((size, segments, loss or size), PIECES, buffer, most)
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            k = 0
-            while k < len(texts):
-                stop, chars = k, 0
-                while stop < len(texts) and chars < 1 << 21 and stop - k < most:
-                    chars += len(texts[stop] or "")
-                    stop += 1
-                for doc, tokens in zip(ids[k:stop], enc.encode([t or "" for t in texts[k:stop]])):
-                    whole = len(tokens) // limits[2] * limits[2] if limits[2] >= size else 0
-                    for a in range(0, whole, size):
-                        emit(doc, tokens, a, size, 0)
-                        sequence += 1
-                    if whole < len(tokens):
-                        pending.append((doc, tokens, whole))
-                        held += len(tokens)
-                k = stop
-                if held >= buffer or len(pending) >= most:
-                    flush(False)
-                    held = sum(len(i) for _, i, _ in pending)
-                if rows:
-                    yield drain()
-        flush(True)
-        if rows:
-            yield drain()
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                task.add((doc,), enc.encode(text.as_py() or ""))
+                if len(task.rows) >= 4096:
+                    yield task.drain()
+        task.flush(True)
+        if task.rows:
+            yield task.drain()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+
+
+TURNS = PIECES.replace("doc_id long,", "conv_id long, turn long,")
+
+
+def pack_conversations(turns: DataFrame, path: str, size: int = 2048, segments: int = 64, loss: int = 1024, bearing: tuple[str, ...] = ("assistant",), buffer: int = 1 << 19, most: int = 8192) -> DataFrame:
+    """Instruction data (conv_id, turn, role, text) packed under limits on tokens, segments and loss-bearing tokens.
+
+    An item is a run of consecutive turns of one conversation, of up to `size` tokens or one longer turn; its ids
+    are those of its texts, each with an END. The tokens of turns whose role is in `bearing` bear loss, and at
+    most `loss` of them lie in a sequence; the column loss counts a piece's. turn is the item's first turn, and
+    start and doc_tokens count in the item. Turns are ordered by ranges of (conv_id, turn), so that a very long
+    conversation is several tasks' work. Null text counts as empty, null role bears no loss, null ids are one
+    conversation; repeated turns are kept; an empty table gives no rows.
+    """
+
+    def run(batches):
+        enc, task = encoder(path), Packer((size, segments, loss), TURNS, buffer, most)
+        item: list[tuple[np.ndarray, np.ndarray]] = []
+        key, length = None, 0
+
+        def close():
+            nonlocal item, length
+            if item:
+                task.add(key, np.concatenate([i for i, _ in item]), np.concatenate([[0], np.cumsum(np.concatenate([m for _, m in item]))]))
+            item, length = [], 0
+
+        for b in batches:
+            for conv, turn, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text"))):
+                ids = enc.encode(text or "")
+                if item and (conv != key[0] or length + len(ids) > size):
+                    close()
+                if not item:
+                    key = (conv, turn)
+                item.append((ids, np.full(len(ids), role in bearing, np.int64)))
+                length += len(ids)
+                if len(task.rows) >= 4096:
+                    yield task.drain()
+        close()
+        task.flush(True)
+        if task.rows:
+            yield task.drain()
+
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    order = ("conv_id", "turn", "role", "text")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, TURNS)
