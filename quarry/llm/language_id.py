@@ -19,42 +19,53 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Alphabet:
-    """Maps code points, lower-cased, to ids: white space 0, rare ones 1, and at most 254 frequent ones."""
+    """Maps code points, lower-cased, to ids: white space 0, those that no language was seen with 1, then every other."""
 
     def __init__(self, letters: str):
         self.letters = letters
-        self.table = np.full(0x110000, OTHER, np.uint8)
-        self.letter = np.zeros(0x110000, bool)
+        self.table = np.full(0x110000, OTHER, np.uint32)
+        every = list(map(chr, range(0x110000)))
+        self.letter = np.array([c.isalpha() for c in every])
+        self.table[[c.isspace() for c in every]] = SPACE_ID
         for k, c in enumerate(letters):
             self.table[ord(c)] = k + 2
             for up in (c.upper(), c.title()):
                 if len(up) == 1 and up not in letters:
                     self.table[ord(up)] = k + 2
-        for c in range(0x30000):
-            s = chr(c)
-            self.letter[c] = s.isalpha()
-            if s.isspace():
-                self.table[c] = SPACE_ID
+
+    @property
+    def size(self) -> int:
+        return len(self.letters) + 2
 
     @staticmethod
     def of(texts: list[str]) -> Alphabet:
         cps, _ = code_points([t.lower() for t in texts])
-        values, n = np.unique(cps, return_counts=True)
-        best = values[np.argsort(-n, kind="stable")][:254]
-        return Alphabet("".join(chr(c) for c in sorted(best.tolist()) if not chr(c).isspace()))
+        return Alphabet("".join(c for c in map(chr, np.unique(cps).tolist()) if not c.isspace()))
+
+
+class Grams:
+    """Hashes of the grams that end at each character of some texts, each text preceded by spaces.
 
+    A gram's hash comes from its shorter gram's with one more character to the left, so gram[k] and its suffix
+    gram[k - 1] stand at one place, and history[k], the k - 1 characters before the last, at the place before.
+    Characters have all their bits in the hash, so the alphabet may be of any size.
+    """
 
-def grams(ids: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order-grams that end at each character, as codes, with the texts' starts; a text is preceded by spaces."""
-    pad = order - 1
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    where = np.arange(len(ids)) + pad * (1 + np.repeat(np.arange(len(counts)), counts))
-    padded = np.zeros(len(ids) + pad * len(counts), np.uint64)
-    padded[where] = ids
-    code = padded[where]
-    for k in range(1, order):
-        code = code | (padded[where - k] << np.uint64(8 * k))
-    return code, starts
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, order: int):
+        pad = order
+        where = np.arange(len(ids)) + pad * (1 + np.repeat(np.arange(len(counts)), counts))
+        x = np.zeros(len(ids) + pad * len(counts), np.uint64)
+        x[where] = ids
+        self.starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        h = np.zeros(len(x), np.uint64)
+        self.gram, self.history = [h[where]], [h[where]]
+        for k in range(order):
+            self.history.append(h[where - 1])
+            left = np.concatenate([np.zeros(k, np.uint64), x[: len(x) - k]])
+            h = (h + left + np.uint64(0x51_7C_C1_B7 * (k + 1))) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+            self.gram.append(h[where])
 
 
 class KneserNey:
@@ -65,11 +76,6 @@ class KneserNey:
         self.gram: list[tuple[np.ndarray, np.ndarray]] = []
         self.context: list[tuple[np.ndarray, np.ndarray]] = []
 
-    @staticmethod
-    def mix(code: np.ndarray) -> np.ndarray:
-        h = code * np.uint64(0x9E3779B97F4A7C15)
-        return h ^ (h >> np.uint64(32))
-
     @staticmethod
     def table(parts: list[tuple[np.ndarray, np.ndarray]], default: float) -> tuple[np.ndarray, np.ndarray]:
         keys = np.unique(np.concatenate([k for k, _ in parts]))
@@ -85,21 +91,18 @@ class KneserNey:
         grams_of, contexts_of = [[] for _ in range(order)], [[] for _ in range(order)]
         for lang in model.languages:
             cps, n = code_points(texts[lang])
-            code, _ = grams(alphabet.table[cps], n, order)
-            keys, count = np.unique(code, return_counts=True)
+            g = Grams(alphabet.table[cps], n, order)
+            at = np.arange(len(cps))
             for k in range(order, 0, -1):
-                tail = np.uint64((1 << (8 * k)) - 1)
-                if k < order:  # continuation counts: distinct one-character extensions to the left
-                    keys, count = np.unique(wider & tail, return_counts=True)  # noqa: F821
-                wider = keys
+                # below the highest order counts are of distinct one-character extensions to the left
+                keys, first, count = np.unique(g.gram[k][at], return_index=True, return_counts=True)
+                at = at[first]
                 ones, twos = (count == 1).sum(), (count == 2).sum()
                 discount = ones / max(1, ones + 2 * twos) if ones else 0.5
-                history, at = np.unique(keys >> np.uint64(8), return_inverse=True)
-                total, kinds = np.bincount(at, count), np.bincount(at)
-                grams_of[k - 1].append((cls.mix(keys), (np.maximum(count - discount, 0) / total[at]).astype(np.float32)))
-                contexts_of[k - 1].append((cls.mix(history), (discount * kinds / total).astype(np.float32)))
-                if k > 1:
-                    wider = keys
+                history, of = np.unique(g.history[k][at], return_inverse=True)
+                total, kinds = np.bincount(of, count), np.bincount(of)
+                grams_of[k - 1].append((keys, (np.maximum(count - discount, 0) / total[of]).astype(np.float32)))
+                contexts_of[k - 1].append((history, (discount * kinds / total).astype(np.float32)))
         model.gram = [cls.table(p, 0.0) for p in grams_of]
         model.context = [cls.table(p, 1.0) for p in contexts_of]
         return model
@@ -110,12 +113,11 @@ class KneserNey:
         at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
         return np.where((hashes[at] == keys)[:, None], values[at], np.float32(default))
 
-    def log2(self, code: np.ndarray) -> np.ndarray:
-        """log2 P of each gram's last character, a column a language."""
-        p = np.full((len(code), len(self.languages)), 1 / 256, np.float32)
+    def log2(self, g: Grams, at: np.ndarray) -> np.ndarray:
+        """log2 P of the characters at some places, a column a language."""
+        p = np.full((len(at), len(self.languages)), 1 / (len(self.letters) + 2), np.float32)
         for k in range(1, self.order + 1):
-            low = code & np.uint64((1 << (8 * k)) - 1)
-            p = self.find(self.gram[k - 1], self.mix(low), 0.0) + self.find(self.context[k - 1], self.mix(low >> np.uint64(8)), 1.0) * p
+            p = self.find(self.gram[k - 1], g.gram[k][at], 0.0) + self.find(self.context[k - 1], g.history[k][at], 1.0) * p
         return np.log2(p)
 
     def entropies(self, alphabet: Alphabet, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,10 +127,10 @@ class KneserNey:
         some = np.flatnonzero(n)
         if not len(some):
             return out, n, letter
-        code, starts = grams(alphabet.table[cps], n, self.order)
-        distinct, which = np.unique(code, return_inverse=True)
-        bits = -self.log2(distinct)
-        owner = starts[some]
+        g = Grams(alphabet.table[cps], n, self.order)
+        _, first, which = np.unique(g.gram[self.order], return_index=True, return_inverse=True)
+        bits = -self.log2(g, first)
+        owner = g.starts[some]
         for j in range(len(self.languages)):
             out[some, j] = np.add.reduceat(bits[:, j][which], owner, dtype=np.float64) / n[some]
         letter[some] = np.logical_or.reduceat(alphabet.letter[cps], owner)
@@ -157,29 +159,31 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60
     return w
 
 
-def training_texts(docs: DataFrame, bound: int) -> dict[str, list[str]]:
-    """Texts by language of a bounded number of rows for each lang, chosen by a hash of the row."""
-    known = docs.where("text is not null and lang is not null and trim(text) <> ''")
-    n = {x.lang: x["count"] for x in known.groupBy("lang").count().collect()}
+def training_texts(docs: DataFrame, bound: int, chars: int, longest: int = 1 << 20) -> dict[str, list[str]]:
+    """Texts by language of a number of rows and characters for each lang that is bounded, chosen by a hash of the row."""
+    known = docs.where("text is not null and lang is not null and trim(text) <> ''").where(F.length("text") <= longest)
+    n = {x.lang: max(x.n / bound, x.chars / chars) for x in known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
     if not n:
         return {}
-    share = F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, min(1.0, bound / c))])
+    share = F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, 1 / max(1.0, c))])
     rows = known.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("doc_id", "lang", "text").toPandas().sort_values(["lang", "doc_id", "text"])
     return {k: g.text.tolist() for k, g in rows.groupby("lang")}
 
 
-def identify(docs: DataFrame, bound: int = 600, order: int = 5, lost: float = 0.002) -> DataFrame:
+def identify(docs: DataFrame, bound: int = 600, chars: int = 4_000_000, order: int = 5, lost: float = 0.002) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, accepted, bits) for every row of docs (doc_id, text, lang).
 
-    The models learn from at most about `bound` texts of each language, among rows whose id's CRC-32 modulo 4
-    is not 2; one text in five of them is kept back to calibrate. lang_pred is the language with the least bits
+    The models learn from at most about `bound` texts and `chars` characters of each language, of texts of a
+    million characters at most, among rows whose id's CRC-32 modulo 4 is not 2; one text in five of them is kept
+    back to calibrate. lang_pred is the language with the least bits
     a character (ties: the first by name); `und` with score 0 if the text is null or has no letter, or if there
     is nothing to learn from. score is the calibrated probability that it is right, from the lead over the
-    second language and the bits a character; rows below a score that `lost` of the right calibration texts
-    miss aren't accepted. Whole texts are scored; repeated rows get equal results; an empty table gives no rows.
+    second language and the bits a character; its wrong cases are also the calibration texts as the other languages'
+    models see them, so that a language nobody learned is rejected. Rows below a score that `lost` of the right
+    calibration texts miss aren't accepted. Whole texts are scored; repeated rows get equal results; an empty table gives no rows.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    texts = training_texts(docs.where(~held_out("doc_id", 4)), bound)
+    texts = training_texts(docs.where(~held_out("doc_id", 4)), bound, chars)
     out = docs.withColumn("held_out", held_out("doc_id", 4))
     if not texts:
         return out.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"), F.lit(None).cast("double").alias("bits"))
@@ -195,6 +199,10 @@ def identify(docs: DataFrame, bound: int = 600, order: int = 5, lost: float = 0.
         best, lead, own = evidence(h, n)
         x.append(np.column_stack([lead, own])[letter])
         y.append((best == j)[letter])
+        if len(model.languages) > 1:  # as if its own language were not learned
+            _, lead, own = evidence(np.delete(h, j, 1), n)
+            x.append(np.column_stack([lead, own])[letter])
+            y.append(np.zeros(letter.sum(), bool))
     x, y = np.concatenate(x), np.concatenate(y).astype(float)
     weights = logistic(x, y) if 0 < y.mean() < 1 else np.array([0.0, 0.0, 6.0])
     p = 1 / (1 + np.exp(-(np.column_stack([x, np.ones(len(x))]) @ weights)))

@@ -360,20 +360,58 @@ def test_secret_network_reads_long_candidates(secret_net):
 
 def test_language_id(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    r = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
-    assert (r.lang == r.lang_pred).mean() > 0.93 and r.score.between(0, 1).all()
-    rows = {x.doc_id: x for x in language_id.identify(odd).collect()}
+    strange = [(910000 + k, t * 4, None, "s", 1, "", "") for k, t in enumerate(("hyvää päivää kaikille ystäville tänään täällä ", "qxzkv wqjxz zzkqw vvxqj kzzxq jwqvx ", "天地玄黃宇宙洪荒日月盈昃", "съешь ещё этих мягких французских булок "))]
+    r = language_id.identify(docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(strange, DOCS).select("doc_id", "text", "lang"))).toPandas()
+    got = r.merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
+    got = got[got.held_out & got.lang.notna() & (got.lang_pred != "und")]
+    assert (got.lang == got.lang_pred).mean() > 0.93 and got.score.between(0, 1).all() and got.accepted.mean() > 0.95
+    assert not r[r.doc_id >= 910000].accepted.any() and (r[r.doc_id >= 910000].score < got.score.median()).all()
+    rows = {x.doc_id: x for x in language_id.identify(odd.unionByName(spark.createDataFrame([(900020, "\U00030000\U00030001 12", None, "s", 1, "", "")], DOCS))).collect()}
     assert all(rows[i].lang_pred == "und" and rows[i].score == 0 for i in (None, 900001, 900002, 900006)) and rows[900004].lang_pred != "und"
+    assert rows[900020].lang_pred != "und"  # ideographs of every plane are letters
     assert all(x.held_out == (zlib.crc32(str(x.doc_id if x.doc_id is not None else "").encode()) % 4 == 2) for x in rows.values())
     assert language_id.identify(empty).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    model = language_id.KneserNey.fit({"x": ["abab abba baab aabb"], "y": ["cdcd dccd"]}, 3)
-    ids = np.arange(256, dtype=np.uint64)
-    for history in (0, 2 | 3 << 8, 3 | 3 << 8, 250 | 9 << 8):
-        p = 2.0 ** model.log2(ids | np.uint64(history << 8))
-        assert np.allclose(p.sum(0), 1, atol=1e-4)
+def slow_kneser_ney(texts, order, symbols):
+    """Interpolated Kneser-Ney by its definition over dictionaries; white space is one symbol before every text."""
+    text = [[" "] * order + [" " if c.isspace() else c for c in t.lower()] for t in texts]
+    counts = {order: Counter(tuple(t[k - order + 1 : k + 1]) for t in text for k in range(order, len(t)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discount = {}
+    for k, c in counts.items():
+        ones, twos = (sum(v == x for v in c.values()) for x in (1, 2))
+        discount[k] = ones / max(1, ones + 2 * twos) if ones else 0.5
+
+    def probability(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / symbols
+        same = {g: v for g, v in counts[k].items() if g[:-1] == gram[:-1]}
+        lower = probability(gram[1:])
+        if not same:
+            return lower
+        return (max(counts[k][gram] - discount[k], 0) + discount[k] * len(same) * lower) / sum(same.values())
+
+    return probability
+
+
+def test_kneser_ney_brute_force():
+    texts = {"x": ["abab abba baab aabb", "ab ba"], "y": ["cdcd dccd", "天地 天黃 cd"]}
+    model = language_id.KneserNey.fit(texts, 3)
+    alphabet = language_id.Alphabet(model.letters)
+    asked = ["abcd ba", "cdab", "天黃天 d", "zz\U00030000 天", "a"]
+    h, n, letter = model.entropies(alphabet, asked)
+    for j, lang in enumerate(model.languages):
+        p = slow_kneser_ney(texts[lang], 3, alphabet.size)
+        for k, t in enumerate(asked):
+            padded = [" "] * 3 + list(t)
+            bits = -sum(math.log2(p(tuple(padded[i - 2 : i + 1]))) for i in range(3, len(padded))) / len(t)
+            assert abs(bits - h[k, j]) < 1e-4
+        for history in ((" ", " "), ("a", "b"), ("天", "z")):  # a distribution over the alphabet and one unseen symbol
+            assert abs(sum(p((*history, c)) for c in [*model.letters, " ", "\0"]) - 1) < 1e-9
+    assert letter.all() and n.tolist() == [len(t) for t in asked]
 
 
 def test_cotraining(spark, odd, empty, labels):
