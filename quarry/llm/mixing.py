@@ -13,6 +13,8 @@ from .common import as_bytes, cut, small, struct_udf
 
 #: The sources' weights by code point order, repeating.
 WEIGHTS = (5, 2, 1)
+#: Equal rows that are numbered at a time.
+EQUAL = 10_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = 3) -> DataFrame:
@@ -78,24 +80,30 @@ def mix(docs: DataFrame, key: str = "doc_id", seed: int = 20, leaf: int = 4096,
 
     A document of a source with target t and size s is taken floor(t / s) times, and once more with the
     fraction that is left; the fractions of a source are rounded together so that their sum is kept. They are
-    paired in order of size inside leaf groups, by a hash of the row, and the one that each group leaves over
-    goes up a tree of `fan` groups a node until one a source is left. Null text has size 0 and no copies; null
-    source is a source, last in order; rows that repeat are told apart by their number among their equals;
-    an empty table, or one without words, takes nothing. Reruns give the same mix.
+    paired in order of size, the longest first, inside leaf groups of documents of about one size, so that mass
+    moves between documents of like size and the words taken are kept with the copies. The fraction that each
+    group leaves over goes up a tree of `fan` neighbouring groups a node until one a source is left. Null text has
+    size 0 and no copies; null source is a source, last in order; rows that repeat are told apart by their number
+    among their equals; an empty table, or one without words, takes nothing. Reruns give the same mix.
     """
-    rows = cut(docs.select(F.col(key).alias("doc_id"), F.col("source").cast("string").alias("source"), size_of("text").alias("_z")).select("doc_id", "source", F.col("_z.size").alias("size")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    t = cut(targets(sizes))
-    same = Window.partitionBy("h", "doc_id", "source", "size").orderBy(F.lit(0))
-    # equal rows are interchangeable, so any order among them gives the same multiset
-    keyed = rows.withColumn("h", F.xxhash64("doc_id", "source", "size")).withColumn("nth", F.row_number().over(same))
-    keyed = keyed.join(small(t.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col("source").cast("string").alias("source"), size_of("text").alias("_z")).select("doc_id", "source", F.col("_z.size").alias("size"))
+    # equal rows are interchangeable, so a count stands for them until they are numbered
+    counted = cut(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("same")))
+    t = cut(targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("same")).alias("source_size"), F.sum("same").alias("n"))))
+    numbered = counted.select("doc_id", "source", "size", "same", F.explode(F.expr(f"sequence(0, same - 1, {EQUAL})")).alias("base"))
+    numbered = numbered.withColumn("nth", F.explode(F.expr(f"sequence(base + 1, least(base + {EQUAL}, same))"))).drop("base", "same")
+    keyed = numbered.withColumn("h", F.xxhash64("doc_id", "source", "size")).join(small(t.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     keyed = keyed.withColumn("f", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    keyed = keyed.withColumns({"whole": F.floor("f"), "p": F.col("f") - F.floor("f"), "id": F.xxhash64("h", "nth"), "src": F.xxhash64(F.coalesce("source", F.lit("\u0000null")))})
-    keyed = cut(keyed.withColumn("g", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("n") / leaf))))
+    keyed = keyed.withColumns({"whole": F.floor("f"), "p": F.col("f") - F.floor("f"), "id": F.xxhash64("h", "nth"), "src": F.xxhash64(F.coalesce("source", F.lit("\u0000null"))), "band": F.floor(F.log1p(F.col("size").cast("double")) * 64)})
+    # leaf groups are runs of documents of about one size: those of a band start behind the smaller ones of the source
+    bands = cut(keyed.groupBy("src", "band").agg(F.count("*").alias("in_band")))
+    before = Window.partitionBy("src").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = cut(bands.withColumn("before", F.coalesce(F.sum("in_band").over(before), F.lit(0))))
+    u = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    keyed = cut(keyed.join(small(bands), ["src", "band"]).withColumn("g", F.floor((F.col("before") + u * F.col("in_band")) / leaf)).drop("band", "before", "in_band"))
 
     def decide(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["size", "id"], kind="stable")
+        b = b.sort_values(["size", "id"], ascending=[False, True], kind="stable")
         done, rest = pivot(list(zip(b.p.tolist(), b.id.tolist())), seed, tuple(int(x) for x in key))
         size = dict(zip(b.id.tolist(), b["size"].tolist()))
         out = [(i, float(v), True, size[i]) for i, v in done] + ([(rest[1], rest[0], False, size[rest[1]])] if rest else [])

@@ -496,11 +496,24 @@ def test_mixing(spark, odd, empty):
         assert abs(g.target.iloc[0] - target[s]) < 1e-6 * target[s]
         copies, ideal = g.copies.sum(), len(g) * target[s] / n[s]
         assert abs(copies - ideal) < 1  # the sum of fractions is kept but for the last draw
+        assert abs((g["size"] * g.copies).sum() - target[s]) <= max(0.02 * target[s], g["size"].max())
     again = mixing.mix(docs.repartition(5), leaf=16, fan=4).toPandas()
     assert sorted(zip(m.doc_id, m.copies)) == sorted(zip(again.doc_id, again.copies))
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(empty).count() == 0
 
 
+def test_mixing_takes_the_target_words(spark):
+    """Words, not only copies: within 2 % of each target where the longest document allows it, one source being hot."""
+    rng = np.random.default_rng(8)
+    sizes = np.minimum(20000, np.exp(rng.normal(5, 1.5, 12000)).astype(int) + 1)
+    source = np.where(rng.random(12000) < 0.4, "hot", np.char.add("s", rng.integers(0, 9, 12000).astype(str)))
+    rows = [(k, "w " * int(n), str(s)) for k, (n, s) in enumerate(zip(sizes, source))] + [(99999, "a b c", "s1")] * 400
+    m = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8), leaf=256, fan=8).toPandas()
+    assert len(m) == len(rows) and (m.copies <= 3).all()
+    for _, g in m.groupby("source"):
+        assert abs((g["size"] * g.copies).sum() - g.target.iloc[0]) <= max(0.02 * g.target.iloc[0], g["size"].max())
+
+
 def test_pivot_keeps_the_sum():
     p = np.random.default_rng(5).random(501)
     done, rest = mixing.pivot([(float(x), k) for k, x in enumerate(p)], 1, ("k",))
