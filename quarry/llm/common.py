@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the reliable checkpoint folder and returns it with a short lineage."""
+    """Writes df to the reliable checkpoint folder and returns it with a short lineage.
+
+    The folder is the session's, which every executor shares; none is made up here.
+    """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise ValueError("spark.checkpoint.dir names no folder; set it to one that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -40,6 +47,17 @@ def record(schema: str, values: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns(schema, values), names=[n for n, _ in fields(schema)])
 
 
+@functools.cache
+def reuse_memory(most: int = 256 << 20) -> None:
+    """Has a task's process keep freed arrays up to `most` bytes for the next ones, which spares it most page faults."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, most)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, most)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass  # another C library: only slower
+
+
 def struct_udf(schema: str, fn):
     """Scalar Arrow UDF: fn gets Arrow arrays and returns one sequence for each field of schema.
 
@@ -79,6 +97,20 @@ def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def with_class(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of their class; classes has one row a key, and copies, the number of its rows.
+
+    A class with over a thousandth of all rows is joined by a broadcast: there are less than a thousand of them, and
+    no task gets all of one's rows. The others are joined by a shuffle.
+    """
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    hot = classes.where(F.col("copies") > max(1000, total // 1000))
+    if not hot.head(1):
+        return rows.join(classes, key)
+    hot = F.broadcast(cut(hot))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(classes, key))
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (root, member) of the components of edges (a, b); root is the smallest member."""
     ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -115,8 +147,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         seen = got
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("copies")))
+        large = with_class(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         now = cut(large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())

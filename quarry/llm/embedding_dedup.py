@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest, record, sample
+from .common import components, cut, forest, record, sample, with_class
 
 
 def usable(vectors: pa.Array) -> list[bytes | None]:
@@ -133,7 +133,8 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.95, id_col: str =
     out = cut(range_links(classes, cosine))
     root = components(out.where("root is not null").select(F.col("root").alias("a"), F.col("id").alias("b")))
     n = out.groupBy("id").agg(F.sum("n").alias("n"))
-    of = classes.join(n, classes.rep == n.id, "left").join(root, classes.rep == root.node, "left").select("raw", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    joined = rows.join(of, "raw", "left")
+    of = classes.join(n, classes.rep == n.id, "left").join(root, classes.rep == root.node, "left").select("raw", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    alone = rows.where("raw is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    joined = with_class(rows.where("raw is not null"), cut(of), "raw").select("vec_id", "n_links", "component_id").unionByName(alone)
     comp = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))

@@ -4,9 +4,9 @@ At a Jaccard similarity of 0.8 two signatures differ in about 15 % of their bits
 over 64 bits to prune anything. A signature here has 192 bits in twelve segments; a pair counts as a candidate
 if some segment differs in at most one bit and the whole in at most `most` bits. At similarity 0.8 a segment is
 that close with probability 0.28, so one of twelve is with 0.98 (0.999 at 0.85). Each segment has its tree.
-The texts of a shard's minimum spanning forest of candidates are compared first, shingle by shingle, so that a
-large group gives few edges. Where an edge of the forest fails, all other candidates between the components that
-passed so far are compared too, in rounds by a hash of the pair, the smallest share first.
+A shard gives the minimum spanning forest of its candidates, so that a large group gives few edges; their
+components are loose clusters. Within a loose cluster every pair of texts is then compared shingle by shingle, in
+blocks of bounded size that hand back no more than a forest of the pairs that reach the similarity.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, cut, record, sample, small
+from .common import as_bytes, components, cut, record, sample, with_class
 from .simhash import block_tasks, close_pairs, grow, leaves, majority, shingle_hashes, spanning
 
 WORDS, BITS = 3, 16
@@ -43,17 +43,6 @@ def matrix(signatures) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), "<u2").reshape(-1, SEGMENTS)
 
 
-def level_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The round, 1 to LEVELS, in which a pair is compared: one pair of 4,096 up to the first, eight times as many up to each next."""
-    lo, hi = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
-    x = (lo * np.uint64(0x9E3779B97F4A7C15) ^ hi) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(52)
-    return 1 + np.searchsorted(np.array([1, 8, 64, 512], np.uint64), x, "right")
-
-
-LEVELS = 5
-
-
 def spread_out(reps: DataFrame, shard: int, fit: int, r: int = 1) -> DataFrame:
     """Rows (cell, home, sig, rep): where the trees of the segments send each of reps (distinct sig and rep)."""
     n = reps.count()
@@ -72,79 +61,95 @@ def spread_out(reps: DataFrame, shard: int, fit: int, r: int = 1) -> DataFrame:
     return reps.select("sig", "rep").mapInArrow(deal, "cell long, home boolean, sig binary, rep long")
 
 
-def candidates(spread: DataFrame, most: int, shard: int, guests: int, level: int = 0, r: int = 1) -> DataFrame:
-    """Edges (a, b) of the shards' minimum spanning forests; with a level all its pairs of unlike root."""
+def candidates(spread: DataFrame, most: int, shard: int, guests: int, r: int = 1) -> DataFrame:
+    """Edges (a, b) of the shards' minimum spanning forests by signature distance, up to `most` bits."""
 
     def shard_links(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         m, rep, home = matrix(t.sig), t.rep.to_numpy(), t.home.to_numpy()
         wide, s = m.view("<u8"), int(key[0]) % SEGMENTS
-        root = t.root.to_numpy() if level else None
 
         def gap(i, j):
             return sum(np.bitwise_count(wide[i, k] ^ wide[j, k]) for k in range(WORDS))
 
-        def apart(i, j, d):
-            keep = np.flatnonzero(root[i] != root[j])
-            keep = keep[level_of(rep[i[keep]], rep[j[keep]]) == level]
-            one = np.unique(np.minimum(i[keep], j[keep]) * len(rep) + np.maximum(i[keep], j[keep]))
-            return one // len(rep), one % len(rep), np.zeros(len(one), np.uint8)
-
-        a, b = close_pairs(m[:, s].astype(np.uint32), np.flatnonzero(home), np.flatnonzero(~home), s, r, gap, most, apart if level else spanning)
+        a, b = close_pairs(m[:, s].astype(np.uint32), np.flatnonzero(home), np.flatnonzero(~home), s, r, gap, most, spanning)
         return pd.DataFrame({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
 
-    tasks = block_tasks(spread, shard, guests, "sig", "rep", *(["root"] if level else []))
-    return tasks.groupBy("cell", "i", "j").applyInPandas(shard_links, "a long, b long").where("a <> b").distinct()
-
-
-def near_copies(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8, most: int = 46, shard: int = 8192, guests: int = 32768, fit: int = 20000) -> DataFrame:
+    return block_tasks(spread, shard, guests, "sig", "rep").groupBy("cell", "i", "j").applyInPandas(shard_links, "a long, b long").where("a <> b").distinct()
+
+
+def alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A forest of the pairs of left and right whose Jaccard index reaches `similarity`: it joins what all of them join."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(n)
+    root, mark, out = np.arange(len(sets)), np.zeros(len(distinct), bool), []
+    for i in left.tolist():
+        near = right[(root[right] != root[i]) & (np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i]))]
+        if not len(near):
+            continue
+        own = ids[ends[i] - n[i] : ends[i]]
+        mark[own] = True
+        stops = np.cumsum(n[near])
+        both = np.add.reduceat(mark[ids[np.repeat(ends[near] - stops, n[near]) + np.arange(stops[-1])]].astype(np.int64), stops - n[near])
+        mark[own] = False
+        hit = near[both >= similarity * (n[near] + n[i] - both)]
+        for j in hit.tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((i, j))
+    return out
+
+
+def verified(members: DataFrame, similarity: float, block: int, held: int) -> DataFrame:
+    """Edges (a, b) that join what all pairs of one cluster with `similarity` join; members has cluster, rep and set.
+
+    A cluster of over `block` members or `held` bytes is dealt out in blocks, and every two blocks meet in one
+    task; small clusters share tasks.
+    """
+    sizes = cut(members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum(F.octet_length("set")).alias("bytes")).where("m > 1"))
+    sizes = sizes.withColumn("nb", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("bytes") / held)))
+    few = max(1, -(-(sizes.where("nb = 1").agg(F.sum("bytes")).first()[0] or 0) // held))
+    rows = with_class(members, sizes.select("cluster", "nb", F.col("m").alias("copies")), "cluster").withColumn("k", F.pmod(F.xxhash64("rep"), F.col("nb")))
+    to = F.expr("transform(sequence(0L, nb - 1), x -> struct(least(k, x) AS i, greatest(k, x) AS j))")
+    tasks = rows.select("nb", "cluster", "k", "rep", "set", F.when(F.col("nb") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(few))).alias("g"), F.explode(to).alias("t")).select((F.col("nb") > 1).alias("big"), "g", "t.i", "t.j", "k", "cluster", "rep", "set")
+
+    def compare(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("cluster", kind="stable")
+        cluster, k, rep, raw = t.cluster.to_numpy(), t.k.to_numpy(), t.rep.to_numpy(), t.set.tolist()
+        _, first = np.unique(cluster, return_index=True)
+        edges = []
+        for a, z in zip(first.tolist(), [*first.tolist()[1:], len(t)]):
+            sets = [np.frombuffer(x, "<u8") for x in raw[a:z]]
+            left, right = (np.flatnonzero(k[a:z] == key[2]), np.flatnonzero(k[a:z] == key[3])) if key[0] else (np.arange(z - a),) * 2
+            edges += [(rep[a + i], rep[a + j]) for i, j in alike(sets, left, right, similarity)]
+        a, b = np.array(edges, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return tasks.groupBy("big", "g", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b")
+
+
+def near_copies(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8, most: int = 46, shard: int = 8192, guests: int = 32768, fit: int = 20000, block: int = 512, held: int = 8 << 20, ids: int = 2_000_000) -> DataFrame:
     """(doc_id, component_id) for every row of docs: groups of texts that share `similarity` of their shingles.
 
     Similarity is the Jaccard index of the sets of `size`-word shingles, A-Z in lower case; a shorter text is one
-    shingle. Texts of one signature are one class without a further look; other links are candidates whose whole
-    texts reach `similarity`, and no candidate between two components is left uncompared. A component's id is its least doc_id. Null, empty and blank texts are one class;
-    repeated rows are each returned; a row without an id joins the class of its signature alone and gets its
+    shingle. Texts of one signature are one class without a further look; other links are pairs of one loose
+    cluster of candidates whose whole texts reach `similarity`, and no pair of a loose cluster is left uncompared
+    unless it is joined already. The texts of the clusters' members are found by a broadcast of their ids if there
+    are at most `ids`, else by a shuffle. A component's id is its least doc_id. Null, empty and blank texts are one
+    class; repeated rows are each returned; a row without an id joins the class of its signature alone and gets its
     component's id (null if it has none); rows that share an id share a component; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sign = F.arrow_udf(lambda t: pa.array([signature(b, size) for b in as_bytes(t)], pa.binary()), "binary")
     prints = cut(docs.select("doc_id", sign("text").alias("sig")))
-    reps = cut(prints.groupBy("sig").agg(F.min("doc_id").alias("first"))).withColumn("rep", F.coalesce("first", F.lit(2**63 - 1)))
+    reps = cut(prints.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))).withColumn("rep", F.coalesce("first", F.lit(2**63 - 1)))
     spread = cut(spread_out(reps.where("first is not null").select("sig", "rep"), shard, fit))
-    edges = cut(candidates(spread, most, shard, guests))
-    ends = cut(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    loose = components(candidates(spread, most, shard, guests))
+    members = cut(loose.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")).unionByName(loose.select(F.col("root").alias("doc_id"), F.col("root").alias("cluster")).distinct()))
     shingles = F.arrow_udf(lambda t: pa.array([np.unique(shingle_hashes(b, size)).tobytes() for b in as_bytes(t)], pa.binary()), "binary")
-    sets = cut(docs.join(small(ends), "doc_id", "left_semi").select("doc_id", shingles("text").alias("set")))
-
-    def share(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b):
-            x, y = (np.frombuffer(v.as_py(), "<u8") for v in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / max(1, len(x) + len(y) - both))
-        return pa.array(out, pa.float64())
-
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    passes = F.arrow_udf(share, "double")("x", "y") >= similarity
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return cut(pairs.join(left, "a").join(right, "b").where(passes).select("a", "b").distinct())
-
-    verified = verify(edges)
-    joined = components(verified)
-    # a pair that the forests left out joins two components only if each has an end of a forest edge that failed
-    rooted = edges.join(verified, ["a", "b"], "left_anti")
-    for x in ("a", "b"):
-        rooted = rooted.join(joined.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")), x, "left").withColumn(f"r{x}", F.coalesce(f"r{x}", x))
-    opened = cut(rooted.where("ra <> rb").select(F.explode(F.array("ra", "rb")).alias("root")).distinct())
-    if opened.head(1):
-        roots = joined.select(F.col("node").alias("rep"), "root")
-        of = spread.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        again = cut(of.join(small(opened), "root", "left_semi").select("cell", "home", "sig", "rep"))
-        for level in range(1, LEVELS + 1):
-            now = again.join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-            more = verify(cut(candidates(now, most, shard, guests, level)))
-            if more.head(1):
-                verified = verified.unionByName(more)
-                joined = components(verified)
-    of = reps.join(joined, reps.rep == joined.node, "left").select("sig", F.coalesce("root", "first").alias("component_id"))
-    return prints.join(of, "sig").select("doc_id", "component_id")
+    # nothing is left of most texts, so the few members' ids go to the texts and not the texts to them
+    found = docs.join(F.broadcast(members) if members.count() <= ids else members, "doc_id")
+    sets = cut(found.select("cluster", F.col("doc_id").alias("rep"), shingles("text").alias("set")).where(F.octet_length("set") > 0))
+    joined = components(verified(sets, similarity, block, held))
+    of = cut(reps.join(joined, reps.rep == joined.node, "left").select("sig", "copies", F.coalesce("root", "first").alias("component_id")))
+    return with_class(prints, of, "sig").select("doc_id", "component_id")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, cut, forest, lower_words, record, sample, struct_udf
+from .common import as_bytes, components, cut, forest, lower_words, record, sample, struct_udf, with_class
 
 #: Segments as (first bit, bits).
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -240,7 +240,7 @@ def simhash_components(docs: DataFrame, text: str = "text", size: int = 4, radiu
     one comparison.
     """
     prints = cut(with_fingerprint(docs.select("doc_id", F.col(text).alias("text")), "text", size).select("doc_id", F.col("_f.fp").alias("fp")))
-    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"))).withColumn("rep", F.coalesce("first", F.lit(2**63 - 1)))
+    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))).withColumn("rep", F.coalesce("first", F.lit(2**63 - 1)))
     joined = components(links(reps.select("fp", "rep"), radius))
-    of = reps.join(joined, reps.rep == joined.node, "left").select("fp", F.coalesce("root", "first").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = cut(reps.join(joined, reps.rep == joined.node, "left").select("fp", "copies", F.coalesce("root", "first").alias("component_id")))
+    return with_class(prints, of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

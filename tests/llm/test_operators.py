@@ -100,8 +100,39 @@ def test_spanning_forest():
     assert len(x) == 60 - len(set(closure(range(60), list(zip(a.tolist(), b.tolist()))).values()))
 
 
-@pytest.mark.parametrize("shard, guests", [(8192, 32768), (64, 60)])
-def test_near_copies_brute_force(spark, odd, empty, shard, guests):
+def test_alike_brute_force():
+    rng = np.random.default_rng(9)
+    base = [rng.choice(2**62, 60, replace=False) for _ in range(6)]
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.1, 0.2]), rng.integers(2**62), b)).astype(np.uint64) for b in base for _ in range(9)]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    every = np.arange(len(sets))
+    got = near_copies.alike(sets, every, every, 0.8)
+    assert closure(every, got) == closure(every, pairs) and set(map(frozenset, got)) <= set(map(frozenset, pairs)) and len(got) < len(sets)
+    blocks = [x for i in range(3) for j in range(i, 3) for x in near_copies.alike(sets, every[every % 3 == i], every[every % 3 == j], 0.8)]
+    assert closure(every, blocks) == closure(every, pairs)
+
+
+def test_near_copies_pair_recall(spark):
+    """Pairs of two texts each, at similarities about 0.8 and up: measured recall of all true links."""
+    rng = np.random.default_rng(17)
+    rows, links = [], []
+    for k in range(1500):
+        n = int(rng.integers(60, 500))
+        w = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        v = list(w)
+        for at in rng.choice(n, max(1, int(n * rng.uniform(0.001, 0.022))), replace=False):
+            v[at] = f"e{rng.integers(10**6)}"
+        a, b = ({tuple(x[i : i + 5]) for i in range(n - 4)} for x in (w, v))
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        links.append(len(a & b) / len(a | b))
+    got = dict(tuple(r) for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    found = np.array([got[2 * k] == got[2 * k + 1] for k in range(len(links))])
+    links = np.array(links)
+    assert found[links >= 0.8].mean() > 0.98 and found[links >= 0.9].mean() > 0.998 and not found[links < 0.8].any()
+
+
+@pytest.mark.parametrize("shard, guests, block", [(8192, 32768, 1024), (64, 60, 20)])
+def test_near_copies_brute_force(spark, odd, empty, shard, guests, block):
     rng = np.random.default_rng(7)
     rows = [tuple(r) for r in odd.collect()]
     long = [r for r in rows if r[0] is not None and r[1] and 60 < len(words(r[1])) < 2000][:60]
@@ -119,7 +150,7 @@ def test_near_copies_brute_force(spark, odd, empty, shard, guests):
     for k, r in enumerate(rows):
         group.setdefault(low[k], []).append(r[0])
     want = Counter((r[0], min((i for i in group[low[k]] if i is not None), default=None)) for k, r in enumerate(rows))
-    got = Counter(tuple(r) for r in near_copies.near_copies(docs, shard=shard, guests=guests).collect())
+    got = Counter(tuple(r) for r in near_copies.near_copies(docs, shard=shard, guests=guests, block=block).collect())
     assert sum((want - got).values()) <= 0.02 * len(rows), want - got
     # no row is in a group that isn't its own: a missed link only leaves its least doc_id
     comp = {i: c for i, c in want}
@@ -127,8 +158,8 @@ def test_near_copies_brute_force(spark, odd, empty, shard, guests):
     assert near_copies.near_copies(empty).count() == 0
 
 
-@pytest.mark.parametrize("shard, guests", [(8192, 32768), (64, 60)])
-def test_near_copies_of_two_families(spark, shard, guests):
+@pytest.mark.parametrize("shard, guests, block", [(8192, 32768, 1024), (64, 60, 30)])
+def test_near_copies_of_two_families(spark, shard, guests, block):
     """Two families of copies of one page, with few links of 0.8 between them, are one group."""
     rng = np.random.default_rng(11)
     rows, groups = [], []
@@ -150,7 +181,7 @@ def test_near_copies_of_two_families(spark, shard, guests):
     pairs = [(a, b) for g in groups for a in g for b in g if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = closure(range(len(rows)), pairs)
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
-    got = dict(tuple(r) for r in near_copies.near_copies(docs, shard=shard, guests=guests).collect())
+    got = dict(tuple(r) for r in near_copies.near_copies(docs, shard=shard, guests=guests, block=block).collect())
     wrong = [g[0] for g in groups if any(got[k] != want[k] for k in g)]
     assert not wrong
 
