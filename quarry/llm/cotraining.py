@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, sample, struct_udf
+from .common import as_bytes, cut, sample, struct_udf
 from .language_id import logistic
 
 #: Byte classes of the text view, one string a class; other ASCII, lead and continuation bytes follow.
@@ -20,8 +21,6 @@ TABLE[128:192], TABLE[192:] = N - 1, N - 2
 for _k, _c in enumerate(CLASSES):
     TABLE[np.frombuffer(_c.encode(), np.uint8)] = _k
 TEXT = N * N + 4
-SOURCES, LANGS = 64, 16
-META = SOURCES + LANGS + 2
 
 
 def text_view(b: bytes) -> np.ndarray:
@@ -39,22 +38,38 @@ def text_view(b: bytes) -> np.ndarray:
     return x
 
 
-def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    x = np.zeros(META, np.float32)
-    x[zlib.crc32((source or "").encode()) % SOURCES] = 1
-    x[SOURCES + zlib.crc32((lang or "").encode()) % LANGS] = 1
-    x[SOURCES + LANGS] = np.log1p(max(0, n_chars or 0)) / 10
-    x[SOURCES + LANGS + 1] = n_chars is None
-    return x
+class Metadata:
+    """The metadata view: a column for each source and language with enough labelled rows, one for the others."""
+
+    def __init__(self, sources: list, langs: list, least: int = 3):
+        self.columns: dict[tuple, int] = {}
+        for kind, values in (("source", sources), ("lang", langs)):
+            for v in [None, *sorted(x for x, n in Counter(values).items() if n >= least and x is not None), "other"]:
+                self.columns[kind, v if v != "other" else Ellipsis] = len(self.columns)
+        self.width = len(self.columns) + 2
 
+    def view(self, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+        x = np.zeros(self.width, np.float32)
+        for key in (("source", source), ("lang", lang)):
+            x[self.columns.get(key, self.columns[key[0], Ellipsis])] = 1
+        x[-2] = np.log1p(max(0, n_chars or 0)) / 10
+        x[-1] = n_chars is None
+        return x
 
-def views(docs: DataFrame) -> DataFrame:
-    """doc_id with the two views as bytes; only sampled rows are sent through here."""
 
-    def run(text: pa.Array, source: pa.Array, lang: pa.Array, n: pa.Array):
-        return [[text_view(b).tobytes() for b in as_bytes(text)], [meta_view(*v).tobytes() for v in zip(source.to_pylist(), lang.to_pylist(), n.to_pylist())]]
+COLUMNS = ("text", "source", "lang", "n_chars")
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in COLUMNS[:3]], F.col("n_chars").cast("long").alias("n_chars"))
+
 
-    return docs.withColumn("v", struct_udf("text binary, meta binary", run)("text", "source", "lang", "n_chars"))
+def collected(rows: DataFrame, *more: str) -> tuple:
+    """Text views, metadata rows and further columns of bounded rows; the texts themselves stay in the tasks."""
+    udf = struct_udf("view binary", lambda text: [[text_view(b).tobytes() for b in as_bytes(text)]])
+    got = rows.select("doc_id", udf("text").alias("v"), "source", "lang", "n_chars", *more).select("doc_id", "v.view", "source", "lang", "n_chars", *more).toPandas().sort_values(["doc_id", "view"])
+    meta = [(s, g, None if n != n or n is None else int(n)) for s, g, n in zip(got.source.where(got.source.notna(), None), got.lang.where(got.lang.notna(), None), got.n_chars)]
+    return np.frombuffer(b"".join(got.view), np.float32).reshape(-1, TEXT).astype(np.float64), meta, got
 
 
 def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -66,63 +81,82 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def cotrain(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int, share: float, sure: float, ridge: float = 1.0) -> list[np.ndarray]:
-    """Weights of the two views. In each round every view labels the pool rows that it is surest of for the other."""
-    given: list[dict[int, float]] = [{}, {}]
-    weights = [logistic(x[v], y, ridge) for v in (0, 1)]
-    for _ in range(rounds if len(pool[0]) else 0):
-        for v in (0, 1):
-            p = probability(pool[v], weights[v])
-            for label in (0.0, 1.0):
-                trust = p if label else 1 - p
-                most = max(1, int(share * len(p) * (y.mean() if label else 1 - y.mean())))
-                for k in np.argsort(-trust, kind="stable")[: most * 4]:
-                    if trust[k] >= sure and most and int(k) not in given[1 - v]:
-                        given[1 - v][int(k)] = label
-                        most -= 1
-        for v in (0, 1):
-            k = np.fromiter(given[v], np.int64, len(given[v]))
-            weights[v] = logistic(np.concatenate([x[v], pool[v][k]]), np.concatenate([y, [given[v][int(i)] for i in k]]), ridge)
-    return weights
+class Model:
+    """Weights of both views, and what makes one score of them; score() is of the views that it is trained for."""
 
+    def __init__(self, meta: Metadata, weights: list[np.ndarray]):
+        self.meta, self.weights = meta, weights
+        self.calibration, self.combine, self.least = [np.array([1.0, 0.0])] * 2, np.array([0.5, 0.5, 0.0]), 0.0
 
-class Model:
-    def __init__(self, weights, calibration, combine, least):
-        self.weights, self.calibration, self.combine, self.least = weights, calibration, combine, least
+    def each(self, x: list[np.ndarray]) -> list[np.ndarray]:
+        return [probability(x[v], self.weights[v]) for v in (0, 1)]
 
     def score(self, x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        z = [logit(probability(x[v], self.weights[v]))[:, None] for v in (0, 1)]
-        p = [probability(z[v], self.calibration[v]) for v in (0, 1)]
+        p = [probability(logit(q)[:, None], c) for q, c in zip(self.each(x), self.calibration)]
         return p[0], p[1], probability(np.column_stack([logit(q) for q in p]), self.combine)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 6000, rounds: int = 4, share: float = 0.02, sure: float = 0.95, keep: float = 0.998) -> Model | None:
-    """Fits on at most about `bound` labelled and `bound` other rows; None if the labels don't hold both classes.
+def scored(model: Model, docs: DataFrame, schema: str, of):
+    """An Arrow UDF over text, source, lang and n_chars that gives of(model, views), whole texts in blocks of rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(text: pa.Array, source: pa.Array, lang: pa.Array, n: pa.Array):
+        model, out = shared.value, []
+        body, meta = as_bytes(text), list(zip(source.to_pylist(), lang.to_pylist(), n.to_pylist()))
+        for k in range(0, len(body), 2000):
+            out.append(of(model, [np.stack([text_view(b) for b in body[k : k + 2000]]), np.stack([model.meta.view(*m) for m in meta[k : k + 2000]])]))
+        return [np.concatenate(v) for v in zip(*out)] or [[] for _ in schema.split(",")]
+
+    return struct_udf(schema, run)(*[F.col(c).cast("long" if c == "n_chars" else "string") for c in COLUMNS])
+
+
+def surest(scores: DataFrame, view: str, prior: float, share: float, sure: float) -> DataFrame:
+    """(doc_id, label) of the rows of all scores that a view is surest of: `share` of them, dealt by the prior."""
+    cuts = scores.agg(F.percentile_approx(view, [share * (1 - prior), 1 - share * prior], 10_000).alias("q")).first().q
+    if not cuts:
+        return scores.select("doc_id", F.lit(0.0).alias("label")).limit(0)
+    low, high = min(cuts[0], 1 - sure), max(cuts[1], sure)
+    return scores.where((F.col(view) <= low) | (F.col(view) >= high)).select("doc_id", (F.col(view) >= high).cast("double").alias("label"))
+
 
-    Where a doc_id has several labels the least counts. A third of the labelled rows is kept back: it calibrates
-    each view and their combination, and sets the score that `keep` of its good documents reach.
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 6000, rounds: int = 3, share: float = 0.1, sure: float = 0.95, given: int = 3000, keep: float = 0.998, ridge: float = 1.0) -> Model | None:
+    """The co-trained model; None if the labels don't hold both classes.
+
+    The first fit is on at most about `bound` labelled rows; where a doc_id has several labels the least counts.
+    In each round both views score every document without a label; the `share` that a view is surest of, at least
+    as sure as `sure`, are pseudo-labelled rows for the other view, which is fitted anew on the labelled rows and
+    at most about `given` pseudo-labelled ones a round. Of the labelled rows a quarter calibrates each view, and
+    another quarter fits their combination and sets the score that `keep` of its good documents reach.
     """
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = F.broadcast(sample(known, bound, "doc_id"))
-    columns = ["doc_id", "text", "source", "lang", "n_chars"]
-    mine = views(docs.select(columns).join(known, "doc_id")).select("doc_id", "quality", "v.*").toPandas().sort_values(["doc_id", "text"])
-    other = views(sample(docs.select(columns), bound, "doc_id").join(known, "doc_id", "left_anti")).select("doc_id", "v.*").toPandas().sort_values(["doc_id", "text"])
-    if mine.quality.nunique() < 2:
+    docs = plain(docs)
+    known = cut(labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")))
+    text, meta, got = collected(docs.join(F.broadcast(sample(known, bound, "doc_id")), "doc_id"), "quality")
+    if got.quality.nunique() < 2:
         return None
-    matrix = lambda s, n: np.frombuffer(b"".join(s), np.float32).reshape(-1, n).astype(np.float64)
-    x, pool = [matrix(mine.text, TEXT), matrix(mine.meta, META)], [matrix(other.text, TEXT), matrix(other.meta, META)]
-    y = (mine.quality.to_numpy() > 0).astype(float)
-    back = np.array([zlib.crc32(str(i).encode()) % 3 == 0 for i in mine.doc_id])
-    if len(set(y[back])) < 2 or len(set(y[~back])) < 2:
-        back = np.zeros(len(y), bool)
-    fold = back if back.any() else np.ones(len(y), bool)
-    weights = cotrain([v[~back] for v in x], y[~back], pool, rounds, share, sure)
-    z = [logit(probability(x[v][fold], weights[v])) for v in (0, 1)]
-    calibration = [logistic(s[:, None], y[fold], 1e-2) for s in z]
-    p = [probability(s[:, None], c) for s, c in zip(z, calibration)]
-    combine = logistic(np.column_stack([logit(q) for q in p]), y[fold], 1e-2)
-    model = Model(weights, calibration, combine, 0.0)
-    good = model.score([v[fold] for v in x])[2][y[fold] > 0]
+    y = (got.quality.to_numpy() > 0).astype(float)
+    part = np.array([zlib.crc32(str(i).encode()) % 4 for i in got.doc_id])
+    folds = [part > 1, part == 0, part == 1]
+    if any(len(set(y[f])) < 2 for f in folds):
+        folds = [np.ones(len(y), bool)] * 3
+    view = Metadata([m[0] for m in meta], [m[1] for m in meta])
+    x = [text, np.stack([view.view(*m) for m in meta]).astype(np.float64)]
+    learn = [[v[folds[0]]] for v in x], [[y[folds[0]]], [y[folds[0]]]]
+    model = Model(view, [logistic(v[folds[0]], y[folds[0]], ridge) for v in x])
+    prior = float(y[folds[0]].mean())
+    for r in range(rounds):
+        scores = docs.where("doc_id is not null").select("doc_id", scored(model, docs, "p0 double, p1 double", Model.each).alias("p")).select("doc_id", "p.*")
+        scores = cut(scores.join(known, "doc_id", "left_anti"))
+        for v in (0, 1):
+            picked = sample(cut(surest(scores, f"p{v}", prior, share, sure).dropDuplicates(["doc_id"])), given, "doc_id")
+            text, meta, got = collected(docs.join(F.broadcast(picked), "doc_id"), "label")
+            learn[0][1 - v].append(text if v else np.stack([view.view(*m) for m in meta] or [np.zeros(view.width)])[: len(meta)].astype(np.float64))
+            learn[1][1 - v].append(got.label.to_numpy())
+        model = Model(view, [logistic(np.concatenate(learn[0][v]), np.concatenate(learn[1][v]), ridge) for v in (0, 1)])
+    calibrate, combine = folds[1:]
+    model.calibration = [logistic(logit(p)[:, None], y[calibrate], 1e-2) for p in model.each([v[calibrate] for v in x])]
+    p = model.score([v[combine] for v in x])
+    model.combine = logistic(np.column_stack([logit(q) for q in p[:2]]), y[combine], 1e-2)
+    good = model.score([v[combine] for v in x])[2][y[combine] > 0]
     model.least = min(0.5, float(np.quantile(good, 1 - keep)))
     return model
 
@@ -130,24 +164,16 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 6000, rounds: int = 4,
 def with_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs with struct _quarry_q: p_text, p_meta, score, kept, for every row of docs (text, source, lang, n_chars).
 
-    Null text counts as empty, null metadata as a value of its own; labels decide nothing but the fit. Without
-    labels of both classes every row is kept, with null scores. Repeated rows get equal results; an empty table
-    gives no rows.
+    Null text counts as empty, null metadata as a value of its own, and a source or language with few labelled
+    rows as any other such; labels decide nothing but the fit. Without labels of both classes every row is kept,
+    with null scores. Repeated rows get equal results; an empty table gives no rows.
     """
     model = fit(docs, labels, **options)
     if model is None:
         return docs.withColumn("_quarry_q", F.expr("struct(CAST(NULL AS DOUBLE) AS p_text, CAST(NULL AS DOUBLE) AS p_meta, CAST(NULL AS DOUBLE) AS score, true AS kept)"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(text: pa.Array, source: pa.Array, lang: pa.Array, n: pa.Array):
-        if not len(text):
-            return [[], [], [], []]
-        model = shared.value
-        out = []
-        body, meta = as_bytes(text), list(zip(source.to_pylist(), lang.to_pylist(), n.to_pylist()))
-        for k in range(0, len(body), 2000):
-            out.append(model.score([np.stack([text_view(b) for b in body[k : k + 2000]]), np.stack([meta_view(*m) for m in meta[k : k + 2000]])]))
-        a, b, s = (np.concatenate(v) for v in zip(*out))
-        return [a, b, s, s >= model.least]
+    def of(model, x):
+        a, b, s = model.score(x)
+        return a, b, s, s >= model.least
 
-    return docs.withColumn("_quarry_q", struct_udf("p_text double, p_meta double, score double, kept boolean", run)("text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")))
+    return docs.withColumn("_quarry_q", scored(model, docs, "p_text double, p_meta double, score double, kept boolean", of))
