@@ -63,13 +63,19 @@ def floored(flat: list) -> F.Column:
     return F.array(*[c + F.lit(least[k // p] if k // p == k % p else 0.0) for k, c in enumerate(flat)])
 
 
-def inverse(sums: pa.Array) -> pa.Array:
-    """Row-major inverse of each covariance, given as flat lists."""
-    p = len(FEATURES)
-    out = [np.linalg.inv(np.array(x, float).reshape(p, p)).ravel().tolist() for x in sums.to_pylist()]
+def inverse(covs: pa.Array) -> pa.Array:
+    """Row-major inverse of each covariance, given as flat lists, and the log of its determinant behind it."""
+    p, out = len(FEATURES), []
+    for x in covs.to_pylist():
+        m = np.array(x, float).reshape(p, p)
+        out.append([*np.linalg.inv(m).ravel().tolist(), float(np.linalg.slogdet(m)[1])])
     return pa.array(out, pa.list_(pa.float64()))
 
 
+def inverted(cov: str) -> F.Column:
+    return F.arrow_udf(inverse, "array<double>")(cov)
+
+
 def distance(mean: str = "mean", inv: str = "inv") -> F.Column:
     x, p = list(FEATURES), len(FEATURES)
     d = [F.col(c) - F.col(mean)[i] for i, c in enumerate(x)]
@@ -80,29 +86,72 @@ def distance(mean: str = "mean", inv: str = "inv") -> F.Column:
     return total
 
 
-def mcd(stats: DataFrame, keys: list[str], share: float, steps: int) -> DataFrame:
-    """Location, scatter (flat, its scale multiplied in) and rows n of each group by concentration steps over all its rows.
+PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
+
+
+def moments(keep: F.Column | None = None) -> list[F.Column]:
+    """Aggregates m0.. and c0_0.. of the features' means and covariances, of the rows to keep."""
+    x = [F.when(keep, F.col(c)) if keep is not None else F.col(c) for c in FEATURES]
+    return [F.avg(c).alias(f"m{i}") for i, c in enumerate(x)] + [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in PAIRS]
+
 
-    Starts from medians and median absolute deviations; each step keeps the `share` of rows with the least
-    distance and takes their mean and covariance, all as aggregates that are combined before the shuffle.
+def estimate(start: F.Column, mean: str = "m", cov: str = "c") -> list[F.Column]:
+    """Columns start, mean and cov (flat, with the floors) from the aggregates."""
+    p = len(FEATURES)
+    flat = [F.coalesce(F.col(f"{cov}{min(i, j)}_{max(i, j)}"), F.lit(0.0)) for i in range(p) for j in range(p)]
+    return [start.alias("start"), F.array(*[F.col(f"{mean}{i}") for i in range(p)]).alias("mean"), floored(flat).alias("cov")]
+
+
+def starts(stats: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, mean, cov): three robust first estimates of each group.
+
+    0: medians and median absolute deviations; 1: the medians and the covariance of the directions from them;
+    2: mean and covariance of the half of the rows nearest to the medians, deviations being the unit.
     """
-    x, p = list(FEATURES), len(FEATURES)
-    inv = F.arrow_udf(inverse, "array<double>")
-    med = stats.groupBy(*keys).agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x)])
-    far = stats.join(small(cut(med)), keys).groupBy(*keys).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(p)], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, c in enumerate(x)])
-    flat = [F.pow(1.4826 * F.col(f"a{i}"), 2) if i == j else F.lit(0.0) for i in range(p) for j in range(p)]
-    est = far.select(*keys, F.array(*[F.col(f"m{i}") for i in range(p)]).alias("mean"), floored(flat).alias("cov"))
+    x = list(FEATURES)
+    med = cut(stats.groupBy(*keys).agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x)]))
+    far = stats.join(small(med), keys).groupBy(*keys).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(len(x))], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, c in enumerate(x)])
+    centre = cut(far.withColumns({f"s{i}": F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), 2) + least * least) for i, least in enumerate(FEATURES.values())}))
+    units = stats.join(small(centre), keys).withColumns({f"u{i}": (F.col(c) - F.col(f"m{i}")) / F.col(f"s{i}") for i, c in enumerate(x)})
+    units = units.withColumn("u", sum((F.col(f"u{i}") * F.col(f"u{i}") for i in range(1, len(x))), F.col("u0") * F.col("u0")))
+    edge = cut(units.groupBy(*keys).agg(F.percentile_approx("u", 0.5, 1000).alias("edge")))
+    signs = [F.avg(F.when(F.col("u") > 0, F.col(f"u{i}") * F.col(f"u{j}") / F.col("u"))).alias(f"d{i}_{j}") for i, j in PAIRS]
+    ball = cut(units.join(small(edge), keys).groupBy(*keys).agg(*[a.alias(f"b_{n}") for n, a in zip([f"m{i}" for i in range(len(x))] + [f"c{i}_{j}" for i, j in PAIRS], moments(F.col("u") <= F.col("edge")))], *signs))
+    both = ball.join(centre, keys).withColumns({f"d{i}_{j}": F.col(f"d{i}_{j}") * F.col(f"s{i}") * F.col(f"s{j}") for i, j in PAIRS})
+    both = both.withColumns({f"v{i}_{j}": F.pow(1.4826 * F.col(f"a{i}"), 2) if i == j else F.lit(0.0) for i, j in PAIRS})
+    made = [F.struct(*estimate(F.lit(0), "m", "v")), F.struct(*estimate(F.lit(1), "m", "d")), F.struct(*estimate(F.lit(2), "b_m", "b_c"))]
+    return both.select(*keys, F.explode(F.array(*made)).alias("e")).select(*keys, "e.*")
+
+
+def mcd(stats: DataFrame, keys: list[str], share: float, steps: int, still: float = 1e-3) -> DataFrame:
+    """Minimum-covariance-determinant estimate of each group: mean, scatter (flat, its scale multiplied in) and rows n.
+
+    From each of the three starts concentration steps keep the `share` of the rows with the least distance and take
+    their mean and covariance, until the log of the determinant falls by no more than `still`, or for `steps`
+    steps; the start that ends with the least determinant gives the estimate. Each step is over all rows of the
+    groups that still move, by aggregates that are combined before the shuffle.
+    """
+    own = [*keys, "start"]
+    now = cut(starts(stats, keys).withColumn("inv", inverted("cov")).withColumn("det", F.lit(None).cast("double")))
+    ends: list[DataFrame] = []
     for _ in range(steps):
-        d = stats.join(small(est := cut(est.withColumn("inv", inv("cov")))), keys).withColumn("d2", distance())
-        edge = cut(d.groupBy(*keys).agg(F.percentile_approx("d2", share, 1000).alias("edge")))
-        inside = d.join(small(edge), keys).where("d2 <= edge")
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        sums = inside.groupBy(*keys).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs])
-        flat = [F.coalesce(F.col(f"c{min(i, j)}_{max(i, j)}"), F.lit(0.0)) for i in range(p) for j in range(p)]
-        est = sums.select(*keys, F.array(*[F.col(f"m{i}") for i in range(p)]).alias("mean"), floored(flat).alias("cov"))
-    est = cut(est.withColumn("inv", inv("cov")))
-    scale = stats.join(small(est), keys).groupBy(*keys).agg(F.greatest(F.percentile_approx(distance(), 0.5, 1000) / chi2(p, 0.0), F.lit(1e-9)).alias("scale"), F.count("*").alias("n"))
-    return cut(est.join(scale, keys).select(*keys, "mean", F.transform("cov", lambda c: c * F.col("scale")).alias("scatter"), "n"))
+        d = stats.join(small(now.select(*own, "mean", "inv", "det")), keys).withColumn("d2", distance())
+        edge = cut(d.groupBy(*own).agg(F.percentile_approx("d2", share, 1000).alias("edge")))
+        sums = d.join(small(edge), own).where("d2 <= edge").groupBy(*own).agg(*moments(), F.first("det").alias("before"))
+        est = cut(sums.select(*keys, *estimate(F.col("start")), "before").withColumn("inv", inverted("cov")).withColumn("det", F.element_at("inv", -1)))
+        moves = F.col("before").isNull() | (F.col("before") - F.col("det") > still)
+        ends.append(est.where(~moves).drop("before"))
+        now = est.where(moves).drop("before")
+        if not now.head(1):
+            break
+    else:
+        ends.append(now)
+    every = ends[0]
+    for e in ends[1:]:
+        every = every.unionByName(e)
+    best = cut(every.groupBy(*keys).agg(F.min_by(F.struct("mean", "cov", "inv"), F.struct("det", "start")).alias("e")).select(*keys, "e.*"))
+    scale = stats.join(small(best), keys).groupBy(*keys).agg(F.greatest(F.percentile_approx(distance(), 0.5, 1000) / chi2(len(FEATURES), 0.0), F.lit(1e-9)).alias("scale"), F.count("*").alias("n"))
+    return cut(best.join(scale, keys).select(*keys, "mean", F.transform("cov", lambda c: c * F.col("scale")).alias("scatter"), "n"))
 
 
 def shrunk(groups: DataFrame, least: int) -> DataFrame:
@@ -126,13 +175,13 @@ def estimates(base: DataFrame, share: float, steps: int, least: int) -> DataFram
     by_lang = prior(shrunk(all_groups.select("lang").distinct().join(own, "lang", "left").crossJoin(F.broadcast(pooled)), least))
     own = est.where("level = 2").select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), "mean", "scatter", "n")
     by_group = shrunk(all_groups.join(by_lang, "lang").join(own, ["lang", "source"], "left"), least)
-    return cut(by_group.select("lang", "source", "mean", F.arrow_udf(inverse, "array<double>")("scatter").alias("inv")))
+    return cut(by_group.select("lang", "source", "mean", inverted("scatter").alias("inv")))
 
 
-def quality_rules(docs: DataFrame, least: int = 400, share: float = 0.75, steps: int = 3, z: float = 6.0) -> DataFrame:
+def quality_rules(docs: DataFrame, least: int = 400, share: float = 0.75, steps: int = 12, z: float = 6.0) -> DataFrame:
     """Statistics, the two base rules and a Mahalanobis verdict for every row of docs (doc_id, text, lang, source).
 
-    A group is a language and source. Its location and scatter, scaled so that its median distance fits
+    A group is a language and source. Its minimum-covariance-determinant location and scatter, scaled so that its median distance fits
     chi-square, come from its n rows that pass the base rules with the weight n / (n + least), for the rest from
     its language's, which are drawn to those of all rows alike. A row is rejected if its squared distance lies
     beyond the chi-square quantile at the normal quantile z, chosen by the rejections of good and bad rows. Null text counts as empty and fails the base rules; null lang or source is a
