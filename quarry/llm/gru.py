@@ -40,51 +40,47 @@ def sigmoid(v: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-v))
 
 
-def cell(p: dict[str, np.ndarray], word: np.ndarray, h: np.ndarray):
-    """One step: the new state, and what the backward pass needs."""
+def cell(p: dict[str, np.ndarray], word: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """One step, written out plainly: the new state. step() and window_gradient() do the same in place."""
     n = h.shape[1]
     x, v = p["x"][word], h @ p["u"]
-    zr = sigmoid(x[:, : 2 * n] + v[:, : 2 * n])
-    z, r = zr[:, :n], zr[:, n:]
+    z, r = sigmoid(x[:, :n] + v[:, :n]), sigmoid(x[:, n : 2 * n] + v[:, n : 2 * n])
     c = np.tanh(x[:, 2 * n :] + r * v[:, 2 * n :])
-    return c + z * (h - c), (z, r, c, v[:, 2 * n :])
+    return c + z * (h - c)
 
 
-def log_softmax(v: np.ndarray) -> np.ndarray:
-    v = v - v.max(1, keepdims=True)
-    return v - np.log(np.exp(v).sum(1, keepdims=True))
+def softmax_step(v: np.ndarray, at: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-softmax of the logits at one column of each row, and `share` of its negative gradient, in the logits' place."""
+    n = np.arange(len(at))
+    v -= v.max(1, keepdims=True)
+    own = v[n, at]
+    np.exp(v, out=v)
+    total = v @ np.ones(v.shape[1], v.dtype)
+    v *= (share / total)[:, None]
+    v[n, at] -= share
+    return own - np.log(total), v
 
 
-def output(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray, grad: bool = False):
-    """Natural log of P(class | h) P(word | class, h); with grad also the gradients of the mean loss."""
+def output(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray):
+    """Natural log of P(class | h) P(word | class, h), and the gradients of the mean loss as window_gradient() has them."""
     classes, members = p["wb"].shape
+    order = np.argsort((word // members).astype(np.uint16), kind="stable")
+    word, h, share = word[order], h[order], np.float32(1 / len(word))
     k, m = word // members, word % members
-    n = np.arange(len(word))
-    lc = log_softmax(h @ p["a"] + p["ca"])
-    out = lc[n, k].astype(np.float64)
-    order = np.argsort(k.astype(np.uint16), kind="stable")
-    ends = np.searchsorted(k[order], np.arange(classes + 1))
-    g = {}
-    if grad:
-        d = np.exp(lc)
-        d[n, k] -= 1
-        d /= len(word)
-        g = {"a": h.T @ d, "ca": d.sum(0), "b": np.zeros_like(p["b"]), "wb": np.zeros_like(p["wb"])}
-        dh = d @ p["a"].T
-    for c in range(classes):
-        i = order[ends[c] : ends[c + 1]]
-        if not len(i):
-            continue
-        lw = log_softmax(h[i] @ p["b"][c] + p["wb"][c])
-        at = np.arange(len(i))
-        out[i] += lw[at, m[i]]
-        if grad:
-            d = np.exp(lw)
-            d[at, m[i]] -= 1
-            d /= len(word)
-            g["b"][c], g["wb"][c] = h[i].T @ d, d.sum(0)
-            dh[i] += d @ p["b"][c].T
-    return (out, g, dh) if grad else out
+    ll, d = softmax_step(h @ p["a"] + p["ca"], k, share)
+    g = {"a": (None, h.T @ d), "ca": (None, d.sum(0))}
+    dh = d @ p["a"].T
+    seen, first = np.unique(k, return_index=True)
+    gb, gwb = np.empty((len(seen), *p["b"].shape[1:]), p["b"].dtype), np.empty((len(seen), members), p["b"].dtype)
+    for row, (c, a, z) in enumerate(zip(seen.tolist(), first.tolist(), [*first.tolist()[1:], len(word)])):
+        lw, d = softmax_step(h[a:z] @ p["b"][c] + p["wb"][c], m[a:z], share)
+        ll[a:z] += lw
+        gb[row], gwb[row] = h[a:z].T @ d, d.sum(0)
+        dh[a:z] += d @ p["b"][c].T
+    g |= {"b": (seen, gb), "wb": (seen, gwb)}
+    back, out = np.empty_like(dh), np.empty(len(ll))
+    back[order], out[order] = dh, ll
+    return out, g, back
 
 
 def picked(v: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -95,7 +91,7 @@ def picked(v: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def likelihood(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """As output() without gradients, in place and on each class's block of weights alone."""
+    """The log-probabilities of output() alone, in place and on each class's block of weights."""
     classes, members = p["wb"].shape
     order = np.argsort((word // members).astype(np.uint16), kind="stable")
     word, h = word[order], h[order]
@@ -136,64 +132,116 @@ def step(p: dict[str, np.ndarray], word: np.ndarray, h: np.ndarray) -> None:
 def window_gradient(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndarray, h: np.ndarray):
     """Truncated backpropagation through one window (steps, streams): mean loss, gradients, last state.
 
-    The state is reset where the word given is END, since a text starts there.
+    A gradient is (rows, values): of the rows of the weights that the window touches, or of all where rows is
+    None. The state is reset where the word given is END, since a text starts there.
     """
     steps, streams = given.shape
-    n = h.shape[1]
-    states, kept, before = [], [], []
+    n, kind = h.shape[1], h.dtype
+    u = np.ascontiguousarray(p["u"].reshape(n, 3, n).transpose(1, 0, 2))
+    # update gate, reset gate and candidate of each step, each in one piece
+    gates = np.ascontiguousarray(p["x"][given].reshape(steps, streams, 3, n).transpose(0, 2, 1, 3))
+    live = (given != END).astype(kind)[:, :, None]
+    before, states, inner = (np.empty((steps, streams, n), kind) for _ in range(3))
     for t in range(steps):
-        h = h * (given[t] != END)[:, None]
-        before.append(h)
-        h, saved = cell(p, given[t], h)
-        states.append(h)
-        kept.append(saved)
-    ll, g, dout = output(p, np.concatenate(states), target.ravel(), True)
-    g |= {"x": np.zeros_like(p["x"]), "u": np.zeros_like(p["u"])}
+        hb = np.multiply(h, live[t], out=before[t])
+        v = hb @ u
+        zr, c = gates[t, :2], gates[t, 2]
+        zr += v[:2]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        inner[t] = v[2]
+        v[2] *= zr[1]
+        c += v[2]
+        np.tanh(c, out=c)
+        h = np.subtract(hb, c, out=states[t])
+        h *= zr[0]
+        h += c
+    ll, g, dout = output(p, states.reshape(-1, n), target.ravel())
     dout = dout.reshape(steps, streams, n)
-    dh = np.zeros((streams, n), np.float32)
-    dx = np.empty((steps, streams, 3 * n), np.float32)
+    dh, dx, dv = np.zeros((streams, n), kind), np.empty_like(gates), np.empty_like(gates)
+    back = np.ascontiguousarray(u.transpose(0, 2, 1))
     for t in reversed(range(steps)):
-        z, r, c, vc = kept[t]
-        dh = dh + dout[t]
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (before[t] - c) * z * (1 - z)
-        dr = dc * vc * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dc], 1)
-        dv = np.concatenate([dz, dr, dc * r], 1)
-        g["u"] += before[t].T @ dv
-        dh = (dh * z + dv @ p["u"].T) * (given[t] != END)[:, None]
+        (z, r, c), (dz, dr, dc) = gates[t], dx[t]
+        dh += dout[t]
+        left = 1 - z
+        np.multiply(dh, left, out=dc)
+        dc *= 1 - c * c
+        np.subtract(before[t], c, out=dz)
+        dz *= dh
+        dz *= z
+        dz *= left
+        np.multiply(dc, inner[t], out=dr)
+        dr *= r
+        dr *= 1 - r
+        dv[t, :2] = dx[t, :2]
+        np.multiply(dc, r, out=dv[t, 2])
+        dh *= z
+        dh += (dv[t] @ back).sum(0)
+        dh *= live[t]
+    dx, dv = (np.ascontiguousarray(d.transpose(0, 2, 1, 3)).reshape(-1, 3 * n) for d in (dx, dv))
+    g["u"] = (None, before.reshape(-1, n).T @ dv)
     order = np.argsort(given.ravel(), kind="stable")
     word, first = np.unique(given.ravel()[order], return_index=True)
-    g["x"][word] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], first)
+    g["x"] = (word, np.add.reduceat(dx[order], first))
     return -ll.mean(), g, h
 
 
-def train(p: dict[str, np.ndarray], stream: np.ndarray, streams: int = 32, steps: int = 16, rate: float = 4e-3, epochs: int = 1) -> dict[str, np.ndarray]:
-    """Adam over windows of parallel streams; the state is carried from window to window. stream starts after an END."""
-    length = len(stream) // streams
-    if length < 2:
-        return p
-    hidden = p["u"].shape[0]
-    m = {k: np.zeros_like(v) for k, v in p.items()}
-    s = {k: np.zeros_like(v) for k, v in p.items()}
-    p = {k: v.copy() for k, v in p.items()}
-    target = stream[: length * streams].reshape(streams, length).T
-    given = np.concatenate([np.full((1, streams), END, target.dtype), target[:-1]])
-    count, total = 0, epochs * -(-length // steps)
-    for _ in range(epochs):
-        h = np.zeros((streams, hidden), np.float32)
-        for t in range(0, length, steps):
-            _, g, h = window_gradient(p, given[t : t + steps], target[t : t + steps], h)
-            norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            scale = min(1.0, 1.0 / (norm + 1e-12))
-            count += 1
-            speed = rate * (1 - 0.9 * count / total)
-            for k in p:
-                d = g[k] * scale
-                m[k] += 0.1 * (d - m[k])
-                s[k] += 0.01 * (d * d - s[k])
-                p[k] -= speed * (m[k] / (1 - 0.9**count)) / (np.sqrt(s[k] / (1 - 0.99**count)) + 1e-8)
-    return p
+def dense(p: dict[str, np.ndarray], g: dict) -> dict[str, np.ndarray]:
+    """Gradients of whole arrays from window_gradient()'s."""
+    out = {}
+    for k, (rows, v) in g.items():
+        out[k] = np.zeros_like(p[k])
+        out[k][slice(None) if rows is None else rows] = v
+    return out
+
+
+class Trainer:
+    """Adam over windows of parallel streams, on the touched rows alone; the state is carried from window to window."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.m = {k: np.zeros_like(v) for k, v in p.items()}
+        self.s = {k: np.zeros_like(v) for k, v in p.items()}
+        self.count = 0
+
+    def update(self, g: dict, speed: float) -> None:
+        norm = np.sqrt(sum(float((v * v).sum()) for _, v in g.values()))
+        scale = np.float32(min(1.0, 1.0 / (norm + 1e-12)))
+        self.count += 1
+        up, root = np.float32(speed / (1 - 0.9**self.count)), np.float32(np.sqrt(1 - 0.99**self.count))
+        for k, (rows, d) in g.items():
+            at = slice(None) if rows is None else rows
+            d *= scale
+            m, s = self.m[k][at], self.s[k][at]
+            m += np.float32(0.1) * (d - m)
+            d *= d
+            s += np.float32(0.01) * (d - s)
+            self.m[k][at], self.s[k][at] = m, s
+            self.p[k][at] -= up * m / (np.sqrt(s) / root + np.float32(1e-8))
+
+    def run(self, stream: np.ndarray, streams: int, steps: int, rate: float, last: float = 0.1) -> None:
+        """One pass over a stream of whole texts, which starts behind an END; the rate falls to `last` of it.
+
+        The stream is cut into parallel streams of one length; what is left over is a shorter pass of its own.
+        """
+        while len(stream):
+            streams = min(streams, len(stream))
+            length = len(stream) // streams
+            target = stream[: length * streams].reshape(streams, length).T
+            given = np.concatenate([np.full((1, streams), END, target.dtype), target[:-1]])
+            h = np.zeros((streams, self.p["u"].shape[0]), np.float32)
+            for t in range(0, length, steps):
+                _, g, h = window_gradient(self.p, given[t : t + steps], target[t : t + steps], h)
+                self.update(g, rate * (1 - (1 - last) * t / length))
+            stream, streams = stream[length * streams :], max(1, streams // 8)
+
+
+def train(p: dict[str, np.ndarray], stream: np.ndarray, streams: int = 32, steps: int = 16, rate: float = 4e-3) -> dict[str, np.ndarray]:
+    t = Trainer(p)
+    t.run(stream, streams, steps, rate)
+    return t.p
 
 
 def score(p: dict[str, np.ndarray], words: np.ndarray, lengths: np.ndarray, steps: int = 32) -> np.ndarray:

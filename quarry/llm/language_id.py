@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, struct_udf
+from .common import held_out, reuse_memory, struct_udf
 
 SPACE_ID, OTHER = 0, 1
 
@@ -210,6 +210,7 @@ def identify(docs: DataFrame, bound: int = 600, chars: int = 4_000_000, order: i
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(col: pa.Array):
+        reuse_memory()
         model = shared.value
         if not hasattr(model, "alphabet"):
             model.alphabet = Alphabet(model.letters)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import as_bytes, cut, held_out, lower_words, record, sample
+from .common import cut, held_out, lower_words, record, reuse_memory
 
 CHUNK = "chunk long, doc_ids binary, nulls binary, held binary, lengths binary, words binary, hashes binary, counts binary"
 #: The hash that stands for the end of a text; a word's XXH64 is never taken to be this one.
@@ -112,7 +112,7 @@ def lookups(packed: DataFrame, top: int | None, entries: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["kind", "chunk", "bucket", "payload", "n", "v"])
 
     ranges = packed.select("chunk", "hashes", "counts").mapInArrow(split, "bucket long, chunk long, hashes binary, counts binary")
-    return ranges.repartition(min(buckets, 4000), "bucket").groupBy("bucket").applyInPandas(add, "kind long, chunk long, bucket long, payload binary, n long, v long")
+    return ranges.repartition(min(buckets, 20_000), "bucket").groupBy("bucket").applyInPandas(add, "kind long, chunk long, bucket long, payload binary, n long, v long")
 
 
 class Language:
@@ -128,43 +128,85 @@ class Language:
         return np.where(self.hashes[at] == h, self.ids[at], gru.UNKNOWN)
 
 
-def improve(packed: DataFrame, language: Language) -> tuple[np.ndarray | None, int]:
-    """One round of local training: every task goes on from the weights over all training documents of its
-    chunks; the weights are averaged by the number of tokens, first in groups, then in one. Also gives the tokens."""
+def document_hash(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each document's id and number of words: the same wherever the document stands."""
+    h = (ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) + lengths.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def streams_of(packed: DataFrame, language: Language, groups: int, one_of: int = 1) -> DataFrame:
+    """Rows (g, keys, lengths, words): the training documents dealt to groups by a hash, as ids of the vocabulary.
+
+    With one_of, one document of so many, by another part of the hash.
+    """
     shared = packed.sparkSession.sparkContext.broadcast(language)
+    schema = "g long, keys binary, lengths binary, words binary"
 
     def run(batches):
-        lang, p, seen = shared.value, None, 0
+        reuse_memory()
+        lang = shared.value
         for b in batches:
-            for held, lengths, words, hashes in zip(*(b.column(x).to_pylist() for x in ("held", "lengths", "words", "hashes"))):
-                learn = np.repeat(~np.frombuffer(held, bool), np.frombuffer(lengths, "<i4"))
-                stream = lang.words(np.frombuffer(hashes, "<u8"))[open_up(words, "<i4")[learn]]
-                if not len(stream):
-                    continue
-                p = gru.train(p or lang.weights, stream, streams=min(512, max(32, len(stream) // 1024)), rate=1.5e-3)
-                seen += len(stream)
-        if p:
-            yield record("g long, n long, w binary", [[TaskContext.get().partitionId()], [seen], [gru.pack(p).tobytes()]])
+            for ids, held, lengths, words, hashes in zip(*(b.column(x).to_pylist() for x in ("doc_ids", "held", "lengths", "words", "hashes"))):
+                n = np.frombuffer(lengths, "<i4").astype(np.int64)
+                key = document_hash(np.frombuffer(ids, "<i8"), n)
+                word = lang.words(np.frombuffer(hashes, "<u8"))[open_up(words, "<i4")].astype("<u4")
+                learn = ~np.frombuffer(held, bool) & ((key >> np.uint64(32)) % np.uint64(one_of) == 0)
+                group = np.where(learn, (key & np.uint64(0xFFFFFFFF)) % np.uint64(groups), groups).astype(np.int64)
+                owner = np.repeat(group, n)
+                for g in np.unique(group[learn]).tolist():
+                    mine = group == g
+                    yield record(schema, [[g], [key[mine].tobytes()], [n[mine].astype("<i4").tobytes()], [squeeze(word[owner == g])]])
+
+    return packed.select("doc_ids", "held", "lengths", "words", "hashes").mapInArrow(run, schema)
+
+
+def improve(packed: DataFrame, language: Language, groups: int, one_of: int = 1, streams: int = 256, rate: float = 8e-3) -> tuple[np.ndarray | None, int]:
+    """One round of local training: every group goes on from the weights over all its documents, in the order of
+    their hashes; the weights are averaged by the number of tokens, first in sets of groups, then in one. Neither
+    the groups nor any order depend on how the rows are partitioned. Also gives the number of tokens."""
+    shared = packed.sparkSession.sparkContext.broadcast(language.weights)
+
+    def learn(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        reuse_memory()
+        keys = np.concatenate([np.frombuffer(x, "<u8") for x in t["keys"]])
+        lengths = np.concatenate([np.frombuffer(x, "<i4") for x in t.lengths]).astype(np.int64)
+        words = np.concatenate([open_up(x, "<u4") for x in t.words])
+        begin = np.cumsum(lengths) - lengths
+        first = words[begin]
+        order = np.lexsort((first, lengths, keys))
+        n = lengths[order]
+        to = np.cumsum(n)
+        stream = words[np.repeat(begin[order] - to + n, n) + np.arange(to[-1])].astype(np.int64)
+        trainer = gru.Trainer(shared.value)
+        trainer.run(stream, min(streams, max(16, len(stream) // 16_000)), 16, rate)
+        return pd.DataFrame({"g": [int(key[0])], "n": [len(stream)], "w": [gru.pack(trainer.p).tobytes()]})
 
     def merge(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for w, n in zip(t.w, t.n))
-        return pd.DataFrame({"n": [int(t.n.sum())], "w": [(total / t.n.sum()).astype(np.float32).tobytes()]})
-
-    groups = max(16, math.isqrt(packed.rdd.getNumPartitions()))
-    parts = packed.select("held", "lengths", "words", "hashes").mapInArrow(run, "g long, n long, w binary")
-    grouped = parts.withColumn("k", F.pmod("g", F.lit(groups))).groupBy("k").applyInPandas(merge, "n long, w binary")
-    got = grouped.groupBy(F.lit(0).alias("k")).applyInPandas(merge, "n long, w binary").collect()
+        t = t.sort_values("g")
+        total = np.zeros(len(t.w.iloc[0]) // 4)
+        for w, n in zip(t.w, t.n):
+            total += np.frombuffer(w, np.float32).astype(np.float64) * n
+        return pd.DataFrame({"g": [int(key[0])], "n": [int(t.n.sum())], "w": [(total / t.n.sum()).astype(np.float32).tobytes()]})
+
+    schema = "g long, n long, w binary"
+    parts = streams_of(packed, language, groups, one_of).repartition(groups, "g").groupBy("g").applyInPandas(learn, schema)
+    sets = max(1, math.isqrt(groups))
+    if sets > 1:
+        parts = parts.groupBy(F.pmod("g", F.lit(sets)).alias("k")).applyInPandas(merge, schema)
+    got = parts.groupBy(F.lit(0).cast("long").alias("k")).applyInPandas(merge, schema).collect()
     return (np.frombuffer(got[0].w, np.float32), got[0].n) if got else (None, 0)
 
 
-def lm_scores(docs: DataFrame, dims: tuple[int, int, int] | None = None, chunk: int = 10 << 20, entries: int = 2_000_000, start: int = 600, rounds: int = 1) -> DataFrame:
+def lm_scores(docs: DataFrame, dims: tuple[int, int, int] | None = None, chunk: int = 10 << 20, entries: int = 250_000, start: int = 500_000, group: int = 2_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     Counts are of all documents whose id's CRC-32 modulo 7 is not 2. The recurrent model has dims = (hidden,
     classes, words a class): the most frequent words of all training documents, the end, and one id for other
     words, whose share is dealt out by their counts plus one. By default hidden is 32 and the vocabulary grows
-    with the distinct words of the training documents, as sides() says. The model is started on about `start`
-    training documents and goes on in every task over all its training documents, then weights are averaged.
+    with the distinct words of the training documents, as sides() says. The model is started on training documents
+    of about `start` tokens; from there groups of about `group` tokens, or eight times the number of weights where
+    that is more, each train on all their documents, and the weights are averaged.
     Every text is scored whole from its first word to its end, its state carried along. Null text counts as empty: one token,
     the end. Repeated rows are scored alike; without training documents N and V are 0 and the model is uniform
     over its ids; an empty table gives no rows. Words are told apart by their 64-bit hashes.
@@ -196,18 +238,16 @@ def lm_scores(docs: DataFrame, dims: tuple[int, int, int] | None = None, chunk:
     order = np.argsort(hashes)
     ids = np.concatenate([[gru.END], np.arange(2, 2 + len(vocabulary))])
     language = Language(hashes[order], ids[order], gru.start(counts, *dims), tokens, distinct, known_tokens, len(vocabulary) + (end[0] > 0))
-    first = sample(docs.where("not held_out"), start, "doc_id").select("doc_id", "text").toPandas().sort_values(["doc_id", "text"])
-    if len(first):
-        stream = np.concatenate([language.words(np.append(word_hashes(lower_words((t or "").encode())), END_HASH)) for t in first.text])
-        language.weights = gru.train(language.weights, stream)
-        for _ in range(rounds):
-            flat, _ = improve(packed, language)
-            if flat is not None:
-                language.weights = gru.unpack(flat, *dims)
+    size = max(group, 8 * sum(v.size for v in language.weights.values()))
+    for groups, one_of in ((1, max(1, tokens // start)), (max(1, -(-tokens // size)), 1)):
+        flat, _ = improve(packed, language, groups, one_of)
+        if flat is not None:
+            language.weights = gru.unpack(flat, *dims)
     shared = docs.sparkSession.sparkContext.broadcast(language)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(batches):
+        reuse_memory()
         lang = shared.value
         for b in batches:
             for row in b.to_pylist():

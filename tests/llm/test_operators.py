@@ -199,7 +199,7 @@ def test_embeddings_brute_force(spark):
     low, n = closure([i for i, _ in rows], pairs), Counter(i for p in pairs for i in p)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_components(df).collect()}
     assert got == {i: (n[i], low[i], low[i] == i) for i, _ in rows}
-    classes = spark.createDataFrame([(i, 1, np.array(v, "<f8").tobytes()) for i, v in rows[:300]], "rep long, copies long, raw binary")
+    classes = spark.createDataFrame([(i, 1, embedding_dedup.packed(v)) for i, v in rows[:300]], "rep long, copies long, raw binary")
     for cell, guests in ((64, 100), (20, 30)):
         out = embedding_dedup.range_links(classes, 0.95, cell, guests).groupBy("id").agg(F.sum("n").alias("n")).where("n > 0").collect()
         m = Counter(i for p in pairs if max(p) < 300 for i in p)
@@ -466,8 +466,8 @@ def test_gru_gradients_and_probabilities():
         up[k][i] += 1e-5
         down[k][i] -= 1e-5
         slope = (gru.window_gradient(up, given, target, h)[0] - gru.window_gradient(down, given, target, h)[0]) / 2e-5
-        assert abs(slope - g[k][i]) < 1e-7
-    total = sum(np.exp(gru.output(p, rng.standard_normal((1, 5)) * 0 + 0.3, np.array([w]))[0]) for w in range(12))
+        assert abs(slope - gru.dense(p, g)[k][i]) < 1e-7
+    total = sum(np.exp(gru.output(p, rng.standard_normal((1, 5)) * 0 + 0.3, np.array([w]))[0]) for w in range(12))[0]
     assert abs(total - 1) < 1e-9
     # side by side or alone, in windows or step by step, a text has one score
     texts = [rng.integers(0, 12, n) for n in (1, 40, 7, 100)]
@@ -476,8 +476,8 @@ def test_gru_gradients_and_probabilities():
     for t, s in zip(texts, joint):
         state, before, ll = np.zeros((1, 5), np.float32), np.array([gru.END]), 0.0
         for w in t:
-            state, _ = gru.cell(q, before, state)
-            ll += gru.output(q, state, np.array([w]))[0]
+            state = gru.cell(q, before, state)
+            ll += gru.output(q, state, np.array([w]))[0][0]
             before = np.array([w])
         assert abs(ll - s) < 1e-3
 
@@ -498,15 +498,35 @@ def test_lm_scores(spark, odd, empty):
 
 
 def test_lm_trains_on_all_documents(spark, odd):
-    """Every training token is seen in training, and the vocabulary grows with the words."""
-    packed = lm_scoring.chunks(odd.select("doc_id", "text").withColumn("held_out", common.held_out("doc_id", 7)), 60_000)
+    """Every training token is seen, whatever the partitioning the weights agree, and the vocabulary grows."""
     language = lm_scoring.Language(np.zeros(1, np.uint64), np.array([gru.END]), gru.start(np.ones(64), 8, 8, 8), 1, 1, 0, 0)
-    weights, seen = lm_scoring.improve(packed, language)
-    assert len(weights) == len(gru.pack(language.weights))
-    assert seen == sum(len(words(r.text)) + 1 for r in odd.collect() if zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 7 != 2)
+    got = []
+    for parts in (1, 5):
+        docs = odd.repartition(parts, "n_chars").select("doc_id", "text").withColumn("held_out", common.held_out("doc_id", 7))
+        packed = common.cut(lm_scoring.chunks(docs, 60_000))
+        got.append(lm_scoring.improve(packed, language, 5))
+        assert got[-1][1] == sum(len(words(r.text)) + 1 for r in odd.collect() if zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 7 != 2)
+    assert len(got[0][0]) == len(gru.pack(language.weights)) and np.allclose(got[0][0], got[1][0], atol=1e-6)
     assert [lm_scoring.sides(v) ** 2 for v in (0, 1000, 10**6, 10**8)] == [1024, 1024, 64**2, 200**2]
 
 
+def test_lm_beats_unigrams_held_out(spark):
+    """Words that follow one another by a rule: held-out documents are likelier by the model than by counts alone."""
+    rng = np.random.default_rng(12)
+    after = rng.integers(0, 300, (300, 3))
+
+    def text():
+        w, out = int(rng.integers(300)), []
+        for _ in range(int(rng.integers(5, 80))):
+            out.append(f"w{w}")
+            w = int(after[w, rng.integers(3)])
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(k, text()) for k in range(6000)], "doc_id long, text string").repartition(8)
+    r = lm_scoring.lm_scores(docs, dims=(32, 18, 18)).where("held_out").toPandas()
+    assert r.score.sum() > 0.85 * r.base_score.sum()
+
+
 def test_mixing(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     m = mixing.mix(docs, leaf=16, fan=4).toPandas()
