@@ -17,19 +17,36 @@ from pyspark.sql import functions as F
 from .common import components, cut, forest, record, sample, with_class
 
 
+def packed(v) -> bytes:
+    """A vector's bytes behind a mark: f for floats that lose nothing of it, d for doubles. Equal vectors are equal bytes."""
+    a = np.array(v, "<f8") + 0.0
+    with np.errstate(over="ignore"):
+        f = a.astype("<f4")
+    return b"f" + f.tobytes() if np.array_equal(f.astype("<f8"), a) else b"d" + a.tobytes()
+
+
 def usable(vectors: pa.Array) -> list[bytes | None]:
-    """Little-endian doubles of each vector that may link; else None."""
+    """packed() of each vector that may link; else None."""
     out = []
     for v in vectors.to_pylist():
-        ok = v and None not in v
-        a = np.array(v, "<f8") if ok else np.zeros(0)
-        out.append((a + 0.0).tobytes() if ok and np.isfinite(a).all() and a.any() else None)
+        a = np.array(v, "<f8") if v and None not in v else np.zeros(0)
+        out.append(packed(a) if np.isfinite(a).all() and a.any() else None)
     return out
 
 
+def dimension(raw: bytes) -> int:
+    return (len(raw) - 1) // (4 if raw[:1] == b"f" else 8)
+
+
 def unit(raw) -> np.ndarray:
-    m = np.stack([np.frombuffer(x, "<f8") for x in raw])
-    m = m / np.abs(m).max(1, keepdims=True)  # so that squares neither overflow nor vanish
+    """Unit vectors, in double precision, of packed vectors of one length."""
+    raw = list(raw)
+    m = np.empty((len(raw), dimension(raw[0])))
+    for mark, kind in ((b"f", "<f4"), (b"d", "<f8")):
+        at = [k for k, x in enumerate(raw) if x[:1] == mark]
+        if at:
+            m[at] = np.frombuffer(b"".join([raw[k][1:] for k in at]), kind).reshape(len(at), -1)
+    m /= np.abs(m).max(1, keepdims=True)  # so that squares neither overflow nor vanish
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
@@ -38,48 +55,54 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1)
 
 
-def range_links(reps: DataFrame, cosine: float, cell: int = 2048, guests: int = 16384, most_pivots: int = 256) -> DataFrame:
+def choose(sample: np.ndarray, k: int, spread: int = 1024) -> np.ndarray:
+    """k pivots of a sample: up to `spread` each the farthest from those before it, then others as they come."""
+    chosen, near = [0], sample @ sample[0]
+    while len(chosen) < min(k, spread, len(sample)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, sample @ sample[chosen[-1]])
+    taken = set(chosen)
+    chosen += [i for i in range(len(sample)) if i not in taken][: max(0, k - len(chosen))]
+    return sample[chosen]
+
+
+def range_links(reps: DataFrame, cosine: float, cell: int = 16384, guests: int = 16384, most_pivots: int = 65536) -> DataFrame:
     """Rows (id, n, root): for a representative, the vectors it links with in one task, or an edge to a root.
 
-    reps has rep (long), copies (long) and raw (binary). The pivots, at most `most_pivots`, are taken from a
-    bounded sample, each one the farthest from those before it; cells over `cell` homes are dealt out in blocks.
+    reps has rep (long), copies (long) and raw (binary, packed). There is a pivot for every `cell` vectors; they
+    come from a sample of four times their number, 4,096 at least. What is broadcast is bounded by `most_pivots`
+    vectors, beyond which cells grow. A cell's homes and guests are dealt out in blocks, and every block of homes
+    meets every other block.
     """
     n = reps.count()
     r = np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
-    got = [x.raw for x in sample(reps, 4096, "rep").select("raw").collect()]
+    k = max(1, min(most_pivots, -(-n // cell)))
+    got = [x.raw for x in sample(reps, max(4096, 4 * k), "rep").select("raw").collect()]
     if n < 2 or not got:
         return reps.select(F.col("rep").alias("id"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("root")).limit(0)
-    sizes = {len(x) for x in got}
-    pivots = {}
-    for size in sizes:
-        s = unit([x for x in got if len(x) == size])
-        k = max(1, min(most_pivots, -(-n // cell)))
-        chosen, near = [0], s @ s[0]
-        while len(chosen) < min(k, len(s)):
-            chosen.append(int(near.argmin()))
-            near = np.maximum(near, s @ s[chosen[-1]])
-        pivots[size] = s[chosen]
+    pivots = {d: choose(unit([x for x in got if dimension(x) == d]), k) for d in {dimension(x) for x in got}}
     schema = "cell long, home boolean, rep long, copies long, raw binary"
 
     def deal(batches):
         for x in batches:
-            raw = x.column("raw").to_pylist()
-            size = np.array([len(v) for v in raw])
+            raw, rep, copies = x.column("raw").to_pylist(), x.column("rep").to_numpy(), x.column("copies").to_numpy()
+            size = np.array([dimension(v) for v in raw])
             for dim in np.unique(size):
-                at = np.flatnonzero(size == dim)
-                p = pivots.get(int(dim))
-                if p is None:  # a length that the sample has not seen: one cell
-                    to, who, home = np.zeros(len(at), np.int64), at, np.ones(len(at), bool)
-                else:
-                    u = unit([raw[i] for i in at])
-                    d = np.sqrt(np.maximum(0, 2 - 2 * u @ p.T))
-                    own = d.argmin(1)
-                    mine = d[np.arange(len(at)), own][:, None]
-                    apart = np.sqrt(np.maximum(1e-12, 2 - 2 * p @ p.T))[own]
-                    reach = (d <= mine + 2 * r + 1e-9) & (d * d - mine * mine <= 2 * apart * r + 1e-9) & (np.arange(len(p))[None] < own[:, None])
-                    g = np.nonzero(reach)
-                    to, who, home = np.concatenate([own, g[1]]), at[np.concatenate([np.arange(len(at)), g[0]])], np.concatenate([np.ones(len(at), bool), np.zeros(len(g[0]), bool)])
-                yield record(schema, [to * 65536 + dim // 8 % 65536, home, x.column("rep").to_numpy()[who], x.column("copies").to_numpy()[who], pa.array([raw[i] for i in who], pa.binary())])
+                rows, p = np.flatnonzero(size == dim), pivots.get(int(dim))
+                step = max(1, 4_000_000 // (1 if p is None else len(p)))
+                for a in range(0, len(rows), step):
+                    at = rows[a : a + step]
+                    if p is None:  # a length that the sample has not seen: one cell
+                        to, who, home = np.zeros(len(at), np.int64), at, np.ones(len(at), bool)
+                    else:
+                        d = np.sqrt(np.maximum(0, 2 - 2 * unit([raw[i] for i in at]) @ p.T))
+                        own = d.argmin(1)
+                        mine = d[np.arange(len(at)), own][:, None]
+                        apart = np.sqrt(np.maximum(1e-12, 2 - 2 * p[own] @ p.T))
+                        reach = (d <= mine + 2 * r + 1e-9) & (d * d - mine * mine <= 2 * apart * r + 1e-9) & (np.arange(len(p))[None] < own[:, None])
+                        g = np.nonzero(reach)
+                        to, who, home = np.concatenate([own, g[1]]), at[np.concatenate([np.arange(len(at)), g[0]])], np.concatenate([np.ones(len(at), bool), np.zeros(len(g[0]), bool)])
+                    yield record(schema, [to * (1 << 20) + dim % (1 << 20), home, rep[who], copies[who], pa.array([raw[i] for i in who], pa.binary())])
 
     spread = cut(reps.select("rep", "copies", "raw").mapInArrow(deal, schema))
     count = spread.groupBy("cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g"))
