@@ -94,9 +94,10 @@ def latest_event_per_user(t, spark):
     return latest(t("events"), Snapshot(("user_id",), ("ts", "event_id"))).select("event_id", "user_id", "event_type")
 
 
-@query("SELECT event_type, count(*) AS users, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS balance FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 GROUP BY 1")
+@query("SELECT coalesce(nullif(trim(event_type), ''), 'unregistered') AS event_type, count(DISTINCT user_id) AS users_seen, CAST(coalesce(sum(CAST(value AS DECIMAL(18,4))), 0) AS DOUBLE) AS latest_value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 GROUP BY 1")
 def balance_snapshot_total(t, spark):
-    return latest(t("events"), Snapshot(("user_id",), ("ts", "event_id"))).groupBy("event_type").agg(F.count("*").alias("users"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("balance"))
+    """Each user's latest row, by the snapshot that the model declares, then the aggregate."""
+    return ask(t, "users_seen", "latest_value", dimensions=("event_type",))
 
 
 @query("SELECT count(*) AS orders, count(c_custkey) AS matched FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
@@ -118,9 +119,11 @@ def orders_with_part_semi(t, spark):
     return t("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 200000)")
 def customers_without_orders_anti(t, spark):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without a large order that is partly delivered."""
+    large = t("orders").where("o_orderstatus = 'P' AND o_totalprice > 200000")
+    return t("customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 BINDINGS = {"orders": Binding(customer_col="o_custkey"), "lineitem": Binding("via", via_table="orders", via_col="l_orderkey", via_key="o_orderkey"), "nation": Binding("global"), "customer": Binding(customer_col="c_custkey", owner_col="c_nationkey")}
@@ -236,7 +239,7 @@ def buyers_filtered_by_region(t, spark):
 
 @query(f"WITH e AS ({EDGES}), k AS (SELECT p_partkey FROM part WHERE p_partkey < 3) SELECT partkey, count(DISTINCT custkey) AS buyers, CAST(sum(CAST(amount AS DECIMAL(18,4))) AS DOUBLE) AS amount FROM e WHERE custkey IN (SELECT custkey FROM e WHERE partkey IN (SELECT * FROM k)) AND partkey NOT IN (SELECT * FROM k) GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 20")
 def copurchase_parts(t, spark):
-    return R.copurchase(edges(t), t("part").where("p_partkey < 3"), 20)
+    return R.copurchase(t("lineitem"), t("orders"), t("part").where("p_partkey < 3"), F.expr(AMOUNT), 20)
 
 
 @query("SELECT day, CAST(sum(n) AS BIGINT) AS n FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT strftime(l_shipdate, '%Y-%m-%d'), count(*) FROM lineitem GROUP BY 1) GROUP BY 1")

@@ -53,13 +53,13 @@ NUM = r"(\d{1,2}|[一二两三四五六七八九十]{1,3})"
 
 
 def year_of(q: str, today: date) -> int:
-    if m := re.search(r"(20\d\d)", q):
+    if m := re.search(r"(?<!\d)((?:19|20)\d\d)(?!\d)", q):
         return int(m[1])
     return today.year - 1 if re.search("去年|last year", q) else today.year
 
 
 def explicit(q: str, today: date) -> TimeWindow | None:
-    found = re.findall(r"(20\d\d)[-/.年](\d{1,2})[-/.月](\d{1,2})日?", q)
+    found = re.findall(r"((?:19|20)\d\d)[-/.年](\d{1,2})[-/.月](\d{1,2})日?", q)
     if len(found) != 2:
         return None
     try:
@@ -102,7 +102,7 @@ def half(q: str, today: date) -> TimeWindow | None:
 
 
 def month(q: str, today: date) -> TimeWindow | None:
-    if m := re.search(r"(20\d\d)-(\d{1,2})(?![-\d])", q):
+    if m := re.search(r"((?:19|20)\d\d)-(\d{1,2})(?![-\d])", q):
         return months(date(int(m[1]), int(m[2]), 1), 1) if 1 <= int(m[2]) <= 12 else None
     m = re.search(r"(?<![个近])" + NUM + r"月(?!内|以来)", q)
     n = cn_num(m[1]) if m else None
@@ -123,7 +123,7 @@ def relative(q: str, today: date) -> TimeWindow | None:
 
 
 def year(q: str, today: date) -> TimeWindow | None:
-    m = re.search(r"(?<!\d)(20\d\d)(?:年|(?![-/.\d]))", q)
+    m = re.search(r"(?<!\d)((?:19|20)\d\d)(?:年|(?![-/.\d]))", q)
     return months(date(int(m[1]), 1, 1), 12) if m else None
 
 
@@ -135,36 +135,81 @@ def parse(q: str, today: date) -> TimeWindow | None:
     return None
 
 
-def to_date(w: TimeWindow, today: date) -> TimeWindow:
-    """A window that has begun ends after today at the latest."""
-    return TimeWindow(w.begin, min(w.end, today + timedelta(1))) if w.begin <= today else w
+def to_date(w: TimeWindow, today: date, q: str = "") -> TimeWindow:
+    """A window that has begun ends after today at the latest, but for a month, quarter or year that is named outright."""
+    named = re.search(r"(?<!\d)(?:19|20)\d\d|\d{1,2}月|[qQ][1-4]\b|[一二三四1-4]季度", q)
+    return w if named or w.begin > today else TimeWindow(w.begin, min(w.end, today + timedelta(1)))
+
+
+#: Periods to compare, by the words for them: start of the current one, and its length in months (0: days).
+CURRENT = (("today|今天|今日", lambda d: d, 0, 1), ("this week|本周|这周", week0, 0, 7), ("this month|本月|这个月", month0, 1, 0), ("this quarter|本季度|这个季度", quarter0, 3, 0), ("this year|今年|本年", lambda d: date(d.year, 1, 1), 12, 0))
+PAST = (("day before yesterday|前天", lambda d: d - timedelta(2), 0, 1), ("yesterday|昨天|昨日", lambda d: d - timedelta(1), 0, 1), ("last week|上周", lambda d: week0(d) - timedelta(7), 0, 7), ("last month|上个?月", lambda d: add_months(month0(d), -1), 1, 0), ("last quarter|上个?季度", lambda d: add_months(quarter0(d), -3), 3, 0), ("last year|去年", lambda d: date(d.year - 1, 1, 1), 12, 0))
 
 
 def previous(q: str, today: date, inclusive: bool = False) -> TimeWindow | None:
-    """The window before, as far along as this one; None if the two can't be compared."""
-    m0, more = month0(today), timedelta(1 if inclusive else 0)
-    if re.search("this month|本月", q):
-        return TimeWindow(add_months(m0, -1), add_months(today, -1) + more)
-    if re.search("last month|上个?月", q):
-        return months(add_months(m0, -2), 1)
-    if re.search("this week|本周", q):
-        return TimeWindow(week0(today) - timedelta(7), today - timedelta(7) + more)
-    if re.search("this year|今年", q):
-        return TimeWindow(date(today.year - 1, 1, 1), add_months(today, -12) + more)
+    """The window before, as far along as this one; a past period's is the whole one before. None if neither is named."""
+    for words, start, n, d in PAST:
+        if re.search(words, q):
+            begin = start(today)
+            return days(begin - timedelta(d), d) if d else months(add_months(begin, -n), n)
+    for words, start, n, d in CURRENT:
+        if re.search(words, q):
+            begin, end = start(today), today + timedelta(1 if inclusive else 0)
+            if d:
+                return TimeWindow(begin - timedelta(d), end - timedelta(d))
+            return TimeWindow(add_months(begin, -n), add_months(today, -n) + timedelta(1 if inclusive else 0))
     return None
 
 
 def year_ago(q: str, today: date, inclusive: bool = False) -> TimeWindow | None:
-    more, then = timedelta(1 if inclusive else 0), add_months(today, -12)
-    if re.search("this month|本月", q):
-        return TimeWindow(month0(then), then + more)
-    if re.search("last month|上个?月", q):
-        return months(add_months(month0(today), -13), 1)
-    if re.search("this week|本周", q):
-        return TimeWindow(week0(today) - timedelta(364), today - timedelta(364) + more)
+    """The same window a year before, as far along; weeks and days of them go back 364 days, so that weekdays agree."""
+    for words, start, n, d in PAST:
+        if re.search(words, q):
+            begin = start(today)
+            return days(begin - timedelta(364), 7) if d == 7 else days(add_months(begin, -12), d) if d else months(add_months(begin, -12), n)
+    for words, start, n, d in CURRENT:
+        if re.search(words, q):
+            more = timedelta(1 if inclusive else 0)
+            if d == 7:
+                return TimeWindow(start(today) - timedelta(364), today - timedelta(364) + more)
+            return TimeWindow(add_months(start(today), -12), add_months(today, -12) + more)
     return None
 
 
+def includes_today(q: str, today: date) -> bool:
+    """Whether the window of a question takes in today, which metrics that end yesterday can't answer."""
+    w = parse(q, today)
+    return w is not None and w.begin <= today < w.end
+
+
+#: Words for time, longest first where one holds another.
+TIME_WORDS = ("day before yesterday", "yesterday", "today", "this week", "last week", "this month", "last month", "this quarter", "last quarter", "this year", "last year", "first half", "second half", "前天", "昨天", "昨日", "今天", "今日", "本周", "上周", "本月", "上个月", "上月", "本季度", "上季度", "今年", "去年", "上半年", "下半年")
+NUMBERS = ("一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "百", "千", "万", "亿")
+
+
+def time_tokens(q: str) -> set[str]:
+    """The time words and dates of a question, each as far as it isn't part of a longer one."""
+    out, rest = set(re.findall(r"(?:19|20)\d\d(?:[-/.年]\d{1,2}(?:[-/.月]\d{1,2}日?)?)?|[qQ][1-4]\b", q)), q
+    for w in sorted(TIME_WORDS, key=len, reverse=True):
+        if w in rest:
+            out.add(w)
+            rest = rest.replace(w, " ")
+    return out
+
+
+def time_phrase(q: str) -> str | None:
+    """The part of a question that names its time: the longest run that parse() reads by itself."""
+    found = [m[0] for p in (r"(?:19|20)\d\d[-/.年]\d{1,2}[-/.月]\d{1,2}日?.{1,5}(?:19|20)\d\d[-/.年]\d{1,2}[-/.月]\d{1,2}日?", r"(?:last|past|最近|近|过去)\s*" + NUM + r"\s*(?:个)?(?:days?|weeks?|months?|years?|天|日|周|月|年)", r"(?:第?[一二三四1-4]季度|[qQ][1-4])(?:\s*(?:19|20)\d\d)?", r"(?:(?:first|second) half of\s*)?(?:19|20)\d\d(?:-\d{1,2})?年?(?:\d{1,2}月)?") for m in re.finditer(p, q)]
+    found += [w for w in TIME_WORDS if w in q]
+    return max(found, key=len, default=None)
+
+
+def inherit(q: str, before: str) -> str:
+    """A follow-up question with the time phrase of the one before, where it names none itself."""
+    phrase = time_phrase(before)
+    return q if time_phrase(q) or not phrase else f"{q} {phrase}"
+
+
 def cap_at_yesterday(w: TimeWindow, today: date) -> TimeWindow:
     return TimeWindow(w.begin, min(w.end, today))
 

@@ -28,19 +28,19 @@ def compare_windows(df: DataFrame, time_col: str, value: Column, windows: dict,
 
 
 def contribution(df: DataFrame, name: str, value: str, top: int = 3) -> DataFrame:
-    """The leading rows with their share of the positive total."""
-    everyone = Window.partitionBy()
-    ranked = df.withColumn("total", F.sum(F.greatest(F.col(value), F.lit(0.0))).over(everyone)).withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.col(value).desc(), F.col(name))))
-    return ranked.where(F.col("rank") <= top).select(name, value, "rank", F.round(F.col(value) / F.nullif("total", F.lit(0.0)), 6).alias("share"))
+    """The leading rows with their share of the positive total; only they are put in order."""
+    total = df.agg(F.sum(F.greatest(F.col(value), F.lit(0.0))).alias("total"))
+    order = [F.col(value).desc(), F.col(name)]
+    lead = df.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return lead.crossJoin(F.broadcast(total)).select(name, value, "rank", F.round(F.col(value) / F.nullif("total", F.lit(0.0)), 6).alias("share"))
 
 
 def concentration(df: DataFrame, value: str, top: int = 3) -> DataFrame:
     """Share of the leader and of the first `top` rows; null if any value is negative or all are zero."""
-    w = Window.partitionBy().orderBy(F.col(value).desc())
-    r = df.select(value).withColumn("rank", F.row_number().over(w))
-    total = F.sum(value)
-    ok = F.min(value) >= 0
-    return r.agg(F.when(ok, F.round(F.max(F.when(F.col("rank") == 1, F.col(value))) / F.nullif(total, F.lit(0.0)), 6)).alias("leader_share"), F.when(ok, F.round(F.sum(F.when(F.col("rank") <= top, F.col(value))) / F.nullif(total, F.lit(0.0)), 6)).alias("cr"))
+    lead = df.select(value).orderBy(F.col(value).desc()).limit(top).agg(F.max(value).alias("_first"), F.sum(value).alias("_lead"))
+    both = df.agg(F.sum(value).alias("_sum"), F.min(value).alias("_least")).crossJoin(F.broadcast(lead))
+    share = lambda c: F.when(F.col("_least") >= 0, F.round(F.col(c) / F.nullif("_sum", F.lit(0.0)), 6))
+    return both.select(share("_first").alias("leader_share"), share("_lead").alias("cr"))
 
 
 def lag_change(df: DataFrame, period: str, value: str, keys: list[str] | None = None) -> DataFrame:

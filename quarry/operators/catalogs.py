@@ -14,10 +14,14 @@ def metric_hits(questions: DataFrame, metrics: DataFrame) -> DataFrame:
     """(q_id, name, hit_word) of the active metrics (name, aliases, status) whose name or alias a question (q_id, question) has.
 
     A metric counts with its longest word found; a hit goes if another metric of the question has a longer word
-    that contains it. The catalogue of metrics is the small side; hits of one question are few by nature.
+    that contains it. Words meet questions by an equality join of their first two characters, so neither side need
+    be small.
     """
     words = metrics.where("status = 'active'").select("name", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("word")).where("trim(word) <> ''")
-    found = questions.join(F.broadcast(words), F.contains(F.lower("question"), F.lower("word")))
+    q = F.lower("question")
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(q), F.lit(1))), lambda i: F.array(F.substring(q, i, F.lit(1)), F.substring(q, i, F.lit(2))))
+    keyed = questions.withColumn("_k", F.explode(F.array_distinct(F.flatten(starts))))
+    found = keyed.join(words.withColumn("_k", F.substring(F.lower("word"), 1, 2)), "_k").where(F.contains(q, F.lower("word")))
     one = found.groupBy("q_id", "name").agg(F.max(F.struct(F.length("word").alias("n"), F.col("word").alias("word"))).alias("w"))
     hits = one.select("q_id", "name", F.col("w.word").alias("hit_word"))
     other = hits.select(F.col("q_id").alias("oq"), F.col("hit_word").alias("ow"))

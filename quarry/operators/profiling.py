@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 OVERLAP_BANDS = ((0.9, 0.90), (0.6, 0.75), (0.3, 0.55), (0.1, 0.35))
 CORRELATION_BANDS = ((0.9, 0.80), (0.7, 0.60), (0.5, 0.40))
 LINEAGE_BANDS = ((0.5, 0.70), (0.3, 0.55), (0.15, 0.40))
-AUDIT = ("id", "created_at", "updated_at", "create_time", "update_time", "creator", "updater", "deleted", "remark", "status", "version", "tenant_id", "ds", "dt", "etl_time")
+AUDIT = ("id", "created_time", "created_by", "create_time", "creator", "updated_time", "updated_by", "update_time", "updater", "deleted_flag", "is_deleted", "tenant_id", "remark", "version", "sync_time")
 
 
 def band(value: float, bands) -> float | None:
@@ -63,11 +63,20 @@ def pearson(df: DataFrame, pairs: list[tuple[str, str]], least: int = 30) -> Dat
     return wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"p{k}").alias("r")) for k, (a, b) in enumerate(pairs)])).alias("e")).select("e.*")
 
 
-def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Average rank of each distinct value from counts, so only distinct values are ordered."""
+def average_rank(df: DataFrame, col: str, out: str, parts: int = 64) -> DataFrame:
+    """Average rank of each distinct value of a numeric column, from counts.
+
+    The values are cut into ranges at approximate quantiles; each range is put in order by itself, and what lies
+    before it is added, so that no task orders all of them.
+    """
     n = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy().orderBy(col))
-    return n.select(col, (upto - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
+    cuts = n.agg(F.percentile_approx(F.col(col).cast("double"), [k / parts for k in range(1, parts)], 1000).alias("q")).first().q or []
+    cuts = sorted(set(cuts))
+    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(col))) if cuts else F.lit(0)
+    n = n.withColumn("_p", part)
+    before = n.groupBy("_p").agg(F.sum("_n").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    upto = F.sum("_n").over(Window.partitionBy("_p").orderBy(col)) + F.col("_before")
+    return n.join(F.broadcast(before), "_p").select(col, (upto - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -85,11 +94,16 @@ def distribution_similarity(left: DataFrame, a: str, right: DataFrame, b: str, t
 
 
 def code_match(values: DataFrame, col: str, codes: DataFrame, least: float = 0.8) -> DataFrame:
-    """Code tables (dict, code, name) that cover the column's 2 to 60 distinct values to `least`, the best first."""
+    """Code tables (dict, code, name) that cover the column's 2 to 60 distinct values to `least`, the best first.
+
+    No more than 61 distinct values ever leave the tasks: a column with more of them is none of codes.
+    """
     v = values.select(F.col(col).cast("string").alias("code")).where("code is not null and code <> ''").distinct()
-    n = v.agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 60")
-    hit = codes.join(F.broadcast(v), "code").groupBy("dict").agg(F.countDistinct("code").alias("hits"))
-    return hit.crossJoin(n).select("dict", "hits", F.round(F.col("hits") / F.col("n"), 6).alias("coverage")).where(F.col("coverage") >= least)
+    found = [r.code for r in v.limit(61).collect()]
+    if not 2 <= len(found) <= 60:
+        return codes.select("dict", F.lit(0).cast("long").alias("hits"), F.lit(0.0).alias("coverage")).limit(0)
+    hit = codes.where(F.col("code").isin(*found)).groupBy("dict").agg(F.countDistinct("code").alias("hits"))
+    return hit.withColumn("coverage", F.round(F.col("hits") / F.lit(float(len(found))), 6)).where(F.col("coverage") >= least)
 
 
 def lineage_confidence(left: list[str], right: list[str], mentioned: bool = False, same_core: bool = False) -> float | None:

@@ -32,9 +32,9 @@ def array_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str
 
 
 def purchase_edges(lines: DataFrame, orders: DataFrame, customers: DataFrame, nation: DataFrame, amount: Column) -> DataFrame:
-    """Customer, product and region with their summed amount and quantity; lines are summed before the joins."""
-    by_order = lines.groupBy("l_orderkey", "l_partkey").agg(F.sum(amount).alias("amount"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("qty"))
-    e = by_order.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.sum("amount").alias("amount"), F.sum("qty").alias("qty"))
+    """Customer, product and region with their summed amount and quantity: one join on the order, one aggregate."""
+    sold = lines.select("l_orderkey", "l_partkey", amount.alias("amount"), F.col("l_quantity").cast("decimal(18,2)").alias("qty"))
+    e = sold.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.sum("amount").alias("amount"), F.sum("qty").alias("qty"))
     c = customers.select("c_custkey", "c_nationkey")
     return e.join(c, e.o_custkey == c.c_custkey).join(nation.select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("o_custkey").alias("custkey"), F.col("l_partkey").alias("partkey"), F.col("n_regionkey").alias("regionkey"), F.col("amount").cast("double"), F.col("qty").cast("double"))
 
@@ -44,12 +44,14 @@ def buyers_of(edges: DataFrame, parts: DataFrame, limit: int) -> DataFrame:
     return hit.groupBy("custkey").agg(F.sum(F.col("amount").cast("decimal(18,4)")).cast("double").alias("amount"), F.sum(F.col("qty").cast("decimal(18,2)")).cast("double").alias("qty")).orderBy(F.desc("amount"), "custkey").limit(limit)
 
 
-def copurchase(edges: DataFrame, parts: DataFrame, limit: int) -> DataFrame:
-    """Other products of the distinct buyers of the given ones."""
-    keys = parts.select(F.col("p_partkey").alias("partkey"))
-    buyers = edges.join(keys, "partkey", "left_semi").select("custkey").distinct()
-    other = edges.join(buyers, "custkey", "left_semi").join(keys, "partkey", "left_anti")
-    return other.groupBy("partkey").agg(F.countDistinct("custkey").alias("buyers"), F.sum(F.col("amount").cast("decimal(18,4)")).cast("double").alias("amount")).orderBy(F.desc("buyers"), F.desc("amount"), "partkey").limit(limit)
+def copurchase(lines: DataFrame, orders: DataFrame, parts: DataFrame, amount: Column, limit: int) -> DataFrame:
+    """Other products of the distinct buyers of the given ones, from the seeds' lines to the buyers' and no further."""
+    keys = parts.select(F.col("p_partkey").alias("l_partkey"))
+    of = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("custkey"))
+    buyers = of.join(lines.join(keys, "l_partkey", "left_semi").select("l_orderkey"), "l_orderkey", "left_semi").select("custkey").distinct()
+    theirs = of.join(buyers, "custkey", "left_semi")
+    other = lines.join(keys, "l_partkey", "left_anti").select("l_orderkey", F.col("l_partkey").alias("partkey"), amount.alias("amount")).join(theirs, "l_orderkey")
+    return other.groupBy("partkey").agg(F.countDistinct("custkey").alias("buyers"), F.sum("amount").cast("double").alias("amount")).orderBy(F.desc("buyers"), F.desc("amount"), "partkey").limit(limit)
 
 
 def pagerank(n: int, edges: list[tuple[int, int, float]], teleport: list[float], damping: float = 0.85, rounds: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, int]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +28,15 @@ def vector_route(chunks: DataFrame, query: list[float], top: int = 20, farthest:
     q = q / (np.linalg.norm(q) or 1.0)
 
     def distance(v: pa.Array) -> pa.Array:
-        out = []
-        for x in v.to_pylist():
-            a = np.array(x if x is not None and None not in x else [], float)
-            n = np.linalg.norm(a) if len(a) == len(q) else 0.0
-            out.append(float(1 - a @ q / n) if n else None)
-        return pa.array(out, pa.float64())
+        """Vectors of the query's length are one matrix; others, and those with nulls, have no distance."""
+        ok = pc.and_(pc.equal(pc.list_value_length(v), len(q)), pc.is_valid(v)).fill_null(False).to_numpy(zero_copy_only=False)
+        out = np.full(len(v), np.nan)
+        if ok.any():
+            m = v.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(q))
+            n = np.sqrt((m * m).sum(1))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[ok] = 1 - m @ q / n
+        return pa.array(out, pa.float64(), from_pandas=True)
 
     scored = chunks.select(key, F.arrow_udf(distance, "double").asNondeterministic()(F.col(vec)).alias("distance"))
     return scored.where(F.col("distance") < farthest).orderBy("distance", key).limit(top)
@@ -72,6 +76,7 @@ def rrf(routes: dict[str, DataFrame], weights: dict[str, float], key: str = "chu
 
 
 def ranked(df: DataFrame, *order) -> DataFrame:
+    """Ranks of a route's rows, which are few: a route is cut at its top before it is ranked."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order)))
 
 

@@ -21,6 +21,45 @@ class ScopeError(ValueError):
     pass
 
 
+#: The functions that a statement may call. All others are refused, above all those that run code.
+FUNCTIONS = frozenset("""
+abs acos asin atan atan2 cbrt ceil ceiling cos degrees exp floor greatest least ln log log10 log2 mod negative pmod pow power radians rand
+round bround sign signum sin sqrt tan truncate
+avg mean count count_if sum min max min_by max_by first last any every some bool_and bool_or stddev stddev_pop stddev_samp variance var_pop var_samp
+corr covar_pop covar_samp median mode percentile percentile_approx approx_percentile approx_count_distinct collect_list collect_set array_agg listagg string_agg
+row_number rank dense_rank percent_rank ntile lag lead first_value last_value nth_value cume_dist
+char_length character_length length lower lcase upper ucase trim ltrim rtrim lpad rpad substr substring left right replace translate reverse repeat
+concat concat_ws instr locate position split split_part regexp_replace regexp_extract regexp_like rlike startswith endswith contains initcap format_number
+coalesce ifnull nvl nvl2 nullif if isnull isnotnull isnan
+current_date date_add date_sub dateadd datediff date_diff date_format date_trunc trunc to_date to_timestamp make_date add_months months_between last_day
+year quarter month day dayofmonth dayofweek dayofyear weekofyear hour minute second extract date_part unix_timestamp from_unixtime timestampdiff window
+between like ilike not and or isnotdistinctfrom cast string int bigint double decimal boolean date timestamp array map struct named_struct size array_contains explode element_at get_json_object
+""".split())
+
+
+@dataclass(frozen=True)
+class Raw:
+    """A statement as it came."""
+
+    sql: str
+
+
+@dataclass(frozen=True)
+class Checked:
+    """A statement that the gate let through, with the relations it reads; made by check() alone."""
+
+    sql: str
+    names: frozenset[str]
+
+
+@dataclass(frozen=True)
+class Scoped:
+    """A checked statement with the session in which its relations are views of a principal's rows; made by scope() alone."""
+
+    sql: str
+    session: SparkSession
+
+
 @dataclass
 class Result:
     """A bounded result with its integrity flags."""
@@ -30,45 +69,68 @@ class Result:
     truncated: bool = False
 
 
+def elements(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
 def relations(spark: SparkSession, sql: str) -> set[str]:
     """Names of the relations that one read-only statement reads; raises GateError for anything else.
 
-    The statement is parsed by Spark, and its unresolved plan is walked; commands are refused.
+    The statement is parsed by Spark, and its unresolved plan is walked; commands are refused, and so are functions
+    that aren't in the list. A name is a CTE only where that CTE can be seen: not in its own body, nor in those
+    before it, nor outside of the query that it belongs to.
     """
     if re.search(r"/\*[!+]", sql):
         raise GateError("executable comments are refused")
-    if re.search(r"[?]|:[A-Za-z_]+\b", re.sub(r"'(?:[^']|'')*'", "", sql)):
+    plain = re.sub(r"--[^\n]*|/\*.*?\*/", " ", re.sub(r"'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "''", sql), flags=re.S)
+    if re.search(r"[?]|(?<!:):[A-Za-z_]+\b", plain):
         raise GateError("unbound placeholders are refused")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise GateError(f"not one statement that parses: {str(e).splitlines()[0]}") from None
-    names, ctes = set(), set()
-
-    def walk(node):
+    names: set[str] = set()
+    blocks = 0
+
+    def calls(expression):
+        if expression.getClass().getSimpleName() == "UnresolvedFunction":
+            name = ".".join(elements(expression.nameParts())).lower()
+            if name not in FUNCTIONS:
+                raise GateError(f"the function {name} is refused")
+        for e in elements(expression.children()):
+            calls(e)
+
+    def walk(node, visible: frozenset):
+        nonlocal blocks
         kind = node.getClass().getSimpleName()
-        if kind in ("UnresolvedRelation",):
-            names.add(node.tableName().replace("`", "").lower())
+        if kind == "UnresolvedRelation":
+            name = node.tableName().replace("`", "").lower()
+            if name not in visible:
+                names.add(name)
         elif kind == "UnresolvedWith":
-            found = node.cteRelations()
-            for k in range(found.size()):
-                ctes.add(found.apply(k)._1().lower())
-                walk(found.apply(k)._2())
-        elif re.search("Command|Insert|Create|Drop|Alter|Merge|Delete|Update|Replace|Truncate|SetCatalog|UnresolvedTableValuedFunction|Show|Describe|Cache|Refresh", kind):
+            for cte in elements(node.cteRelations()):
+                walk(cte._2(), visible)
+                visible = visible | {cte._1().lower()}
+        elif re.search("Command|Insert|Create|Drop|Alter|Merge|Delete|Update|Replace|Truncate|SetCatalog|UnresolvedTableValuedFunction|ScriptTransformation|Show|Describe|Cache|Refresh", kind):
             raise GateError(f"{kind} is not a read")
-        inner = node.subqueries()
-        for k in range(inner.size()):
-            walk(inner.apply(k))
-        children = node.children()
-        for k in range(children.size()):
-            walk(children.apply(k))
-
-    walk(plan)
-    if not names - ctes:
+        blocks += kind in ("Project", "Aggregate")
+        for e in elements(node.expressions()):
+            calls(e)
+        for inner in (*elements(node.subqueries()), *elements(node.children())):
+            walk(inner, visible)
+
+    walk(plan, frozenset())
+    if blocks != len(re.findall(r"\bselect\b", plain, re.I)):
+        raise GateError("the query blocks that were walked aren't those of the text")
+    if not names:
         raise GateError("a statement that reads no table is refused")
     if bad := [n for n in names if n.split(".")[0] in ("information_schema", "mysql", "pg_catalog", "sys", "system")]:
         raise GateError(f"system tables are refused: {bad}")
-    return names - ctes
+    return names
+
+
+def check(spark: SparkSession, raw: Raw) -> Checked:
+    return Checked(raw.sql, frozenset(relations(spark, raw.sql)))
 
 
 @dataclass(frozen=True)
@@ -114,13 +176,20 @@ def scoped(table: str, tables, bindings: dict[str, Binding], who: Principal) ->
     return df.where(cond)
 
 
-def run_scoped(spark: SparkSession, sql: str, tables, bindings: dict[str, Binding], who: Principal, cap: int = ROW_CAP) -> Result:
-    """Gates the statement, gives its relations scoped views in a session of its own, runs it, and caps the rows."""
-    names = relations(spark, sql)
+def scope(spark: SparkSession, checked: Checked, tables, bindings: dict[str, Binding], who: Principal) -> Scoped:
+    """A session of its own in which every relation of the statement is a view of the rows that a principal may see."""
     session = spark.newSession()
-    for n in names:
+    for n in checked.names:
+        if "." in n:
+            raise ScopeError(f"{n} is named by its catalogue, which no scope covers")
         scoped(n, lambda t: tables(session, t), bindings, who).createOrReplaceTempView(n)
-    return bounded(redact(session.sql(sql)), cap)
+    return Scoped(checked.sql, session)
+
+
+def run_scoped(spark: SparkSession, sql: str, tables, bindings: dict[str, Binding], who: Principal, cap: int = ROW_CAP) -> Result:
+    """Gates the statement, gives its relations scoped views in a session of its own, runs it, and caps the rows."""
+    stage = scope(spark, check(spark, Raw(sql)), tables, bindings, who)
+    return bounded(redact(stage.session.sql(stage.sql)), cap)
 
 
 def redact(df: DataFrame) -> Result:
@@ -130,18 +199,61 @@ def redact(df: DataFrame) -> Result:
 
 
 def bounded(result: Result, cap: int) -> Result:
-    """At most cap rows; whether there were more is found with one row beyond it, never from the count alone."""
-    more = result.df.limit(cap + 1).count() > cap
-    return Result(result.df.limit(cap), result.redacted, more)
-
-
-def decide_scope(view_types: list[str], login: str, own: tuple, department: tuple, customers: tuple) -> Principal:
-    """The widest of a login's view types; none is unrestricted, an unknown one is an error."""
-    order = ("self", "department", "settlement", "all")
-    if bad := set(view_types) - set(order):
-        raise ScopeError(f"unknown view type {sorted(bad)}")
-    widest = max(view_types, key=order.index, default="all")
-    return {"all": Principal(login), "self": Principal(login, owners=own), "department": Principal(login, owners=department), "settlement": Principal(login, customers=customers)}[widest]
+    """At most cap rows of one run, and whether there were more: found with one row beyond the cap, so that rows and flag agree."""
+    got = result.df.limit(cap + 1).collect()
+    return Result(result.df.sparkSession.createDataFrame(got[:cap], result.df.schema), result.redacted, len(got) > cap)
+
+
+def clamp(asked: int | None, *limits: int) -> int:
+    """A limit that policies can only tighten: the least of what is asked for and of each policy's, one at least."""
+    return max(1, min([x for x in (asked, *limits) if x is not None]))
+
+
+def merge_codes(*lists: list | None) -> tuple | None:
+    """Codes of several grants: an empty or missing list is no restriction, and -1 alone denies (an empty tuple)."""
+    if any(not x for x in lists):
+        return None
+    return tuple(sorted({c for x in lists for c in x if str(c) != "-1"}, key=str))
+
+
+@dataclass(frozen=True)
+class Unrestricted:
+    """Proof that a login sees everything: it takes two facts that don't come from one place."""
+
+    login: str
+    view_type_all: bool
+    role_admin: bool
+
+    def __post_init__(self):
+        if not (self.view_type_all and self.role_admin):
+            raise ScopeError(f"{self.login} isn't proven to be unrestricted")
+
+
+class ScopeCache:
+    """Principals by login, role, source and the version of the rules; a new version forgets the old ones of its key."""
+
+    def __init__(self, load, most: int = 10_000):
+        self.load, self.most, self.held = load, most, {}
+
+    def get(self, login: str, role: str, source: str, version: str) -> Principal:
+        key = (login, role, source)
+        if self.held.get(key, (None,))[0] != version:
+            if len(self.held) >= self.most:
+                self.held.clear()
+            self.held[key] = (version, self.load(*key))
+        return self.held[key][1]
+
+
+def decide_scope(view_types: list[str], login: str, own: tuple, department: tuple, customers: tuple, tree: tuple | None = None) -> Principal:
+    """The widest of a login's view types; none of them, or an unknown one, is an error.
+
+    tree has the owners at or below the login's departments, as expand_tree() finds them.
+    """
+    order = ("self", "department", "tree", "settlement", "all")
+    if bad := set(view_types) - set(order) or not view_types:
+        raise ScopeError(f"no known view type: {bad if isinstance(bad, set) else None}")
+    widest = max(view_types, key=order.index)
+    return {"all": Principal(login), "self": Principal(login, owners=own), "department": Principal(login, owners=department), "tree": Principal(login, owners=tree if tree is not None else department), "settlement": Principal(login, customers=customers)}[widest]
 
 
 def expand_tree(nodes: DataFrame, roots: list) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass, field, replace
 from datetime import date
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +40,7 @@ class Dimension:
     expr: str
     bucket: str | None = None  # label of empty values
     grain: str | None = None  # a time bucket is bound to the metric's own time column
+    multi: bool = False  # a row holds several codes in one string: equality is containment
     aliases: tuple[str, ...] = ()
 
 
@@ -52,9 +55,12 @@ class Edge:
 
 @dataclass(frozen=True)
 class Snapshot:
-    partition: tuple[str, ...]
-    order: tuple[str, ...]
+    """The latest row of each partition, or with `at` all rows at the greatest value of that column."""
+
+    partition: tuple[str, ...] = ()
+    order: tuple[str, ...] = ()
     extra: str | None = None
+    at: str | None = None
 
 
 @dataclass(frozen=True)
@@ -68,6 +74,11 @@ class TimeWindow:
         return (F.col(col) >= F.lit(self.begin)) & (F.col(col) < F.lit(self.end))
 
 
+#: The window of a question that names no time, and the most rows of an aggregate and of a detail.
+ALL_TIME = TimeWindow(date(1000, 1, 1), date(9999, 12, 31))
+MOST_GROUPS, MOST_ROWS = 1000, 500
+
+
 @dataclass(frozen=True)
 class QuerySpec:
     metrics: tuple[str, ...]
@@ -75,6 +86,7 @@ class QuerySpec:
     window: TimeWindow | None = None
     equals: tuple[tuple[str, tuple], ...] = ()  # dimension name, allowed values
     contains: tuple[tuple[str, str], ...] = ()
+    excludes: tuple[tuple[str, str, str, str], ...] = ()  # name dimension, part of the name, code dimension, code
     no_bucket: tuple[str, ...] = ()  # dimensions whose empty-value bucket is left out
     sort: str | None = None
     ascending: bool = False
@@ -118,6 +130,8 @@ class Registry:
 def latest(df: DataFrame, snap: Snapshot) -> DataFrame:
     """The latest row of each partition; ties go on to the later order columns."""
     rows = df.where(snap.extra) if snap.extra else df
+    if snap.at:
+        return rows.join(F.broadcast(rows.agg(F.max(snap.at).alias("_at"))), F.col(snap.at) == F.col("_at"), "left_semi")
     w = Window.partitionBy(*snap.partition).orderBy(*[F.col(c).desc_nulls_last() for c in snap.order])
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
@@ -144,7 +158,7 @@ def compose(registry: Registry, spec: QuerySpec, tables) -> DataFrame:
     if len(base) != 1 or not metrics:
         raise PlanError("metrics of one table are composed together")
     table = base.pop()
-    dims = [registry.dimensions[d] for d in dict.fromkeys([*spec.dimensions, *[k for k, _ in spec.equals], *[k for k, _ in spec.contains], *spec.no_bucket])]
+    dims = [registry.dimensions[d] for d in dict.fromkeys([*spec.dimensions, *[k for k, _ in spec.equals], *[k for k, _ in spec.contains], *[k for x in spec.excludes for k in (x[0], x[2])], *spec.no_bucket])]
     for m in metrics:
         if m.dimensions is not None and (bad := [d for d in spec.dimensions if d not in m.dimensions]):
             raise PlanError(f"{m.name} can't be split by {bad}")
@@ -194,9 +208,14 @@ def compose(registry: Registry, spec: QuerySpec, tables) -> DataFrame:
     for name, values in spec.equals:
         if not values:
             raise PlanError(f"no value for {name}")
-        df = df.where(cols[name].isin(*values))
+        if registry.dimensions[name].multi:
+            df = df.where(reduce(or_, [F.contains(cols[name], F.lit(v)) for v in values]))
+        else:
+            df = df.where(cols[name].isin(*values))
     for name, part in spec.contains:
         df = df.where(F.contains(cols[name], F.lit(part)))
+    for name, part, code_name, code in spec.excludes:
+        df = df.where(~(F.coalesce(F.contains(cols[name], F.lit(part)), F.lit(False)) | F.coalesce(cols[code_name].cast("string") == code, F.lit(False))))
     for name in spec.no_bucket:
         df = df.where(cols[name] != registry.dimensions[name].bucket)
     if keys:
@@ -207,11 +226,22 @@ def compose(registry: Registry, spec: QuerySpec, tables) -> DataFrame:
     else:
         group = [cols[d].alias(d) for d in spec.dimensions]
     out = (df.groupBy(*group) if group else df).agg(*[F.expr(m.expr).alias(m.name) for m in metrics])
-    if spec.sort or spec.limit:
+    limit = spec.limit if spec.limit is not None else 1 if spec.offset else None
+    if spec.sort or limit is not None:
         first = spec.sort or spec.metrics[0]
         lead = F.col(first).asc_nulls_last() if spec.ascending or (first in cols and registry.dimensions[first].grain) else F.col(first).desc_nulls_last()
         out = out.orderBy(lead, *[F.col(d) for d in spec.dimensions])
         if spec.offset:
             out = out.offset(spec.offset)
-        out = out.limit(min(max(spec.limit or 1, 1), 1000))
+        out = out.limit(min(max(limit, 1), MOST_GROUPS)) if limit is not None else out
     return out
+
+
+def detail(registry: Registry, spec: QuerySpec, tables, columns: list[F.Column], key: str) -> DataFrame:
+    """Rows of the metrics' table within the window and scope: the latest first, then the largest, at most MOST_ROWS."""
+    m = registry.metrics[spec.metrics[0]]
+    df = tables(m.table)
+    for f in filter(None, (registry.scopes.get(m.table), m.scope)):
+        df = df.where(f)
+    df = df.where(spec.window.on(m.time_col)) if spec.window else df
+    return df.orderBy(F.col(m.time_col).desc(), F.abs(F.col(spec.sort)).desc(), F.col(key)).limit(min(max(spec.limit or MOST_ROWS, 1), MOST_ROWS)).select(*columns)
