@@ -137,55 +137,59 @@ def window_gradient(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndar
     """
     steps, streams = given.shape
     n, kind = h.shape[1], h.dtype
-    u = np.ascontiguousarray(p["u"].reshape(n, 3, n).transpose(1, 0, 2))
-    # update gate, reset gate and candidate of each step, each in one piece
-    gates = np.ascontiguousarray(p["x"][given].reshape(steps, streams, 3, n).transpose(0, 2, 1, 3))
-    live = (given != END).astype(kind)[:, :, None]
-    before, states, inner = (np.empty((steps, streams, n), kind) for _ in range(3))
+    u, ut = p["u"], np.ascontiguousarray(p["u"].T)
+    # update gate, reset gate and candidate of each step, a row for each unit and a column for each stream
+    gates = np.ascontiguousarray(p["x"][given].transpose(0, 2, 1))
+    live = (given != END).astype(kind)[:, None]
+    before, states, inner = (np.empty((steps, n, streams), kind) for _ in range(3))
+    h, v = np.ascontiguousarray(h.T), np.empty((3 * n, streams), kind)
     for t in range(steps):
         hb = np.multiply(h, live[t], out=before[t])
-        v = hb @ u
-        zr, c = gates[t, :2], gates[t, 2]
-        zr += v[:2]
+        np.matmul(ut, hb, out=v)
+        zr, c = gates[t, : 2 * n], gates[t, 2 * n :]
+        zr += v[: 2 * n]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        inner[t] = v[2]
-        v[2] *= zr[1]
-        c += v[2]
+        inner[t] = v[2 * n :]
+        c += np.multiply(v[2 * n :], zr[n:], out=v[2 * n :])
         np.tanh(c, out=c)
         h = np.subtract(hb, c, out=states[t])
-        h *= zr[0]
+        h *= zr[:n]
         h += c
-    ll, g, dout = output(p, states.reshape(-1, n), target.ravel())
-    dout = dout.reshape(steps, streams, n)
-    dh, dx, dv = np.zeros((streams, n), kind), np.empty_like(gates), np.empty_like(gates)
-    back = np.ascontiguousarray(u.transpose(0, 2, 1))
+    ll, g, dout = output(p, np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, n), target.ravel())
+    dout = np.ascontiguousarray(dout.reshape(steps, streams, n).transpose(0, 2, 1))
+    dh, dx, gu = np.zeros((n, streams), kind), np.empty_like(gates), np.zeros_like(u)
+    left, dv = np.empty((n, streams), kind), np.empty((3 * n, streams), kind)
     for t in reversed(range(steps)):
-        (z, r, c), (dz, dr, dc) = gates[t], dx[t]
+        z, r, c = gates[t, :n], gates[t, n : 2 * n], gates[t, 2 * n :]
+        dz, dr, dc = dx[t, :n], dx[t, n : 2 * n], dx[t, 2 * n :]
         dh += dout[t]
-        left = 1 - z
+        np.subtract(1, z, out=left)
         np.multiply(dh, left, out=dc)
-        dc *= 1 - c * c
+        left *= z
         np.subtract(before[t], c, out=dz)
         dz *= dh
-        dz *= z
         dz *= left
+        np.multiply(c, c, out=c)
+        np.subtract(1, c, out=c)
+        dc *= c
         np.multiply(dc, inner[t], out=dr)
         dr *= r
-        dr *= 1 - r
-        dv[t, :2] = dx[t, :2]
-        np.multiply(dc, r, out=dv[t, 2])
+        np.multiply(dc, r, out=dv[2 * n :])
+        dr *= np.subtract(1, r, out=r)
+        dv[: 2 * n] = dx[t, : 2 * n]
+        gu += before[t] @ dv.T
         dh *= z
-        dh += (dv[t] @ back).sum(0)
+        dh += u @ dv
         dh *= live[t]
-    dx, dv = (np.ascontiguousarray(d.transpose(0, 2, 1, 3)).reshape(-1, 3 * n) for d in (dx, dv))
-    g["u"] = (None, before.reshape(-1, n).T @ dv)
+    g["u"] = (None, gu)
+    dx = np.ascontiguousarray(dx.transpose(0, 2, 1)).reshape(-1, 3 * n)
     order = np.argsort(given.ravel(), kind="stable")
     word, first = np.unique(given.ravel()[order], return_index=True)
     g["x"] = (word, np.add.reduceat(dx[order], first))
-    return -ll.mean(), g, h
+    return -ll.mean(), g, np.ascontiguousarray(h.T)
 
 
 def dense(p: dict[str, np.ndarray], g: dict) -> dict[str, np.ndarray]:

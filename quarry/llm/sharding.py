@@ -35,19 +35,28 @@ def fill(shards: list[str], slots: int) -> list[int]:
     return table
 
 
+def free(name: str, columns: list[str]) -> str:
+    """name, or name_2, name_3 and so on if the rows have such a column."""
+    k, out = 2, name
+    while out.lower() in {c.lower() for c in columns}:
+        out, k = f"{name}_{k}", k + 1
+    return out
+
+
 def shard(rows: DataFrame, shards: list[str], *keys: str, slots: int = 65_537) -> DataFrame:
-    """rows with slot and shard, by a hash of the keys; columns of these names are replaced.
+    """rows with slot and shard, by a hash of the keys; where rows have such columns, slot_2 and shard_2 and so on.
 
     The table has `slots` rows whatever the input's size and is broadcast. A null key is a value of its own;
     equal keys always meet in one shard; an empty table stays empty.
     """
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(k, shards[s]) for k, s in enumerate(fill(shards, slots))], "slot long, shard string")
-    placed = rows.drop("slot", "shard").withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(slots)))
-    return placed.join(F.broadcast(table), "slot").select(*placed.columns, "shard")
+    spark, slot, name = rows.sparkSession, free("slot", rows.columns), free("shard", rows.columns)
+    table = spark.createDataFrame([(k, shards[s]) for k, s in enumerate(fill(shards, slots))], f"`{slot}` long, `{name}` string")
+    placed = rows.withColumn(slot, F.pmod(F.xxhash64(*keys), F.lit(slots)))
+    return placed.join(F.broadcast(table), slot).select(*placed.columns, name)
 
 
 def write_shards(rows: DataFrame, path: str, shards: list[str], *keys: str, files: int = 4) -> None:
     """Writes one folder per shard; `files` tasks share a shard, so that a large one isn't one task's work."""
     placed = shard(rows, shards, *keys)
-    placed.repartition(len(shards) * files, "shard", F.pmod(F.xxhash64("slot"), F.lit(files))).write.partitionBy("shard").mode("overwrite").parquet(path)
+    slot, name = placed.columns[-2:]
+    placed.repartition(len(shards) * files, name, F.pmod(F.xxhash64(slot), F.lit(files))).write.partitionBy(name).mode("overwrite").parquet(path)

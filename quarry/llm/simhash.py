@@ -70,7 +70,12 @@ def segment(fp: np.ndarray, s: int) -> np.ndarray:
 
 
 def grow(values: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A complete tree of `depth` levels over a bounded sample: vantage point and radius of each node."""
+    """A complete tree of `depth` levels over a bounded sample: vantage point and radius of each node.
+
+    A radius is the median distance. On odd levels a sampled point is moved by random bits, since from a point
+    outside of a dense cluster its members' distances spread more and the median divides them better; any point
+    gives right results.
+    """
     rng = np.random.default_rng(seed)
     points, mu = np.zeros(2**depth - 1, np.uint32), np.zeros(2**depth - 1, np.int16)
     node = np.zeros(len(values), np.int64)

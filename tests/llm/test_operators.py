@@ -585,20 +585,3 @@ def test_sharding(spark, odd, empty):
     assert sharding.shard(empty, names, "doc_id", slots=1009).count() == 0
     with pytest.raises(ValueError):
         sharding.fill(names, 1000)
-
-
-def test_pipeline(spark, odd):
-    import corpus_pipeline
-
-    docs = odd
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = common.cut(stage(spark, docs, SF))
-        assert out.columns == docs.columns
-        if name == "dedup":
-            ids = [r.doc_id for r in out.select("doc_id").collect()]
-            assert len(ids) == len(set(ids))
-        if name == "secrets":
-            assert out.count() == docs.count()
-        docs = out
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
-    assert len(pieces) and pieces.groupby("sequence_id").length.sum().max() <= 2048
