@@ -159,14 +159,17 @@ def latest_event_overall(t, spark):
     return V.latest_overall(t("events"), "ts", "event_id")
 
 
-DETAIL = [F.col("l_orderkey"), F.col("l_linenumber"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.expr(f"CAST({AMOUNT} AS DOUBLE)").alias("amount"), F.expr("round((l_extendedprice * (1 - l_discount) - l_extendedprice * 0.6) / nullif(l_extendedprice * (1 - l_discount), 0), 6)").alias("margin")]
+def detail_columns():
+    return [F.col("l_orderkey"), F.col("l_linenumber"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.expr(f"CAST({AMOUNT} AS DOUBLE)").alias("amount"), F.expr("round((l_extendedprice * (1 - l_discount) - l_extendedprice * 0.6) / nullif(l_extendedprice * (1 - l_discount), 0), 6)").alias("margin")]
+
+
 SHIPPED = replace(SALES, metrics={"sales_amount": replace(SALES.metrics["sales_amount"], time_col="l_shipdate")})
 
 
 @query(f"SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d') AS day, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_quantity, l_extendedprice, l_discount, l_tax, CAST({AMOUNT} AS DOUBLE) AS amount, round((l_extendedprice * (1 - l_discount) - l_extendedprice * 0.6) / nullif(l_extendedprice * (1 - l_discount), 0), 6) AS margin FROM (SELECT * FROM lineitem WHERE l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01' ORDER BY l_shipdate DESC, abs(l_extendedprice) DESC, l_orderkey LIMIT 500)")
 def line_details(t, spark):
     """Thirteen columns of the lines of a year, the latest first; a detail has 500 rows at most."""
-    return detail(SHIPPED, QuerySpec(("sales_amount",), window=timewin.months(date(1997, 1, 1), 12), sort="l_extendedprice", limit=9999), t, DETAIL, "l_orderkey")
+    return detail(SHIPPED, QuerySpec(("sales_amount",), window=timewin.months(date(1997, 1, 1), 12), sort="l_extendedprice", limit=9999), t, detail_columns(), "l_orderkey")
 
 
 @query("SELECT event_id, value, (SELECT count(*) FROM events) AS row_count FROM events ORDER BY value DESC, event_id LIMIT 20")

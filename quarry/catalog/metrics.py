@@ -99,7 +99,10 @@ def windows(*names):
     return {k: v for k, v in {"day": day, "mtd": mtd, "previous": timewin.previous("this month", TODAY, True), "year_ago": timewin.year_ago("this month", TODAY, True)}.items() if k in names}
 
 
-PARTS = {"a": F.expr(AMOUNT), "q": F.expr(QTY), "r": F.expr(REVENUE), "c": F.expr(COST)}
+def parts():
+    return {"a": F.expr(AMOUNT), "q": F.expr(QTY), "r": F.expr(REVENUE), "c": F.expr(COST)}
+
+
 ZERO = lambda c: F.coalesce(c, F.lit(0))
 KPIS = {"amount": lambda s: ZERO(s["a"]), "quantity": lambda s: ZERO(s["q"]), "revenue": lambda s: ZERO(s["r"]), "cost": lambda s: ZERO(s["c"]), "profit": lambda s: ZERO(s["a"] - s["c"]), "margin": lambda s: F.round((s["a"] - s["c"]).cast("double") / F.nullif(s["a"].cast("double"), F.lit(0.0)), 6)}
 KPI_SQL = {"amount": "coalesce(sum(a), 0)", "quantity": "coalesce(sum(q), 0)", "revenue": "coalesce(sum(r), 0)", "cost": "coalesce(sum(c), 0)", "profit": "coalesce(sum(a) - sum(c), 0)", "margin": "round(CAST(sum(a) - sum(c) AS DOUBLE) / nullif(CAST(sum(a) AS DOUBLE), 0), 6)"}
@@ -119,7 +122,7 @@ def sold(t):
 @query(kpi_table(KPIS, ("day", "mtd", "previous", "year_ago")))
 def six_kpi_digest(t, spark):
     """Six figures over the day, the month to date, and the same days of the month and the year before, in one scan."""
-    return C.digest(sold(t), "o_orderdate", PARTS, KPIS, windows("day", "mtd", "previous", "year_ago"))
+    return C.digest(sold(t), "o_orderdate", parts(), KPIS, windows("day", "mtd", "previous", "year_ago"))
 
 
 WEEK = {"mtd": ("1998-09-14", "1998-09-16"), "previous": ("1998-09-07", "1998-09-09"), "year_ago": ("1997-09-15", "1997-09-17")}
@@ -138,7 +141,7 @@ def weekly_sql():
 def weekly_four_metrics(t, spark):
     """Four metrics of the week so far, as far into the week before, and the same weekdays a year ago, with changes."""
     w = {"mtd": timewin.to_date(timewin.parse("this week", TODAY), TODAY), "previous": timewin.previous("this week", TODAY, True), "year_ago": timewin.year_ago("this week", TODAY, True)}
-    table = C.digest(sold(t), "o_orderdate", PARTS, {k: KPIS[k] for k in ("amount", "quantity", "profit", "margin")}, w)
+    table = C.digest(sold(t), "o_orderdate", parts(), {k: KPIS[k] for k in ("amount", "quantity", "profit", "margin")}, w)
     return C.with_rates(table, "mtd", ["previous", "year_ago"], ("margin",))
 
 

@@ -164,3 +164,24 @@ def chunk(text: str, target: int = 400, overlap: int = 60, hard: int = 480) -> l
             back -= 1
         k = max(back + 1 if back < j else j + 1, k + 1)
     return out
+
+
+def clean_label(comment: str) -> str | None:
+    """A dimension's name from a column's comment: what stands before brackets, colons, commas and lists of codes; None if nothing is left."""
+    t = re.sub(r"[(（\[【{].*?[)）\]】}]", "", unicodedata.normalize("NFKC", comment))
+    t = re.split(r"[:：,，;；。/|]|\d+\s*[-=.、]", t)[0]
+    t = re.sub(r"(?:代码|编码|编号|名称| code| name| id)$", "", t.strip(), flags=re.I).strip()
+    return t if 0 < len(t) <= 20 else None
+
+
+def fnv1a64(text: str) -> str:
+    """The 64-bit FNV-1a hash of a text's UTF-8 bytes, in hexadecimal."""
+    h = 0xCBF29CE484222325
+    for b in text.encode():
+        h = (h ^ b) * 0x100000001B3 % (1 << 64)
+    return f"{h:016x}"
+
+
+def recipe(name: str, folder: str, heading: str, body: str) -> str:
+    """The text that stands for a chunk where it is embedded: what it is of, then its body."""
+    return "\n".join([*(x for x in (folder, name, heading) if x), body])

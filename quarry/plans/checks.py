@@ -19,7 +19,8 @@ class Violation:
 
 @dataclass(frozen=True)
 class Rule:
-    """kind: one of require_dimension, require_value, require_window, cap_window, forbid_fanout, known_value."""
+    """kind: one of require_dimension, require_value, require_window, cap_window, forbid_fanout, known_value,
+    require_dedup, require_latest, percent_scale, join_and_filter, code_on_column, time_column."""
 
     kind: str
     metric: str
@@ -45,6 +46,19 @@ def check(registry: Registry, spec: QuerySpec, rules: list[Rule], today: date, v
                 way = registry.path(registry.metrics[r.metric].table, registry.dimensions[d].table) or []
                 if any(f for _, f in way) and not registry.metrics[r.metric].distinct:
                     out.append(Violation(r.kind, f"{d} repeats rows of {r.metric}"))
+        elif r.kind == "require_dedup" and registry.metrics[r.metric].dedup_keys != r.arg:
+            out.append(Violation(r.kind, f"{r.metric} counts each {list(r.arg)} once"))
+        elif r.kind == "require_latest" and registry.metrics[r.metric].table not in registry.snapshots:
+            out.append(Violation(r.kind, f"{r.metric} is of the latest rows"))
+        elif r.kind == "percent_scale" and spec.contains and any(k == r.metric for k, _ in spec.contains):
+            out.append(Violation(r.kind, f"{r.metric} is a share of 1"))
+        elif r.kind == "join_and_filter" and not any(registry.dimensions[k].table == r.arg for k, _ in (*spec.equals, *spec.contains)):
+            out.append(Violation(r.kind, f"{r.metric} is filtered by {r.arg}"))
+        elif r.kind == "code_on_column":
+            if bad := [v for k, vs in spec.equals if k == r.arg for v in vs if not re.fullmatch(r"[A-Za-z0-9_-]+", str(v))]:
+                out.append(Violation(r.kind, f"{r.arg} takes codes and not {bad}"))
+        elif r.kind == "time_column" and spec.window and registry.metrics[r.metric].time_col != r.arg:
+            out.append(Violation(r.kind, f"{r.metric} has its time in {r.arg}"))
         elif r.kind == "known_value":
             for k, v in spec.equals:
                 if values and k in values and (bad := [x for x in v if x not in values[k]]):
@@ -123,3 +137,90 @@ def spec_of(registry: Registry, question: str, today: date) -> QuerySpec:
     window = timewin.parse(question, today)
     n = timewin.top_n(question)
     return QuerySpec((metric,), (dim,) if dim else (), timewin.to_date(window, today) if window else None, sort=metric if dim else None, ascending=timewin.ascending(question), limit=n if dim else None)
+
+
+@dataclass(frozen=True)
+class Request:
+    """What an answer asks for before it is a specification: it may leave out what it implies."""
+
+    select: tuple[str, ...]  # metrics and dimensions
+    group: tuple[str, ...] = ()
+    aggregate: tuple[tuple[str, str], ...] = ()  # metric, the aggregate that was asked for
+    equals: tuple[tuple[str, tuple], ...] = ()
+    begin: date | None = None
+    end: date | None = None
+    sort: str | None = None
+    limit: int | None = None
+
+
+#: The lower bound of a window with an upper one alone, and words that ask for another aggregate outright.
+FIRST_DAY = date(1970, 1, 1)
+OTHER_AGGREGATES = ("max", "min", "avg", "largest", "smallest", "average", "最大", "最小", "平均")
+
+
+def repaired(registry: Registry, request: Request, question: str = "") -> tuple[QuerySpec, list[str]]:
+    """The specification of a request, and what was put right.
+
+    A dimension that is selected is grouped and the other way round; an aggregate other than the metric's declared
+    one gives way to it, unless the question asks for it outright, which is refused; a window without a lower bound
+    gets one; unknown names are refused.
+    """
+    fixes = []
+    if bad := [n for n in (*request.select, *request.group) if n not in registry.metrics and n not in registry.dimensions]:
+        raise PlanError(f"unknown names {sorted(set(bad))}")
+    metrics = tuple(dict.fromkeys(n for n in request.select if n in registry.metrics))
+    chosen = tuple(dict.fromkeys(n for n in request.select if n in registry.dimensions))
+    if more := [d for d in request.group if d not in chosen]:
+        fixes.append(f"selected {more}")
+    if more := [d for d in chosen if d not in request.group]:
+        fixes.append(f"grouped {more}")
+    if len(metrics) + len(chosen) < len(request.select):
+        fixes.append("dropped repeats")
+    for m, how in request.aggregate:
+        declared = re.match(r"\W*(?:CAST\(|round\(|coalesce\(|CAST\(coalesce\()*(\w+)\(", registry.metrics[m].expr, re.I)
+        if declared and declared[1].lower() != how.lower():
+            if any(w in question for w in OTHER_AGGREGATES):
+                raise PlanError(f"{m} has no {how}")
+            fixes.append(f"{m} by {declared[1].lower()} and not {how}")
+    window = None
+    if request.begin or request.end:
+        if request.end is None:
+            raise PlanError("a window has an end")
+        window = TimeWindow(request.begin or FIRST_DAY, request.end)
+        if request.begin is None:
+            fixes.append("lower bound")
+    return QuerySpec(metrics, tuple(dict.fromkeys((*chosen, *request.group))), window, request.equals, sort=request.sort, limit=request.limit), fixes
+
+
+def derivation_problems(registry: Registry, spec: QuerySpec, tables: set[str], joins: set[tuple[str, str]], labels: dict[str, set]) -> list[str]:
+    """Why a derived specification may not run: tables that aren't allowed, joins without evidence, labels nobody has seen."""
+    start = registry.metrics[spec.metrics[0]].table
+    out = [] if start in tables else [f"table {start}"]
+    for name in (*spec.dimensions, *(k for k, _ in spec.equals)):
+        d = registry.dimensions[name]
+        for e, _ in (registry.path(start, d.table) or []) if d.table else []:
+            if e.right not in tables:
+                out.append(f"table {e.right}")
+            if (e.left, e.right) not in joins and (e.right, e.left) not in joins:
+                out.append(f"join {e.left}-{e.right}")
+    for name, values in spec.equals:
+        out += [f"label {v}" for v in values if v not in labels.get(name, set())]
+    return list(dict.fromkeys(out))
+
+
+def plan_for(question: str) -> str:
+    """The report that a question asks for: compare, trend, structure, rank, reconcile, or total for none of these."""
+    kinds = (("compare", "compared|versus|year over year|同比|环比|对比"), ("trend", "trend|monthly|daily|over time|趋势|走势"), ("structure", "share|structure|contribution|占比|构成|贡献"), ("rank", r"\btop\b|lowest|best|worst|前\d|前[一二三四五六七八九十]|最[高低]"), ("reconcile", "reconcile|add up|对账|核对"))
+    return next((k for k, p in kinds if re.search(p, question, re.I)), "total")
+
+
+def split_compound(question: str, most: int = 4) -> list[str]:
+    """Parts of a compound question, each with a subject of its own; one part if it isn't compound."""
+    parts = [p.strip(" ,，;；。?？") for p in re.split(r"(?:[;；]|[,，]?\s*\b(?:and also|as well as|and then)\b|，?(?:以及|同时|另外|还有))", question)]
+    parts = [p for p in parts if len(p) >= 4]
+    return parts[:most] if len(parts) > 1 else [question]
+
+
+def merged_answers(parts: list[tuple[str, object]]) -> tuple[list[tuple[str, object]], list[str]]:
+    """Answers of a compound question's parts in their order, and a note for each that has none."""
+    return [(q, a) for q, a in parts if a is not None], [f"no answer to: {q}" for q, a in parts if a is None]
