@@ -156,6 +156,9 @@ def chunk(text: str, target: int = 400, overlap: int = 60, hard: int = 480) -> l
         start, j = units[k][0], k
         while j + 1 < len(units) and est_tokens(units[j + 1][1] - start) <= target:
             j += 1
+        if out and units[j][1] <= out[-1][1]:
+            k = j + 1  # beside the overlap nothing new fits
+            continue
         out.append((start, units[j][1]))
         if j + 1 == len(units):
             break

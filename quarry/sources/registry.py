@@ -105,12 +105,12 @@ def merged_catalog(native: DataFrame, warehouse: DataFrame) -> DataFrame:
 
 def export_csv(rows: DataFrame, path: str) -> None:
     """Terms, comments or exemplars as CSV with a header; nulls and empty strings stay apart."""
-    rows.write.mode("overwrite").option("header", True).option("nullValue", "\\N").option("emptyValue", "").option("escape", '"').csv(path)
+    rows.write.mode("overwrite").option("header", True).option("nullValue", "\\N").option("escape", '"').csv(path)
 
 
 def import_csv(spark: SparkSession, path: str, schema: str, keys: list[str], stored: DataFrame | None = None) -> DataFrame:
     """Rows of a CSV in a schema, over the stored ones: a key in the file replaces the stored row, the last row of a key counts."""
-    got = spark.read.option("header", True).option("nullValue", "\\N").option("emptyValue", "").option("escape", '"').option("mode", "FAILFAST").schema(schema).csv(path)
+    got = spark.read.option("header", True).option("nullValue", "\\N").option("escape", '"').option("mode", "FAILFAST").schema(schema).csv(path)
     got = got.dropDuplicates(keys)
     return got if stored is None else got.unionByName(stored.join(got.select(*keys), keys, "left_anti"))
 

@@ -43,7 +43,7 @@ def test_html_has_the_words_of_its_text(spark):
     assert set(got.index) == set(pages.index)
     for k, h in pages.items():
         plain = re.sub(r"(?is)<(script|style|noscript|template|svg)\b.*?</\1\s*>", "", h or "")
-        plain = html.unescape(re.sub(r"(?s)<!--.*?-->|<!doctype[^>]*>|</?[a-zA-Z][^>]*>", " ", plain))
+        plain = html.unescape(re.sub(r"(?si)<!--.*?-->|<!doctype[^>]*>|</?[a-zA-Z][^>]*>", " ", plain))
         assert "".join(got[k].split()) == "".join(plain.split())
 
 
