@@ -48,13 +48,13 @@ def record(schema: str, values: list) -> pa.RecordBatch:
 
 
 @functools.cache
-def reuse_memory(most: int = 256 << 20) -> None:
+def reuse_memory(most: int = 64 << 20) -> None:
     """Has a task's process keep up to `most` bytes of freed arrays for the next ones, which spares it most page faults."""
     try:
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD, at most half a heap
         libc.mallopt(-1, most)  # M_TRIM_THRESHOLD
-        libc.mallopt(-2, 16 << 20)  # M_TOP_PAD
+        libc.mallopt(-2, 4 << 20)  # M_TOP_PAD
     except (OSError, AttributeError):
         pass  # another C library: only slower
 
@@ -66,7 +66,6 @@ def struct_udf(schema: str, fn):
     """
 
     def run(*arrays: pa.Array) -> pa.Array:
-        reuse_memory()
         return pa.StructArray.from_arrays(columns(schema, fn(*arrays)), names=[n for n, _ in fields(schema)])
 
     ddl = "struct<" + ",".join(f"{n}:{k}" for n, k in fields(schema)) + ">"

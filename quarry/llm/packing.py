@@ -43,7 +43,7 @@ class Encoder:
     The table is bounded.
     """
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 200_000):
         import tiktoken
 
         file = json.load(open(path, encoding="utf-8"))

@@ -131,7 +131,7 @@ def close_pairs(v: np.ndarray, homes: np.ndarray, guests: np.ndarray, seed: int,
     first = np.searchsorted(at[h], at, "left")
     count = np.searchsorted(at[h], at, "right") - first
     ids = everyone[row]
-    block = 4_000_000
+    block = 1_000_000
     ends = np.cumsum(count)
     start = 0
     while start < len(row):
