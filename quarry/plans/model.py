@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from dataclasses import dataclass, field, replace
 from datetime import date
@@ -146,12 +147,33 @@ def dimension_column(d: Dimension, time_col: str | None) -> F.Column:
     return F.coalesce(F.nullif(F.trim(c.cast("string")), F.lit("")), F.lit(d.bucket)) if d.bucket else c
 
 
+def sums(expr: str) -> tuple[str, list[str]] | None:
+    """A metric of sums alone as (the same of sums of _s0, _s1 .., what these stand for); None for other aggregates."""
+    out, parts, at = "", [], 0
+    for m in re.finditer(r"\bsum\(", expr, re.I):
+        if m.start() < at:
+            return None
+        end, depth = m.end(), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(expr[end], 0)
+            end += 1
+        inner = expr[m.end() : end - 1]
+        if inner.upper().startswith("DISTINCT"):
+            return None
+        if inner not in parts:
+            parts.append(inner)
+        out, at = f"{out}{expr[at : m.end()]}_s{parts.index(inner)})", end
+    out += expr[at:]
+    return None if not parts or re.search(r"\b(count|max|min|avg|percentile\w*|first|last)\(", out, re.I) else (out, parts)
+
+
 def compose(registry: Registry, spec: QuerySpec, tables) -> DataFrame:
     """One plan for the metrics of one table by dimensions that declared edges reach.
 
     Scopes filter a joined table before its left join, so that base rows survive; a hop that repeats rows is
     refused unless every metric counts distinct keys; deduplicated metrics must have their dimensions among the
-    keys; snapshots are taken inside the scope.
+    keys; snapshots are taken inside the scope. Where all metrics are sums and no filter waits behind a join, rows
+    are summed by the columns that the joins and dimensions need before they are joined.
     """
     metrics = [registry.metrics[m] for m in spec.metrics]
     base = {m.table for m in metrics}
@@ -198,6 +220,22 @@ def compose(registry: Registry, spec: QuerySpec, tables) -> DataFrame:
     if snap := registry.snapshots.get(table):
         df = latest(df, snap)
     keys = {k for m in metrics for k in m.dedup_keys}
+    exprs = {m.name: m.expr for m in metrics}
+    goals = dict.fromkeys([d.table for d in dims if not d.grain] + ([bridge] if bridge and any(d.grain for d in dims) else []))
+    if any(g != table for g in goals) and not keys and table not in registry.snapshots and not (bridge and spec.window or spec.equals or spec.contains or spec.excludes or spec.no_bucket):
+        parts: list[str] = []
+        summed = {}
+        for m in metrics:
+            if found := sums(m.expr):
+                text, own = found
+                parts += [x for x in own if x not in parts]
+                summed[m.name] = re.sub(r"\b_s(\d+)\b", lambda k, own=own: f"_s{parts.index(own[int(k[1])])}", text)
+        if len(summed) == len(metrics):
+            of = {way[0][0].left_col for g in goals if (way := registry.path(table, g))}
+            for d in dims:
+                of |= {c for c in df.columns if (d.table == table and not d.grain and re.search(rf"\b{c}\b", d.expr)) or (d.grain and c == time_col)}
+            df = df.groupBy(*sorted(of)).agg(*[F.sum(F.expr(x)).alias(f"_s{k}") for k, x in enumerate(parts)])
+            exprs = summed
     for d in dims:
         if not d.grain:
             df = reach(df, d.table)
@@ -225,7 +263,7 @@ def compose(registry: Registry, spec: QuerySpec, tables) -> DataFrame:
         group = [F.col(d) for d in spec.dimensions]
     else:
         group = [cols[d].alias(d) for d in spec.dimensions]
-    out = (df.groupBy(*group) if group else df).agg(*[F.expr(m.expr).alias(m.name) for m in metrics])
+    out = (df.groupBy(*group) if group else df).agg(*[F.expr(exprs[m.name]).alias(m.name) for m in metrics])
     limit = spec.limit if spec.limit is not None else 1 if spec.offset else None
     if spec.sort or limit is not None:
         first = spec.sort or spec.metrics[0]
