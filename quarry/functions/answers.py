@@ -30,6 +30,46 @@ def numbers(text: str) -> list[str]:
     return [x.replace(",", "") for x in re.findall(r"-?\d+(?:,\d{3})*(?:\.\d+)?%?", text)]
 
 
+UNITS = {"十": 10, "百": 100, "千": 1000, "万": 10**4, "亿": 10**8}
+
+
+def chinese_number(s: str) -> int | None:
+    """A whole number in Chinese numerals; None for anything else."""
+    digits = {c: k for k, c in enumerate("零一二三四五六七八九")} | {"两": 2}
+    if not s or any(c not in digits and c not in UNITS for c in s):
+        return None
+    total = part = digit = 0
+    for c in s:
+        if c in digits:
+            digit = digits[c]
+        elif UNITS[c] >= 10**4:
+            total, part, digit = (total + part + digit) * UNITS[c], 0, 0
+        else:
+            part, digit = part + (digit or 1) * UNITS[c], 0
+    return total + part + digit
+
+
+def values(text: str) -> list[float]:
+    """The numbers of a text by value: digits with 万 or 亿, percents as shares, and Chinese numerals of two characters or more."""
+    out = []
+    for m in re.finditer(r"(-?\d+(?:,\d{3})*(?:\.\d+)?)\s*(%|万|亿)?", text):
+        out.append(float(m[1].replace(",", "")) * {"%": 0.01, "万": 1e4, "亿": 1e8, None: 1.0}[m[2]])
+    for m in re.finditer("[零一二两三四五六七八九十百千万亿]{2,}", re.sub(r"\d[\d,.]*\s*[万亿]", " ", text)):
+        if (n := chinese_number(m[0])) is not None:
+            out.append(float(n))
+    return out
+
+
+def bound_claims(claims: list[tuple[str, list[str]]], facts: dict[str, float], within: float = 0.005) -> list[str]:
+    """The claims (text, ids of facts) whose every number is that of a fact it cites, within a relative error; others are dropped."""
+    out = []
+    for text, ids in claims:
+        known = [facts[i] for i in ids if i in facts]
+        if ids and len(known) == len(ids) and all(any(abs(v - f) <= within * max(abs(f), 1e-9) or abs(abs(v) - abs(f)) <= within * max(abs(f), 1e-9) for f in known) for v in values(text)):
+            out.append(text)
+    return out
+
+
 def grounded(answer: str, cited: dict[int, str]) -> str:
     """Sentences with a citation like [1] whose numbers all stand in what they cite."""
     out = []

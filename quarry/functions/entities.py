@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
-from .text import chunk, est_tokens, windows
+from .text import chunk, chunk_by_meaning, est_tokens, windows
 
 #: Phrases of the purchase relations.
 RELATIONS = {
@@ -64,9 +65,17 @@ def entity_key(name: str) -> str | None:
     return None if len(n) < 2 or re.fullmatch(r"[\d\W_]+", n) else n
 
 
+def entity_id(space: str, name: str) -> str | None:
+    """An id that the same name of a space always gets; None for noise."""
+    key = entity_key(name)
+    return None if key is None else hashlib.sha256(f"{space}\0{key}".encode()).hexdigest()[:24]
+
+
 def chunk_preset(text: str, preset: str = "general") -> list[tuple[int, int]]:
     """Spans by preset: laws by article, qa by question, book by chapter, else general; long parts are cut further."""
     marks = {"laws": r"(?m)^(?:第[一二三四五六七八九十百零\d]+条|Article\s+\d+)", "qa": r"(?m)^(?:Q[:：]|问[:：])", "book": r"(?m)^(?:第[一二三四五六七八九十百零\d]+章|Chapter\s+\d+|#\s)"}
+    if preset == "semantic":
+        return chunk_by_meaning(text)
     if preset not in marks:
         return chunk(text)
     at = sorted({0, *(m.start() for m in re.finditer(marks[preset], text)), len(text)})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import math
 import re
 import unicodedata
@@ -25,7 +26,10 @@ def exact_tokens(q: str, most: int = 8) -> list[str]:
 
 
 def terms(text: str) -> list[str]:
-    words = re.findall(r"\w+", unicodedata.normalize("NFKC", text).lower())
+    """Words of two characters or more, each once; runs of Chinese characters give their pairs, since no blanks divide them."""
+    words: list[str] = []
+    for w in re.findall(r"[\u4e00-\u9fff]+|[^\W\u4e00-\u9fff]+", unicodedata.normalize("NFKC", text).lower()):
+        words += [w[k : k + 2] for k in range(max(1, len(w) - 1))] if "\u4e00" <= w[0] <= "\u9fff" else [w]
     return list(dict.fromkeys(w for w in words if len(w) >= 2 and w not in STOP))
 
 
@@ -188,3 +192,32 @@ def fnv1a64(text: str) -> str:
 def recipe(name: str, folder: str, heading: str, body: str) -> str:
     """The text that stands for a chunk where it is embedded: what it is of, then its body."""
     return "\n".join([*(x for x in (folder, name, heading) if x), body])
+
+
+def json_block(raw: str, most: int = 20_000) -> str:
+    """A JSON text as an indented block of code; as it is if it doesn't parse."""
+    try:
+        return "```json\n" + json.dumps(json.loads(raw), ensure_ascii=False, indent=2)[:most] + "\n```"
+    except ValueError:
+        return raw[:most]
+
+
+def chunk_by_meaning(text: str, least: float = 0.12, target: int = 400) -> list[tuple[int, int]]:
+    """Spans of sentences that go on with the words of those before; a new one begins where less than `least` of a
+    sentence's words were said in its span, or where the span would pass `target` tokens. A long sentence is cut."""
+    ends = [m.end() for m in re.finditer(r"[.!?。！？\n]+\s*", text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    out: list[tuple[int, int]] = []
+    start, at, said = 0, 0, set()
+    for e in ends:
+        own = set(terms(text[at:e]))
+        if at > start and (est_tokens(e - start) > target or own and len(own & said) < least * len(own)):
+            out.append((start, at))
+            start, said = at, set()
+        said |= own
+        at = e
+    if at > start:
+        out.append((start, at))
+    hard = int(target * 1.6)
+    return [(a + k, min(a + k + hard, z)) for a, z in out for k in range(0, z - a, hard)]

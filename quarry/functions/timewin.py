@@ -210,6 +210,20 @@ def inherit(q: str, before: str) -> str:
     return q if time_phrase(q) or not phrase else f"{q} {phrase}"
 
 
+def partial_month(latest: str, today: date) -> str | None:
+    """The month (yyyy-MM) of a series' latest period if it isn't over yet."""
+    return latest if latest == f"{today:%Y-%m}" and (today + timedelta(1)).month == today.month else None
+
+
+def weekly(today: date) -> dict[str, TimeWindow] | None:
+    """This week up to yesterday, and as many days of the week before and of the same weekdays a year ago; None on Mondays,
+    when the week has not begun to count."""
+    n = (today - week0(today)).days
+    if n == 0:
+        return None
+    return {"current_value": days(week0(today), n), "previous_value": days(week0(today) - timedelta(7), n), "year_ago_value": days(week0(today) - timedelta(364), n)}
+
+
 def cap_at_yesterday(w: TimeWindow, today: date) -> TimeWindow:
     return TimeWindow(w.begin, min(w.end, today))
 

@@ -29,6 +29,15 @@ def metric_hits(questions: DataFrame, metrics: DataFrame) -> DataFrame:
     return hits.join(other, inside, "left_anti")
 
 
+def cards(questions: DataFrame, entries: DataFrame, top: int = 10) -> DataFrame:
+    """(q_id, kind, word, note, rank): of each kind the entries (kind, word, note) whose word a question has, the longest first."""
+    q = F.lower("question")
+    keyed = questions.withColumn("_k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(q) - 1, F.lit(1))), lambda i: F.substring(q, i, F.lit(2))))))
+    found = keyed.join(entries.withColumn("_k", F.substring(F.lower("word"), 1, 2)), "_k").where(F.contains(q, F.lower("word"))).select("q_id", "kind", "word", "note").distinct()
+    order = Window.partitionBy("q_id", "kind").orderBy(F.length("word").desc(), "word")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+
+
 def table_recall(forced: DataFrame, near: DataFrame, similar: DataFrame, limit: int) -> DataFrame:
     """(q_id, table, score, route) of each question's tables: all forced ones, then the nearest, then the most similar.
 

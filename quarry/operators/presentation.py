@@ -59,6 +59,49 @@ def insight(specs: list[dict], rows: list[tuple], partial: str | None = None) ->
     return f"{best[at['category']]} leads with {compress(best[m])}, {best[m] / total * 100:.1f}% of the total"
 
 
+def series(columns: list[str], rows: list[tuple], most: int = 8) -> dict[str, list[tuple]] | None:
+    """The lines of a result with one time, one category and one metric: (time, value) by category, the largest first,
+    at most `most` and the others summed; None for other results."""
+    specs = [column_spec(c, [r[k] for r in rows]) for k, c in enumerate(columns)]
+    at = {role: [k for k, s in enumerate(specs) if s["role"] == role] for role in ("time", "category", "metric")}
+    if any(len(v) != 1 for v in at.values()):
+        return None
+    t, c, m = at["time"][0], at["category"][0], at["metric"][0]
+    size: dict = {}
+    for r in rows:
+        size[r[c]] = size.get(r[c], 0) + abs(r[m] or 0)
+    lead = sorted(size, key=lambda x: (-size[x], str(x)))[:most]
+    out: dict = {}
+    for r in rows:
+        line = out.setdefault(r[c] if r[c] in lead else "other", {})
+        line[r[t]] = line.get(r[t], 0) + (r[m] or 0)
+    return {str(k): sorted(v.items()) for k, v in out.items()}
+
+
+def kpi_delta(current: float | None, base: float | None, semantic: str) -> str:
+    """A key figure's change: points for percents, else relative."""
+    return change_text(current, base, semantic == "percent")
+
+
+def in_order(tasks: list, workers: int = 2) -> list:
+    """Results of report sections that run side by side, `workers` at a time, in the order of the tasks; a failed one gives its error."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(task):
+        try:
+            return task()
+        except Exception as e:  # noqa: BLE001 - one section's failure is its own
+            return e
+
+    with ThreadPoolExecutor(workers) as pool:
+        return list(pool.map(run, tasks))
+
+
+def localised(columns: list[str], labels: dict[str, dict[str, str]], locale: str, default: str = "en") -> list[str]:
+    """Columns by their labels in a locale, else in the default one, else as they are."""
+    return [labels.get(c, {}).get(locale) or labels.get(c, {}).get(default) or c for c in columns]
+
+
 def drills(shown: list[str], registry) -> list[str]:
     """Declared dimensions that a result doesn't show yet."""
     return [d for d in registry.dimensions if d not in shown]

@@ -31,6 +31,11 @@ def best_of_document(hits: DataFrame, score: str, key: str = "chunk_id") -> Data
     return hits.groupBy("doc_id").agg(F.max_by(F.struct(score, key), F.struct(F.col(score), -F.col(key))).alias("_b")).select("doc_id", f"_b.{key}", f"_b.{score}")
 
 
+def scan_mode(visible: int) -> str | None:
+    """How vectors are searched: not at all without a visible document, else exactly; here every scan is a distributed one."""
+    return "exact" if visible else None
+
+
 def title_route(chunks: DataFrame, question: str, least: float = 0.35, top: int = 10) -> DataFrame:
     """(doc_id, chunk_id, score): documents whose title is like the question, each by its first chunk."""
     scored = chunks.withColumn("score", F.round(title_similarity(F.col("title"), question), 6)).where(F.col("score") > least)

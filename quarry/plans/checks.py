@@ -82,23 +82,36 @@ def correct(spec: QuerySpec, rules: list[Rule], today: date, names: dict[str, di
     return out
 
 
-def judge(violations: list[list[Violation]], rounds: int = 2) -> str:
-    """pass, retry or unresolved, from the violations after each round of repair."""
+def judge(violations: list[list[Violation] | None], rounds: int = 2) -> str:
+    """pass, retry, unresolved or grader_error, from the violations after each round of repair.
+
+    None stands for a round whose check itself failed: that is no pass and no violation.
+    """
+    if violations and violations[-1] is None:
+        return "grader_error"
     if not violations or not violations[-1]:
         return "pass"
     return "retry" if len(violations) <= rounds else "unresolved"
 
 
 def coverage(spec: QuerySpec, intent: dict) -> dict[str, list[str]]:
-    """What an intent asks for that the specification lacks, and the other way round."""
+    """What an intent asks for that the specification lacks, and the other way round; filters with other values than asked
+    conflict, and what the specification has no place for can't be verified."""
     have = {"metric": set(spec.metrics), "dimension": set(spec.dimensions), "filter": {k for k, _ in spec.equals} | {k for k, _ in spec.contains}, "time": {"window"} if spec.window else set()}
     want = {k: set(intent.get(k, ())) for k in have}
-    return {"missing": sorted(f"{k}:{x}" for k in have for x in want[k] - have[k]), "extra": sorted(f"{k}:{x}" for k in have for x in have[k] - want[k])}
+    values = {k: set(map(str, v)) for k, v in spec.equals}
+    conflicts = sorted(f"{k}:{v}" for k, v in (intent.get("values") or {}).items() if k in values and str(v) not in values[k])
+    return {"missing": sorted(f"{k}:{x}" for k in have for x in want[k] - have[k]), "extra": sorted(f"{k}:{x}" for k in have for x in have[k] - want[k]), "conflicts": conflicts, "unverifiable": sorted(k for k in intent if k not in have and k != "values" and intent[k])}
 
 
 def fingerprint(rows: list[tuple]) -> str:
-    """Values alone, floats to six decimals, in any row order."""
-    text = sorted("|".join(f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    """Values alone, in any row order: numbers to six decimals, but integers too large for that as they are."""
+
+    def told(v) -> str:
+        number = isinstance(v, float) or isinstance(v, int) and not isinstance(v, bool) and abs(v) <= 2**53
+        return f"{v:.6f}" if number else str(v)
+
+    text = sorted("|".join(map(told, r)) for r in rows)
     return hashlib.sha256("\n".join(text).encode()).hexdigest()
 
 
@@ -111,8 +124,10 @@ def vote(results: list[list[tuple]]) -> int | None:
     return prints.index(best) if 2 * n > len(prints) else None
 
 
-def same_question(a: str, b: str, distance: float, times: set[str], most: float = 0.12) -> bool:
-    """Whether a cached answer may serve: near, with equal time words and equal numbers."""
+def same_question(a: str, b: str, distance: float, times: set[str], most: float = 0.12, scopes: tuple[str, ...] = ("my", "mine", "our", "all", "total", "我的", "我们", "全部", "全国")) -> bool:
+    """Whether a cached answer may serve: near, with equal time words, equal scope words and equal numbers."""
+    if {s for s in scopes if re.search(rf"\b{s}\b" if s.isascii() else s, a)} != {s for s in scopes if re.search(rf"\b{s}\b" if s.isascii() else s, b)}:
+        return False
     said = lambda q: {t for t in times if t in q}
     numbers = lambda q: sorted(re.findall(r"\d+(?:\.\d+)?", q))
     return distance <= most and said(a) == said(b) and numbers(a) == numbers(b)
@@ -224,3 +239,30 @@ def split_compound(question: str, most: int = 4) -> list[str]:
 def merged_answers(parts: list[tuple[str, object]]) -> tuple[list[tuple[str, object]], list[str]]:
     """Answers of a compound question's parts in their order, and a note for each that has none."""
     return [(q, a) for q, a in parts if a is not None], [f"no answer to: {q}" for q, a in parts if a is None]
+
+
+def same_shape(before: list[str], after: list[str]) -> list[str]:
+    """Why a repaired result isn't of the shape that was asked for: columns that are gone, renamed or out of order; more may follow."""
+    gone = [c for c in before if c not in after]
+    return [f"without {c}" for c in gone] or ([] if [c for c in after if c in before] == before else ["out of order"])
+
+
+def notes(truncated: bool, cap: int, contracts: set[str], used: set[str], checked: bool) -> dict:
+    """The envelope of a result: how far it can be trusted, and why not further.
+
+    contracts are the declared metrics' tables of the question, used the tables that the statement read.
+    """
+    said = [f"only the first {cap} rows are shown"] if truncated else []
+    if contracts and not contracts & used:
+        said.append(f"read around the declared {', '.join(sorted(contracts))}")
+    elif contracts - used:
+        said.append(f"only a part of the declared {', '.join(sorted(contracts))}")
+    trust = "low" if contracts and not contracts & used or not checked else "medium" if said else "high"
+    return {"trust": trust, "notes": said}
+
+
+def hybrid(data: tuple[list[str], list[tuple]] | None, text: str | None, citations: int) -> dict:
+    """One outcome of a data and a document answer: each counts only with substance, rows with a value or text with a citation."""
+    rows = data is not None and any(v is not None for r in data[1] for v in r)
+    told = bool(text and text.strip()) and citations > 0
+    return {"kind": "hybrid" if rows and told else "data" if rows else "document" if told else "none", "data": data if rows else None, "text": text if told else None}

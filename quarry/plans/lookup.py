@@ -70,3 +70,13 @@ def scan_verdict(df: DataFrame) -> list[dict]:
         schema = re.search(r"ReadSchema: struct<([^\n]*)>", line)
         out.append({"columns": len(re.findall(r"(?:^|,)[^:,<>]+:", schema[1])) if schema else 0, "full": not (filters and filters[1] or partitions and partitions[1])})
     return out
+
+
+def partitions_read(df: DataFrame, column: str, floor: int = 4) -> dict:
+    """How many of a table's partitions a plan reads: all of `floor` or more is a full scan.
+
+    The values of the partition column that the filters leave are counted on Spark, so no plan text is read.
+    """
+    total = df.sparkSession.read.parquet(*sorted({re.sub(rf"/{column}=[^/]*/[^/]*$", "", f) for f in df.inputFiles()})).select(column).distinct().count()
+    scanned = df.select(column).distinct().count()
+    return {"scanned": scanned, "total": total, "full": total >= floor and scanned == total}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Accepted extensions by kind.
@@ -60,3 +60,15 @@ def append_log(rows: DataFrame, path: str) -> None:
 def new_files(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """One row of each space and hash that isn't stored yet."""
     return incoming.dropDuplicates(["space", "sha256"]).join(stored.select("space", "sha256"), ["space", "sha256"], "left_anti")
+
+
+def replaced(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored files after an upload: a name of a space with a new hash is shadowed by the new file, an equal one stays as it is.
+
+    Both have space, name, sha256, version; a replaced file's version is one more, and active says which counts.
+    """
+    old = stored.select("space", "name", F.col("sha256").alias("_sha"), F.col("version").alias("_v"))
+    last = old.groupBy("space", "name").agg(F.max_by("_sha", "_v").alias("_sha"), F.max("_v").alias("_v"))
+    fresh = incoming.dropDuplicates(["space", "name"]).join(last, ["space", "name"], "left").where("_sha IS NULL OR sha256 <> _sha")
+    every = stored.select("space", "name", "sha256", "version").unionByName(fresh.select("space", "name", "sha256", (F.coalesce("_v", F.lit(0)) + 1).alias("version")))
+    return every.withColumn("active", F.col("version") == F.max("version").over(Window.partitionBy("space", "name")))

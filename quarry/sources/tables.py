@@ -19,6 +19,14 @@ class ParquetSource:
     def __call__(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{table}.parquet")
 
+    def counts(self, tables=TABLES) -> DataFrame:
+        """(table_name, row_count) of the tables, from the files' footers."""
+        out = None
+        for t in tables:
+            part = self(t).agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def probe(self, tables=TABLES) -> DataFrame:
         rows = [(t, f.name, f.dataType.simpleString(), k, f.metadata.get("comment")) for t in tables for k, f in enumerate(self(t).schema)]
         return self.spark.createDataFrame(rows, "table_name string, column_name string, data_type string, ordinal int, comment string")
@@ -65,7 +73,10 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     return {c: "text" if not r[f"{c}|n"] else "numeric" if r[f"{c}|num"] else "timestamp" if r[f"{c}|civ"] else "text" for c in df.columns}
 
 
-def typed(df: DataFrame) -> DataFrame:
+def typed(df: DataFrame, most_rows: int = 200_000, most_columns: int = 200) -> DataFrame:
+    """An uploaded sheet with typed columns; larger ones than the bounds are refused."""
+    if len(df.columns) > most_columns or df.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"a sheet has at most {most_rows} rows and {most_columns} columns")
     kinds = infer_types(df)
     cast = {"numeric": lambda c: F.col(c).cast("decimal(38,6)"), "timestamp": lambda c: F.to_timestamp(F.regexp_replace(c, "/", "-")), "text": F.col}
     return df.select(*[cast[kinds[c]](c).alias(c) for c in df.columns])

@@ -116,3 +116,57 @@ def test_source_registry(spark, tmp_path):
         S.append_graph(m, e, str(tmp_path / "graph"))
     assert spark.read.parquet(str(tmp_path / "graph/mentions")).count() == spark.read.parquet(str(tmp_path / "graph/relations")).count() == 1
     assert unicodedata.normalize("NFKC", "Ａ") == "A"
+
+
+def test_more_checks():
+    spec = QuerySpec(("sales_amount",), equals=(("region", ("ASIA",)),))
+    got = C.coverage(spec, {"metric": ["sales_amount"], "filter": ["region"], "values": {"region": "EUROPE"}, "comparison": ["last year"]})
+    assert got["conflicts"] == ["region:EUROPE"] and got["unverifiable"] == ["comparison"] and got["missing"] == []
+    assert C.judge([[], None]) == "grader_error" and C.judge([[]]) == "pass"
+    assert C.fingerprint([(2**60 + 1,)]) != C.fingerprint([(2**60,)]) and C.fingerprint([(2.0,)]) == C.fingerprint([(2,)])
+    assert not C.same_question("my sales 2024", "sales 2024", 0.01, set()) and C.same_question("my sales 2024", "my sale 2024", 0.01, set())
+    assert C.same_shape(["a", "b"], ["a", "b", "c"]) == [] and C.same_shape(["a", "b"], ["b", "a"]) == ["out of order"] and C.same_shape(["a"], ["b"]) == ["without a"]
+    assert C.notes(True, 200, {"orders"}, {"lineitem"}, True)["trust"] == "low" and C.notes(False, 200, {"orders"}, {"orders"}, True) == {"trust": "high", "notes": []}
+    assert C.hybrid((["x"], [(None,)]), "text", 1)["kind"] == "document" and C.hybrid((["x"], [(1,)]), "text", 0)["kind"] == "data" and C.hybrid(None, "", 0)["kind"] == "none"
+
+
+def test_numbers_and_claims():
+    from quarry.functions import answers as A
+    from quarry.functions import entities as E
+
+    assert (A.chinese_number("一百二十三"), A.chinese_number("两千零五"), A.chinese_number("三万五千"), A.chinese_number("十二"), A.chinese_number("x")) == (123, 2005, 35000, 12, None)
+    assert A.values("sales of 1.2亿, 15% and 二十三") == [1.2e8, 0.15, 23.0]
+    assert A.bound_claims([("amount is 1,204", ["f1"]), ("amount is 1,300", ["f1"]), ("amount is 1,200", []), ("up 20%", ["f2"])], {"f1": 1200.0, "f2": 0.2}) == ["amount is 1,204", "up 20%"]
+    assert E.entity_id("s", " “Ann  Lee” ") == E.entity_id("s", "ann lee") != E.entity_id("t", "ann lee") and E.entity_id("s", "7") is None
+    spans = E.chunk_preset("The cat sat. The cat ran. Stock prices fell. Stock prices rose." + "x" * 2000, "semantic")
+    assert spans[0] == (0, 26) and spans[-1][1] == 2063 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert text.terms("销售额 of Asia") == ["销售", "售额", "asia"] and text.json_block('{"a":1}').startswith("```json\n{") and text.json_block("no") == "no"
+
+
+def test_more_presentation():
+    from quarry.functions import timewin
+    from quarry.operators import presentation as P
+
+    lines = P.series(["month", "region", "amount"], [("1", "a", 5.0), ("2", "a", 1.0), ("1", "b", 2.0), ("1", "c", 1.0)], 2)
+    assert lines == {"a": [("1", 5.0), ("2", 1.0)], "b": [("1", 2.0)], "other": [("1", 1.0)]} and P.series(["amount"], [(1.0,)]) is None
+    assert P.kpi_delta(0.5, 0.4, "percent") == "+10.0pp" and P.kpi_delta(3, 2, "money") == "+50.0%"
+    assert [str(x) for x in P.in_order([lambda: 1, lambda: 1 / 0, lambda: 3])] == ["1", "division by zero", "3"]
+    assert P.localised(["a", "b"], {"a": {"zh": "甲", "en": "A"}}, "zh") == ["甲", "b"] and P.localised(["a"], {"a": {"en": "A"}}, "fr") == ["A"]
+    assert timewin.weekly(date(1998, 9, 14)) is None  # a week that has not started
+    assert timewin.partial_month("2026-07", date(2026, 7, 15)) == "2026-07" and timewin.partial_month("2026-06", date(2026, 7, 15)) is None and timewin.partial_month("2026-07", date(2026, 7, 31)) is None
+
+
+def test_uploads(spark, tmp_path):
+    from quarry.plans.lookup import partitions_read
+    from quarry.sources.files import replaced
+    from quarry.sources.tables import typed
+
+    stored = spark.createDataFrame([("s", "a", "1", 1), ("s", "b", "2", 1)], "space string, name string, sha256 string, version int")
+    new = spark.createDataFrame([("s", "a", "9"), ("s", "b", "2"), ("s", "c", "3")], "space string, name string, sha256 string")
+    got = {(r.name, r.sha256, r.version, r.active) for r in replaced(stored, new).collect()}
+    assert got == {("a", "1", 1, False), ("a", "9", 2, True), ("b", "2", 1, True), ("c", "3", 1, True)}
+    with pytest.raises(ValueError):
+        typed(spark.range(20).selectExpr("cast(id AS string) AS a"), 10)
+    spark.range(40).selectExpr("id", "id % 5 AS p").write.partitionBy("p").parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert partitions_read(t, "p") == {"scanned": 5, "total": 5, "full": True} and not partitions_read(t.where("p < 2"), "p")["full"]
