@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest, record, sample, with_class
+from .common import array_udf, components, cut, forest, record, sample, tidied, tidy, with_class
 
 
 def packed(v) -> bytes:
@@ -104,7 +104,7 @@ def range_links(reps: DataFrame, cosine: float, cell: int = 16384, guests: int =
                         to, who, home = np.concatenate([own, g[1]]), at[np.concatenate([np.arange(len(at)), g[0]])], np.concatenate([np.ones(len(at), bool), np.zeros(len(g[0]), bool)])
                     yield record(schema, [to * (1 << 20) + dim % (1 << 20), home, rep[who], copies[who], pa.array([raw[i] for i in who], pa.binary())])
 
-    spread = cut(reps.select("rep", "copies", "raw").mapInArrow(deal, schema))
+    spread = cut(reps.select("rep", "copies", "raw").mapInArrow(tidied(deal), schema))
     count = spread.groupBy("cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g"))
     plan = count.select("cell", F.greatest(F.lit(1), F.ceil(F.col("h") / cell)).alias("hb"), F.ceil(F.col("g") / guests).alias("gb"))
     placed = spread.join(plan, "cell").withColumn("k", F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("hb")).otherwise(F.greatest(F.col("gb"), F.lit(1)))))
@@ -136,6 +136,7 @@ def range_links(reps: DataFrame, cosine: float, cell: int = 16384, guests: int =
                 ys.append(b)
         x, y = forest(np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros(0, np.int64),) * 2
         some = np.flatnonzero(links)
+        tidy()
         return pd.DataFrame({"id": np.concatenate([rep[some], y]), "n": np.concatenate([links[some], np.zeros(len(y), np.int64)]), "root": pd.array(np.concatenate([np.full(len(some), -1), x]), "Int64")}).assign(root=lambda z: z.root.where(z.n == 0))
 
     return tasks.groupBy("cell", "i", "j").applyInPandas(join, "id long, n long, root long")
@@ -149,7 +150,7 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.95, id_col: str =
     other links, which are counted with multiplicity. A component's id is its least vec_id; kept is vec_id =
     component_id. Rows with a null id, or repeated ids, are rows like any other; an empty table gives no rows.
     """
-    raw = F.arrow_udf(lambda v: pa.array(usable(v), pa.binary()), "binary")
+    raw = array_udf(lambda v: pa.array(usable(v), pa.binary()), "binary")
     rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), raw(F.col(vec_col)).alias("raw")))
     classes = rows.where("raw is not null").groupBy("raw").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
     classes = cut(classes.select("raw", "copies", F.coalesce("first", F.lit(2**63 - 1)).alias("rep")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import cut, held_out, lower_words, record, reuse_memory
+from .common import cut, held_out, lower_words, record, reuse_memory, tidied, tidy
 
 CHUNK = "chunk long, doc_ids binary, nulls binary, held binary, lengths binary, words binary, hashes binary, counts binary"
 #: The hash that stands for the end of a text; a word's XXH64 is never taken to be this one.
@@ -69,7 +69,7 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.mapInArrow(run, CHUNK)
+    return docs.mapInArrow(tidied(run), CHUNK)
 
 
 def sides(distinct: int) -> int:
@@ -158,7 +158,7 @@ def streams_of(packed: DataFrame, language: Language, groups: int, one_of: int =
                     mine = group == g
                     yield record(schema, [[g], [key[mine].tobytes()], [n[mine].astype("<i4").tobytes()], [squeeze(word[owner == g])]])
 
-    return packed.select("doc_ids", "held", "lengths", "words", "hashes").mapInArrow(run, schema)
+    return packed.select("doc_ids", "held", "lengths", "words", "hashes").mapInArrow(tidied(run), schema)
 
 
 def improve(packed: DataFrame, language: Language, groups: int, one_of: int = 1, streams: int = 256, rate: float = 8e-3) -> tuple[np.ndarray | None, int]:
@@ -180,6 +180,7 @@ def improve(packed: DataFrame, language: Language, groups: int, one_of: int = 1,
         stream = words[np.repeat(begin[order] - to + n, n) + np.arange(to[-1])].astype(np.int64)
         trainer = gru.Trainer(shared.value)
         trainer.run(stream, min(streams, max(16, len(stream) // 16_000)), 16, rate)
+        tidy()
         return pd.DataFrame({"g": [int(key[0])], "n": [len(stream)], "w": [gru.pack(trainer.p).tobytes()]})
 
     def merge(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
@@ -263,4 +264,4 @@ def lm_scores(docs: DataFrame, dims: tuple[int, int, int] | None = None, chunk:
                 yield record(out, [pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=nulls), np.frombuffer(row["held"], bool), n, np.add.reduceat((c > 0)[at].astype(np.int64), begin), np.full(len(n), lang.tokens), np.add.reduceat(base[at], begin), ll / math.log(10)])
 
     parts = answers.where("kind = 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "payload")).alias("parts"))
-    return packed.select("chunk", "doc_ids", "nulls", "held", "lengths", "words", "hashes").join(parts, "chunk").mapInArrow(run, out)
+    return packed.select("chunk", "doc_ids", "nulls", "held", "lengths", "words", "hashes").join(parts, "chunk").mapInArrow(tidied(run), out)

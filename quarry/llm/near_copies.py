@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, cut, record, sample, with_class
+from .common import array_udf, as_bytes, components, cut, record, sample, tidied, tidy, with_class
 from .simhash import block_tasks, close_pairs, grow, leaves, majority, shingle_hashes, spanning
 
 WORDS, BITS = 3, 16
@@ -58,7 +58,7 @@ def spread_out(reps: DataFrame, shard: int, fit: int, r: int = 1) -> DataFrame:
                 row, at, home = leaves(m[:, s], trees[s], r)
                 yield record("cell long, home boolean, sig binary, rep long", [at * SEGMENTS + s, home, raw.take(pa.array(row)), rep[row]])
 
-    return reps.select("sig", "rep").mapInArrow(deal, "cell long, home boolean, sig binary, rep long")
+    return reps.select("sig", "rep").mapInArrow(tidied(deal), "cell long, home boolean, sig binary, rep long")
 
 
 def candidates(spread: DataFrame, most: int, shard: int, guests: int, r: int = 1) -> DataFrame:
@@ -72,6 +72,7 @@ def candidates(spread: DataFrame, most: int, shard: int, guests: int, r: int = 1
             return sum(np.bitwise_count(wide[i, k] ^ wide[j, k]) for k in range(WORDS))
 
         a, b = close_pairs(m[:, s].astype(np.uint32), np.flatnonzero(home), np.flatnonzero(~home), s, r, gap, most, spanning)
+        tidy()
         return pd.DataFrame({"a": np.minimum(rep[a], rep[b]), "b": np.maximum(rep[a], rep[b])})
 
     return block_tasks(spread, shard, guests, "sig", "rep").groupBy("cell", "i", "j").applyInPandas(shard_links, "a long, b long").where("a <> b").distinct()
@@ -123,6 +124,7 @@ def verified(members: DataFrame, similarity: float, block: int, held: int) -> Da
             left, right = (np.flatnonzero(k[a:z] == key[2]), np.flatnonzero(k[a:z] == key[3])) if key[0] else (np.arange(z - a),) * 2
             edges += [(rep[a + i], rep[a + j]) for i, j in alike(sets, left, right, similarity)]
         a, b = np.array(edges, np.int64).reshape(-1, 2).T
+        tidy()
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return tasks.groupBy("big", "g", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b")
@@ -140,13 +142,13 @@ def near_copies(docs: DataFrame, text: str = "text", size: int = 5, similarity:
     component's id (null if it has none); rows that share an id share a component; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sign = F.arrow_udf(lambda t: pa.array([signature(b, size) for b in as_bytes(t)], pa.binary()), "binary")
+    sign = array_udf(lambda t: pa.array([signature(b, size) for b in as_bytes(t)], pa.binary()), "binary")
     prints = cut(docs.select("doc_id", sign("text").alias("sig")))
     reps = cut(prints.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))).withColumn("rep", F.coalesce("first", F.lit(2**63 - 1)))
     spread = cut(spread_out(reps.where("first is not null").select("sig", "rep"), shard, fit))
     loose = components(candidates(spread, most, shard, guests))
     members = cut(loose.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")).unionByName(loose.select(F.col("root").alias("doc_id"), F.col("root").alias("cluster")).distinct()))
-    shingles = F.arrow_udf(lambda t: pa.array([np.unique(shingle_hashes(b, size)).tobytes() for b in as_bytes(t)], pa.binary()), "binary")
+    shingles = array_udf(lambda t: pa.array([np.unique(shingle_hashes(b, size)).tobytes() for b in as_bytes(t)], pa.binary()), "binary")
     # nothing is left of most texts, so the few members' ids go to the texts and not the texts to them
     found = docs.join(F.broadcast(members) if members.count() <= ids else members, "doc_id")
     sets = cut(found.select("cluster", F.col("doc_id").alias("rep"), shingles("text").alias("set")).where(F.octet_length("set") > 0))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record
+from .common import record, tidied
 
 #: Fixed value: the pre-tokenizer's pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -217,7 +217,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, segments: int = 256, loss
         if task.rows:
             yield task.drain()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), PIECES)
 
 
 TURNS = PIECES.replace("doc_id long,", "conv_id long, turn long,")
@@ -263,4 +263,4 @@ def pack_conversations(turns: DataFrame, path: str, size: int = 2048, segments:
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     order = ("conv_id", "turn", "role", "text")
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, TURNS)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidied(run), TURNS)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, record, sample, struct_udf
+from .common import cut, record, sample, struct_udf, tidied
 from .language_id import logistic
 
 #: The base patterns, and the least length of what they must hold.
@@ -294,7 +294,7 @@ def fit(docs: DataFrame, bound: int = 30_000, findings: int = 6000, made: int =
                 yield record(schema, [list(x) for x in zip(*rows)])
 
     schema = "start long, prior string, body string, after string, label long, doc_id long"
-    found = cut(sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), bound, "doc_id").mapInArrow(run, schema))
+    found = cut(sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), bound, "doc_id").mapInArrow(tidied(run), schema))
     got = found.where("label = 1"), found.where("label = 0")
     good, bad = (sample(x.withColumn("body", F.substring("body", 1, 400)), findings // 2, "doc_id", "start", "body").toPandas().sort_values(["doc_id", "start", "body"]) for x in got)
     bad = bad[[len(x) < 16 or entropy(x) < 4 for x in bad.body]]

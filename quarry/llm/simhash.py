@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, cut, forest, lower_words, record, sample, struct_udf, with_class
+from .common import as_bytes, components, cut, forest, lower_words, record, sample, struct_udf, tidied, tidy, with_class
 
 #: Segments as (first bit, bits).
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -224,12 +224,13 @@ def links(prints: DataFrame, radius: int = 4, shard: int = 8192, guests: int = 3
                 row, at, home = leaves(segment(fp, s), trees[s], rs[s])
                 yield record("cell long, home boolean, fp long, rep long", [at * 3 + s, home, fp[row].view(np.int64), rep[row]])
 
-    spread = cut(prints.select("fp", "rep").mapInArrow(deal, "cell long, home boolean, fp long, rep long"))
+    spread = cut(prints.select("fp", "rep").mapInArrow(tidied(deal), "cell long, home boolean, fp long, rep long"))
 
     def shard_links(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         fp, rep, home = t.fp.to_numpy().view(np.uint64), t.rep.to_numpy(), t.home.to_numpy()
         s = int(key[0]) % 3
         a, b = close_pairs(segment(fp, s), np.flatnonzero(home), np.flatnonzero(~home), s, rs[s], lambda i, j: np.bitwise_count(fp[i] ^ fp[j]), radius, stars)
+        tidy()
         return pd.DataFrame({"a": rep[a], "b": rep[b]})
 
     return block_tasks(spread, shard, guests, "fp", "rep").groupBy("cell", "i", "j").applyInPandas(shard_links, "a long, b long")
