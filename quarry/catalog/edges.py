@@ -14,8 +14,8 @@ VALUES = " UNION ALL ".join(f"SELECT DISTINCT '{t}.{c}' AS col, '{'numeric' if c
 BAND = "CASE WHEN o >= 0.9 THEN 0.90 WHEN o >= 0.6 THEN 0.75 WHEN o >= 0.3 THEN 0.55 WHEN o >= 0.1 THEN 0.35 END"
 
 
-def values(t, most=10**9):
-    return E.column_values({n: t(n) for n in COLUMNS}, COLUMNS, most)
+def values(t):
+    return E.column_values({n: t(n) for n in COLUMNS}, COLUMNS, None)
 
 
 @query(f"WITH v AS ({VALUES}), n AS (SELECT col, kind, count(*) AS n FROM v GROUP BY 1, 2 HAVING count(*) >= 3), c AS (SELECT a.col AS l, b.col AS r, count(*) AS common FROM v a JOIN v b ON a.kind = b.kind AND a.value = b.value AND a.col < b.col AND split_part(a.col, '.', 1) <> split_part(b.col, '.', 1) WHERE a.col IN (SELECT col FROM n) AND b.col IN (SELECT col FROM n) GROUP BY 1, 2), s AS (SELECT l, r, common / least(x.n, y.n) AS o FROM c JOIN n x ON c.l = x.col JOIN n y ON c.r = y.col) SELECT l AS \"left\", r AS \"right\", round(o, 6) AS overlap, least(0.95, round({BAND} + CASE WHEN regexp_replace(lower(split_part(l, '.', 2)), '[^a-z0-9]', '', 'g') = regexp_replace(lower(split_part(r, '.', 2)), '[^a-z0-9]', '', 'g') THEN 0.05 ELSE 0 END, 2)) AS confidence FROM s WHERE o >= 0.1")
@@ -114,7 +114,7 @@ def learning_rollback(t, spark):
 
 @query("SELECT * FROM (VALUES ('orders', 'o_orderstatus'), ('lineitem', 'l_linestatus'), ('lineitem', 'l_returnflag'), ('events', 'event_type'), ('part', 'p_type')) AS t(\"table\", \"column\")")
 def candidate_code_columns(t, spark):
-    from .. operators.profiling import bucket
+    from ..operators.profiling import bucket
 
     rows = [(n, f.name, bucket(f.dataType), "") for n in ("orders", "lineitem", "events", "part", "customer") for f in t(n).schema]
     return E.candidate_columns(spark.createDataFrame(rows, "table string, column string, kind string, comment string")).select("table", "column")

@@ -26,10 +26,11 @@ def normal(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
 
 
-def column_values(tables: dict[str, DataFrame], columns: dict[str, list[str]], most: int = 500) -> DataFrame:
-    """(column, kind, value) of the distinct values of table.column, at most `most` of each by a hash of the value.
+def column_values(tables: dict[str, DataFrame], columns: dict[str, list[str]], most: int | None = 500) -> DataFrame:
+    """(column, kind, value) of the distinct values of table.column, at most `most` of each by a hash of the value, or all.
 
-    Equal values have equal hashes, so that columns of one domain keep the same values.
+    Equal values have equal hashes, so that columns of one domain keep the same values. Before a column's values are
+    put in order, its share of hashes that holds some twice `most` of them is kept, so no task orders a large column.
     """
     out = None
     for table, df in tables.items():
@@ -40,7 +41,11 @@ def column_values(tables: dict[str, DataFrame], columns: dict[str, list[str]], m
         kind = F.create_map(*[F.lit(x) for c in cols for x in (c, kinds[c])])
         part = long.select(F.concat(F.lit(f"{table}."), "c").alias("column"), kind[F.col("c")].alias("kind"), "value")
         out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("column").orderBy(F.xxhash64("value"), "value")
+    if most is None:
+        return out
+    share = out.groupBy("column").agg((F.lit(2.0 * most + 50) / F.count("*")).alias("_s"))
+    out = out.join(share, "column").where(F.pmod(F.xxhash64("value"), F.lit(1 << 30)) / float(1 << 30) <= F.col("_s")).drop("_s")
+    w = Window.partitionBy("column").orderBy(F.pmod(F.xxhash64("value"), F.lit(1 << 30)), "value")
     return out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 

@@ -143,3 +143,11 @@ def test_names_of_tables():
     assert edges.table_core("ods_status") == ["status"] and edges.table_core("dim_t") == []
     with pytest.raises(ValueError):
         cards.card_aggregate(None, "x", "sum", "percent")
+
+
+def test_sampled_values_agree_between_columns(spark):
+    """Columns of one domain keep the same values of it, and no more than asked for."""
+    a, b = spark.range(5000).selectExpr("id AS x"), spark.range(2500, 7500).selectExpr("id AS y")
+    got = edges.column_values({"a": a, "b": b}, {"a": ["x"], "b": ["y"]}, 200).toPandas()
+    x, y = (set(got[got.column == c].value) for c in ("a.x", "b.y"))
+    assert len(x) == len(y) == 200 and len({v for v in x & y}) > 60
