@@ -98,9 +98,13 @@ def struct_udf(schema: str, fn):
     """
 
     def run(*arrays: pa.Array) -> pa.Array:
-        out = pa.StructArray.from_arrays(columns(schema, fn(*arrays)), names=[n for n, _ in fields(schema)])
+        # in slices, so that a batch's texts aren't copied all at once
+        out = []
+        for k in range(0, max(1, len(arrays[0])), 2048):
+            values = fn(*[a.slice(k, 2048) for a in arrays])
+            out.append(pa.StructArray.from_arrays(columns(schema, values), names=[n for n, _ in fields(schema)]))
         tidy()
-        return out
+        return pa.concat_arrays(out)
 
     ddl = "struct<" + ",".join(f"{n}:{k}" for n, k in fields(schema)) + ">"
     return F.arrow_udf(run, ddl).asNondeterministic()
