@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import cotraining, embedding_dedup, language_id, lm_scoring, mixing, packing, quality_rules, secrets, sharding, simhash
+from . import cotraining, embedding_dedup, language_id, lm_scoring, mixing, packing, quality_rules, secrets, sharding, simhash, vector_codes
 from .common import read
 
 
@@ -60,13 +60,32 @@ def op10_source_mixing(spark, sf_dir):
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_simhash_dedup, op4_quality_classifier, op5_packing, op6_lm_scoring, op7_quality_rules, op8_sharding, op9_embedding_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_simhash_dedup, op4_quality_classifier, op5_packing, op6_lm_scoring, op7_quality_rules, op8_sharding, op9_embedding_dedup, op10_source_mixing, op11_vector_codes)}
+
+
+
+def _lloyd(k: int) -> str:
+    """Assignment a<k> to codebooks b<k>, and codebooks b<k+1>."""
+    return f"""a{k} AS (
+  SELECT vec_id, label, part, x, e[1] AS d, e[2] AS entry FROM (
+    SELECT p.vec_id, p.label, p.part, any_value(p.x) AS x, min([list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) ** 2))::BIGINT, b.entry]) AS e
+    FROM p JOIN b{k} AS b ON p.part = b.part GROUP BY p.vec_id, p.label, p.part)
+), m{k} AS (
+  SELECT part, entry, list(floor(s / n)::BIGINT ORDER BY i) AS c FROM (
+    SELECT part, entry, i, sum(x[i])::DOUBLE AS s, count(*) AS n FROM a{k}, range(1, 65) AS t(i) WHERE i <= len(x) GROUP BY part, entry, i)
+  GROUP BY part, entry
+), b{k + 1} AS (SELECT part, entry, coalesce(m.c, b.c) AS c FROM b{k} AS b LEFT JOIN m{k} AS m USING (part, entry))"""
+
 
 ORACLE = {
     "op9_embedding_dedup": """
@@ -82,5 +101,20 @@ WITH RECURSIVE v AS (
 ), comp AS (SELECT a, min(r) AS component_id FROM reach GROUP BY a),
 n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
 SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, comp.component_id, v.vec_id = comp.component_id AS kept
-FROM v JOIN comp ON comp.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id"""
+FROM v JOIN comp ON comp.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
+    "op11_vector_codes": f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT v.vec_id, v.label, k AS part, list_slice(e, k * len(e) // 16 + 1, (k + 1) * len(e) // 16) AS x FROM v, range(16) AS t(k)
+), b0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 64
+), {_lloyd(0)}, {_lloyd(1)}, {_lloyd(2)}, out AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
+FROM out""",
 }
