@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import cotraining, embedding_dedup, language_id, lm_scoring, mixing, packing, quality_rules, secrets, sharding, simhash, vector_codes
+from . import cotraining, embedding_dedup, language_id, lexical_search, lm_scoring, mixing, packing, quality_rules, secrets, sharding, simhash, vector_codes
 from .common import read
 
 
@@ -64,13 +64,17 @@ def op11_vector_codes(spark, sf_dir):
     return vector_codes.compress(read(spark, sf_dir, "embeddings"))
 
 
+def op12_lexical_search(spark, sf_dir):
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_simhash_dedup, op4_quality_classifier, op5_packing, op6_lm_scoring, op7_quality_rules, op8_sharding, op9_embedding_dedup, op10_source_mixing, op11_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_simhash_dedup, op4_quality_classifier, op5_packing, op6_lm_scoring, op7_quality_rules, op8_sharding, op9_embedding_dedup, op10_source_mixing, op11_vector_codes, op12_lexical_search)}
 
 
 
@@ -117,4 +121,20 @@ WITH v AS (
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
   (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
 FROM out""",
+    "op12_lexical_search": r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents
+), q AS (
+  SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t
+), c AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY doc_id, t),
+l AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM c GROUP BY doc_id),
+g AS (SELECT count(*) AS total, sum(n)::BIGINT AS length FROM l),
+w AS (SELECT t, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM c, g GROUP BY t, total),
+m AS (SELECT doc_id, 25 + (75 * n * total) // length AS m FROM l, g),
+s AS (
+  SELECT q.item_id, c.doc_id, sum(q.times * w.w * ((1000000000 * c.tf) // (1000 * c.tf + 8 * m.m)))::BIGINT AS score
+  FROM q JOIN c USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY q.item_id, c.doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
 }
