@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import cotraining, embedding_dedup, language_id, lexical_search, lm_scoring, mixing, packing, quality_rules, secrets, sharding, simhash, vector_codes
+from . import cotraining, embedding_dedup, language_id, lexical_search, lm_scoring, mixing, packing, quality_rules, secrets, sharding, simhash, toxicity, vector_codes
 from .common import read
 
 
@@ -68,13 +68,17 @@ def op12_lexical_search(spark, sf_dir):
     return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_toxicity(spark, sf_dir):
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_simhash_dedup, op4_quality_classifier, op5_packing, op6_lm_scoring, op7_quality_rules, op8_sharding, op9_embedding_dedup, op10_source_mixing, op11_vector_codes, op12_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_simhash_dedup, op4_quality_classifier, op5_packing, op6_lm_scoring, op7_quality_rules, op8_sharding, op9_embedding_dedup, op10_source_mixing, op11_vector_codes, op12_lexical_search, op13_toxicity)}
 
 
 
