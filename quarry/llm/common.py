@@ -150,6 +150,20 @@ def with_class(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(classes, key))
 
 
+def least_id(classes: DataFrame, key: str, *carried: str) -> DataFrame:
+    """(key, copies, carried, component_id) of classes (key, first, copies, root): the least `first` of a root's classes.
+
+    Roots of one class, which most are, don't meet a shuffle twice: the others' are summed up and joined by themselves.
+    """
+    ids = classes.groupBy("root").agg(F.count("*").alias("classes"), F.min("first").alias("component_id"))
+    many = cut(ids.where("classes > 1").select("root", F.col("classes").alias("copies"), "component_id"))
+    keep = [key, F.col("n_rows").alias("copies"), *carried, "component_id"]
+    named = classes.withColumnRenamed("copies", "n_rows")
+    together = with_class(named.join(small(many.select("root")), "root", "left_semi"), many, "root").select(*keep)
+    alone = named.join(small(many.select("root")), "root", "left_anti").withColumn("component_id", F.col("first")).select(*keep)
+    return cut(together.unionByName(alone))
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (root, member) of the components of edges (a, b); root is the smallest member."""
     ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)

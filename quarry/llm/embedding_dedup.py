@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import array_udf, components, cut, forest, record, sample, tidied, tidy, with_class
+from .common import array_udf, components, cut, forest, least_id, record, sample, tidied, tidy, with_class
 
 
 def packed(v) -> bytes:
@@ -147,18 +147,20 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.95, id_col: str =
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and neither do
     vectors of different lengths. Equal vectors are one class: their rows link with one another and share all
-    other links, which are counted with multiplicity. A component's id is its least vec_id; kept is vec_id =
-    component_id. Rows with a null id, or repeated ids, are rows like any other; an empty table gives no rows.
+    other links, which are counted with multiplicity. A component's id is its least vec_id, null if all are null; kept
+    is vec_id = component_id, false where one is null. Rows with a null id, or repeated ids, link like any other; an
+    empty table gives no rows.
     """
     raw = array_udf(lambda v: pa.array(usable(v), pa.binary()), "binary")
     rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), raw(F.col(vec_col)).alias("raw")))
     classes = rows.where("raw is not null").groupBy("raw").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
-    classes = cut(classes.select("raw", "copies", F.coalesce("first", F.lit(2**63 - 1)).alias("rep")))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     out = cut(range_links(classes, cosine))
     root = components(out.where("root is not null").select(F.col("root").alias("a"), F.col("id").alias("b")))
     n = out.groupBy("id").agg(F.sum("n").alias("n"))
-    of = classes.join(n, classes.rep == n.id, "left").join(root, classes.rep == root.node, "left").select("raw", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    of = classes.join(n, classes.rep == n.id, "left").join(root, classes.rep == root.node, "left").select("raw", "first", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    of = least_id(cut(of), "raw", "n_links")
     alone = rows.where("raw is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    joined = with_class(rows.where("raw is not null"), cut(of), "raw").select("vec_id", "n_links", "component_id").unionByName(alone)
+    joined = with_class(rows.where("raw is not null"), of, "raw").select("vec_id", "n_links", "component_id").unionByName(alone)
     comp = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, cut, forest, lower_words, record, sample, struct_udf, tidied, tidy, with_class
+from .common import as_bytes, components, cut, forest, least_id, lower_words, record, sample, struct_udf, tidied, tidy, with_class
 
 #: Segments as (first bit, bits).
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -241,12 +241,13 @@ def simhash_components(docs: DataFrame, text: str = "text", size: int = 4, radiu
 
     Fingerprints link at `radius` or fewer differing bits; a component's id is its least doc_id. Null, empty
     and blank texts have fingerprint zero and are linked like any other; repeated rows are each returned; a
-    null doc_id gets its component's id and never is one (null if there is no other); an empty table gives
+    null doc_id gets its component's id and never is one (null if there is no other). Classes of equal fingerprints
+    are numbered for the search, so that those without an id stay apart; an empty table gives
     no rows. Texts are hashed whole, and equal fingerprints are one node, so a group of exact copies costs
     one comparison.
     """
     prints = cut(with_fingerprint(docs.select("doc_id", F.col(text).alias("text")), "text", size).select("doc_id", F.col("_f.fp").alias("fp")))
-    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))).withColumn("rep", F.coalesce("first", F.lit(2**63 - 1)))
+    reps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
     joined = components(links(reps.select("fp", "rep"), radius))
-    of = cut(reps.join(joined, reps.rep == joined.node, "left").select("fp", "copies", F.coalesce("root", "first").alias("component_id")))
-    return with_class(prints, of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = cut(reps.join(joined, reps.rep == joined.node, "left").select("fp", "first", "copies", F.coalesce("root", "rep").alias("root")))
+    return with_class(prints, least_id(of, "fp"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -59,7 +59,22 @@ def closure(ids, pairs):
     return low
 
 
-def test_simhash_brute_force(spark, odd, empty):
+def nameless(spark, n=24):
+    """Unrelated long texts, each with near copies that differ by a word; one of every text's has no id, of some all."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(n):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 900)]
+        for j in range(3):
+            v = list(w)
+            v[int(rng.integers(900))] = f"e{k}{j}"
+            rows.append((None if j == 1 or k % 4 == 3 else 100 * j + k, " ".join(v), "en", "s", 1, "", ""))
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.mark.parametrize("which", ["odd", "nameless"])
+def test_simhash_brute_force(spark, odd, empty, which):
+    odd = odd if which == "odd" else nameless(spark)
     rows = odd.collect()
     fps = [fingerprint(r.text) for r in rows]
     low = closure(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4])
@@ -207,6 +222,27 @@ def test_embeddings_brute_force(spark):
     assert embedding_dedup.embedding_components(df.limit(0)).count() == 0
 
 
+def test_embeddings_without_ids(spark):
+    """Unrelated groups, each with a vector without an id, stay apart; pairs without ids link; a group may have no id at all."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(30):
+        x = rng.standard_normal(16)
+        for j in range(4):
+            rows.append((None if j in (1, 2) or k % 5 == 4 else 10 * k + j, (x + 0.03 * rng.standard_normal(16)).tolist()))
+    rows += [rows[1], rows[1], (None, None), (None, [0.0] * 16)]
+    u = [np.array(v) / np.linalg.norm(v) if v and any(v) else None for _, v in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if u[a] is not None and u[b] is not None and (u[a] * u[b]).sum() >= 0.95]
+    low, n = closure(range(len(rows)), pairs), Counter(i for p in pairs for i in p)
+    group = {}
+    for k, (i, _) in enumerate(rows):
+        group.setdefault(low[k], []).append(i)
+    comp = [min((i for i in group[low[k]] if i is not None), default=None) for k in range(len(rows))]
+    want = Counter((i, n[k], comp[k], i is not None and i == comp[k]) for k, (i, _) in enumerate(rows))
+    got = Counter(tuple(r) for r in embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == want and len(pairs) > 150
+
+
 def test_packing_round_trip(spark, odd, empty):
     import public_tokenizers
     import tokenizers
