@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .analysed import Lineage, analysed, strange
+
 ROW_CAP = 200
 #: Parts of column names whose values are never shown.
 SENSITIVE = ("password", "passwd", "secret", "token", "id_card", "phone", "mobile")
@@ -58,6 +61,7 @@ class Scoped:
 
     sql: str
     session: SparkSession
+    tables: frozenset[str]
 
 
 @dataclass
@@ -77,23 +81,28 @@ def relations(spark: SparkSession, sql: str) -> set[str]:
     """Names of the relations that one read-only statement reads; raises GateError for anything else.
 
     The statement is parsed by Spark, and its unresolved plan is walked; commands are refused, and so are functions
-    that aren't in the list. A name is a CTE only where that CTE can be seen: not in its own body, nor in those
-    before it, nor outside of the query that it belongs to.
+    that aren't in the list and names that are made up by IDENTIFIER(). A name is a CTE only where that CTE can be
+    seen: not in its own body unless it is recursive, nor in those before it, nor outside of the query that it
+    belongs to. What the names turn out to be is proven by run_scoped() on the analysed plan.
     """
     if re.search(r"/\*[!+]", sql):
         raise GateError("executable comments are refused")
     plain = re.sub(r"--[^\n]*|/\*.*?\*/", " ", re.sub(r"'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "''", sql), flags=re.S)
     if re.search(r"[?]|(?<!:):[A-Za-z_]+\b", plain):
         raise GateError("unbound placeholders are refused")
+    if re.search(r"\bidentifier\s*\(", plain, re.I):
+        raise GateError("names made up by identifier() are refused")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise GateError(f"not one statement that parses: {str(e).splitlines()[0]}") from None
     names: set[str] = set()
-    blocks = 0
 
     def calls(expression):
-        if expression.getClass().getSimpleName() == "UnresolvedFunction":
+        kind = expression.getClass().getSimpleName()
+        if "UnresolvedIdentifier" in kind:
+            raise GateError("names made up by identifier() are refused")
+        if kind == "UnresolvedFunction":
             name = ".".join(elements(expression.nameParts())).lower()
             if name not in FUNCTIONS:
                 raise GateError(f"the function {name} is refused")
@@ -101,7 +110,6 @@ def relations(spark: SparkSession, sql: str) -> set[str]:
             calls(e)
 
     def walk(node, visible: frozenset):
-        nonlocal blocks
         kind = node.getClass().getSimpleName()
         if kind == "UnresolvedRelation":
             name = node.tableName().replace("`", "").lower()
@@ -109,19 +117,16 @@ def relations(spark: SparkSession, sql: str) -> set[str]:
                 names.add(name)
         elif kind == "UnresolvedWith":
             for cte in elements(node.cteRelations()):
-                walk(cte._2(), visible)
+                walk(cte._2(), visible | {cte._1().lower()} if node.allowRecursion() else visible)
                 visible = visible | {cte._1().lower()}
-        elif re.search("Command|Insert|Create|Drop|Alter|Merge|Delete|Update|Replace|Truncate|SetCatalog|UnresolvedTableValuedFunction|ScriptTransformation|Show|Describe|Cache|Refresh", kind):
+        elif re.search("Command|Insert|Create|Drop|Alter|Merge|Delete|Update|Replace|Truncate|SetCatalog|UnresolvedTableValuedFunction|UnresolvedIdentifier|ScriptTransformation|Show|Describe|Cache|Refresh", kind):
             raise GateError(f"{kind} is not a read")
-        blocks += kind in ("Project", "Aggregate")
         for e in elements(node.expressions()):
             calls(e)
         for inner in (*elements(node.subqueries()), *elements(node.children())):
             walk(inner, visible)
 
     walk(plan, frozenset())
-    if blocks != len(re.findall(r"\bselect\b", plain, re.I)):
-        raise GateError("the query blocks that were walked aren't those of the text")
     if not names:
         raise GateError("a statement that reads no table is refused")
     if bad := [n for n in names if n.split(".")[0] in ("information_schema", "mysql", "pg_catalog", "sys", "system")]:
@@ -145,17 +150,38 @@ class Binding:
     via_key: str | None = None
 
 
+@dataclass(frozen=True)
+class Unrestricted:
+    """Proof that a login sees everything: it takes two facts that don't come from one place."""
+
+    login: str
+    view_type_all: bool
+    role_admin: bool
+
+    def __post_init__(self):
+        if not (self.view_type_all and self.role_admin):
+            raise ScopeError(f"{self.login} isn't proven to be unrestricted")
+
+
 @dataclass(frozen=True)
 class Principal:
-    """customers and owners: None is unrestricted, an empty tuple denies."""
+    """Whose rows are read: those of the customers and of the owners named, and no others.
+
+    None and an empty tuple name nobody. Every row is seen only with a proof of the same login.
+    """
 
     login: str
     customers: tuple | None = None
     owners: tuple | None = None
+    proof: Unrestricted | None = None
+
+    def __post_init__(self):
+        if self.proof and self.proof.login != self.login:
+            raise ScopeError(f"the proof is of {self.proof.login} and not of {self.login}")
 
     @property
     def unrestricted(self) -> bool:
-        return self.customers is None and self.owners is None
+        return isinstance(self.proof, Unrestricted)
 
 
 def scoped(table: str, tables, bindings: dict[str, Binding], who: Principal) -> DataFrame:
@@ -183,19 +209,50 @@ def scope(spark: SparkSession, checked: Checked, tables, bindings: dict[str, Bin
         if "." in n:
             raise ScopeError(f"{n} is named by its catalogue, which no scope covers")
         scoped(n, lambda t: tables(session, t), bindings, who).createOrReplaceTempView(n)
-    return Scoped(checked.sql, session)
+    return Scoped(checked.sql, session, checked.names)
 
 
-def run_scoped(spark: SparkSession, sql: str, tables, bindings: dict[str, Binding], who: Principal, cap: int = ROW_CAP) -> Result:
-    """Gates the statement, gives its relations scoped views in a session of its own, runs it, and caps the rows."""
+def opened(stage: Scoped) -> DataFrame:
+    """The statement's rows, once its analysed plan is proven to read the scoped views and nothing else."""
+    try:
+        df = stage.session.sql(stage.sql)
+    except PySparkException as e:
+        raise GateError(f"not a statement of these tables: {str(e).splitlines()[0]}") from None
+    if bad := strange(df, stage.tables):
+        raise GateError(f"{bad[0]} is refused")
+    return df
+
+
+def run_scoped(spark: SparkSession, sql: str, tables, bindings: dict[str, Binding], who: Principal, cap: int = ROW_CAP, sensitive: tuple[str, ...] = SENSITIVE) -> Result:
+    """Gates the statement, gives its relations scoped views in a session of its own, proves on the analysed plan that it
+    reads nothing else, nulls what comes from sensitive columns, runs it, and caps the rows."""
     stage = scope(spark, check(spark, Raw(sql)), tables, bindings, who)
-    return bounded(redact(stage.session.sql(stage.sql)), cap)
+    return bounded(redact(opened(stage), stage.tables, sensitive), cap)
 
 
-def redact(df: DataFrame) -> Result:
-    """Sensitive columns become null and are named."""
-    names = [c for c in df.columns if any(s in c.lower() for s in SENSITIVE)]
-    return Result(df.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in names}) if names else df, names)
+def redact(df: DataFrame, tables: frozenset[str] | None = None, sensitive: tuple[str, ...] = SENSITIVE) -> Result:
+    """Columns that come from sensitive ones, through whatever expressions and names, become null and are named.
+
+    A column is sensitive if its name holds one of the words. Columns that only carry such a name count as well. Of a
+    statement over scoped tables, one that chooses, joins, groups or orders rows by a sensitive column is refused,
+    since the rows would tell its values.
+    """
+    hidden = lambda name: any(s in name.lower() for s in sensitive)
+    lineage = Lineage(analysed(df), set(tables) if tables is not None else None)
+    if tables is not None:
+        for place, o in lineage.tested():
+            if bad := sorted(c for _, c in o.sources if hidden(c)):
+                raise GateError(f"rows may not be told apart by {bad[0]} ({place})")
+    origins = lineage.columns()
+    if len(origins) != len(df.columns):
+        raise GateError("the origins of the result's columns aren't known")
+    at = [k for k, (c, o) in enumerate(zip(df.columns, origins)) if hidden(c) or any(hidden(x) for _, x in o.sources)]
+    if not at:
+        return Result(df)
+    names = [f"_c{k}" for k in range(len(df.columns))]
+    flat = df.toDF(*names)
+    shown = [F.lit(None).cast(f.dataType).alias(n) if k in at else F.col(n) for k, (n, f) in enumerate(zip(names, df.schema.fields))]
+    return Result(flat.select(*shown).toDF(*df.columns), [df.columns[k] for k in at])
 
 
 def bounded(result: Result, cap: int) -> Result:
@@ -216,19 +273,6 @@ def merge_codes(*lists: list | None) -> tuple | None:
     return tuple(sorted({c for x in lists for c in x if str(c) != "-1"}, key=str))
 
 
-@dataclass(frozen=True)
-class Unrestricted:
-    """Proof that a login sees everything: it takes two facts that don't come from one place."""
-
-    login: str
-    view_type_all: bool
-    role_admin: bool
-
-    def __post_init__(self):
-        if not (self.view_type_all and self.role_admin):
-            raise ScopeError(f"{self.login} isn't proven to be unrestricted")
-
-
 class ScopeCache:
     """Principals by login, role, source and the version of the rules; a new version forgets the old ones of its key."""
 
@@ -244,16 +288,18 @@ class ScopeCache:
         return self.held[key][1]
 
 
-def decide_scope(view_types: list[str], login: str, own: tuple, department: tuple, customers: tuple, tree: tuple | None = None) -> Principal:
+def decide_scope(view_types: list[str], login: str, own: tuple, department: tuple, customers: tuple, tree: tuple | None = None, admin: bool = False) -> Principal:
     """The widest of a login's view types; none of them, or an unknown one, is an error.
 
-    tree has the owners at or below the login's departments, as expand_tree() finds them.
+    The view type "all" alone proves nothing: the login's role must be an administrator's too. tree has the owners at or below the login's departments, as expand_tree() finds them.
     """
     order = ("self", "department", "tree", "settlement", "all")
     if bad := set(view_types) - set(order) or not view_types:
         raise ScopeError(f"no known view type: {bad if isinstance(bad, set) else None}")
     widest = max(view_types, key=order.index)
-    return {"all": Principal(login), "self": Principal(login, owners=own), "department": Principal(login, owners=department), "tree": Principal(login, owners=tree if tree is not None else department), "settlement": Principal(login, customers=customers)}[widest]
+    if widest == "all":
+        return Principal(login, proof=Unrestricted(login, True, admin))
+    return {"self": Principal(login, owners=own), "department": Principal(login, owners=department), "tree": Principal(login, owners=tree if tree is not None else department), "settlement": Principal(login, customers=customers)}[widest]
 
 
 def expand_tree(nodes: DataFrame, roots: list) -> DataFrame:

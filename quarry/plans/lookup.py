@@ -2,55 +2,61 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .analysed import Node, held, tree_of, conjuncts
 from .governance import ROW_CAP, GateError, relations
 
 
-def node_names(plan) -> list[str]:
-    out, queue = [], [plan]
-    while queue:
-        node = queue.pop()
-        out.append(node.getClass().getSimpleName())
-        for group in (node.children(), node.subqueries()):
-            queue += [group.apply(k) for k in range(group.size())]
-    return out
-
-
 def parsed(spark: SparkSession, sql: str):
     return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
 
 
+def named(e: Node) -> str | None:
+    """The column that an unresolved expression is, without its table's name."""
+    return e.fields["nameParts"].strip("[]").split(",")[-1].strip().lower() if e.kind == "UnresolvedAttribute" else None
+
+
 def point_lookup(spark: SparkSession, sql: str, indexed: dict[str, set[str]], most: int = 50, keys: int = 5) -> str:
     """The statement if it reads one table by an indexed column: equality, IN of few values or a prefix.
 
-    Columns are named, the limit is small, and joins, aggregates, sorts and subqueries are refused.
+    All is read from the parsed plan: a limit over a list of named columns over a filter over the table, and nothing
+    else. The filter's demands are columns compared with constants, one of them an indexed column's.
     """
     names = relations(spark, sql)
     if len(names) != 1:
         raise GateError("a lookup reads one table")
     table = next(iter(names))
-    kinds = node_names(parsed(spark, sql))
-    if bad := [k for k in kinds if re.search("Join|Aggregate|Sort|Distinct|Union|Subquery|With|Window|Offset", k) and k != "SubqueryAlias"]:
-        raise GateError(f"a lookup has no {bad[0]}")
-    limit = re.search(r"\blimit\s+(\d+)\s*$", sql.strip(), re.I)
-    if "GlobalLimit" not in kinds or not limit or int(limit[1]) > most:
+    node, seen = tree_of(json.loads(parsed(spark, sql).toJSON()), 0)[0], {}
+    while node.kind in ("GlobalLimit", "LocalLimit", "Project", "Filter", "SubqueryAlias") and len(node.children) == 1:
+        if node.kind in seen:
+            raise GateError(f"a lookup has one {node.kind}")
+        seen[node.kind] = node
+        node = node.children[0]
+    if node.kind != "UnresolvedRelation":
+        raise GateError(f"a lookup has no {node.kind}")
+    limit = seen.get("GlobalLimit")
+    if not limit or limit.fields["limitExpr"].kind != "Literal" or not 0 <= int(limit.fields["limitExpr"].fields["value"]) <= most:
         raise GateError(f"a lookup has a limit of at most {most}")
-    if re.search(r"select\s+(\w+\.)?\*", sql, re.I):
+    shown = list(held(seen["Project"].fields["projectList"])) if "Project" in seen else []
+    if not shown or any(named(e.children[0] if e.kind == "Alias" else e) is None for e in shown):
         raise GateError("a lookup names its columns")
-    where = re.search(r"\bwhere\b(.*?)\blimit\b", sql, re.I | re.S)
-    cond = where[1] if where else ""
-    if re.search(r"\bor\b|\bnot\b|[<>]", cond, re.I):
-        raise GateError("a lookup has plain conditions")
-    for c in indexed.get(table, ()):
-        one = re.search(rf"\b{c}\b\s*=\s*('[^']*'|\d+)", cond, re.I)
-        some = re.search(rf"\b{c}\b\s+in\s*\(([^()]*)\)", cond, re.I)
-        prefix = re.search(rf"\b{c}\b\s+like\s+'[^%_']+%'", cond, re.I)
-        if one or prefix or some and some[1].count(",") < keys:
-            return sql
-    raise GateError(f"a lookup needs an indexed column of {table}")
+    found = False
+    for e in conjuncts(seen["Filter"].fields["condition"]) if "Filter" in seen else []:
+        column, values = (named(e.children[0]), e.children[1:]) if e.children else (None, [])
+        if column is None and e.kind == "EqualTo":
+            column, values = named(e.children[1]), e.children[:1]
+        if column is None or e.kind not in ("EqualTo", "In", "Like") or any(v.kind != "Literal" or v.fields.get("value") is None for v in values):
+            raise GateError("a lookup has plain conditions")
+        text = str(values[0].fields["value"])
+        short = e.kind == "EqualTo" or e.kind == "In" and len(values) <= keys or e.kind == "Like" and re.fullmatch(r"[^%_]+%", text) is not None
+        found |= short and column in indexed.get(table, ())
+    if not found:
+        raise GateError(f"a lookup needs an indexed column of {table}")
+    return sql
 
 
 def ensure_limit(spark: SparkSession, sql: str, most: int = ROW_CAP) -> DataFrame:

@@ -10,12 +10,15 @@ SF = "/root/testdata/sf0.001"
 INDEX = {"orders": {"o_orderkey"}}
 
 
-@pytest.mark.parametrize("sql", ["SELECT o_custkey FROM orders WHERE o_orderkey = 1 LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey IN (1, 2) LIMIT 50"])
+@pytest.mark.parametrize("sql", ["SELECT o_custkey FROM orders WHERE o_orderkey = 1 LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey IN (1, 2) LIMIT 50", "SELECT o.o_custkey AS c FROM orders o WHERE 7 = o.o_orderkey AND o_orderstatus = 'F' LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey LIKE '12%' LIMIT 1"])
 def test_lookups(spark, sql):
     assert point_lookup(spark, sql, INDEX) == sql
 
 
-@pytest.mark.parametrize("sql", ["SELECT * FROM orders WHERE o_orderkey = 1 LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey = 1", "SELECT o_custkey FROM orders WHERE o_custkey = 1 LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey = 1 ORDER BY 1 LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey = 1 OR o_custkey = 2 LIMIT 5", "SELECT count(*) FROM orders WHERE o_orderkey = 1 GROUP BY o_custkey LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey IN (1,2,3,4,5,6) LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey = 1 LIMIT 99"])
+@pytest.mark.parametrize("sql", ["SELECT * FROM orders WHERE o_orderkey = 1 LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey = 1", "SELECT o_custkey FROM orders WHERE o_custkey = 1 LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey = 1 ORDER BY 1 LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey = 1 OR o_custkey = 2 LIMIT 5", "SELECT count(*) FROM orders WHERE o_orderkey = 1 GROUP BY o_custkey LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey IN (1,2,3,4,5,6) LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey = 1 LIMIT 99",
+    "SELECT o_custkey FROM orders WHERE o_orderstatus = 'o_orderkey = 5' LIMIT 5", "SELECT o_custkey FROM orders WHERE coalesce(o_custkey, o_orderkey = 5) LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey = 5 + o_custkey LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey = 5 || o_custkey LIMIT 5",
+    "SELECT o_custkey, * FROM orders WHERE o_orderkey = 5 LIMIT 5", "SELECT o_custkey FROM orders WHERE NOT o_orderkey = 5 LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey = NULL LIMIT 5", "SELECT o_custkey FROM orders WHERE o_orderkey LIKE '%12' LIMIT 5", "SELECT max(o_custkey) FROM orders WHERE o_orderkey = 5 LIMIT 5",
+    "SELECT a.o_custkey FROM orders a JOIN orders b ON true WHERE a.o_orderkey = 5 LIMIT 5", "SELECT o_custkey FROM (SELECT * FROM orders LIMIT 3) x WHERE o_orderkey = 1 LIMIT 5"])
 def test_lookups_refused(spark, sql):
     with pytest.raises(GateError):
         point_lookup(spark, sql, INDEX)

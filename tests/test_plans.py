@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text, timewin
 from quarry.operators import profiling, relations, retrieval
-from quarry.plans.governance import Binding, GateError, Principal, ScopeError, bounded, decide_scope, expand_tree, redact, relations as read_relations, run_scoped, scoped
+from quarry.plans.governance import Binding, GateError, Principal, ScopeError, Unrestricted, bounded, decide_scope, expand_tree, redact, relations as read_relations, run_scoped, scoped
 from quarry.plans.model import FanoutError, PlanError, QuerySpec, compose
 from quarry.plans.sales import SALES
 from quarry.sources.tables import ParquetSource, hide_login, infer_types, safe_columns
@@ -43,12 +43,13 @@ def test_scopes(spark):
     b = {"orders": Binding(customer_col="o_custkey"), "lineitem": Binding("via", via_table="orders", via_col="l_orderkey", via_key="o_orderkey"), "nation": Binding("global")}
     assert scoped("orders", t, b, Principal("x", customers=())).count() == 0
     assert scoped("nation", t, b, Principal("x", customers=())).count() == 25
-    assert scoped("orders", t, b, Principal("x")).count() == t("orders").count()
+    assert scoped("orders", t, b, Principal("x")).count() == 0
+    assert scoped("orders", t, b, Principal("x", proof=Unrestricted("x", True, True))).count() == t("orders").count()
     with pytest.raises(ScopeError):
         scoped("part", t, b, Principal("x"))
     got = run_scoped(spark, "SELECT o_custkey FROM orders", lambda s, n: ParquetSource(s, SF)(n), b, Principal("x", customers=tuple(range(100))), cap=5)
     assert got.truncated and got.df.count() == 5
-    assert decide_scope(["self", "all"], "x", (1,), (1, 2), ()).unrestricted
+    assert decide_scope(["self", "all"], "x", (1,), (1, 2), (), admin=True).unrestricted
     with pytest.raises(ScopeError):
         decide_scope(["odd"], "x", (), (), ())
     tree = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 9), (2, 3)], "id int, parent int")
