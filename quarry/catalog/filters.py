@@ -201,3 +201,36 @@ def related_documents(t, spark):
     docs = t("part").select(F.col("p_partkey").alias("doc_id"), F.col("p_type").alias("family"), F.col("p_size").alias("revision"), F.col("p_brand").alias("folder"), F.substring("p_name", 1, 4).alias("domain"))
     links = t("lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
     return relation_route(docs, links, docs.where("doc_id = 5")).select(F.col("doc_id").alias("p_partkey"), "relation", F.col("priority").cast("long").alias("priority"))
+
+
+#: Definitions that the statement below has to keep, and what its question asks for.
+STATEMENT = "SELECT c_mktsegment, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus IN ('F', 'O') AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1998-01-01' GROUP BY c_mktsegment"
+
+
+@query(STATEMENT)
+def proven_statement(t, spark):
+    """A free statement that runs once its facts prove the question's intent, keep the definitions and have evidence for their joins."""
+    from ..plans.analysed import facts
+    from ..plans.governance import Raw, Unrestricted, check, opened, scope
+    from ..plans.statements import Intent, StatementRule, evidence_problems, proof, violations
+
+    root = Principal("root", proof=Unrestricted("root", True, True))
+    stage = scope(spark, check(spark, Raw(STATEMENT)), lambda s, n: ParquetSource(s, t.root)(n), {"orders": Binding(customer_col="o_custkey"), "customer": Binding(customer_col="c_custkey")}, root)
+    df = opened(stage)
+    f = facts(df, set(stage.tables))
+    known = tuple(r[0] for r in t("orders").select("o_orderstatus").distinct().limit(60).collect())
+    rules = [StatementRule("require_columns", "orders", ("o_orderstatus",)), StatementRule("known_value", "orders", ("o_orderstatus",), known), StatementRule("time_column", columns=("o_orderdate",)), StatementRule("no_fanout", values=(("orders", "o_custkey"),))]
+    intent = Intent(filters=((("orders", "o_orderstatus"), ("F", "O")),), time=(("orders", "o_orderdate"), date(1996, 1, 1), date(1998, 1, 1)), groups=(("customer", "c_mktsegment"),), metrics=(("sum", ("orders", "o_totalprice")),))
+    got = proof(f, intent)
+    problems = [*violations(f, rules, date(2026, 1, 1)), *evidence_problems(f, {"orders", "customer"}, {(("orders", "o_custkey"), ("customer", "c_custkey"))}, {}), *got["missing"], *got["conflicts"]]
+    if problems:
+        raise ValueError(f"the statement may not run: {problems}")
+    return df
+
+
+@query("SELECT c_nationkey, count(*) AS n, CAST(NULL AS DOUBLE) AS best, CAST(NULL AS VARCHAR) AS worst FROM customer WHERE c_custkey < 400 AND c_custkey % 3 = 0 GROUP BY c_nationkey")
+def masked_by_lineage(t, spark):
+    """Balances count as sensitive: what derives from them is null under any name, in a CTE, an aggregate and a text."""
+    sql = "WITH a AS (SELECT c_nationkey AS k, c_acctbal AS harmless FROM customer), b AS (SELECT k, max(harmless) AS m, min(harmless) AS w, count(*) AS n FROM a GROUP BY k) SELECT k AS c_nationkey, n, m AS best, concat('least ', w) AS worst FROM b"
+    who = Principal("ann", customers=tuple(range(0, 400, 3)))
+    return run_scoped(spark, sql, lambda s, n: ParquetSource(s, t.root)(n), {"customer": Binding(customer_col="c_custkey")}, who, sensitive=("acctbal",)).df
