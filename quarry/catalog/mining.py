@@ -68,3 +68,35 @@ def all_shared_tag_pairs(t, spark):
     a = t("lineitem").select(F.col("l_suppkey").alias("x"), F.array(F.col("l_suppkey") % 7).alias("tags"))
     b = t("supplier").select(F.col("s_suppkey").alias("y"), F.array((F.col("s_nationkey") % 7).cast("long")).alias("tags"))
     return array_overlap(a, b, "x", "y", "tags")
+
+
+#: Statements as a log holds them, by the remainder of an order's key; {} is the order's status. The last can't be read.
+LOGGED = (
+    "SELECT o.total, c.name FROM shop.orders o JOIN customer AS c ON o.cid = c.id WHERE o.state = '{}' -- JOIN nation n ON n.k = c.k",
+    "select `x`.`total` from orders x, lineitem l where l.oid = x.id /* FROM part p */ and x.note like '%FROM supplier s%{}'",
+    "WITH recent AS (SELECT o.id, o.cid FROM orders o WHERE o.state = '{}') SELECT r.id, c.name FROM recent r LEFT JOIN customer c ON c.id = r.cid",
+    "SELECT c.name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o JOIN lineitem l ON l.oid = o.id WHERE o.cid = c.id AND l.flag = '{}')",
+    "SELECT (o.total FROM orders o WHERE o.state = '{}'",
+)
+
+
+def logged_pairs() -> str:
+    """The pairs of each statement above, told by hand, for the comparison."""
+    pairs = {
+        0: [("customer", "", "orders", ""), ("customer", "name", "orders", "state"), ("customer", "name", "orders", "total"), ("orders", "state", "orders", "total")],
+        1: [("lineitem", "", "orders", ""), ("lineitem", "oid", "orders", "id"), ("lineitem", "oid", "orders", "note"), ("lineitem", "oid", "orders", "total"), ("orders", "id", "orders", "note"), ("orders", "id", "orders", "total"), ("orders", "note", "orders", "total")],
+        2: [("customer", "name", "orders", "cid"), ("customer", "name", "orders", "id"), ("customer", "name", "orders", "state"), ("orders", "cid", "orders", "id"), ("orders", "cid", "orders", "state"), ("orders", "id", "orders", "state")],
+        3: [("lineitem", "", "orders", ""), ("customer", "id", "customer", "name"), ("customer", "id", "lineitem", "flag"), ("customer", "id", "orders", "cid"), ("customer", "name", "lineitem", "flag"), ("customer", "name", "orders", "cid"), ("lineitem", "flag", "orders", "cid")],
+    }
+    rows = ", ".join("({}, '{}', '{}', '{}', '{}')".format(k, *p) for k, ps in pairs.items() for p in ps)
+    return f"(VALUES {rows}) AS p(k, left_table, left_column, right_table, right_column)"
+
+
+@query(f"WITH c AS (SELECT lower(o_orderpriority) AS source, left_table, left_column, right_table, right_column, count(*) AS n FROM orders JOIN {logged_pairs()} ON o_orderkey % 5 = k GROUP BY ALL) SELECT source, left_table, left_column, right_table, right_column, n, round(n / max(n) OVER (PARTITION BY source), 6) AS frequency FROM c")
+def mined_usage(t, spark):
+    """Pairs of tables and columns mined from a log of statements, one for each order, of which a fifth can't be read."""
+    from ..operators import sqllog
+
+    log = t("orders").select("o_orderpriority", F.replace(F.element_at(F.array(*[F.lit(s) for s in LOGGED]), (F.col("o_orderkey") % 5 + 1).cast("int")), F.lit("{}"), F.col("o_orderstatus")).alias("sql"))
+    out = sqllog.usage_edges(sqllog.mined(log, "sql"), "o_orderpriority")
+    return out.select("source", "left_table", "left_column", "right_table", "right_column", "n", F.round("frequency", 6).alias("frequency"))
