@@ -5,13 +5,16 @@ over 64 bits to prune anything. A signature here has 192 bits in twelve segments
 if some segment differs in at most one bit and the whole in at most `most` bits. At similarity 0.8 a segment is
 that close with probability 0.28, so one of twelve is with 0.98 (0.999 at 0.85). Each segment has its tree.
 A shard gives the minimum spanning forest of its candidates, so that a large group gives few edges; their
-components are loose clusters. Within a loose cluster every pair of texts is then compared shingle by shingle, in
+components are loose clusters. Texts of few shingles, whose signatures tell least, are found exactly besides: two sets
+of similarity s share a subset that lacks at most 1 / s - 1 of either's shingles, so texts meet by the hashes of such
+subsets. Within a loose cluster every pair of texts is then compared shingle by shingle, in
 blocks of bounded size that hand back no more than a forest of the pairs that reach the similarity.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -38,6 +41,28 @@ def signature(text: bytes, size: int) -> bytes:
     return majority(wide).tobytes()
 
 
+def subset_keys(text: bytes, size: int, similarity: float, most: int) -> list[int]:
+    """Hashes of the shingle subsets that any text of `similarity` shares one of; none for over `most` shingles."""
+    if len(text.split(None, most + size)) >= most + size:
+        return []
+    h = np.unique(shingle_hashes(text, size))
+    if not 0 < len(h) <= most:
+        return []
+    x = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = ((x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)).tolist()
+    whole, spare = sum(x), int(len(x) * (1 / similarity - 1) + 1e-9)
+    keys = {(whole - sum(gone)) & (2**64 - 1) for d in range(spare + 1) for gone in combinations(x, d)}
+    return [k - (1 << 63) for k in sorted(keys)]
+
+
+def short_links(prints: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges (a, b) of classes whose texts share a key: each to the least of those with the key."""
+    keyed = prints.where(F.size("keys") > 0).select("sig", "keys").distinct().join(reps.select("sig", "rep"), "sig").select("rep", F.explode("keys").alias("key"))
+    keyed = cut(keyed)
+    least = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("other"), F.count("*").alias("copies")).where("least < other").drop("other")
+    return with_class(keyed, cut(least), "key").select(F.col("least").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+
+
 def matrix(signatures) -> np.ndarray:
     """Signatures as rows of 16-bit segments."""
     return np.frombuffer(b"".join(signatures), "<u2").reshape(-1, SEGMENTS)
@@ -130,23 +155,25 @@ def verified(members: DataFrame, similarity: float, block: int, held: int) -> Da
     return tasks.groupBy("big", "g", "i", "j").applyInPandas(compare, "a long, b long").where("a <> b")
 
 
-def near_copies(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8, most: int = 46, shard: int = 8192, guests: int = 32768, fit: int = 20000, block: int = 512, held: int = 8 << 20, ids: int = 2_000_000) -> DataFrame:
+def near_copies(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8, most: int = 46, shard: int = 8192, guests: int = 32768, fit: int = 20000, block: int = 512, held: int = 8 << 20, ids: int = 2_000_000, short: int = 11) -> DataFrame:
     """(doc_id, component_id) for every row of docs: groups of texts that share `similarity` of their shingles.
 
     Similarity is the Jaccard index of the sets of `size`-word shingles, A-Z in lower case; a shorter text is one
     shingle. Texts of one signature are one class without a further look; other links are pairs of one loose
     cluster of candidates whose whole texts reach `similarity`, and no pair of a loose cluster is left uncompared
-    unless it is joined already. The texts of the clusters' members are found by a broadcast of their ids if there
+    unless it is joined already. Texts of at most `short` shingles lose no link to one another. The texts of the clusters' members are found by a broadcast of their ids if there
     are at most `ids`, else by a shuffle. A component's id is its least doc_id. Null, empty and blank texts are one
     class; repeated rows are each returned; a row without an id joins the class of its signature alone and gets its
     component's id (null if it has none); rows that share an id share a component; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sign = array_udf(lambda t: pa.array([signature(b, size) for b in as_bytes(t)], pa.binary()), "binary")
-    prints = cut(docs.select("doc_id", sign("text").alias("sig")))
+    few = array_udf(lambda t: pa.array([subset_keys(b, size, similarity, short) for b in as_bytes(t)], pa.list_(pa.int64())), "array<bigint>")
+    prints = cut(docs.select("doc_id", sign("text").alias("sig"), few("text").alias("keys")))
     reps = cut(prints.groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))).withColumn("rep", F.coalesce("first", F.lit(2**63 - 1)))
     spread = cut(spread_out(reps.where("first is not null").select("sig", "rep"), shard, fit))
-    loose = components(candidates(spread, most, shard, guests))
+    brief = short_links(prints, reps.where("first is not null"))
+    loose = components(candidates(spread, most, shard, guests).unionByName(brief))
     members = cut(loose.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")).unionByName(loose.select(F.col("root").alias("doc_id"), F.col("root").alias("cluster")).distinct()))
     shingles = array_udf(lambda t: pa.array([np.unique(shingle_hashes(b, size)).tobytes() for b in as_bytes(t)], pa.binary()), "binary")
     # nothing is left of most texts, so the few members' ids go to the texts and not the texts to them
@@ -154,4 +181,4 @@ def near_copies(docs: DataFrame, text: str = "text", size: int = 5, similarity:
     sets = cut(found.select("cluster", F.col("doc_id").alias("rep"), shingles("text").alias("set")).where(F.octet_length("set") > 0))
     joined = components(verified(sets, similarity, block, held))
     of = cut(reps.join(joined, reps.rep == joined.node, "left").select("sig", "copies", F.coalesce("root", "first").alias("component_id")))
-    return with_class(prints, of, "sig").select("doc_id", "component_id")
+    return with_class(prints.select("doc_id", "sig"), of, "sig").select("doc_id", "component_id")

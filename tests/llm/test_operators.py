@@ -146,6 +146,54 @@ def test_near_copies_pair_recall(spark):
     assert found[links >= 0.8].mean() > 0.98 and found[links >= 0.9].mean() > 0.998 and not found[links < 0.8].any()
 
 
+def test_near_copies_recall_by_length(spark):
+    """Pairs of 5 to 60 words with an edit at an end or in the middle: short texts lose none, others few."""
+    rng = np.random.default_rng(31)
+    rows, links = [], []
+    for n in (5, 6, 7, 8, 9, 10, 12, 15, 16, 18, 22, 30, 45, 60):
+        for k in range(120):
+            w = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+            v = list(w)
+            for _ in range(int(rng.integers(1, 3))):
+                how = int(rng.integers(4))
+                if how == 0:
+                    v = v[1:] if k % 2 else v[:-1]
+                elif how == 1:
+                    v = [*v, f"e{rng.integers(10**6)}"] if k % 2 else [f"e{rng.integers(10**6)}", *v]
+                else:
+                    v[-1 if how == 2 else int(rng.integers(len(v)))] = f"e{rng.integers(10**6)}"
+            a, b = ({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (w, v))
+            links.append((len(a & b) / len(a | b), max(len(a), len(b))))
+            rows += [(2 * len(links), " ".join(w)), (2 * len(links) + 1, " ".join(v))]
+    got = dict(tuple(r) for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    found = np.array([got[2 * k + 2] == got[2 * k + 3] for k in range(len(links))])
+    similarity, size = np.array(links).T
+    alike = similarity >= 0.8
+    assert found[alike & (size <= 11)].all() and (alike & (size <= 11)).sum() > 150
+    assert found[alike & (size > 11)].mean() > 0.98 and not found[~alike].any()
+
+
+def test_subset_keys_meet():
+    rng = np.random.default_rng(1)
+    words_ = [f"w{k}" for k in range(40)]
+    for _ in range(400):
+        a = [words_[int(i)] for i in rng.integers(0, 40, int(rng.integers(5, 16)))]
+        b = list(a)
+        for _ in range(int(rng.integers(1, 3))):
+            b.insert(int(rng.integers(len(b) + 1)), words_[int(rng.integers(40))])
+        x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b))
+        if max(len(x), len(y)) <= 11 and len(x & y) >= 0.8 * len(x | y):
+            assert set(near_copies.subset_keys(" ".join(a).encode(), 5, 0.8, 11)) & set(near_copies.subset_keys(" ".join(b).encode(), 5, 0.8, 11))
+    assert near_copies.subset_keys(b"", 5, 0.8, 11) == [] and near_copies.subset_keys(b"w " * 40, 5, 0.8, 11) == []
+
+
+def test_hot_group_of_short_texts(spark):
+    """Many short texts that differ by a word at the end hang together by their common part, without all their pairs."""
+    rows = [(k, f"a b c d e f g h i j k l m {'tail' + str(k) if k else ''}") for k in range(3000)]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [tuple(r) for r in got.groupBy("component_id").count().collect()] == [(0, 3000)]
+
+
 @pytest.mark.parametrize("shard, guests, block", [(8192, 32768, 1024), (64, 60, 20)])
 def test_near_copies_brute_force(spark, odd, empty, shard, guests, block):
     rng = np.random.default_rng(7)
