@@ -159,10 +159,18 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60
     return w
 
 
-def training_texts(docs: DataFrame, bound: int, chars: int, longest: int = 1 << 20) -> dict[str, list[str]]:
-    """Texts by language of a number of rows and characters for each lang that is bounded, chosen by a hash of the row."""
-    known = docs.where("text is not null and lang is not null and trim(text) <> ''").where(F.length("text") <= longest)
-    n = {x.lang: max(x.n / bound, x.chars / chars) for x in known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+def training_texts(docs: DataFrame, bound: int, chars: int, slice_chars: int = 1 << 18, total: int = 40_000_000) -> dict[str, list[str]]:
+    """Texts by language, of at most about `bound` rows and `chars` characters each, chosen by a hash of the row.
+
+    Of a longer text a slice of `slice_chars` at a place that the hash tells stands for it. All languages together have about
+    `total` characters at most, so that what the driver holds doesn't grow with their number.
+    """
+    known = docs.where("text is not null and lang is not null and trim(text) <> ''")
+    first = F.pmod(F.xxhash64(F.lit("slice"), "doc_id"), F.greatest(F.length("text") - slice_chars, F.lit(0)) + 1) + 1
+    known = known.select("doc_id", "lang", F.when(F.length("text") > slice_chars, F.col("text").substr(first.cast("int"), F.lit(slice_chars))).otherwise(F.col("text")).alias("text"))
+    held = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    chars = min(chars, total // max(1, len(held)))
+    n = {x.lang: max(x.n / bound, x.chars / chars) for x in held}
     if not n:
         return {}
     share = F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, 1 / max(1.0, c))])
@@ -173,8 +181,8 @@ def training_texts(docs: DataFrame, bound: int, chars: int, longest: int = 1 <<
 def identify(docs: DataFrame, bound: int = 600, chars: int = 4_000_000, order: int = 5, lost: float = 0.002) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, accepted, bits) for every row of docs (doc_id, text, lang).
 
-    The models learn from at most about `bound` texts and `chars` characters of each language, of texts of a
-    million characters at most, among rows whose id's CRC-32 modulo 4 is not 2; one text in five of them is kept
+    The models learn from at most about `bound` texts and `chars` characters of each language, of long texts from a
+    slice, among rows whose id's CRC-32 modulo 4 is not 2; one text in five of them is kept
     back to calibrate. lang_pred is the language with the least bits
     a character (ties: the first by name); `und` with score 0 if the text is null or has no letter, or if there
     is nothing to learn from. score is the calibrated probability that it is right, from the lead over the
