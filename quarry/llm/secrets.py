@@ -77,6 +77,18 @@ def ids(left: str, body: str, right: str) -> np.ndarray:
     return np.concatenate([pad, code(left, 0), code(body, 129), code(right, 0), pad])
 
 
+def piece(row: np.ndarray, window: int, rng: np.random.Generator) -> np.ndarray:
+    """A window of a row at a random place; all of a row that isn't longer."""
+    at = int(rng.integers(len(row) - window + 1)) if len(row) > window else 0
+    return row[at : at + window]
+
+
+def window_of(column: str, chars: int):
+    """A window of a text's characters at a place that its hash tells; all of a text that isn't longer."""
+    at = F.pmod(F.xxhash64(column), F.greatest(F.length(column) - chars, F.lit(0)) + 1) + 1
+    return F.col(column).substr(at.cast("int"), F.lit(chars))
+
+
 class Network:
     """Convolution of one-hot characters, a rectifier, the maximum and the mean over positions, and a dense layer."""
 
@@ -137,8 +149,11 @@ class Network:
     def probability(self, rows: list[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(rows) + self.shift, -30, 30)))
 
-    def train(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 5) -> None:
-        """Adagrad; both classes weigh the same in all. Rows of like length share a batch."""
+    def train(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 5, window: int = 400) -> None:
+        """Adagrad; both classes weigh the same in all. Rows of like length share a batch.
+
+        Of a row longer than `window` every epoch sees another window, so that over the epochs no part is left out.
+        """
         rng = np.random.default_rng(seed)
         weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
         length = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -149,7 +164,7 @@ class Network:
             order = np.argsort(length + rng.random(len(rows)) * 8, kind="stable")
             for k in rng.permutation(np.arange(0, len(order), batch)):
                 pick = order[k : k + batch]
-                x, n = self.padded([rows[i][:400] for i in pick])
+                x, n = self.padded([piece(rows[i], window, rng) for i in pick])
                 z = self.layer(x, n)
                 at, width = z.argmax(1), (n - WIDTH + 1)[:, None]
                 m = np.concatenate([z.max(1), z.sum(1) / width], 1)
@@ -268,13 +283,14 @@ def entropy(body: str) -> float:
     return float(-(n * np.log2(n)).sum())
 
 
-def fit(docs: DataFrame, bound: int = 30_000, findings: int = 6000, made: int = 4000, recall: float = 0.95, seed: int = 23) -> Network:
+def fit(docs: DataFrame, bound: int = 30_000, findings: int = 6000, made: int = 4000, recall: float = 0.95, seed: int = 23, train_chars: int = 400) -> Network:
     """A network trained on labelled findings: `made` of each label by rule, and those of about `bound` documents.
 
     The patterns' own findings are learned without what the patterns look for: the key word before an assigned
     value and the mark AKIA are replaced. A document's candidates outside of the base spans are learned as no
     secrets, but for long ones of high entropy, which nobody has looked at; of both at most about `findings`
-    rows are used. A third of all findings is kept back: it calibrates the score, and the least score for a span is
+    rows are used, each by a window of `train_chars` characters at a place that a hash tells, which bounds the fit;
+    scoring sees whole candidates. A third of all findings is kept back: it calibrates the score, and the least score for a span is
     the highest at which `recall` of the secrets kept back are caught; recall and precision on them are kept with
     the network. Where the documents give nothing the findings by rule are all.
     """
@@ -296,7 +312,7 @@ def fit(docs: DataFrame, bound: int = 30_000, findings: int = 6000, made: int =
     schema = "start long, prior string, body string, after string, label long, doc_id long"
     found = cut(sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), bound, "doc_id").mapInArrow(tidied(run), schema))
     got = found.where("label = 1"), found.where("label = 0")
-    good, bad = (sample(x.withColumn("body", F.substring("body", 1, 400)), findings // 2, "doc_id", "start", "body").toPandas().sort_values(["doc_id", "start", "body"]) for x in got)
+    good, bad = (sample(x.withColumn("body", window_of("body", train_chars)), findings // 2, "doc_id", "start", "body").toPandas().sort_values(["doc_id", "start", "body"]) for x in got)
     bad = bad[[len(x) < 16 or entropy(x) < 4 for x in bad.body]]
     by_rule = Findings(list(zip(bad.prior, bad.after)), [x for x in bad.body if x.isalpha()], seed)
     rng = by_rule.rng
@@ -314,7 +330,7 @@ def fit(docs: DataFrame, bound: int = 30_000, findings: int = 6000, made: int =
     rows = [ids(*r) for r in rows]
     back = np.arange(len(y)) % 3 == 0
     net = Network()
-    net.train([r for r, k in zip(rows, back) if not k], y[~back])
+    net.train([r for r, k in zip(rows, back) if not k], y[~back], window=train_chars)
     held = [r for r, k in zip(rows, back) if k]
     net.scale, net.shift = (float(v) for v in logistic(net.raw(held)[:, None], y[back], 1e-3))
     p, t = net.probability(held), y[back] > 0
