@@ -65,9 +65,13 @@ def plain(docs: DataFrame) -> DataFrame:
 
 
 def collected(rows: DataFrame, *more: str) -> tuple:
-    """Text views, metadata rows and further columns of bounded rows; the texts themselves stay in the tasks."""
+    """Text views, metadata rows and further columns of bounded ids; the texts themselves stay in the tasks.
+
+    Of rows that share an id the least counts, so that the rows are bounded as well.
+    """
     udf = struct_udf("view binary", lambda text: [[text_view(b).tobytes() for b in as_bytes(text)]])
-    got = rows.select("doc_id", udf("text").alias("v"), "source", "lang", "n_chars", *more).select("doc_id", "v.view", "source", "lang", "n_chars", *more).toPandas().sort_values(["doc_id", "view"])
+    viewed = rows.select("doc_id", udf("text").alias("v"), "source", "lang", "n_chars", *more)
+    got = viewed.groupBy("doc_id").agg(F.min(F.struct("v.view", "source", "lang", "n_chars", *more)).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     meta = [(s, g, None if n != n or n is None else int(n)) for s, g, n in zip(got.source.where(got.source.notna(), None), got.lang.where(got.lang.notna(), None), got.n_chars)]
     return np.frombuffer(b"".join(got.view), np.float32).reshape(-1, TEXT).astype(np.float64), meta, got
 
