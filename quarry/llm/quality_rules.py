@@ -187,7 +187,9 @@ def quality_rules(docs: DataFrame, least: int = 400, share: float = 0.75, steps:
     beyond the chi-square quantile at the normal quantile z, chosen by the rejections of good and bad rows. Null text counts as empty and fails the base rules; null lang or source is a
     group value of its own; repeated rows get one result each; an empty table gives no rows.
     """
-    base = with_stats(docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))).select("doc_id", "lang", "source", "_s.*")
+    # behind a mark, so that null and the empty text are two groups
+    marked = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")).alias(c)
+    base = with_stats(docs.select("doc_id", "text", marked("lang"), marked("source"))).select("doc_id", "lang", "source", "_s.*")
     base = base.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     base = cut(base)
     d2 = base.join(small(estimates(base, share, steps, least)), ["lang", "source"], "left").withColumn("distance", distance())
