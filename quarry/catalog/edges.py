@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import edges as E
-from .registry import query
+from .registry import ORACLE, query
 
 COLUMNS = {"customer": ["c_custkey", "c_nationkey", "c_mktsegment"], "nation": ["n_nationkey", "n_regionkey", "n_name"], "region": ["r_regionkey", "r_name"], "supplier": ["s_nationkey", "s_name"]}
 NUMERIC = {"c_custkey", "c_nationkey", "n_nationkey", "n_regionkey", "r_regionkey", "s_nationkey"}
@@ -23,12 +23,35 @@ def joinable_edges(t, spark):
     return E.joinable_edges(values(t)).withColumn("confidence", F.col("confidence").cast("double"))
 
 
-NAMES = [("a.store_code", "store_code", "shop"), ("b.storecode", "storecode", "shop"), ("c.shop", "shop", "shop"), ("d.shop_code", "shop_code", ""), ("e.code", "code", "the code"), ("f.qty", "qty", "amount"), ("g.quantity", "quantity", "amount"), ("h.codes", "codes", None)]
+#: Tables whose columns are compared, by the prefix of their columns.
+SHORT = {"customer": "c", "lineitem": "l", "nation": "n", "orders": "o", "part": "p", "region": "r", "supplier": "s"}
 
 
-@query("WITH c(col, n, m) AS (VALUES ('a.store_code', 'storecode', 'shop'), ('b.storecode', 'storecode', 'shop'), ('c.shop', 'shop', 'shop'), ('d.shop_code', 'shopcode', ''), ('e.code', 'code', 'the code'), ('f.qty', 'qty', 'amount'), ('g.quantity', 'quantity', 'amount'), ('h.codes', 'codes', '')), p AS (SELECT a.col AS l, b.col AS r, a.n AS x, b.n AS y, a.m <> '' AND a.m = b.m AS told FROM c a JOIN c b ON a.col < b.col AND a.n <> b.n), s AS (SELECT l, r, told, round(CASE WHEN contains(x, y) OR contains(y, x) THEN 0.5 + 0.5 * least(length(x), length(y)) / greatest(length(x), length(y)) ELSE len(list_intersect(list_distinct(string_split(x, '')), list_distinct(string_split(y, '')))) / len(list_distinct(list_concat(string_split(x, ''), string_split(y, '')))) END, 6) AS s FROM p) SELECT l AS \"left\", r AS \"right\", s AS similarity, CAST(CASE WHEN told AND s > 0.5 THEN 0.95 WHEN told THEN 0.85 WHEN s > 0.7 THEN 0.6 WHEN s > 0.5 THEN 0.4 END AS DOUBLE) AS confidence FROM s WHERE told OR s > 0.5")
+def told_columns(t):
+    """(table, column, comment) of columns that hold more than one value; the last part of a name is its comment if it says what is held."""
+    out = None
+    for name, k in SHORT.items():
+        df = t(name)
+        wide = df.agg(*[(F.min(c) < F.max(c)).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "varied").where("varied").select(F.lit(name).alias("table"), "column")
+        out = wide if out is None else out.unionByName(wide)
+    last = F.substring_index("column", "_", -1)
+    return out.withColumn("comment", F.when(last.rlike("key$|name|date|price"), last).otherwise(""))
+
+
+
+
+#: The columns of the tables above without their prefix, for the comparison.
+HELD = {
+    "customer": "custkey name nationkey acctbal mktsegment", "lineitem": "orderkey partkey suppkey linenumber quantity extendedprice discount tax returnflag linestatus shipdate", "nation": "nationkey name regionkey",
+    "orders": "orderkey custkey orderstatus totalprice orderdate orderpriority", "part": "partkey name brand type size retailprice", "region": "regionkey name", "supplier": "suppkey name nationkey acctbal",
+}
+TOLD = "c AS (SELECT tab, col, CASE WHEN regexp_matches(split_part(col, '_', 2), 'key$|name|date|price') THEN split_part(col, '_', 2) ELSE '' END AS m FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS tab, '{SHORT[n]}_{c}' AS col, min({SHORT[n]}_{c}) < max({SHORT[n]}_{c}) AS varied FROM {n}" for n, cs in HELD.items() for c in cs.split()) + ") WHERE varied)"
+
+
+@query(f"WITH {TOLD}, d AS (SELECT tab || '.' || col AS col, regexp_replace(lower(col), '[^a-z0-9]', '', 'g') AS n, m FROM c), p AS (SELECT a.col AS l, b.col AS r, a.n AS x, b.n AS y, a.m <> '' AND a.m = b.m AS told FROM d a JOIN d b ON a.col < b.col AND a.n <> b.n), s AS (SELECT l, r, told, round(CASE WHEN contains(x, y) OR contains(y, x) THEN 0.5 + 0.5 * least(length(x), length(y)) / greatest(length(x), length(y)) ELSE len(list_intersect(list_distinct(string_split(x, '')), list_distinct(string_split(y, '')))) / len(list_distinct(list_concat(string_split(x, ''), string_split(y, '')))) END, 6) AS s FROM p) SELECT l AS \"left\", r AS \"right\", s AS similarity, CAST(CASE WHEN told AND s > 0.5 THEN 0.95 WHEN told THEN 0.85 WHEN s > 0.7 THEN 0.6 WHEN s > 0.5 THEN 0.4 END AS DOUBLE) AS confidence FROM s WHERE told OR s > 0.5")
 def synonym_edges(t, spark):
-    return E.synonym_edges(spark.createDataFrame(NAMES, "column string, name string, comment string"))
+    """Columns of the given tables that hold more than one value and mean the same under other names."""
+    return E.synonym_edges(told_columns(t).select(F.concat_ws(".", "table", "column").alias("column"), F.col("column").alias("name"), "comment"))
 
 
 COUNTS = " UNION ALL ".join(f"SELECT '{t}.{c}' AS col, '{'numeric' if c in NUMERIC else 'string'}' AS kind, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {t} GROUP BY 3" for t, c in ALL)
@@ -49,16 +72,25 @@ def correlated_edges(t, spark):
     return E.correlated_edges(t("part"), "part", ["p_partkey", "p_size", "p_brand", "p_retailprice"])
 
 
-#: Tables of a small warehouse: (table, column, comment), and (table, domain, core, mentions).
-SCHEMA = [(x, c, m) for x, cols in (("dws_fin_sales_d", (("order_id", "order"), ("amount", "paid"), ("qty", ""), ("remark", "r"))), ("ods_sales", (("order_id", "order"), ("amount", "sum"), ("qty", ""), ("remark", "r"), ("note", ""))), ("ads_report", (("order_id", "order"), ("total", ""))), ("dim_shop", (("shop_id", "shop"), ("name", "")))) for c, m in cols]
-ABOUT = [("dws_fin_sales_d", "fin", []), ("ods_sales", "fin", []), ("ads_report", "rep", ["dim_shop"]), ("dim_shop", "rep", [])]
+#: Domains of the tables; what orders' description names.
+DOMAINS = {"customer": "sales", "lineitem": "sales", "nation": "place", "orders": "sales", "part": "goods", "region": "place", "supplier": "goods"}
+MENTIONS = {"orders": ["customer", "nation"]}
 
 
-@query("SELECT * FROM (VALUES ('dws_fin_sales_d', 'ods_sales', 3, 1.0, CAST(0.8333 AS DOUBLE)), ('ads_report', 'dim_shop', 0, 0.0, CAST(0.9 AS DOUBLE))) AS t(\"left\", \"right\", shared, ratio, confidence)")
+@query(f"""WITH {TOLD}, k AS (SELECT DISTINCT tab, split_part(col, '_', 2) AS col, m FROM c), n AS (SELECT tab, count(*) AS n FROM k GROUP BY 1),
+d(tab, dom) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in DOMAINS.items())}), told(l, r) AS (VALUES ('customer', 'orders'), ('nation', 'orders')),
+s AS (SELECT a.tab AS l, b.tab AS r, count(*) AS shared, count(*) FILTER (WHERE a.m <> '' AND a.m = b.m) AS same FROM k a JOIN k b ON a.col = b.col AND a.tab < b.tab GROUP BY 1, 2),
+j AS (SELECT DISTINCT least(split_part("left", '.', 1), split_part("right", '.', 1)) AS l, greatest(split_part("left", '.', 1), split_part("right", '.', 1)) AS r FROM ({ORACLE["joinable_edges"]}) WHERE confidence >= 0.9),
+p AS (SELECT coalesce(s.l, told.l) AS l, coalesce(s.r, told.r) AS r, coalesce(shared, 0) AS shared, coalesce(same, 0) AS same, told.l IS NOT NULL AS mention FROM s FULL JOIN told ON s.l = told.l AND s.r = told.r),
+q AS (SELECT p.*, shared / least(x.n, y.n) AS ratio, dx.dom = dy.dom AS near, j.l IS NOT NULL AS joined FROM p JOIN n x ON p.l = x.tab JOIN n y ON p.r = y.tab JOIN d dx ON p.l = dx.tab JOIN d dy ON p.r = dy.tab LEFT JOIN j ON p.l = j.l AND p.r = j.r),
+b AS (SELECT *, CASE WHEN mention THEN 0.85 WHEN shared >= 2 AND ratio >= 0.5 THEN 0.70 WHEN shared >= 2 AND ratio >= 0.3 THEN 0.55 WHEN shared >= 2 AND ratio >= 0.15 THEN 0.40 END AS base FROM q)
+SELECT l AS "left", r AS "right", shared, round(ratio, 6) AS ratio, CAST(least(0.95, round(base + CASE WHEN joined THEN 0.1 ELSE 0 END + CASE WHEN shared > 0 THEN 0.1 * same / shared ELSE 0 END + CASE WHEN near THEN 0.05 ELSE 0 END, 4)) AS DOUBLE) AS confidence FROM b WHERE base IS NOT NULL""")
 def lineage_edges(t, spark):
-    columns = spark.createDataFrame([(*r, "string") for r in SCHEMA], "table string, column string, comment string, kind string")
-    tables = spark.createDataFrame([(a, d, E.table_core(a), m) for a, d, m in ABOUT], "table string, domain string, core array<string>, mentions array<string>")
-    return E.lineage_edges(columns, tables).withColumn("shared", F.col("shared").cast("long"))
+    """Which of the given tables may feed one another: columns in common, descriptions, joinable values, domains and names."""
+    columns = told_columns(t).select("table", F.substring_index("column", "_", -1).alias("column"), "comment", F.lit("string").alias("kind"))
+    tables = spark.createDataFrame([(a, d, E.table_core(a), MENTIONS.get(a, [])) for a, d in DOMAINS.items()], "table string, domain string, core array<string>, mentions array<string>")
+    joinable = E.joinable_edges(values(t))
+    return E.lineage_edges(columns, tables, joinable).withColumn("shared", F.col("shared").cast("long"))
 
 
 EDGE_SQL = "(SELECT DISTINCT 'n' || c_nationkey AS l, 's' || c_mktsegment AS r FROM customer WHERE c_acctbal > 0 UNION SELECT DISTINCT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"

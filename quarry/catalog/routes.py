@@ -64,12 +64,12 @@ def two_pass_fusion(t, spark):
     return R.fused(body, auxiliary)
 
 
-@query("SELECT chunk_id, score, direct, routes FROM (SELECT 1 AS chunk_id, 0.5 AS score, true AS direct, 'x' AS routes) WHERE false UNION ALL SELECT count(*), 0.0, false, 'none' FROM benchmark WHERE false")
+@query(f"SELECT 'with' AS body, count(*) AS hits, count(*) FILTER (WHERE direct) AS direct FROM ({FUSED}) UNION ALL SELECT 'without', 0, 0")
 def no_direct_hit(t, spark):
-    """Without a direct hit the auxiliary routes are dropped: the number of hits left is 0."""
+    """With a direct hit the auxiliary routes' hits stay beside it; without one they are dropped."""
     body, auxiliary = routed(t)
-    left = R.fused({k: v.where("false") for k, v in body.items()}, auxiliary)
-    return left.agg(F.count("*").alias("chunk_id")).select("chunk_id", F.lit(0.0).alias("score"), F.lit(False).alias("direct"), F.lit("none").alias("routes"))
+    counted = lambda name, hits: hits.agg(F.lit(name).alias("body"), F.count("*").alias("hits"), F.count_if("direct").alias("direct"))
+    return counted("with", R.fused(body, auxiliary)).unionByName(counted("without", R.fused({k: v.where("false") for k, v in body.items()}, auxiliary)))
 
 
 HITS = "(SELECT event_id AS chunk_id, value AS score FROM events ORDER BY value DESC, event_id LIMIT 60)"
@@ -81,12 +81,30 @@ def reranked_window(t, spark):
     return R.reranked(hits, hits.select("chunk_id", (F.col("chunk_id") % 7).alias("rerank"))).fillna(0, ["position"])
 
 
-@query("WITH h AS (SELECT DISTINCT l_suppkey AS doc_id, l_partkey AS ord, CASE WHEN l_partkey % 9 = 4 THEN -1 WHEN l_partkey % 9 IN (5, 8) THEN 1 END AS v FROM lineitem), w AS (SELECT *, CASE WHEN ord = lag(ord) OVER x + 1 AND NOT coalesce(v <> lag(v) OVER x, false) THEN 0 ELSE 1 END AS b FROM h WINDOW x AS (PARTITION BY doc_id ORDER BY ord)), r AS (SELECT *, sum(b) OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM w), k AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY ord) - 1) // 16 AS k FROM r) SELECT doc_id, min(doc_id * 100000 + ord) AS chunk_id, min(ord) AS ord, max(ord) AS last_ord, count(*) AS chunks, max(CAST(ord % 11 AS DOUBLE)) AS score FROM k GROUP BY doc_id, run, k")
+#: Of a chunk's place: the marker in its text (-1 old, 1 current) and its heading's.
+TEXT_SIDE = "CASE WHEN ord % 9 = 4 THEN -1 WHEN ord % 13 IN (5, 8) THEN 1 ELSE 0 END"
+HEAD_SIDE = "CASE WHEN ord % 17 = 3 THEN -1 WHEN ord % 19 = 6 THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH RECURSIVE h AS (SELECT doc_id, ord, {TEXT_SIDE} AS t, {HEAD_SIDE} AS g, ord % 17 = 3 OR ord % 19 = 6 OR ord % 5 = 0 AS has, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k
+  FROM (SELECT DISTINCT l_suppkey AS doc_id, l_partkey AS ord FROM lineitem)),
+f AS (
+  SELECT doc_id, k, ord, 1 AS n, t = -1 OR g = -1 AS o, t = 1 OR g = 1 AS c, has, 1 AS run FROM h WHERE k = 1
+  UNION ALL
+  SELECT doc_id, k, ord, CASE WHEN more THEN n + 1 ELSE 1 END, CASE WHEN more THEN o OR t = -1 OR (NOT had AND g = -1) ELSE t = -1 OR g = -1 END, CASE WHEN more THEN c OR t = 1 OR (NOT had AND g = 1) ELSE t = 1 OR g = 1 END,
+    CASE WHEN more THEN had OR has ELSE has END, CASE WHEN more THEN run ELSE run + 1 END
+  FROM (SELECT h.doc_id, h.k, h.ord, h.t, h.g, h.has, f.n, f.o, f.c, f.has AS had, f.run,
+    h.ord = f.ord + 1 AND f.n < 16 AND NOT ((f.o AND NOT f.c AND (h.t = 1 OR h.g = 1) AND NOT (h.t = -1 OR h.g = -1)) OR (f.c AND NOT f.o AND (h.t = -1 OR h.g = -1) AND NOT (h.t = 1 OR h.g = 1))) AS more
+    FROM f JOIN h ON h.doc_id = f.doc_id AND h.k = f.k + 1)
+)
+SELECT doc_id, min(doc_id * 100000 + ord) AS chunk_id, min(ord) AS ord, max(ord) AS last_ord, count(*) AS chunks, max(CAST(ord % 11 AS DOUBLE)) AS score FROM f GROUP BY doc_id, run""")
 def merged_with_version_barrier(t, spark):
-    """Neighbouring chunks are merged unless one is of an old version and the next of the current one."""
+    """Neighbouring chunks are merged unless what is merged so far is of an old version and the next of the current one, or the other way round."""
     h = t("lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").alias("ord")).distinct()
-    text = F.when(F.col("ord") % 9 == 4, "x superseded").when(F.col("ord") % 9 == 5, "in force").when(F.col("ord") % 9 == 8, "新版").otherwise("plain")
-    return R.merged_runs(h.withColumns({"chunk_id": F.col("doc_id") * 100000 + F.col("ord"), "score": (F.col("ord") % 11).cast("double"), "heading": F.lit(None).cast("string"), "text": text}))
+    place = lambda n, *k: (F.col("ord") % n).isin(*k)
+    text = F.when(place(9, 4), "见旧版说明").when(place(13, 5), "现行口径如下").when(place(13, 8), "新版").otherwise("plain")
+    heading = F.when(place(17, 3), "历史口径").when(place(19, 6), "修订版").when(place(5, 0), "plain")
+    return R.merged_runs(h.withColumns({"chunk_id": F.col("doc_id") * 100000 + F.col("ord"), "score": (F.col("ord") % 11).cast("double"), "heading": heading, "text": text}))
 
 
 @query("WITH c AS (SELECT doc_id, doc_id * 3 AS chunk_id, sha256(text) AS sha, CAST(n_chars % 13 AS DOUBLE) AS score, lower(regexp_replace(text, '\\s', '', 'g')) AS body FROM documents UNION ALL SELECT doc_id, doc_id * 3 + 1, sha256(text), CAST(n_chars % 5 AS DOUBLE), lower(regexp_replace(text, '\\s', '', 'g')) FROM documents), b AS (SELECT sha, doc_id FROM (SELECT sha, doc_id, row_number() OVER (PARTITION BY sha ORDER BY score DESC, chunk_id) AS n FROM c) WHERE n = 1), k AS (SELECT c.*, row_number() OVER (PARTITION BY c.doc_id, body ORDER BY score DESC, chunk_id) AS n FROM c JOIN b ON c.sha = b.sha AND c.doc_id = b.doc_id) SELECT chunk_id, doc_id, score FROM k WHERE n = 1")

@@ -126,12 +126,14 @@ def table_core(name: str) -> list[str]:
     return [re.sub(r"(?<=...)(?<![su])s$", "", w) for w in t if w]
 
 
-def lineage_edges(columns: DataFrame, tables: DataFrame, least_shared: int = 3) -> DataFrame:
+def lineage_edges(columns: DataFrame, tables: DataFrame, joinable: DataFrame | None = None, least_shared: int = 2, least_joinable: float = 0.9) -> DataFrame:
     """(left, right, shared, ratio, confidence) of tables of which one may feed the other.
 
     columns has table, column, comment, kind; tables has table, domain, core (its words), mentions (tables that its
     description names). The share of the smaller table's columns in common, without those for audit, gives a band; a
-    mention counts 0.85; equal comments add up to 0.1, one domain, related names and one joinable edge 0.05 each.
+    mention counts 0.85; equal comments add up to 0.1, a joinable edge (left, right as table.column, confidence) of
+    `least_joinable` between the tables 0.1, one domain and related names 0.05 each, and 0.95 is the most. What is
+    added makes no edge of its own, and fewer common columns than `least_shared` make none.
     """
     c = columns.where(~F.lower("column").isin(*AUDIT)).select("table", F.lower("column").alias("column"), F.trim(F.coalesce("comment", F.lit(""))).alias("comment")).distinct()
     n = c.groupBy("table").agg(F.count("*").alias("n"))
@@ -140,12 +142,16 @@ def lineage_edges(columns: DataFrame, tables: DataFrame, least_shared: int = 3)
     t = tables.select("table", "domain", "core", "mentions").join(n, "table")
     side = lambda s: t.select(*[F.col(x).alias(s if x == "table" else f"{s}_{x}") for x in ("table", "domain", "core", "mentions", "n")])
     named = tables.select(F.col("table").alias("x"), F.explode("mentions").alias("y")).where("x <> y").select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).distinct().withColumn("mention", F.lit(True))
-    pairs = shared.join(named, ["left", "right"], "full").join(side("left"), "left").join(side("right"), "right")
+    pairs = shared.join(named, ["left", "right"], "full").join(side("left"), "left").join(side("right"), "right").withColumn("joined", F.lit(False))
+    if joinable is not None:
+        of = lambda c: F.substring_index(c, ".", 1)
+        sure = joinable.where(F.col("confidence") >= least_joinable).select(F.least(of("left"), of("right")).alias("left"), F.greatest(of("left"), of("right")).alias("right")).distinct().withColumn("_j", F.lit(True))
+        pairs = pairs.join(sure, ["left", "right"], "left").withColumn("joined", F.coalesce("_j", F.lit(False)))
     s = F.coalesce("shared", F.lit(0))
     ratio = s / F.least("left_n", "right_n")
     base = F.when(F.col("mention"), 0.85).otherwise(F.when(s >= least_shared, banded(ratio, LINEAGE_BANDS)))
     related = (F.size("left_core") > 0) & (F.size("right_core") > 0) & ((F.size(F.array_except("left_core", "right_core")) == 0) | (F.size(F.array_except("right_core", "left_core")) == 0))
-    more = F.when(s > 0, 0.1 * F.coalesce("told", F.lit(0)) / s).otherwise(0.0) + F.when(F.col("left_domain") == F.col("right_domain"), 0.05).otherwise(0.0) + F.when(related, 0.05).otherwise(0.0)
+    more = F.when(F.col("joined"), 0.1).otherwise(0.0) + F.when(s > 0, 0.1 * F.coalesce("told", F.lit(0)) / s).otherwise(0.0) + F.when(F.col("left_domain") == F.col("right_domain"), 0.05).otherwise(0.0) + F.when(related, 0.05).otherwise(0.0)
     return pairs.select("left", "right", s.alias("shared"), F.round(ratio, 6).alias("ratio"), F.when(base.isNotNull(), F.least(F.lit(0.95), F.round(base + more, 4))).alias("confidence")).where("confidence IS NOT NULL")
 
 

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 #: The weights of the auxiliary routes; body routes weigh 1. The markers of old and current versions.
 AUXILIARY = {"metadata": 0.2, "relation": 0.25, "graph": 0.3, "external": 0.2}
-OLD = ("旧版", "历史版", "废止", "已失效", "old version", "superseded")
-CURRENT = ("现行版", "新版", "修订版", "current version", "in force")
+OLD = ("旧版", "历史版", "历史口径", "废止")
+CURRENT = ("新版", "现行版", "现行口径", "修订版")
+#: Markers in English, for callers who want them besides.
+OLD_ENGLISH = ("old version", "superseded")
+CURRENT_ENGLISH = ("current version", "in force")
 RRF_K = 60
 
 
@@ -112,24 +115,39 @@ def reranked(hits: DataFrame, scores: DataFrame | None, window: int = 24, key: s
     return first.select(key, "score", "position").unionByName(tail.select(key, "score", F.lit(None).cast("long").alias("position")))
 
 
-def version_class(*texts: str) -> Column:
-    """-1 for marks of an old version, 1 for marks of the current one, null for both or neither."""
-    has = lambda words: F.coalesce(F.greatest(*[F.contains(F.coalesce(F.col(t), F.lit("")), F.lit(w)).cast("int") for t in texts for w in words]), F.lit(0)) == 1
-    old, current = has(OLD), has(CURRENT)
-    return F.when(old & ~current, -1).when(current & ~old, 1)
+def marked(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the words."""
+    t = F.coalesce(text, F.lit(""))
+    return F.greatest(*[F.contains(t, F.lit(w)) for w in words]) if len(words) > 1 else F.contains(t, F.lit(words[0]))
 
 
-def merged_runs(hits: DataFrame, span: int = 16) -> DataFrame:
+def merged_runs(hits: DataFrame, span: int = 16, old: tuple[str, ...] = OLD, current: tuple[str, ...] = CURRENT) -> DataFrame:
     """(doc_id, chunk_id, ord, last_ord, chunks, score): consecutive chunks of a document as one, `span` at most.
 
-    hits has doc_id, chunk_id, ord, score, text, heading. A run ends where the next chunk belongs to the opposite
-    version; a run's score is its best, its id the first chunk's.
+    hits has doc_id, chunk_id, ord, score, text, heading. A run is of a version if markers of that one alone stand in its
+    first heading or in the text it has taken in, so that chunks without markers carry it on; it ends where the next
+    chunk's own heading and text are of the opposite version. A run's score is its best, its id the first chunk's.
+    Neighbours are folded in order within each stretch of consecutive chunks.
     """
     w = Window.partitionBy("doc_id").orderBy("ord")
-    marked = hits.withColumn("_v", version_class("heading", "text")).withColumn("_last", F.last("_v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    breaks = F.when((F.col("ord") == F.lag("ord").over(w) + 1) & ~F.coalesce(F.col("_v") != F.lag("_v").over(w), F.lit(False)), 0).otherwise(1)
-    runs = marked.withColumn("_b", breaks).withColumn("_run", F.sum("_b").over(w)).withColumn("_k", F.floor((F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("ord")) - 1) / span))
-    return runs.groupBy("doc_id", "_run", "_k").agg(F.min_by("chunk_id", "ord").alias("chunk_id"), F.min("ord").alias("ord"), F.max("ord").alias("last_ord"), F.count("*").alias("chunks"), F.max("score").alias("score")).drop("_run", "_k")
+    h, t = F.col("heading"), F.col("text")
+    seen = hits.withColumn("_b", F.when(F.col("ord") == F.lag("ord").over(w) + 1, 0).otherwise(1)).withColumn("_s", F.sum("_b").over(w))
+    chunk = F.struct("ord", "chunk_id", "score", (F.coalesce(h, F.lit("")) != "").alias("h"), marked(h, old).alias("ho"), marked(h, current).alias("hc"), marked(t, old).alias("to"), marked(t, current).alias("tc"))
+    side = lambda o, c: F.when(o & ~c, -1).when(c & ~o, 1).otherwise(0)
+
+    def fold(acc: Column, x: Column) -> Column:
+        run_side, own = side(acc["o"], acc["c"]), side(x["ho"] | x["to"], x["hc"] | x["tc"])
+        more = (acc["n"] > 0) & (acc["n"] < span) & (run_side * own >= 0)
+        takes = ~acc["h"] & x["h"]  # the run's heading is the first that isn't empty
+        o = F.when(more, acc["o"] | x["to"] | (takes & x["ho"])).otherwise(x["ho"] | x["to"])
+        c = F.when(more, acc["c"] | x["tc"] | (takes & x["hc"])).otherwise(x["hc"] | x["tc"])
+        run = F.when(more, acc["run"]).otherwise(acc["run"] + 1)
+        return F.struct(F.when(more, acc["n"] + 1).otherwise(F.lit(1)).alias("n"), o.alias("o"), c.alias("c"), F.when(more, acc["h"] | x["h"]).otherwise(x["h"]).alias("h"), run.alias("run"), F.concat(acc["runs"], F.array(run)).alias("runs"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("o"), F.lit(False).alias("c"), F.lit(False).alias("h"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("runs"))
+    listed = seen.groupBy("doc_id", "_s").agg(F.sort_array(F.collect_list(chunk)).alias("x")).withColumn("r", F.aggregate("x", start, fold, lambda acc: acc["runs"]))
+    runs = listed.select("doc_id", "_s", F.explode(F.arrays_zip("x", "r")).alias("z")).select("doc_id", "_s", F.col("z.r").alias("_run"), "z.x.*")
+    return runs.groupBy("doc_id", "_s", "_run").agg(F.min_by("chunk_id", "ord").alias("chunk_id"), F.min("ord").alias("ord"), F.max("ord").alias("last_ord"), F.count("*").alias("chunks"), F.max("score").alias("score")).drop("_s", "_run")
 
 
 def deduped(hits: DataFrame) -> DataFrame:

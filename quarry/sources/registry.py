@@ -111,7 +111,12 @@ def export_csv(rows: DataFrame, path: str) -> None:
 def import_csv(spark: SparkSession, path: str, schema: str, keys: list[str], stored: DataFrame | None = None) -> DataFrame:
     """Rows of a CSV in a schema, over the stored ones: a key in the file replaces the stored row, the last row of a key counts."""
     got = spark.read.option("header", True).option("nullValue", "\\N").option("escape", '"').option("mode", "FAILFAST").schema(schema).csv(path)
-    got = got.dropDuplicates(keys)
+    names = got.columns
+    # a row's place: its file, its part of the file, and its number in the part
+    placed = got.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("_at"))
+    other = [c for c in names if c not in keys]
+    got = placed.groupBy(*keys).agg(F.max_by(F.struct(*other) if other else F.lit(1), "_at").alias("_row"))
+    got = got.select(*keys, *([f"_row.{c}" for c in other])).select(*names)
     return got if stored is None else got.unionByName(stored.join(got.select(*keys), keys, "left_anti"))
 
 

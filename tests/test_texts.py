@@ -110,6 +110,10 @@ def test_source_registry(spark, tmp_path):
     S.export_csv(terms, str(tmp_path / "csv"))
     back = S.import_csv(spark, str(tmp_path / "csv"), "term string, meaning string", ["term"], spark.createDataFrame([("a", "old"), ("z", "kept")], terms.schema))
     assert {tuple(x) for x in back.collect()} == {tuple(x) for x in terms.collect()} | {("z", "kept")}
+    (tmp_path / "twice").mkdir()
+    for k, lines in enumerate((["a,first", "b,1", "a,last"], ["b,2", "c,", "b,3"])):
+        (tmp_path / "twice" / f"part{k}.csv").write_text("\n".join(["term,meaning", *lines]) + "\n")
+    assert {tuple(x) for x in S.import_csv(spark, str(tmp_path / "twice"), terms.schema.simpleString()[7:-1].replace(":", " "), ["term"]).collect()} == {("a", "last"), ("b", "3"), ("c", None)}
     m = spark.createDataFrame([(1, 1, "a", "t")], "chunk_id long, doc_id long, entity string, type string")
     e = spark.createDataFrame([(1, "a", "b", "t", 1.0)], "doc_id long, src string, dst string, type string, weight double")
     for _ in range(2):
