@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,24 @@ from quarry.llm.queries import tokenizer_path
 IDS = 1_000_000
 
 
+#: Rows and bytes of a batch of texts that goes to Python: Spark keeps buffers of the size of the largest. By setting, (Spark's own, ours).
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def lean(stage):
+    """A stage that runs with small batches, in a session that has no settings of its own for them; they stay, since the stage's rows are lazy."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for key, (usual, small) in BATCH.items():
+            if spark.conf.get(key, usual) == usual:
+                spark.conf.set(key, small)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@lean
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps.
 
@@ -24,6 +44,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cotraining.with_quality(docs, read(spark, sf_dir, "labels")).where("_quarry_q.kept").select(*docs.columns)
 
 
+@lean
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near copies (five words, similarity 0.8).
 
@@ -43,6 +64,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.unionByName(least(nameless)) if nameless.head(1) else kept
 
 
+@lean
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every span of a secret replaced by a mark and n_chars as it then is.
 
@@ -53,6 +75,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return marked.withColumns({"text": F.col("_quarry_s.text"), "n_chars": F.length("_quarry_s.text").cast("long")}).select(*docs.columns)
 
 
+@lean
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them.
 
@@ -73,6 +96,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "m_copies")).alias("_quarry_k")).drop("_quarry_k")
 
 
+@lean
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens.
 
