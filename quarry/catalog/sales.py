@@ -200,8 +200,23 @@ def calendar_filled_daily_events(t, spark):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def route_latency_percentiles(t, spark):
-    t("events").createOrReplaceTempView("_quarry_events")
-    return spark.sql("SELECT event_type, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 6) AS p95 FROM _quarry_events GROUP BY event_type")
+    from ..operators.iterated import exact_percentiles
+
+    got = exact_percentiles(t("events"), ["event_type"], "value", [0.5, 0.95])
+    at = lambda p: F.round(F.max(F.when(F.col("p") == p, F.col("value"))), 6)
+    return got.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(quantile_cont(l_extendedprice, 0.999), 6) AS p999 FROM lineitem GROUP BY 1 UNION ALL SELECT NULL, round(quantile_cont(l_quantity, 0.5), 6), round(quantile_cont(l_quantity, 0.95), 6), round(quantile_cont(l_quantity, 0.999), 6) FROM lineitem")
+def exact_percentiles_of_lines(t, spark):
+    """Percentiles of large groups and, as one group of all rows, of a column of few values."""
+    from ..operators.iterated import exact_percentiles
+
+    at = lambda p: F.round(F.max(F.when(F.col("p") == p, F.col("value"))), 6)
+    shown = [at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.999).alias("p999")]
+    flags = exact_percentiles(t("lineitem"), ["l_returnflag"], "l_extendedprice", [0.5, 0.95, 0.999]).groupBy("l_returnflag").agg(*shown)
+    whole = exact_percentiles(t("lineitem"), [], "l_quantity", [0.5, 0.95, 0.999]).agg(*shown).select(F.lit(None).cast("string").alias("l_returnflag"), "p50", "p95", "p999")
+    return flags.unionByName(whole)
 
 
 @query("SELECT o_orderpriority, count(*) AS orders, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, round(100.0 * count(*) FILTER (WHERE o_orderstatus = 'F') / count(*), 4) AS finished_pct FROM orders GROUP BY 1")
