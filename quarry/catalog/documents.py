@@ -113,3 +113,24 @@ def ppr_top_chunks(t, spark):
     mentions = t("lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity"))
     relations = t("lineitem").select(F.col("l_partkey").alias("src"), F.pmod(F.col("l_suppkey") * 7, F.lit(60)).alias("dst"), F.col("l_quantity").alias("weight"))
     return graph_route(mentions, relations, [1, 2])
+
+
+@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT q.vec_id AS query_id, v.vec_id, round(1 - list_cosine_similarity(q.e, v.e), 6) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - list_cosine_similarity(q.e, v.e), v.vec_id) AS rank FROM v q JOIN v ON q.vec_id % 100 = 0 AND 1 - list_cosine_similarity(q.e, v.e) < 0.55) SELECT query_id, vec_id, distance, rank FROM d WHERE rank <= 20")
+def indexed_neighbours(t, spark):
+    """Vectors near those whose id is divisible by 100, by an inverted file of which all lists are probed, so that it is exact."""
+    from ..operators.indexes import index_search, vector_index
+
+    index = vector_index(t("embeddings"))
+    asked = t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return index_search(index, asked, probes=len(index.centres)).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query()
+def trigram_search(t, spark):
+    """For the first words of each benchmark text the texts that are most like them, by posting lists of trigrams."""
+    from ..operators.indexes import gram_postings
+    from ..operators.indexes import trigram_search as search
+
+    chunks = t("benchmark").select(F.col("item_id").alias("chunk_id"), "text")
+    asked = t("benchmark").select(F.col("item_id").alias("question_id"), F.substring_index("text", " ", 4).alias("question"))
+    return search(chunks, gram_postings(chunks), asked).select("question_id", "chunk_id", F.round("score", 9).alias("score"), "rank")

@@ -34,9 +34,12 @@ def best_of_document(hits: DataFrame, score: str, key: str = "chunk_id") -> Data
     return hits.groupBy("doc_id").agg(F.max_by(F.struct(score, key), F.struct(F.col(score), -F.col(key))).alias("_b")).select("doc_id", f"_b.{key}", f"_b.{score}")
 
 
-def scan_mode(visible: int) -> str | None:
-    """How vectors are searched: not at all without a visible document, else exactly; here every scan is a distributed one."""
-    return "exact" if visible else None
+def scan_mode(visible: int, indexed: bool = False, least: int = 50) -> str | None:
+    """How vectors are searched: not at all without a visible document, by an index only where the caller has one and says so, else exactly.
+
+    Fewer than `least` documents are searched exactly in any case.
+    """
+    return None if not visible else "index" if indexed and visible >= least else "exact"
 
 
 def title_route(chunks: DataFrame, question: str, least: float = 0.35, top: int = 10) -> DataFrame:

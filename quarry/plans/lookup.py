@@ -78,11 +78,26 @@ def scan_verdict(df: DataFrame) -> list[dict]:
     return out
 
 
-def partitions_read(df: DataFrame, column: str, floor: int = 4) -> dict:
-    """How many of a table's partitions a plan reads: all of `floor` or more is a full scan.
+def partition_counts(df: DataFrame) -> list[dict]:
+    """For each file scan of the planned statement: its partition columns, and how many of its partitions it would read of how many.
 
-    The values of the partition column that the filters leave are counted on Spark, so no plan text is read.
+    All is read from the file index of the physical plan; nothing runs. A filter that is only known at run time, as that of a
+    dynamic join, prunes nothing here.
     """
-    total = df.sparkSession.read.parquet(*sorted({re.sub(rf"/{column}=[^/]*/[^/]*$", "", f) for f in df.inputFiles()})).select(column).distinct().count()
-    scanned = df.select(column).distinct().count()
-    return {"scanned": scanned, "total": total, "full": total >= floor and scanned == total}
+    out, queue = [], [df._jdf.queryExecution().sparkPlan()]
+    while queue:
+        node = queue.pop()
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            relation = node.relation()
+            fields = relation.partitionSchema().fieldNames()
+            listed = node.selectedPartitions()
+            out.append({"columns": list(fields), "scanned": listed.partitionCount() if len(fields) else 1, "total": relation.location().partitionSpec().partitions().size() if len(fields) else 1, "files": listed.totalNumberOfFiles(), "bytes": listed.totalFileSize()})
+        for group in (node.children(), node.subqueries()):
+            queue += [group.apply(k) for k in range(group.size())]
+    return out
+
+
+def partitions_read(df: DataFrame, column: str, floor: int = 4) -> dict:
+    """How many partitions by a column the plan's scans read: all of `floor` or more in one of them is a full scan."""
+    scans = [s for s in partition_counts(df) if column in s["columns"]]
+    return {"scanned": sum(s["scanned"] for s in scans), "total": sum(s["total"] for s in scans), "full": any(s["total"] >= floor and s["scanned"] == s["total"] for s in scans)}
