@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.segment import Segmenter, terms_of
 from ..functions.text import exact_tokens, terms, word_similarity
 
 RRF_K = 60
@@ -51,12 +52,12 @@ def token_route(chunks: DataFrame, question: str, top: int = 20, key: str = "chu
     return chunks.select(key, hits.alias("hits")).where("hits > 0").orderBy(F.desc("hits"), key).limit(top)
 
 
-def term_route(chunks: DataFrame, question: str, top: int = 10, key: str = "chunk_id", most: int = 32) -> DataFrame:
-    """Chunks with at least two (or all) of the question's distinct terms."""
-    q = terms(question)[:most]
+def term_route(chunks: DataFrame, question: str, top: int = 10, key: str = "chunk_id", most: int = 32, segmenter: Segmenter | None = None) -> DataFrame:
+    """Chunks with at least two (or all) of the question's distinct terms; a segmenter divides scripts without spaces into words."""
+    q = (segmenter.terms(question) if segmenter else terms(question))[:most]
     if not q:
         return chunks.select(key, F.lit(0).alias("hits")).limit(0)
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    words = terms_of(F.col("text"), segmenter) if segmenter else F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
     hits = F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in q])))
     return chunks.select(key, hits.alias("hits")).where(F.col("hits") >= min(2, len(q))).orderBy(F.desc("hits"), key).limit(top)
 
