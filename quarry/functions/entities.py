@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from .text import chunk, chunk_by_meaning, est_tokens, windows
+from .text import chunk, chunk_by_heading, chunk_by_meaning, est_tokens, windows
 
 #: Phrases of the purchase relations.
 RELATIONS = {
@@ -72,9 +72,11 @@ def entity_id(space: str, name: str) -> str | None:
 
 
 def chunk_preset(text: str, preset: str = "general") -> list[tuple[int, int]]:
-    """Spans by preset: laws by article, qa by question, book by chapter, else general; long parts are cut further."""
+    """Spans by preset: semantic by full heading path, meaning by words in common, laws by article, qa by question, book by chapter, else general; long parts are cut further."""
     marks = {"laws": r"(?m)^(?:第[一二三四五六七八九十百零\d]+条|Article\s+\d+)", "qa": r"(?m)^(?:Q[:：]|问[:：])", "book": r"(?m)^(?:第[一二三四五六七八九十百零\d]+章|Chapter\s+\d+|#\s)"}
     if preset == "semantic":
+        return chunk_by_heading(text)
+    if preset == "meaning":
         return chunk_by_meaning(text)
     if preset not in marks:
         return chunk(text)

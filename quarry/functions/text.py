@@ -221,3 +221,42 @@ def chunk_by_meaning(text: str, least: float = 0.12, target: int = 400) -> list[
         out.append((start, at))
     hard = int(target * 1.6)
     return [(a + k, min(a + k + hard, z)) for a, z in out for k in range(0, z - a, hard)]
+
+
+def chunk_by_heading(text: str, top_level: bool = False, target: int = 400, hard: int = 480) -> list[tuple[int, int]]:
+    """Spans of a Markdown text that never leave a section, which is a full heading path, or a chapter with `top_level`.
+
+    Paragraphs of one section follow one another up to `target` tokens; neighbours share nothing, so that no words of
+    one section stand under another's heading. A paragraph over `hard` tokens is cut at sentences. A heading begins the span of
+    what follows it.
+    """
+    stack: list[tuple[int, str]] = []
+    units: list[tuple[str, int, int]] = []  # section, begin, end of a paragraph
+    at, start, key = 0, None, ""
+    for line in text.splitlines(keepends=True):
+        m = re.match(r"(#{1,6})\s+(.*)", line)
+        if m or not line.strip():
+            if start is not None and (m or text[start:at].lstrip("#").strip()):
+                units.append((key, start, at))
+                start = None
+        if m:
+            while stack and stack[-1][0] >= len(m[1]):
+                stack.pop()
+            stack.append((len(m[1]), m[2].strip()))
+            key = stack[0][1] if top_level else " > ".join(h for _, h in stack)
+            if start is None:
+                start = at
+        elif line.strip() and start is None:
+            start = at
+        at += len(line)
+    if start is not None:
+        units.append((key, start, at))
+    out: list[tuple[str, int, int]] = []
+    for k, a, z in units:
+        if out and out[-1][0] == k and est_tokens(z - out[-1][1]) <= target:
+            out[-1] = (k, out[-1][1], z)
+        elif est_tokens(z - a) <= hard:
+            out.append((k, a, z))
+        else:
+            out += [(f"{k}\0", a + x, a + y) for x, y in chunk(text[a:z], target, 0, hard)]
+    return [(a, z) for _, a, z in out]

@@ -31,6 +31,18 @@ def array_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return a.join(b, "_e").select("a", "b").distinct()
 
 
+def overlap_counts(left: DataFrame, right: DataFrame, a: str, b: str, tags: str) -> DataFrame:
+    """(a, partners): with how many b's of the right side each a of the left shares a tag, counted once each.
+
+    Rows with equal sets of tags are one class, so pairs are formed of classes that share a tag and never of their members.
+    """
+    classed = lambda df, key: df.where(F.col(key).isNotNull()).select(key, F.explode(tags).alias("_t")).groupBy(key).agg(F.sort_array(F.collect_set("_t")).alias("_s"))
+    mine = classed(left, a)
+    theirs = classed(right, b).groupBy("_s").agg(F.count("*").alias("_n")).withColumnRenamed("_s", "_r")
+    sides = mine.select("_s").distinct().select("_s", F.explode("_s").alias("_t")).join(theirs.select("_r", "_n", F.explode("_r").alias("_t")), "_t").select("_s", "_r", "_n").distinct()
+    return mine.join(sides.groupBy("_s").agg(F.sum("_n").alias("partners")), "_s").select(a, "partners")
+
+
 def purchase_edges(lines: DataFrame, orders: DataFrame, customers: DataFrame, nation: DataFrame, amount: Column) -> DataFrame:
     """Customer, product and region with their summed amount and quantity: one join on the order, one aggregate."""
     sold = lines.select("l_orderkey", "l_partkey", amount.alias("amount"), F.col("l_quantity").cast("decimal(18,2)").alias("qty"))

@@ -75,8 +75,13 @@ def presented(df: DataFrame, names: dict[str, str], labels: DataFrame | None = N
     separators is translated code by code; an unknown code stays.
     """
     for column, kind in (coded or {}).items():
-        told = labels.where(F.col("kind") == kind).select(F.map_from_entries(F.collect_list(F.struct("code", "label"))).alias("_m"))
-        df = df.crossJoin(F.broadcast(told)).withColumn(column, F.array_join(F.transform(F.split(F.col(column).cast("string"), separator), lambda c: F.coalesce(F.element_at("_m", F.trim(c)), F.trim(c))), separator)).drop("_m")
+        # the distinct cells are translated, by a join of their codes, and meet the rows again as a table of cells
+        cell = F.col(column).cast("string").alias("_cell")
+        codes = df.select(cell).where("_cell IS NOT NULL").distinct().select("_cell", F.posexplode(F.split("_cell", separator)).alias("_k", "_code"))
+        told = labels.where(F.col("kind") == kind).groupBy("code").agg(F.max("label").alias("_label"))
+        known = codes.join(told, F.trim("_code") == F.col("code"), "left").groupBy("_cell").agg(F.sort_array(F.collect_list(F.struct("_k", F.coalesce("_label", F.trim("_code")).alias("t")))).alias("_t"))
+        known = known.select("_cell", F.array_join(F.col("_t.t"), separator).alias("_text"))
+        df = df.join(known, F.col(column).cast("string") == F.col("_cell"), "left").withColumn(column, F.col("_text")).drop("_cell", "_text")
     return df.withColumnsRenamed(names)
 
 

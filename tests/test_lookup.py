@@ -51,3 +51,17 @@ def test_presets():
     assert spans[0][0] == 0 and spans[-1][1] == len(book) and len(spans) > 2
     parts = entities.chunk_table("a|b", ["1|" + "x" * 300] * 10)
     assert len(parts) > 1 and all(p.startswith("a|b\n") for p in parts)
+
+
+def test_headings_bound_semantic_chunks():
+    text = "intro words\n\n# A\npara one.\n\npara two.\n\n## B\nunder b.\n\n" + "Long sentence here. " * 200 + "\n\n## C\n### D\nunder d.\n\n# E\nend"
+    spans = entities.chunk_preset(text, "semantic")
+    parts = [text[a:z].strip() for a, z in spans]
+    assert parts[:2] == ["intro words", "# A\npara one.\n\npara two."] and parts[-1] == "# E\nend" and "## C\n### D\nunder d." in "\n".join(parts)
+    assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:])) and all(z - a < 2600 for a, z in spans)
+    assert not any("under b" in p and ("para two" in p or "under d" in p) for p in parts) and len([p for p in parts if "Long sentence" in p]) > 1
+    assert "".join(text[a:z] for a, z in spans).split() == text.split()
+    assert entities.chunk_preset("", "semantic") == [] and len(entities.chunk_preset("# A\nx\n## B\ny", "semantic")) == 2
+    from quarry.functions.text import chunk_by_heading
+
+    assert len(chunk_by_heading("# A\nx\n## B\ny\n# C\nz", top_level=True)) == 2

@@ -142,7 +142,7 @@ def test_numbers_and_claims():
     assert A.values("sales of 1.2亿, 15% and 二十三") == [1.2e8, 0.15, 23.0]
     assert A.bound_claims([("amount is 1,204", ["f1"]), ("amount is 1,300", ["f1"]), ("amount is 1,200", []), ("up 20%", ["f2"])], {"f1": 1200.0, "f2": 0.2}) == ["amount is 1,204", "up 20%"]
     assert E.entity_id("s", " “Ann  Lee” ") == E.entity_id("s", "ann lee") != E.entity_id("t", "ann lee") and E.entity_id("s", "7") is None
-    spans = E.chunk_preset("The cat sat. The cat ran. Stock prices fell. Stock prices rose." + "x" * 2000, "semantic")
+    spans = E.chunk_preset("The cat sat. The cat ran. Stock prices fell. Stock prices rose." + "x" * 2000, "meaning")
     assert spans[0] == (0, 26) and spans[-1][1] == 2063 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
     assert text.terms("销售额 of Asia") == ["销售", "售额", "asia"] and text.json_block('{"a":1}').startswith("```json\n{") and text.json_block("no") == "no"
 
