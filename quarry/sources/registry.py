@@ -47,9 +47,25 @@ class JdbcReader:
         return self.spark.read.format("jdbc").options(url=self.url, dbtable=f"{self.schema}.{table}" if self.schema else table, **self.login).load()
 
     def explain(self, sql: str) -> str:
-        """The server's own plan of a statement that isn't run."""
-        plan = self.spark.read.format("jdbc").options(url=self.url, prepareQuery="", query=f"EXPLAIN {sql}", **self.login).load()
-        return "\n".join(str(r[0]) for r in plan.limit(200).collect())
+        """The server's own plan of a statement that isn't run, asked for on a read-only connection of the driver.
+
+        Spark's `query` option makes a subquery of a statement, where EXPLAIN can't stand.
+        """
+        jvm = self.spark._jvm
+        login = jvm.java.util.Properties()
+        for k, v in self.login.items():
+            login.setProperty(k, str(v))
+        connection = jvm.java.sql.DriverManager.getConnection(self.url, login)
+        try:
+            connection.setReadOnly(True)
+            statement = connection.createStatement()
+            statement.setQueryTimeout(self.policy.seconds)
+            rows, out = statement.executeQuery(f"EXPLAIN {sql}"), []
+            while rows.next() and len(out) < 200:
+                out.append(str(rows.getString(1)))
+            return "\n".join(out)
+        finally:
+            connection.close()
 
 
 class SourceRegistry:
