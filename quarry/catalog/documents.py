@@ -105,7 +105,11 @@ def html_to_text(t, spark):
 
 @query()
 def trigram_similarity(t, spark):
-    return V.trigram_route(t("benchmark").select(F.col("item_id").alias("chunk_id"), "text"), "the reading of the")
+    from ..operators.indexes import gram_postings, trigram_search
+
+    chunks = t("benchmark").select(F.col("item_id").alias("chunk_id"), "text")
+    asked = spark.createDataFrame([(0, "the reading of the")], "question_id int, question string")
+    return trigram_search(chunks, gram_postings(chunks), asked).orderBy("rank").select("chunk_id", "score")
 
 
 @query()

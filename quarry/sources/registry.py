@@ -136,17 +136,30 @@ def import_csv(spark: SparkSession, path: str, schema: str, keys: list[str], sto
     return got if stored is None else got.unionByName(stored.join(got.select(*keys), keys, "left_anti"))
 
 
+def stored_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(mentions, relations) as append_graph() stored them; None where nothing is stored."""
+    try:
+        rows = spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    parts = [rows.where(F.col("kind") == k).select(f"{k}.*") for k in ("mention", "relation")]
+    return parts[0], parts[1]
+
+
 def append_graph(mentions: DataFrame, relations: DataFrame, path: str) -> None:
-    """Adds a document graph's new rows to the stored mentions and relations; rows that are stored already aren't added again."""
+    """Adds a document graph's new rows to the stored mentions and relations; rows that are stored already aren't added again.
+
+    Both go into one table by one write, whose commit shows all of them or, if it fails before, none.
+    """
     spark = mentions.sparkSession
-    for name, rows, keys in (("mentions", mentions, ["chunk_id", "doc_id", "entity"]), ("relations", relations, ["doc_id", "src", "dst", "type"])):
-        try:
-            stored = spark.read.parquet(f"{path}/{name}")
-            rows = rows.join(stored.select(*keys), keys, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.write.mode("append").parquet(f"{path}/{name}")
+    keys = ["chunk_id", "doc_id", "entity"], ["doc_id", "src", "dst", "type"]
+    new = [mentions.dropDuplicates(keys[0]), relations.dropDuplicates(keys[1])]
+    if old := stored_graph(spark, path):
+        new = [n.join(o.select(*k), k, "left_anti").select(*n.columns) for n, o, k in zip(new, old, keys)]
+    m, r = (n.select(F.lit(k).alias("kind"), F.struct(*n.columns).alias(k)) for n, k in zip(new, ("mention", "relation")))
+    m.unionByName(r, allowMissingColumns=True).write.mode("append").partitionBy("kind").parquet(path)
 
 
 def outside_records(rows: DataFrame, text: str, question: str, top: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import date
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.catalog import QUERIES
 from quarry.functions import text
@@ -118,7 +119,11 @@ def test_source_registry(spark, tmp_path):
     e = spark.createDataFrame([(1, "a", "b", "t", 1.0)], "doc_id long, src string, dst string, type string, weight double")
     for _ in range(2):
         S.append_graph(m, e, str(tmp_path / "graph"))
-    assert spark.read.parquet(str(tmp_path / "graph/mentions")).count() == spark.read.parquet(str(tmp_path / "graph/relations")).count() == 1
+    kept = S.stored_graph(spark, str(tmp_path / "graph"))
+    assert [tuple(x) for x in kept[0].collect()] == [tuple(x) for x in m.collect()] and [tuple(x) for x in kept[1].collect()] == [tuple(x) for x in e.collect()]
+    S.append_graph(m.unionByName(m.withColumn("entity", F.lit("b"))), e.limit(0), str(tmp_path / "graph"))
+    kept = S.stored_graph(spark, str(tmp_path / "graph"))
+    assert kept[0].count() == 2 and kept[1].count() == 1 and S.stored_graph(spark, str(tmp_path / "none")) is None
     assert unicodedata.normalize("NFKC", "Ａ") == "A"
 
 
