@@ -112,10 +112,13 @@ def asset_scores(t, spark):
     return E.asset_scores(q, spark.createDataFrame(ASSETS, "asset string, domain string, text string"), "sales_fact").withColumn("score", F.col("score").cast("long"))
 
 
-@query("SELECT event_id AS id, round(value / 1000, 9) AS distance FROM events WHERE event_type <> 'error' AND user_id % 2 = 0 AND round(value / 1000, 9) <= 0.35 ORDER BY 2, 1 LIMIT 8")
+@query("WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 1), d AS (SELECT vec_id AS id, 1 - list_cosine_similarity(embedding::DOUBLE[], e) AS d FROM embeddings, q WHERE vec_id % 7 <> 3 AND label < 8) SELECT id, round(d, 6) AS distance FROM d WHERE d <= 0.9 ORDER BY d, id LIMIT 8")
 def nearest_exemplars(t, spark):
-    e = t("events").select(F.col("event_id").alias("id"), "value", (F.col("event_type") != "error").alias("enabled"), (F.col("user_id") % 2 == 0).alias("valid"))
-    return E.nearest_exemplar(e, F.col("value") / 1000).select("id", "distance")
+    """The vectors nearest to the first one, of those that count as enabled and valid."""
+    v = t("embeddings")
+    question = v.orderBy("vec_id").select("embedding").first()[0]
+    e = v.select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 7 != 3).alias("enabled"), (F.col("label") < 8).alias("valid"))
+    return E.nearest_exemplar(e, list(question), most=0.9).select("id", F.round("distance", 6).alias("distance"))
 
 
 @query("WITH e AS (SELECT 'nation.n' || n_nationkey AS l, CASE n_regionkey WHEN 0 THEN 'region.r' WHEN 1 THEN 'part.p' ELSE 'orders.o' END || n_nationkey AS r, round(0.86 + n_nationkey % 7 / 50.0, 4) AS c FROM nation), k AS (SELECT *, row_number() OVER (PARTITION BY split_part(l, '.', 1), split_part(r, '.', 1) ORDER BY c DESC, l, r) AS rank FROM e WHERE c >= 0.9 AND split_part(r, '.', 1) IN ('region', 'orders')) SELECT l AS \"left\", r AS \"right\", CAST(c AS DOUBLE) AS confidence, rank FROM k WHERE rank <= 10")
@@ -144,9 +147,12 @@ def learning_rollback(t, spark):
     return E.rolled_back(rules, log, 2)
 
 
-@query("SELECT * FROM (VALUES ('orders', 'o_orderstatus'), ('lineitem', 'l_linestatus'), ('lineitem', 'l_returnflag'), ('events', 'event_type'), ('part', 'p_type')) AS t(\"table\", \"column\")")
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS \"table\", '{c}' AS \"column\", count(DISTINCT nullif({c}, '')) AS \"distinct\" FROM {n}" for n, c in (("orders", "o_orderstatus"), ("lineitem", "l_linestatus"), ("lineitem", "l_returnflag"), ("events", "event_type"), ("part", "p_type"))) + ") WHERE \"distinct\" BETWEEN 2 AND 60")
 def candidate_code_columns(t, spark):
+    """Columns whose names and types may be codes, and whose values are few."""
     from ..operators.profiling import bucket
 
-    rows = [(n, f.name, bucket(f.dataType), "") for n in ("orders", "lineitem", "events", "part", "customer") for f in t(n).schema]
-    return E.candidate_columns(spark.createDataFrame(rows, "table string, column string, kind string, comment string")).select("table", "column")
+    tables = {n: t(n) for n in ("orders", "lineitem", "events", "part", "customer")}
+    rows = [(n, f.name, bucket(f.dataType), "") for n, df in tables.items() for f in df.schema]
+    named = E.candidate_columns(spark.createDataFrame(rows, "table string, column string, kind string, comment string"))
+    return E.code_columns(tables, named)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -178,9 +179,25 @@ def asset_scores(questions: DataFrame, assets: DataFrame, default: str, most: in
     return both.select("q_id", "asset", (F.coalesce("_w", F.lit(0)) + F.coalesce("_d", F.lit(0)) + F.when(F.col("asset") == default, 40).otherwise(0)).alias("score"))
 
 
-def nearest_exemplar(exemplars: DataFrame, distance: Column, top: int = 8, most: float = 0.35) -> DataFrame:
-    """The nearest exemplars that are enabled and valid, within a distance."""
-    return exemplars.where("enabled AND valid").withColumn("distance", F.round(distance, 9)).where(F.col("distance") <= most).orderBy("distance", "id").limit(top)
+def nearest_exemplar(exemplars: DataFrame, question: list[float], top: int = 8, most: float = 0.35) -> DataFrame:
+    """(id, distance): the exemplars (id, embedding, enabled, valid) nearest to a question's vector by cosine distance, of those enabled and valid."""
+    from .retrieval import vector_route
+
+    return vector_route(exemplars.where("enabled AND valid"), question, top, math.nextafter(most, 2), "embedding", "id")
+
+
+def code_columns(tables: dict[str, DataFrame], candidates: DataFrame, least: int = 2, most: int = 60) -> DataFrame:
+    """(table, column, distinct) of candidate columns (table, column) that hold from `least` to `most` different values.
+
+    Which columns are candidates is a matter of the schemas, and so few that the driver plans their scan.
+    """
+    columns: dict[str, list[str]] = {}
+    for r in candidates.select("table", "column").distinct().collect():
+        columns.setdefault(r["table"], []).append(r["column"])
+    if not columns:
+        return candidates.select("table", "column", F.lit(0).cast("long").alias("distinct")).limit(0)
+    n = column_values({t: tables[t] for t in columns}, columns, None).groupBy("column").agg(F.count("*").alias("distinct"))
+    return n.where(F.col("distinct").between(least, most)).select(F.substring_index("column", ".", 1).alias("table"), F.substring_index("column", ".", -1).alias("column"), "distinct")
 
 
 def join_evidence(edges: DataFrame, tables: list[str], least: float = 0.9, top: int = 10) -> DataFrame:
