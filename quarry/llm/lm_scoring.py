@@ -161,9 +161,9 @@ def streams_of(packed: DataFrame, language: Language, groups: int, one_of: int =
     return packed.select("doc_ids", "held", "lengths", "words", "hashes").mapInArrow(tidied(run), schema)
 
 
-def improve(packed: DataFrame, language: Language, groups: int, one_of: int = 1, streams: int = 256, rate: float = 8e-3) -> tuple[np.ndarray | None, int]:
+def improve(packed: DataFrame, language: Language, groups: int, one_of: int = 1, streams: int = 256, rate: float = 8e-3, fan: int = 32) -> tuple[np.ndarray | None, int]:
     """One round of local training: every group goes on from the weights over all its documents, in the order of
-    their hashes; the weights are averaged by the number of tokens, first in sets of groups, then in one. Neither
+    their hashes; the weights are averaged by the number of tokens, `fan` at a time, up a tree. Neither
     the groups nor any order depend on how the rows are partitioned. Also gives the number of tokens."""
     shared = packed.sparkSession.sparkContext.broadcast(language.weights)
 
@@ -191,11 +191,12 @@ def improve(packed: DataFrame, language: Language, groups: int, one_of: int = 1,
         return pd.DataFrame({"g": [int(key[0])], "n": [int(t.n.sum())], "w": [(total / t.n.sum()).astype(np.float32).tobytes()]})
 
     schema = "g long, n long, w binary"
-    parts = streams_of(packed, language, groups, one_of).repartition(groups, "g").groupBy("g").applyInPandas(learn, schema)
-    sets = max(1, math.isqrt(groups))
-    if sets > 1:
-        parts = parts.groupBy(F.pmod("g", F.lit(sets)).alias("k")).applyInPandas(merge, schema)
-    got = parts.groupBy(F.lit(0).cast("long").alias("k")).applyInPandas(merge, schema).collect()
+    parts = streams_of(packed, language, groups, one_of).repartition(min(groups, 20_000), "g").groupBy("g").applyInPandas(learn, schema)
+    left = groups
+    while left > 1:  # a tree of averages: no task holds more than `fan` weight vectors
+        left = -(-left // fan)
+        parts = parts.groupBy(F.pmod("g", F.lit(left)).alias("k")).applyInPandas(merge, schema)
+    got = parts.collect()
     return (np.frombuffer(got[0].w, np.float32), got[0].n) if got else (None, 0)
 
 
