@@ -147,8 +147,8 @@ def stems(word: str, least: int = 4, most: int = 10) -> list[str]:
 def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     """(text, y, w): labelled training texts, at most about `per_class` of each label, and how many rows each stands for.
 
-    Rows whose crc32 of the id leaves 1 modulo 3 are kept back. An id that has both labels has none; rows that share
-    an id and text, and texts of one shape and label, count once. Neither the id nor the label goes into a text.
+    Rows whose crc32 of the id leaves 1 modulo 3 are kept back. An id that has both labels has none; of rows that share
+    an id one counts, and of texts of one shape and label. Neither the id nor the label goes into a text.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out("doc_id", 3, 1)).groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("_y")).where("y = _y").drop("_y")
     n = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
@@ -168,6 +168,9 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     joined = cut(joined.withColumn("_s", struct_udf("shape long", shaped)(F.col("text"))).select("doc_id", "text", "y", "w", F.col("_s.shape").alias("shape")))
     # the least of each shape, told by a hash, so that texts aren't shuffled
     joined = joined.withColumn("_h", F.xxhash64("doc_id", "text"))
+    # and one text of each id, so that the rows are as few as the ids that were picked
+    one = joined.groupBy("doc_id").agg(F.min("_h").alias("_one")).select(F.col("doc_id").alias("_id1"), "_one")
+    joined = joined.join(small(one, 4 * per_class + 1000), (F.col("doc_id") == F.col("_id1")) & (F.col("_h") == F.col("_one")), "left_semi")
     chosen = joined.groupBy("shape", "y").agg(F.min("_h").alias("_h")).select(F.col("_h").alias("_c"), F.col("shape").alias("_sc"), F.col("y").alias("_yc"))
     same = (F.col("_h") == F.col("_c")) & (F.col("shape") == F.col("_sc")) & (F.col("y") == F.col("_yc"))
     return joined.join(small(chosen, 4 * per_class + 1000), same, "left_semi").dropDuplicates(["_h", "shape", "y"]).select("text", "y", "w")
