@@ -53,7 +53,7 @@ def test_scanner_ends_on_anything():
 
 def test_counts_and_calibration(spark):
     good = ["SELECT o.a, c.b FROM orders o JOIN cust c ON o.k = c.k", "select c.b from cust c, orders o where o.a = 1", "SELECT o.a FROM orders o WHERE o.z > 0", "SELECT " + ", ".join(f"t.c{i}" for i in range(30)) + " FROM t JOIN u ON t.a = u.a"]
-    rows = [(i, s, " DMS " if i % 2 else "dms") for i, s in enumerate(good * 3)] + [(90, "SELECT (", "dms"), (91, None, None), (92, " ", "x"), (93, good[0], "other"), (94, "DROP TABLE t", None)]
+    rows = [(i, s, " Shop " if i % 2 else "shop") for i, s in enumerate(good * 3)] + [(90, "SELECT (", "shop"), (91, None, None), (92, " ", "x"), (93, good[0], "other"), (94, "DROP TABLE t", None)]
     log = S.mined(spark.createDataFrame(rows, "id int, sql string, ds string"), "sql")
     assert {r.id for r in log.where("mined.error IS NOT NULL").collect()} == {90, 94}
     want = Counter()
@@ -73,10 +73,10 @@ def test_counts_and_calibration(spark):
     got = {tuple(r)[:5]: (r.n, r.frequency, r.usage) for r in S.usage_edges(log, "ds").collect()}
     top = {k[0]: max(n for x, n in want.items() if x[0] == k[0]) for k in want}
     assert got == {k: (n, n / top[k[0]], 0.4 * (n / top[k[0]])) for k, n in want.items()}
-    assert S.usage_edges(log, "ds", most_edges=2).where("source = 'dms'").count() == 2
-    known = spark.createDataFrame([("dms", "cust", "", "orders", "", 0.9, 5, "accepted"), ("dms", "x", "", "y", "", 0.3, 1, "rejected")], "source string, left_table string, left_column string, right_table string, right_column string, confidence double, seen int, status string")
+    assert S.usage_edges(log, "ds", most_edges=2).where("source = 'shop'").count() == 2
+    known = spark.createDataFrame([("shop", "cust", "", "orders", "", 0.9, 5, "accepted"), ("shop", "x", "", "y", "", 0.3, 1, "rejected")], "source string, left_table string, left_column string, right_table string, right_column string, confidence double, seen int, status string")
     after = {tuple(r)[:5]: tuple(r)[5:] for r in S.calibrated_by_log(known, S.usage_edges(log, "ds")).collect()}
-    n, frequency, usage = got["dms", "cust", "", "orders", ""]
-    assert after["dms", "cust", "", "orders", ""] == (min(1.0, 0.6 * 0.9 + usage), 5 + n, "accepted")
-    assert after["dms", "x", "", "y", ""] == (0.3, 1, "rejected")
+    n, frequency, usage = got["shop", "cust", "", "orders", ""]
+    assert after["shop", "cust", "", "orders", ""] == (min(1.0, 0.6 * 0.9 + usage), 5 + n, "accepted")
+    assert after["shop", "x", "", "y", ""] == (0.3, 1, "rejected")
     assert after["other", "cust", "", "orders", ""] == (0.4, 1, "pending")
