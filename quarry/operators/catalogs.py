@@ -10,23 +10,37 @@ FORCED, VECTOR = 1.0, 0.9
 STATISTICAL = ("joinable", "synonym", "distribution_similar")
 
 
+#: Up to so many words go to the questions by a broadcast; beyond, words and questions meet by a shuffle.
+WORDS = 10_000
+
+
+def with_words(questions: DataFrame, words: DataFrame) -> DataFrame:
+    """The questions (q_id, question) with the words (word, ...) that stand in them, both in lower case.
+
+    Questions and words meet by an equality join of a word's first two characters. Few words are broadcast, so that
+    the questions, of which common beginnings make many rows each, stay where they are.
+    """
+    q = F.lower("question")
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(q), F.lit(1))), lambda i: F.array(F.substring(q, i, F.lit(1)), F.substring(q, i, F.lit(2))))
+    keyed = questions.select("q_id", "question", F.explode(F.array_distinct(F.flatten(starts))).alias("_k"))
+    keys = words.withColumn("_k", F.substring(F.lower("word"), 1, 2))
+    few = len(words.select(F.lit(1)).take(WORDS + 1)) <= WORDS
+    return keyed.join(F.broadcast(keys) if few else keys, "_k").where(F.contains(q, F.lower("word"))).drop("_k", "question")
+
+
 def metric_hits(questions: DataFrame, metrics: DataFrame) -> DataFrame:
     """(q_id, name, hit_word) of the active metrics (name, aliases, status) whose name or alias a question (q_id, question) has.
 
     A metric counts with its longest word found; a hit goes if another metric of the question has a longer word
-    that contains it. Words meet questions by an equality join of their first two characters, so neither side need
-    be small.
+    that contains it. What one question has is gathered by one aggregate and compared in its row; questions without an
+    id aren't compared.
     """
     words = metrics.where("status = 'active'").select("name", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("word")).where("trim(word) <> ''")
-    q = F.lower("question")
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(q), F.lit(1))), lambda i: F.array(F.substring(q, i, F.lit(1)), F.substring(q, i, F.lit(2))))
-    keyed = questions.withColumn("_k", F.explode(F.array_distinct(F.flatten(starts))))
-    found = keyed.join(words.withColumn("_k", F.substring(F.lower("word"), 1, 2)), "_k").where(F.contains(q, F.lower("word")))
-    one = found.groupBy("q_id", "name").agg(F.max(F.struct(F.length("word").alias("n"), F.col("word").alias("word"))).alias("w"))
-    hits = one.select("q_id", "name", F.col("w.word").alias("hit_word"))
-    other = hits.select(F.col("q_id").alias("oq"), F.col("hit_word").alias("ow"))
-    inside = (F.col("q_id") == F.col("oq")) & (F.length("ow") > F.length("hit_word")) & F.contains(F.lower("ow"), F.lower("hit_word"))
-    return hits.join(other, inside, "left_anti")
+    found = with_words(questions, words).groupBy("q_id").agg(F.collect_set(F.struct(F.length("word").alias("n"), "word", "name")).alias("x"))
+    longest = found.withColumn("x", F.filter("x", lambda h: ~F.exists("x", lambda o: o["name"].eqNullSafe(h["name"]) & ((o["n"] > h["n"]) | ((o["n"] == h["n"]) & (o["word"] > h["word"]))))))
+    inside = lambda h: F.exists("x", lambda o: (o["n"] > h["n"]) & F.contains(F.lower(o["word"]), F.lower(h["word"])))
+    hits = longest.select("q_id", F.explode(F.when(F.col("q_id").isNull(), F.col("x")).otherwise(F.filter("x", lambda h: ~inside(h)))).alias("h"))
+    return hits.select("q_id", "h.name", F.col("h.word").alias("hit_word"))
 
 
 def cards(questions: DataFrame, entries: DataFrame, top: int = 10) -> DataFrame:

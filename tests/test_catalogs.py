@@ -53,3 +53,19 @@ def test_title_groups(spark):
     docs = spark.createDataFrame([(k, n, "f") for k, n in enumerate(names)], "id long, name string, folder string")
     assert {r.id: r.family for r in C.title_groups(docs, "name", "id").collect()} == {0: "Price", 1: "Price", 2: "3x", 3: "20", 4: "other", 5: "Contract"}
     assert {r.id: r.part for r in C.title_groups(docs, "name", "id", 1).collect()}[1] == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_words_meet_questions_without_moving_them(spark, monkeypatch):
+    """Questions are shuffled once, by their id, and nothing of them is broadcast; many words give the same hits."""
+    metrics = spark.createDataFrame([("stock", ["inventory"], "active"), ("stock value", None, "active"), ("value", [], "active")], "name string, aliases array<string>, status string")
+    asked = spark.createDataFrame([(k, text) for k in (1, 1, 2, None) for text in ("Stock value", "inventory")], "q_id long, question string")
+    hits = C.metric_hits(asked, metrics)
+    assert plan_of(hits).count("Exchange hashpartitioning") == 1 and plan_of(hits).count("BroadcastExchange") == 1
+    want = [(1, "stock value", "stock value"), (1, "stock", "inventory"), (2, "stock value", "stock value"), (2, "stock", "inventory"), (None, "stock value", "stock value"), (None, "stock", "inventory"), (None, "value", "value")]
+    assert {tuple(r) for r in hits.collect()} == set(want) and hits.count() == len(want)
+    monkeypatch.setattr(C, "WORDS", 0)
+    assert {tuple(r) for r in C.metric_hits(asked, metrics).collect()} == set(want)
