@@ -18,14 +18,15 @@ def with_words(questions: DataFrame, words: DataFrame) -> DataFrame:
     """The questions (q_id, question) with the words (word, ...) that stand in them, both in lower case.
 
     Questions and words meet by an equality join of a word's first two characters. Few words are broadcast, so that
-    the questions, of which common beginnings make many rows each, stay where they are.
+    the questions, of which common beginnings make many rows each, stay where they are; these rows are never broadcast,
+    as Spark would choose by the size of the questions' files.
     """
     q = F.lower("question")
     starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(q), F.lit(1))), lambda i: F.array(F.substring(q, i, F.lit(1)), F.substring(q, i, F.lit(2))))
     keyed = questions.select("q_id", "question", F.explode(F.array_distinct(F.flatten(starts))).alias("_k"))
     keys = words.withColumn("_k", F.substring(F.lower("word"), 1, 2))
     few = len(words.select(F.lit(1)).take(WORDS + 1)) <= WORDS
-    return keyed.join(F.broadcast(keys) if few else keys, "_k").where(F.contains(q, F.lower("word"))).drop("_k", "question")
+    return keyed.join(F.broadcast(keys) if few else keys.hint("merge"), "_k").where(F.contains(q, F.lower("word"))).drop("_k", "question")
 
 
 def metric_hits(questions: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -45,11 +46,9 @@ def metric_hits(questions: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def cards(questions: DataFrame, entries: DataFrame, top: int = 10) -> DataFrame:
     """(q_id, kind, word, note, rank): of each kind the entries (kind, word, note) whose word a question has, the longest first."""
-    q = F.lower("question")
-    keyed = questions.withColumn("_k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(q) - 1, F.lit(1))), lambda i: F.substring(q, i, F.lit(2))))))
-    found = keyed.join(entries.withColumn("_k", F.substring(F.lower("word"), 1, 2)), "_k").where(F.contains(q, F.lower("word"))).select("q_id", "kind", "word", "note").distinct()
-    order = Window.partitionBy("q_id", "kind").orderBy(F.length("word").desc(), "word")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    found = with_words(questions, entries).select("q_id", "kind", "word", "note").groupBy("q_id", "kind").agg(F.collect_set(F.struct((-F.length("word")).alias("n"), "word", "note")).alias("x"))
+    ranked = found.select("q_id", "kind", F.posexplode(F.slice(F.array_sort("x"), 1, top)).alias("p", "c"))
+    return ranked.select("q_id", "kind", "c.word", "c.note", (F.col("p") + 1).cast("long").alias("rank"))
 
 
 def table_recall(forced: DataFrame, near: DataFrame, similar: DataFrame, limit: int) -> DataFrame:

@@ -69,3 +69,12 @@ def test_few_words_meet_questions_without_moving_them(spark, monkeypatch):
     assert {tuple(r) for r in hits.collect()} == set(want) and hits.count() == len(want)
     monkeypatch.setattr(C, "WORDS", 0)
     assert {tuple(r) for r in C.metric_hits(asked, metrics).collect()} == set(want)
+
+
+def test_cards_rank_in_one_aggregate(spark):
+    """Cards are shuffled once, repeated questions and entries count once, and equal lengths go by word."""
+    entries = spark.createDataFrame([("term", "ab", "x"), ("term", "ab", "x"), ("term", "Abc", "y"), ("term", "zc", "z"), ("value", "c", "one"), ("value", "bc", None)], "kind string, word string, note string")
+    asked = spark.createDataFrame([(1, "ABC zc"), (1, "abc zc"), (2, None)], "q_id long, question string")
+    got = C.cards(asked, entries, 2)
+    assert plan_of(got).count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, got.collect()), key=lambda r: (r[1], r[4])) == [(1, "term", "Abc", "y", 1), (1, "term", "ab", "x", 2), (1, "value", "bc", None, 1), (1, "value", "c", "one", 2)]
