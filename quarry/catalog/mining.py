@@ -56,14 +56,25 @@ def canonical_edges(t, spark):
     return P.canonical_edges(t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_discount").alias("confidence")))
 
 
-@query("SELECT a, count(DISTINCT s_suppkey) AS partners FROM (SELECT DISTINCT l_suppkey AS a, unnest([l_suppkey % 7, 7 + l_suppkey % 3]) AS tag FROM lineitem) x JOIN (SELECT s_suppkey, unnest([s_nationkey % 7, 7 + s_suppkey % 3]) AS tag FROM supplier) y USING (tag) GROUP BY a")
+def tagged(t):
+    """The suppliers of lines and all suppliers, each with two tags."""
+    a = t("lineitem").select(F.col("l_suppkey").alias("a"), F.array((F.col("l_suppkey") % 7).cast("long"), (7 + F.col("l_suppkey") % 3).cast("long")).alias("tags"))
+    b = t("supplier").select(F.col("s_suppkey").alias("b"), F.array((F.col("s_nationkey") % 7).cast("long"), (7 + F.col("s_suppkey") % 3).cast("long")).alias("tags"))
+    return a, b
+
+
+@query("SELECT DISTINCT a, s_suppkey AS b FROM (SELECT DISTINCT l_suppkey AS a, unnest([l_suppkey % 7, 7 + l_suppkey % 3]) AS tag FROM lineitem) x JOIN (SELECT s_suppkey, unnest([s_nationkey % 7, 7 + s_suppkey % 3]) AS tag FROM supplier) y USING (tag)")
 def shared_tag_pairs(t, spark):
+    """Each supplier of a line with each supplier that it shares a tag with, over whole tables."""
+    return array_overlap(*tagged(t), "a", "b", "tags")
+
+
+@query("SELECT a, count(DISTINCT s_suppkey) AS partners FROM (SELECT DISTINCT l_suppkey AS a, unnest([l_suppkey % 7, 7 + l_suppkey % 3]) AS tag FROM lineitem) x JOIN (SELECT s_suppkey, unnest([s_nationkey % 7, 7 + s_suppkey % 3]) AS tag FROM supplier) y USING (tag) GROUP BY a")
+def shared_tag_counts(t, spark):
     """With how many suppliers each supplier of a line shares a tag, over whole tables: sets of tags meet, and not their suppliers."""
     from ..operators.relations import overlap_counts
 
-    a = t("lineitem").select(F.col("l_suppkey").alias("a"), F.array((F.col("l_suppkey") % 7).cast("long"), (7 + F.col("l_suppkey") % 3).cast("long")).alias("tags"))
-    b = t("supplier").select(F.col("s_suppkey").alias("b"), F.array((F.col("s_nationkey") % 7).cast("long"), (7 + F.col("s_suppkey") % 3).cast("long")).alias("tags"))
-    return overlap_counts(a, b, "a", "b", "tags")
+    return overlap_counts(*tagged(t), "a", "b", "tags")
 
 
 @query("SELECT DISTINCT a.l_suppkey AS a, b.s_suppkey AS b FROM (SELECT DISTINCT l_suppkey FROM lineitem) a JOIN supplier b ON a.l_suppkey % 7 = b.s_nationkey % 7")

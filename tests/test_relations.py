@@ -14,3 +14,13 @@ def test_array_overlap_pairs_blocks(spark):
         assert len(got) == len(want) and set(got) == want
     plan = R.array_overlap(a, b, "x", "y", "tags")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in next(line for line in plan.splitlines() if "Exchange" in line), "what is shuffled last is blocks"
+
+
+def test_shared_tag_pairs_are_pairs(spark):
+    """The query gives the pairs themselves, as many as the counts add up to."""
+    from quarry.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    pairs, counts = QUERIES["shared_tag_pairs"](spark, sf), QUERIES["shared_tag_counts"](spark, sf)
+    assert pairs.columns == ["a", "b"]
+    assert sorted(map(tuple, pairs.groupBy("a").count().collect())) == sorted(map(tuple, counts.collect()))
