@@ -208,10 +208,17 @@ def readable(docs: DataFrame, chunks: DataFrame, grants: DataFrame, login: str,
 EXTRACTION = "entities array<struct<name:string,type:string>>, relations array<struct<source:string,target:string,type:string,weight:double>>"
 
 
+def folded_name(name: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(name, "[\"'“”《》()（）]", "")), r"\s+", " "))
+
+
+def real_name(folded: Column) -> Column:
+    return F.when((F.length(folded) >= 2) & ~folded.rlike(r"^[\d\W_]+$"), folded)
+
+
 def entity_name(name: Column) -> Column:
     """An entity's name as a key: trimmed, quotes and blanks folded, lower case; null for noise (one character, numbers)."""
-    n = F.lower(F.regexp_replace(F.trim(F.regexp_replace(name, "[\"'“”《》()（）]", "")), r"\s+", " "))
-    return F.when((F.length(n) >= 2) & ~n.rlike(r"^[\d\W_]+$"), n)
+    return real_name(folded_name(name))
 
 
 def chunk_graph(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -219,13 +226,25 @@ def chunk_graph(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     mentions has chunk_id, doc_id, entity, type; relations has doc_id, src, dst, type, weight, summed over chunks,
     of entities that are mentioned in the chunk, and never from one to itself. What doesn't parse gives nothing.
+    A chunk's names and relations are read once and meet in one aggregate by chunk.
     """
-    x = extracted.withColumn("_x", F.from_json(F.regexp_extract("raw", r"(?s)(\{.*\})", 1), EXTRACTION)).where("_x IS NOT NULL")
-    m = x.select("chunk_id", "doc_id", F.explode("_x.entities").alias("_e")).select("chunk_id", "doc_id", entity_name(F.col("_e.name")).alias("entity"), F.coalesce("_e.type", F.lit("other")).alias("type")).where("entity IS NOT NULL")
+
+    def names(of: Column, part: str) -> Column:
+        return F.transform(F.transform(of, lambda e: folded_name(e[part])), lambda n: real_name(n))
+
+    def read(x: Column) -> Column:
+        """What is extracted of a chunk: entities with their names, and relations with those of both ends."""
+        e, r = x["entities"], x["relations"]
+        return F.struct(e.alias("entities"), names(e, "name").alias("names"), names(r, "source").alias("src"), names(r, "target").alias("dst"), F.transform(r, lambda v: F.coalesce(v["type"], F.lit("related"))).alias("type"), F.transform(r, lambda v: F.coalesce(v["weight"], F.lit(1.0))).alias("weight"))
+
+    parsed = F.from_json(F.regexp_extract("raw", r"(?s)(\{.*\})", 1), EXTRACTION)
+    x = extracted.select("chunk_id", "doc_id", F.transform(F.array(parsed), read)[0].alias("_x"))
+    m = x.select("chunk_id", "doc_id", F.explode(F.arrays_zip("_x.names", "_x.entities")).alias("_e")).select("chunk_id", "doc_id", F.col("_e.names").alias("entity"), F.coalesce("_e.entities.type", F.lit("other")).alias("type")).where("entity IS NOT NULL")
     mentions = m.groupBy("chunk_id", "doc_id", "entity").agg(F.min("type").alias("type"))
-    r = x.select("chunk_id", "doc_id", F.explode("_x.relations").alias("_r")).select("chunk_id", "doc_id", entity_name(F.col("_r.source")).alias("src"), entity_name(F.col("_r.target")).alias("dst"), F.coalesce("_r.type", F.lit("related")).alias("type"), F.coalesce("_r.weight", F.lit(1.0)).alias("weight")).where("src <> dst")
-    known = mentions.select("chunk_id", "entity")
-    r = r.join(known.withColumnRenamed("entity", "src"), ["chunk_id", "src"], "left_semi").join(known.withColumnRenamed("entity", "dst"), ["chunk_id", "dst"], "left_semi")
+    rows = x.where("chunk_id IS NOT NULL").select("chunk_id", F.coalesce("_x.names", F.array().cast("array<string>")).alias("_n"), F.struct("doc_id", F.filter(F.arrays_zip("_x.src", "_x.dst", "_x.type", "_x.weight"), lambda r: r["src"] != r["dst"]).alias("_r")).alias("_d"))
+    chunks = rows.groupBy("chunk_id").agg(F.flatten(F.collect_list("_n")).alias("_n"), F.collect_list("_d").alias("_d"))
+    r = chunks.select("_n", F.explode("_d").alias("_d")).select("_n", "_d.doc_id", F.explode("_d._r").alias("_r"))
+    r = r.where(F.array_contains("_n", F.col("_r.src")) & F.array_contains("_n", F.col("_r.dst"))).select("doc_id", "_r.*")
     return mentions, r.groupBy("doc_id", "src", "dst", "type").agg(F.sum("weight").alias("weight"))
 
 

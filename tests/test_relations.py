@@ -24,3 +24,21 @@ def test_shared_tag_pairs_are_pairs(spark):
     pairs, counts = QUERIES["shared_tag_pairs"](spark, sf), QUERIES["shared_tag_counts"](spark, sf)
     assert pairs.columns == ["a", "b"]
     assert sorted(map(tuple, pairs.groupBy("a").count().collect())) == sorted(map(tuple, counts.collect()))
+
+
+def test_chunk_graph_by_chunk(spark):
+    """Names of all rows of a chunk count for its relations, of any document; noise, null chunks and bad JSON give nothing; one aggregate by chunk."""
+    from quarry.operators import routes
+
+    raw = [
+        (1, 1, 'so {"entities": [{"name": " Ab  c "}, {"name": "x"}, {"name": "12"}, {"name": "De", "type": "t"}], "relations": [{"source": "AB C", "target": "de"}, {"source": "de", "target": "De"}, {"source": "de", "target": "fg", "type": "k", "weight": 2}, {"source": "x", "target": "de"}]} end'),
+        (1, 2, '{"entities": [{"name": "fg"}]}'),
+        (2, 1, '{"relations": [{"source": "ab c", "target": "de"}]}'),
+        (None, 1, '{"entities": [{"name": "hi"}, {"name": "jk"}], "relations": [{"source": "hi", "target": "jk"}]}'),
+        (3, 3, "none"),
+        (4, None, None),
+    ]
+    mentions, relations = routes.chunk_graph(spark.createDataFrame(raw, "chunk_id long, doc_id long, raw string"))
+    assert sorted(map(tuple, mentions.where("chunk_id IS NOT NULL").collect())) == [(1, 1, "ab c", "other"), (1, 1, "de", "t"), (1, 2, "fg", "other")]
+    assert sorted(map(tuple, relations.collect())) == [(1, "ab c", "de", "related", 1.0), (1, "de", "fg", "k", 2.0)]
+    assert "Join" not in relations._jdf.queryExecution().executedPlan().toString()
