@@ -249,11 +249,16 @@ def chunk_graph(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def graph_stats(mentions: DataFrame, relations: DataFrame) -> DataFrame:
-    """(doc_id, entities, relations, dangling): dangling entities are mentioned but in no relation of the document."""
-    e = mentions.select("doc_id", "entity").distinct()
-    ends = relations.select("doc_id", F.col("src").alias("entity")).unionByName(relations.select("doc_id", F.col("dst").alias("entity"))).distinct().withColumn("_in", F.lit(1))
-    per = e.join(ends, ["doc_id", "entity"], "left").groupBy("doc_id").agg(F.count("*").alias("entities"), F.count_if(F.col("_in").isNull()).alias("dangling"))
-    return per.join(relations.groupBy("doc_id").agg(F.count("*").alias("relations")), "doc_id", "left").select("doc_id", "entities", F.coalesce("relations", F.lit(0)).alias("relations"), "dangling")
+    """(doc_id, entities, relations, dangling): dangling entities are mentioned but in no relation of the document.
+
+    Mentions and ends of relations meet in one aggregate by document and entity; a relation is counted at its source.
+    """
+    here = mentions.select("doc_id", "entity", F.lit(True).alias("_m"), F.lit(False).alias("_in"), F.lit(0).alias("_r"))
+    ends = F.explode(F.array(F.struct(F.col("src").alias("entity"), F.lit(1).alias("r")), F.struct(F.col("dst").alias("entity"), F.lit(0).alias("r"))))
+    there = relations.where("doc_id IS NOT NULL").select("doc_id", ends.alias("_e")).select("doc_id", "_e.entity", F.lit(False).alias("_m"), F.col("_e.entity").isNotNull().alias("_in"), F.col("_e.r").alias("_r"))
+    per = here.unionByName(there).groupBy("doc_id", "entity").agg(F.max("_m").alias("_m"), F.max("_in").alias("_in"), F.sum("_r").alias("_r"))
+    out = per.groupBy("doc_id").agg(F.count_if("_m").alias("entities"), F.sum("_r").alias("relations"), F.count_if(F.col("_m") & ~F.col("_in")).alias("dangling"))
+    return out.where("entities > 0").select("doc_id", "entities", "relations", "dangling")
 
 
 def neighbourhood(relations: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:

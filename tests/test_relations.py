@@ -42,3 +42,6 @@ def test_chunk_graph_by_chunk(spark):
     assert sorted(map(tuple, mentions.where("chunk_id IS NOT NULL").collect())) == [(1, 1, "ab c", "other"), (1, 1, "de", "t"), (1, 2, "fg", "other")]
     assert sorted(map(tuple, relations.collect())) == [(1, "ab c", "de", "related", 1.0), (1, "de", "fg", "k", 2.0)]
     assert "Join" not in relations._jdf.queryExecution().executedPlan().toString()
+    stats = routes.graph_stats(mentions, relations)
+    assert sorted(map(tuple, stats.collect())) == [(1, 4, 2, 2), (2, 1, 0, 1)]
+    assert "Join" not in stats._jdf.queryExecution().executedPlan().toString()
