@@ -23,10 +23,10 @@ def trigram_set(text: Column) -> Column:
 
 
 def title_similarity(title: Column, question: str) -> Column:
-    """Share of the question's trigrams and the title's that both have."""
-    a, b = trigram_set(title), trigram_set(F.lit(question))
-    both = F.size(F.array_intersect(a, b))
-    return F.coalesce(both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0)), F.lit(0.0))
+    """Share of the question's trigrams and the title's that both have; each set is made once a title, and the common ones are counted once."""
+    sets = F.array(F.struct(trigram_set(title).alias("a"), trigram_set(F.lit(question)).alias("b")))
+    sizes = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("both"), (F.size(s["a"]) + F.size(s["b"])).alias("n")))
+    return F.transform(sizes, lambda s: F.coalesce(s["both"] / F.nullif(s["n"] - s["both"], F.lit(0)), F.lit(0.0)))[0]
 
 
 def best_of_document(hits: DataFrame, score: str, key: str = "chunk_id") -> DataFrame:

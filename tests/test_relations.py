@@ -45,3 +45,14 @@ def test_chunk_graph_by_chunk(spark):
     stats = routes.graph_stats(mentions, relations)
     assert sorted(map(tuple, stats.collect())) == [(1, 4, 2, 2), (2, 1, 0, 1)]
     assert "Join" not in stats._jdf.queryExecution().executedPlan().toString()
+
+
+def test_title_similarity_makes_each_set_once(spark):
+    """The plan splits the title and the question once each; missing and blank titles are like nothing."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators.routes import title_similarity
+
+    got = spark.createDataFrame([("Cold promo",), ("cold",), ("...",), (None,)], "title string").select("title", F.round(title_similarity(F.col("title"), "cold promo"), 6).alias("s"))
+    assert {r.title: r.s for r in got.collect()} == {"Cold promo": 1.0, "cold": round(5 / 11, 6), "...": 0.0, None: 0.0}
+    assert got._jdf.queryExecution().analyzed().toString().count("split(") == 2
