@@ -108,9 +108,10 @@ def logged_pairs() -> str:
 
 @query(f"WITH c AS (SELECT lower(o_orderpriority) AS source, left_table, left_column, right_table, right_column, count(*) AS n FROM orders JOIN {logged_pairs()} ON o_orderkey % 5 = k GROUP BY ALL) SELECT source, left_table, left_column, right_table, right_column, n, round(n / max(n) OVER (PARTITION BY source), 6) AS frequency FROM c")
 def mined_usage(t, spark):
-    """Pairs of tables and columns mined from a log of statements, one for each order, of which a fifth can't be read."""
+    """Pairs of tables and columns mined from a log of statements, one for each order, of which a fifth can't be read; equal ones are read once."""
     from ..operators import sqllog
 
     log = t("orders").select("o_orderpriority", F.replace(F.element_at(F.array(*[F.lit(s) for s in LOGGED]), (F.col("o_orderkey") % 5 + 1).cast("int")), F.lit("{}"), F.col("o_orderstatus")).alias("sql"))
-    out = sqllog.usage_edges(sqllog.mined(log, "sql"), "o_orderpriority")
+    once = log.groupBy("o_orderpriority", "sql").agg(F.count("*").alias("times"))
+    out = sqllog.usage_edges(sqllog.mined(once, "sql"), "o_orderpriority", weight="times")
     return out.select("source", "left_table", "left_column", "right_table", "right_column", "n", F.round("frequency", 6).alias("frequency"))

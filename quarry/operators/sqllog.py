@@ -266,24 +266,25 @@ def mined(log: DataFrame, sql: str) -> DataFrame:
                 rows.append((str(e)[:200] or type(e).__name__, [], [], []))
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["error", "uses", "joins", "edges"])
 
-    return log.withColumn("mined", F.arrow_udf(run, MINED)(F.col(sql)))
+    return log.withColumn("mined", F.arrow_udf(run, MINED).asNondeterministic()(F.col(sql)))
 
 
-def usage_edges(log: DataFrame, source: str, most_columns: int = 24, most_edges: int | None = 500) -> DataFrame:
+def usage_edges(log: DataFrame, source: str, most_columns: int = 24, most_edges: int | None = 500, weight: str | None = None) -> DataFrame:
     """(source, left_table, left_column, right_table, right_column, n, frequency, usage) of a mined log.
 
     Tables that are joined make pairs without columns; columns that one statement selects or filters by make pairs,
     unless it uses more than `most_columns`. n counts statements; frequency is its share of the source's greatest;
-    usage is 0.4 of it. A source keeps its `most_edges` most frequent pairs, equal ones by name.
+    usage is 0.4 of it. A source keeps its `most_edges` most frequent pairs, equal ones by name. weight: a column that says how
+    many equal statements a row stands for.
     """
     key = F.lower(F.trim(F.coalesce(F.col(source), F.lit("")))).alias("source")
-    good = log.where("mined.error IS NULL").select(key, "mined")
-    tables = good.select("source", F.explode("mined.joins").alias("j")).select("source", F.col("j.left").alias("left_table"), F.lit("").alias("left_column"), F.col("j.right").alias("right_table"), F.lit("").alias("right_column"))
+    good = log.where("mined.error IS NULL").select(key, "mined", (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+    tables = good.select("source", "_w", F.explode("mined.joins").alias("j")).select("source", "_w", F.col("j.left").alias("left_table"), F.lit("").alias("left_column"), F.col("j.right").alias("right_table"), F.lit("").alias("right_column"))
     used = F.expr("array_sort(array_distinct(transform(filter(mined.uses, u -> u.role IN ('select', 'where', 'having')), u -> struct(u.table AS table, u.column AS column))))")
     pairs = F.expr("flatten(transform(u, (a, i) -> transform(slice(u, i + 2, size(u)), b -> struct(a.table AS left_table, a.column AS left_column, b.table AS right_table, b.column AS right_column))))")
-    columns = good.select("source", used.alias("u")).where(F.size("u").between(2, most_columns)).select("source", F.explode(pairs).alias("p")).select("source", "p.*")
+    columns = good.select("source", "_w", used.alias("u")).where(F.size("u").between(2, most_columns)).select("source", "_w", F.explode(pairs).alias("p")).select("source", "_w", "p.*")
     names = ["source", "left_table", "left_column", "right_table", "right_column"]
-    counts = tables.unionByName(columns).groupBy(*names).agg(F.count("*").alias("n"))
+    counts = tables.unionByName(columns).groupBy(*names).agg(F.sum("_w").alias("n"))
     top = counts.groupBy("source").agg(F.max("n").alias("_m"))
     out = counts.join(top, "source").withColumn("frequency", F.col("n") / F.col("_m")).drop("_m").withColumn("usage", 0.4 * F.col("frequency"))
     if most_edges is None:

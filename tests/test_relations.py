@@ -56,3 +56,15 @@ def test_title_similarity_makes_each_set_once(spark):
     got = spark.createDataFrame([("Cold promo",), ("cold",), ("...",), (None,)], "title string").select("title", F.round(title_similarity(F.col("title"), "cold promo"), 6).alias("s"))
     assert {r.title: r.s for r in got.collect()} == {"Cold promo": 1.0, "cold": round(5 / 11, 6), "...": 0.0, None: 0.0}
     assert got._jdf.queryExecution().analyzed().toString().count("split(") == 2
+
+
+def test_equal_statements_are_read_once(spark):
+    """Rows that stand for several equal statements count as often."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import sqllog
+
+    log = spark.createDataFrame([("a", "SELECT o.x, c.y FROM o JOIN c ON o.k = c.k")] * 3 + [("a", "SELECT c.y, c.z FROM c"), ("b", "SELECT c.y, c.z FROM c"), ("b", "SELECT (")], "src string, sql string")
+    once = log.groupBy("src", "sql").agg(F.count("*").alias("times"))
+    each, counted = sqllog.usage_edges(sqllog.mined(log, "sql"), "src"), sqllog.usage_edges(sqllog.mined(once, "sql"), "src", weight="times")
+    assert sorted(map(tuple, each.collect())) == sorted(map(tuple, counted.collect())) and each.schema == counted.schema
