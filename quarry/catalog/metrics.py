@@ -206,5 +206,7 @@ def goods_of_customer(t, spark):
 @query(f"SELECT p_partkey, max(p_name) AS name, count(DISTINCT o_orderkey) AS orders, CAST(sum({QTY}) AS DOUBLE) AS qty, CAST(sum({AMOUNT}) AS DOUBLE) AS amount, strftime(max(o_orderdate), '%Y-%m-%d') AS last_order FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def goods_twins(t, spark):
     """What the purchase graph says of goods, from the tables: orders, quantity, amount, last order."""
-    rows = sold(t).groupBy("l_partkey").agg(F.countDistinct("o_orderkey").alias("orders"), F.sum(F.expr(QTY)).cast("double").alias("qty"), F.sum(F.expr(AMOUNT)).cast("double").alias("amount"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_order"))
+    # as many tasks as the session has shuffle partitions: an order's lines are held in a hash table, in bytes several times those shuffled
+    orders = t("orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    rows = t("lineitem").join(orders, F.expr("l_orderkey = o_orderkey")).groupBy("l_partkey").agg(F.countDistinct("o_orderkey").alias("orders"), F.sum(F.expr(QTY)).cast("double").alias("qty"), F.sum(F.expr(AMOUNT)).cast("double").alias("amount"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_order"))
     return rows.join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", F.col("p_name").alias("name"), "orders", "qty", "amount", "last_order")
