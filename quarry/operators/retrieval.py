@@ -88,11 +88,19 @@ def diversify(hits: DataFrame, limit: int, first: int = 2, doc: str = "doc_id",
 
 
 def merge_adjacent(hits: DataFrame, span: int = 16, doc: str = "doc_id", ord_col: str = "ord") -> DataFrame:
-    """Runs of consecutive chunks of a document, in pieces of at most `span`."""
+    """Runs of consecutive chunks of a document, in pieces of at most `span`.
+
+    A document's chunks are sorted once; of a run only its first and last chunk are kept, from which its pieces follow.
+    """
     w = Window.partitionBy(doc).orderBy(ord_col)
-    island = hits.select(doc, ord_col).distinct().withColumn("_i", F.col(ord_col) - F.row_number().over(w))
-    inside = island.withColumn("_p", F.floor((F.col(ord_col) - F.min(ord_col).over(Window.partitionBy(doc, "_i"))) / span))
-    return inside.groupBy(doc, "_i", "_p").agg(F.min(ord_col).alias("first_ord"), F.max(ord_col).alias("last_ord"), F.count("*").alias("chunks")).drop("_i", "_p")
+    o = F.col(ord_col)
+    placed = hits.select(doc, ord_col).distinct().repartition(doc)
+    ends = placed.withColumns({"_a": ~F.coalesce(o == F.lag(o).over(w) + 1, F.lit(False)), "_z": ~F.coalesce(o + 1 == F.lead(o).over(w), F.lit(False))}).where("_a OR _z")
+    runs = ends.withColumn("_l", F.when(F.col("_z"), o).otherwise(F.lead(o).over(w))).where("_a")
+    pieces = runs.withColumn("_p", F.explode(F.coalesce(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_l") - o) / span)), F.array(F.lit(0).cast("long")))))
+    first = (o + F.col("_p") * span).cast(hits.schema[ord_col].dataType)
+    last = F.when(o.isNotNull(), F.least(F.col("_l"), first + (span - 1))).cast(hits.schema[ord_col].dataType)
+    return pieces.select(doc, first.alias("first_ord"), last.alias("last_ord"), F.coalesce((last - first + 1).cast("long"), F.lit(1).cast("long")).alias("chunks"))
 
 
 def neighbours(chunks: DataFrame, doc_id, ord_at: int, width: int) -> DataFrame:

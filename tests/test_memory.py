@@ -11,3 +11,22 @@ def test_goods_twins_spreads_orders(spark):
     from quarry.catalog import QUERIES
 
     assert "REPARTITION_BY_NUM" in plan(QUERIES["goods_twins"](spark, "/root/testdata/sf0.001"))
+
+
+def test_adjacent_chunks_are_sorted_once(spark):
+    """Runs of any length are cut at the span; repeated rows count once, a null place is a piece of its own."""
+    from quarry.operators.retrieval import merge_adjacent
+
+    rng = random.Random(1)
+    rows = [(d, o) for d in (1, 2, None) for o in rng.sample(range(120), 80)] + [(3, o) for o in range(-5, 60)] + [(3, 7), (4, None), (4, 1), (5, 9)]
+    want = set()
+    for d in {d for d, _ in rows}:
+        places = sorted({o for x, o in rows if x == d and o is not None})
+        runs = [p for p in places if p - 1 not in places]
+        for a in runs:
+            z = next(p for p in places if p >= a and p + 1 not in places)
+            want |= {(d, k, min(k + 15, z), min(k + 15, z) - k + 1) for k in range(a, z + 1, 16)}
+    df = merge_adjacent(spark.createDataFrame(rows, "doc_id int, ord int"))
+    assert plan(df).count("Sort [") == 1
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(want) + 1 and set(got) == want | {(4, None, None, 1)}
