@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,27 +131,41 @@ def merged_runs(hits: DataFrame, span: int = 16, old: tuple[str, ...] = OLD, cur
     hits has doc_id, chunk_id, ord, score, text, heading. A run is of a version if markers of that one alone stand in its
     first heading or in the text it has taken in, so that chunks without markers carry it on; it ends where the next
     chunk's own heading and text are of the opposite version. A run's score is its best, its id the first chunk's.
-    Neighbours are folded in order within each stretch of consecutive chunks.
+    Markers become five bits before anything is shuffled; a document's chunks lie together in order and are folded as
+    they are read, so that beside the sort a task holds one run and one batch.
     """
-    w = Window.partitionBy("doc_id").orderBy("ord")
     h, t = F.col("heading"), F.col("text")
-    seen = hits.withColumn("_b", F.when(F.col("ord") == F.lag("ord").over(w) + 1, 0).otherwise(1)).withColumn("_s", F.sum("_b").over(w))
-    chunk = F.struct("ord", "chunk_id", "score", (F.coalesce(h, F.lit("")) != "").alias("h"), marked(h, old).alias("ho"), marked(h, current).alias("hc"), marked(t, old).alias("to"), marked(t, current).alias("tc"))
-    side = lambda o, c: F.when(o & ~c, -1).when(c & ~o, 1).otherwise(0)
-
-    def fold(acc: Column, x: Column) -> Column:
-        run_side, own = side(acc["o"], acc["c"]), side(x["ho"] | x["to"], x["hc"] | x["tc"])
-        more = (acc["n"] > 0) & (acc["n"] < span) & (run_side * own >= 0)
-        takes = ~acc["h"] & x["h"]  # the run's heading is the first that isn't empty
-        o = F.when(more, acc["o"] | x["to"] | (takes & x["ho"])).otherwise(x["ho"] | x["to"])
-        c = F.when(more, acc["c"] | x["tc"] | (takes & x["hc"])).otherwise(x["hc"] | x["tc"])
-        run = F.when(more, acc["run"]).otherwise(acc["run"] + 1)
-        return F.struct(F.when(more, acc["n"] + 1).otherwise(F.lit(1)).alias("n"), o.alias("o"), c.alias("c"), F.when(more, acc["h"] | x["h"]).otherwise(x["h"]).alias("h"), run.alias("run"), F.concat(acc["runs"], F.array(run)).alias("runs"))
-
-    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("o"), F.lit(False).alias("c"), F.lit(False).alias("h"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("runs"))
-    listed = seen.groupBy("doc_id", "_s").agg(F.sort_array(F.collect_list(chunk)).alias("x")).withColumn("r", F.aggregate("x", start, fold, lambda acc: acc["runs"]))
-    runs = listed.select("doc_id", "_s", F.explode(F.arrays_zip("x", "r")).alias("z")).select("doc_id", "_s", F.col("z.r").alias("_run"), "z.x.*")
-    return runs.groupBy("doc_id", "_s", "_run").agg(F.min_by("chunk_id", "ord").alias("chunk_id"), F.min("ord").alias("ord"), F.max("ord").alias("last_ord"), F.count("*").alias("chunks"), F.max("score").alias("score")).drop("_s", "_run")
+    bits = [F.coalesce(h, F.lit("")) != "", marked(h, old), marked(h, current), marked(t, old), marked(t, current)]
+    rows = hits.select("doc_id", "ord", "chunk_id", "score", sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0)).alias("_m"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = f"doc_id {kinds['doc_id']}, chunk_id {kinds['chunk_id']}, ord {kinds['ord']}, last_ord {kinds['ord']}, chunks long, score {kinds['score']}"
+
+    def fold(batches):
+        run, o, c, headed = None, 0, 0, 0  # [doc_id, chunk_id, ord, last_ord, chunks, score], its versions, whether it has a heading
+        for b in batches:
+            done = []
+            for doc, at, chunk, score, m in zip(*(b.column(x).to_pylist() for x in ("doc_id", "ord", "chunk_id", "score", "_m"))):
+                ho, hc, to, tc = m >> 1 & 1, m >> 2 & 1, m >> 3 & 1, m >> 4 & 1
+                on = run is not None and run[4] < span and at is not None and run[3] is not None and at == run[3] + 1 and doc == run[0]
+                if on and (o - c) * ((ho | to) - (hc | tc)) >= 0:
+                    o, c = o | to | (ho & ~headed), c | tc | (hc & ~headed)  # the run's heading is the first that isn't empty
+                    headed |= m & 1
+                    run[3] = at
+                    run[4] += 1
+                    if score is not None and (run[5] is None or score != score or score > run[5]):
+                        run[5] = score
+                else:
+                    if run is not None:
+                        done.append(run)
+                    run, o, c, headed = [doc, chunk, at, at, 1, score], ho | to, hc | tc, m & 1
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done), types(b))], names=names)
+        if run is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(run, types(b))], names=names)
+
+    names = ["doc_id", "chunk_id", "ord", "last_ord", "chunks", "score"]
+    types = lambda b: [pa.int64() if n == "chunks" else b.schema.field("ord" if n == "last_ord" else n).type for n in names]
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInArrow(fold, out)
 
 
 def deduped(hits: DataFrame) -> DataFrame:

@@ -30,3 +30,26 @@ def test_adjacent_chunks_are_sorted_once(spark):
     assert plan(df).count("Sort [") == 1
     got = [tuple(r) for r in df.collect()]
     assert len(got) == len(want) + 1 and set(got) == want | {(4, None, None, 1)}
+
+
+def test_merged_runs_are_folded_as_they_are_read(spark):
+    """Long stretches, headings, scores without a value and null places; nothing is collected by stretch."""
+    from quarry.operators.routes import merged_runs
+
+    rng = random.Random(2)
+    rows = [(d, o, d * 1000 + o, rng.choice([None, 1.0, 2.0, 3.0]), rng.choice(["plain", "旧版", "新版", None]), rng.choice([None, "", "plain", "历史口径", "修订版"])) for d in range(40) for o in rng.sample(range(400), 390)]
+    want, side = [], lambda o, c: int(c and not o) - int(o and not c)
+    run = None
+    for d, o, chunk, score, text, head in sorted(rows, key=lambda r: r[:2]):
+        ho, hc, to, tc = head == "历史口径", head == "修订版", text == "旧版", text == "新版"
+        if run and run["d"] == d and run["z"] + 1 == o and run["n"] < 16 and side(run["o"], run["c"]) * side(ho or to, hc or tc) >= 0:
+            takes = not run["h"] and bool(head)
+            run |= {"z": o, "n": run["n"] + 1, "o": run["o"] or to or (takes and ho), "c": run["c"] or tc or (takes and hc), "h": run["h"] or bool(head), "s": [*run["s"], score]}
+        else:
+            want.append(run := {"d": d, "k": chunk, "a": o, "z": o, "n": 1, "o": ho or to, "c": hc or tc, "h": bool(head), "s": [score]})
+    best = lambda s: max((x for x in s if x is not None), default=None)
+    df = merged_runs(spark.createDataFrame([*rows, (50, None, 7, 1.0, None, None)], "doc_id int, ord int, chunk_id long, score double, text string, heading string"))
+    got = [tuple(r) for r in df.select("doc_id", "chunk_id", "ord", "last_ord", "chunks", "score").collect()]
+    wanted = {(r["d"], r["k"], r["a"], r["z"], r["n"], best(r["s"])) for r in want}
+    assert len(got) == len(want) + 1 and set(got) == wanted | {(50, 7, None, None, 1, 1.0)}
+    assert "Aggregate" not in plan(df)
