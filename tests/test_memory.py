@@ -53,3 +53,18 @@ def test_merged_runs_are_folded_as_they_are_read(spark):
     wanted = {(r["d"], r["k"], r["a"], r["z"], r["n"], best(r["s"])) for r in want}
     assert len(got) == len(want) + 1 and set(got) == wanted | {(50, 7, None, None, 1, 1.0)}
     assert "Aggregate" not in plan(df)
+
+
+def test_graph_route_takes_a_hop_only_while_there_is_room(spark, monkeypatch):
+    """What a hop starts from is broadcast; seeds that fill the room need none, and all hops give the nearest."""
+    from quarry.operators import relations as R
+
+    sent = []
+    broadcast = R.F.broadcast
+    monkeypatch.setattr(R.F, "broadcast", lambda df: sent.append(1) or broadcast(df))
+    relations = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0), (3, 4, 2.0), (4, 5, 1.0), (1, None, 1.0)], "src long, dst long, weight double")
+    mentions = spark.createDataFrame([(10 * e, e) for e in range(1, 7)], "chunk long, entity long")
+    for nodes, chunks, n in ((1, [10], 3), (4, [10, 20, 30], 4), (200, [10, 20, 30, 40], 5)):
+        sent.clear()
+        got = [r.chunk for r in R.graph_route(mentions, relations, [1, 1], nodes).collect()]
+        assert sorted(got) == chunks and len(sent) == n
