@@ -10,14 +10,24 @@ from .analysis import change
 
 
 def entity_cards(lines: DataFrame, kinds: dict[str, str], time_col: str) -> DataFrame:
-    """(kind, name, orders, customers, skus, months, last_order) of the entities of all kinds, in one scan.
+    """(kind, name, orders, customers, skus, months, last_order) of the entities of all kinds.
 
-    kinds gives each kind's column; every kind is a grouping set of one aggregate.
+    kinds gives each kind's column. A row goes once to its order, once to its customer and once to its product, whole:
+    where all rows of such a key lie together its entities are made distinct, so that pairs are never shuffled.
     """
-    sets = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("name")) for k, c in kinds.items()]))
-    rows = lines.select(sets.alias("_e"), "o_orderkey", "o_custkey", "l_partkey", F.date_format(time_col, "yyyy-MM").alias("_m"), time_col).where("_e.name IS NOT NULL")
-    out = rows.groupBy("_e.kind", "_e.name").agg(F.countDistinct("o_orderkey").alias("orders"), F.countDistinct("o_custkey").alias("customers"), F.countDistinct("l_partkey").alias("skus"), F.countDistinct("_m").alias("months"), F.date_format(F.max(time_col), "yyyy-MM-dd").alias("last_order"))
-    return out.select("kind", "name", "orders", "customers", "skus", "months", "last_order")
+    names = [f"_k{i}" for i in range(len(kinds))]
+    sets = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("name")) for i, c in enumerate(names)])).alias("_e")
+    wide = lines.select(*[F.col(c).cast("string").alias(n) for n, c in zip(names, kinds.values())], "o_orderkey", "o_custkey", "l_partkey", (12 * F.year(time_col) + F.month(time_col)).alias("_m"), F.col(time_col).alias("_t"))
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.col(c).alias("v")) for i, c in enumerate(("o_orderkey", "o_custkey", "l_partkey"))])).alias("_v")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = wide.select(*names, keys).select(*names, "_v.g", "_v.v").where("v IS NOT NULL").repartition(parts, "g", "v")
+    pairs = met.select("g", "v", sets).where("_e.name IS NOT NULL").select("g", "v", "_e.kind", "_e.name").distinct()
+    counts = pairs.groupBy("kind", "name").agg(*[F.count_if(F.col("g") == i).alias(n) for i, n in enumerate(("orders", "customers", "skus"))])
+    months = wide.select(sets, "_m", "_t").where("_e.name IS NOT NULL").groupBy("_e.kind", "_e.name", "_m").agg(F.max("_t").alias("_t"))
+    times = months.groupBy("kind", "name").agg(F.count("_m").alias("months"), F.date_format(F.max("_t"), "yyyy-MM-dd").alias("last_order"))
+    out = times.join(counts, ["kind", "name"], "left")
+    label = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("kind") + 1).alias("kind")
+    return out.select(label, "name", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("orders", "customers", "skus")], "months", "last_order")
 
 
 def digest(df: DataFrame, time_col: str, parts: dict[str, Column], metrics: dict, windows: dict[str, TimeWindow], keys: list[str] | None = None) -> DataFrame:

@@ -68,3 +68,16 @@ def test_graph_route_takes_a_hop_only_while_there_is_room(spark, monkeypatch):
         sent.clear()
         got = [r.chunk for r in R.graph_route(mentions, relations, [1, 1], nodes).collect()]
         assert sorted(got) == chunks and len(sent) == n
+
+
+def test_entity_cards_shuffle_no_pairs(spark):
+    """Rows are sent whole to their keys; missing names, keys and times, and names that several keys share."""
+    from quarry.operators.cards import entity_cards
+
+    rows = [(1, 1, 1, "2024-01-05", "a", "x"), (1, 1, 2, "2024-01-05", "a", "y"), (2, 1, 1, "2024-02-01", "a", None), (3, None, 1, None, "b", "x"), (None, None, None, "2023-02-01", "c", "x")]
+    df = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, l_partkey long, d string, p string, q string").selectExpr("*", "to_timestamp(d) AS t")
+    cards = entity_cards(df, {"one": "p", "two": "q"}, "t")
+    assert "Expand" not in plan(cards)
+    want = {("one", "a", 2, 1, 2, 2, "2024-02-01"), ("one", "b", 1, 0, 1, 0, None), ("one", "c", 0, 0, 0, 1, "2023-02-01"), ("two", "x", 2, 1, 1, 2, "2024-01-05"), ("two", "y", 1, 1, 1, 1, "2024-01-05")}
+    got = [tuple(r) for r in cards.collect()]
+    assert len(got) == len(want) and set(got) == want
