@@ -6,6 +6,8 @@ import numpy as np
 
 #: Word ids: everything outside the vocabulary, and the end of a text, which is also what stands before its start.
 UNKNOWN, END = 0, 1
+#: Rows of a softmax that are worked on at once.
+BLOCK = 512
 
 
 def shapes(hidden: int, classes: int, members: int) -> dict[str, tuple[int, ...]]:
@@ -49,86 +51,140 @@ def cell(p: dict[str, np.ndarray], word: np.ndarray, h: np.ndarray) -> np.ndarra
     return c + z * (h - c)
 
 
-def softmax_step(v: np.ndarray, at: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-softmax of the logits at one column of each row, and `share` of its negative gradient, in the logits' place."""
-    n = np.arange(len(at))
-    v -= v.max(1, keepdims=True)
-    own = v[n, at]
+def softmax_gradient(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, share: float, gw: np.ndarray, gb: np.ndarray, back: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Logits h @ w + b at one column of each row, and the sums of each row's exponentials.
+
+    Of `share` of the negative log-softmax there, the gradient of h is written to back, those of w and b are added to
+    gw and gb. If safe, each row's largest logit is taken off first.
+    """
+    v = h @ w
+    v += b
+    if safe:
+        v -= v.max(1, keepdims=True)
+    flat = v.reshape(-1)
+    at = at + np.arange(0, flat.size, v.shape[1])
+    own = flat[at]
     np.exp(v, out=v)
     total = v @ np.ones(v.shape[1], v.dtype)
-    v *= (share / total)[:, None]
-    v[n, at] -= share
-    return own - np.log(total), v
+    flat[at] -= total
+    scale = share / total
+    gw += (h * scale[:, None]).T @ v
+    gb += scale @ v
+    np.matmul(v, w.T, out=back)
+    back *= scale[:, None]
+    return own, total
+
 
+def output(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray, safe: bool = False):
+    """Natural log of P(class | h) P(word | class, h), and the gradients of the mean loss as window_gradient() has them.
 
-def output(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray):
-    """Natural log of P(class | h) P(word | class, h), and the gradients of the mean loss as window_gradient() has them."""
+    Rows go in blocks that stay in the processor's cache, with plain exponentials; should one overflow or all of a row's vanish, all is done again, safely.
+    """
     classes, members = p["wb"].shape
     order = np.argsort((word // members).astype(np.uint16), kind="stable")
-    word, h, share = word[order], h[order], np.float32(1 / len(word))
+    given, share = (h, word), h.dtype.type(1 / len(word))
+    word, h = word[order], h.take(order, 0)
     k, m = word // members, word % members
-    ll, d = softmax_step(h @ p["a"] + p["ca"], k, share)
-    g = {"a": (None, h.T @ d), "ca": (None, d.sum(0))}
-    dh = d @ p["a"].T
     seen, first = np.unique(k, return_index=True)
-    gb, gwb = np.empty((len(seen), *p["b"].shape[1:]), p["b"].dtype), np.empty((len(seen), members), p["b"].dtype)
-    for row, (c, a, z) in enumerate(zip(seen.tolist(), first.tolist(), [*first.tolist()[1:], len(word)])):
-        lw, d = softmax_step(h[a:z] @ p["b"][c] + p["wb"][c], m[a:z], share)
-        ll[a:z] += lw
-        gb[row], gwb[row] = h[a:z].T @ d, d.sum(0)
-        dh[a:z] += d @ p["b"][c].T
-    g |= {"b": (seen, gb), "wb": (seen, gwb)}
-    back, out = np.empty_like(dh), np.empty(len(ll))
-    back[order], out[order] = dh, ll
-    return out, g, back
-
-
-def picked(v: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-softmax at one column of each row; the logits are small enough for a plain exponential."""
-    own = v[np.arange(len(at)), at]
+    ga, gca = np.zeros_like(p["a"]), np.zeros_like(p["ca"])
+    gb, gwb = np.zeros((len(seen), *p["b"].shape[1:]), p["b"].dtype), np.zeros((len(seen), members), p["b"].dtype)
+    dh, dm = np.empty_like(h), np.empty_like(h)
+    own, total = np.empty((2, len(word)), h.dtype), np.empty((2, len(word)), h.dtype)
+    with np.errstate(all="ignore"):
+        for i in range(0, len(word), BLOCK):
+            i = slice(i, i + BLOCK)
+            own[0, i], total[0, i] = softmax_gradient(h[i], p["a"], p["ca"], k[i], share, ga, gca, dh[i], safe)
+        for row, (c, a, z) in enumerate(zip(seen.tolist(), first.tolist(), [*first.tolist()[1:], len(word)])):
+            for i in range(a, z, BLOCK):
+                i = slice(i, min(z, i + BLOCK))
+                own[1, i], total[1, i] = softmax_gradient(h[i], p["b"][c], p["wb"][c], m[i], share, gb[row], gwb[row], dm[i], safe)
+    if not safe and not (total.min() > 1e-30 and total.max() < 1e30):
+        return output(p, *given, safe=True)
+    dh += dm
+    back, out = np.empty_like(dh), np.empty(len(word))
+    back[order], out[order] = dh, (own - np.log(total)).sum(0)
+    whole = len(seen) == classes
+    return out, {"a": (None, ga), "ca": (None, gca), "b": (None if whole else seen, gb), "wb": (None if whole else seen, gwb)}, back
+
+
+def picked(v: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
+    """Log-softmax at one column of each row of logits, which are used up; as softmax_gradient() has it."""
+    if safe:
+        v -= v.max(1, keepdims=True)
+    own = v.reshape(-1)[at + np.arange(0, v.size, v.shape[1])]
     np.exp(v, out=v)
     return own - np.log(v @ np.ones(v.shape[1], v.dtype))
 
 
-def likelihood(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray) -> np.ndarray:
+def likelihood(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray, safe: bool = False) -> np.ndarray:
     """The log-probabilities of output() alone, in place and on each class's block of weights."""
+    given = h, word
     classes, members = p["wb"].shape
     order = np.argsort((word // members).astype(np.uint16), kind="stable")
-    word, h = word[order], h[order]
-    ends = np.searchsorted(word // members, np.arange(classes + 1))
-    v = h @ p["a"]
-    v += p["ca"]
-    ll = picked(v, word // members)
-    for c in range(classes):
-        i = slice(ends[c], ends[c + 1])
-        if i.start < i.stop:
-            v = h[i] @ p["b"][c]
-            v += p["wb"][c]
-            ll[i] += picked(v, word[i] - c * members)
+    word, h = word[order], h.take(order, 0)
+    k, m = word // members, word % members
+    ends = np.searchsorted(k, np.arange(classes + 1)).tolist()
+    ll = np.empty(len(word), h.dtype)
+    with np.errstate(all="ignore"):
+        for i in range(0, len(word), BLOCK):
+            i = slice(i, i + BLOCK)
+            v = h[i] @ p["a"]
+            v += p["ca"]
+            ll[i] = picked(v, k[i], safe)
+        for c in range(classes):
+            for i in range(ends[c], ends[c + 1], BLOCK):
+                i = slice(i, min(ends[c + 1], i + BLOCK))
+                v = h[i] @ p["b"][c]
+                v += p["wb"][c]
+                ll[i] += picked(v, m[i], safe)
+    if not safe and not np.isfinite(ll).all():
+        return likelihood(p, *given, safe=True)
     out = np.empty(len(ll))
     out[order] = ll
     return out
 
 
-def step(p: dict[str, np.ndarray], word: np.ndarray, h: np.ndarray) -> None:
-    """As cell(), in place."""
+def parted(p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The cell's weights as step() takes them: those of both gates, with their signs turned, and those of the candidate."""
+    n = len(p["u"])
+    return tuple(np.ascontiguousarray(v) for v in (-p["x"][:, : 2 * n], p["x"][:, 2 * n :], -p["u"][:, : 2 * n], p["u"][:, 2 * n :]))
+
+
+def step(w: tuple[np.ndarray, ...], word: np.ndarray, h: np.ndarray) -> None:
+    """As cell(), in place, with the weights of parted()."""
+    xg, xc, ug, uc = w
     n = h.shape[1]
-    x, v = p["x"][word], h @ p["u"]
-    zr = v[:, : 2 * n]
-    zr += x[:, : 2 * n]
-    np.negative(zr, out=zr)
+    zr, c = h @ ug, h @ uc
+    zr += xg.take(word, 0)
     np.exp(zr, out=zr)
     zr += 1
     np.reciprocal(zr, out=zr)
-    c = v[:, 2 * n :]
     c *= zr[:, n:]
-    c += x[:, 2 * n :]
+    c += xc.take(word, 0)
     np.tanh(c, out=c)
     h -= c
     h *= zr[:, :n]
     h += c
 
 
+def row_sums(word: np.ndarray, v: np.ndarray, few: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words and the sums of their rows of v: a frequent word's at once, the others' first, second and so on together."""
+    order = np.argsort(word.astype(np.uint16) if word.max() < 1 << 16 else word, kind="stable")
+    word = word[order]
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    count = np.diff(np.append(first, len(word)))
+    by = np.argsort(-count, kind="stable")
+    first, count = first[by], count[by]
+    out = v.take(order[first], 0)
+    often = int((count > few).sum())
+    for j, (a, n) in enumerate(zip(first[:often].tolist(), count[:often].tolist())):
+        out[j] = v.take(order[a : a + n], 0).sum(0)
+    for k in range(1, few):
+        live = int((count > k).sum())
+        out[often:live] += v.take(order[first[often:live] + k], 0)
+    return word[first], out
+
+
 def window_gradient(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndarray, h: np.ndarray):
     """Truncated backpropagation through one window (steps, streams): mean loss, gradients, last state.
 
@@ -139,7 +195,7 @@ def window_gradient(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndar
     n, kind = h.shape[1], h.dtype
     u, ut = p["u"], np.ascontiguousarray(p["u"].T)
     # update gate, reset gate and candidate of each step, a row for each unit and a column for each stream
-    gates = np.ascontiguousarray(p["x"][given].transpose(0, 2, 1))
+    gates = np.ascontiguousarray(p["x"].take(given, 0).transpose(0, 2, 1))
     live = (given != END).astype(kind)[:, None]
     before, states, inner = (np.empty((steps, n, streams), kind) for _ in range(3))
     h, v = np.ascontiguousarray(h.T), np.empty((3 * n, streams), kind)
@@ -186,9 +242,7 @@ def window_gradient(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndar
         dh *= live[t]
     g["u"] = (None, gu)
     dx = np.ascontiguousarray(dx.transpose(0, 2, 1)).reshape(-1, 3 * n)
-    order = np.argsort(given.ravel(), kind="stable")
-    word, first = np.unique(given.ravel()[order], return_index=True)
-    g["x"] = (word, np.add.reduceat(dx[order], first))
+    g["x"] = row_sums(given.ravel(), dx)
     return -ll.mean(), g, np.ascontiguousarray(h.T)
 
 
@@ -211,19 +265,26 @@ class Trainer:
         self.count = 0
 
     def update(self, g: dict, speed: float) -> None:
-        norm = np.sqrt(sum(float((v * v).sum()) for _, v in g.values()))
-        scale = np.float32(min(1.0, 1.0 / (norm + 1e-12)))
+        """One step with the gradients g, whose arrays it uses up."""
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for _, v in g.values()))
+        scale = min(1.0, 1.0 / (norm + 1e-12))
         self.count += 1
         up, root = np.float32(speed / (1 - 0.9**self.count)), np.float32(np.sqrt(1 - 0.99**self.count))
         for k, (rows, d) in g.items():
-            at = slice(None) if rows is None else rows
-            d *= scale
-            m, s = self.m[k][at], self.s[k][at]
-            m += np.float32(0.1) * (d - m)
-            d *= d
-            s += np.float32(0.01) * (d - s)
-            self.m[k][at], self.s[k][at] = m, s
-            self.p[k][at] -= up * m / (np.sqrt(s) / root + np.float32(1e-8))
+            p, m, s = ((v[k] if rows is None else v[k].take(rows, 0)) for v in (self.p, self.m, self.s))
+            d *= np.float32(0.1 * scale)
+            m *= np.float32(0.9)
+            m += d
+            d *= d  # a hundredth of the gradient's square
+            s *= np.float32(0.99)
+            s += d
+            np.sqrt(s, out=d)
+            d += np.float32(1e-8) * root
+            np.divide(m, d, out=d)
+            d *= up * root
+            p -= d
+            if rows is not None:
+                self.p[k][rows], self.m[k][rows], self.s[k][rows] = p, m, s
 
     def run(self, stream: np.ndarray, streams: int, steps: int, rate: float, last: float = 0.1) -> None:
         """One pass over a stream of whole texts, which starts behind an END; the rate falls to `last` of it.
@@ -254,15 +315,15 @@ def score(p: dict[str, np.ndarray], words: np.ndarray, lengths: np.ndarray, step
     order = np.argsort(-lengths, kind="stable")
     first, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
     total, h = np.zeros(n), np.zeros((n, hidden), np.float32)
-    given = np.full(n, END, np.int64)
+    given, shorter, w = np.full(n, END, np.int64), -size, parted(p)
     t, longest = 0, int(size[0]) if n else 0
     while t < longest:
         # as many steps as keep a window's states within bounds
         states, targets, owners = [], [], []
         held = 0
         while t < longest and (not states or len(states) < steps or held < 4096) and held < 60_000:
-            live = int(np.searchsorted(-size, -t, "left"))
-            step(p, given[:live], h[:live])
+            live = int(np.searchsorted(shorter, -t, "left"))
+            step(w, given[:live], h[:live])
             word = words[first[:live] + t]
             states.append(h[:live].copy())
             targets.append(word)
