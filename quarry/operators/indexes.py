@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,12 +60,17 @@ def unit(m: np.ndarray) -> np.ndarray:
 
 def usable(v: pa.Array, size: int) -> np.ndarray:
     """Which vectors have the given length, no null, and a direction."""
-    out = np.zeros(len(v), bool)
-    for i, x in enumerate(v.to_pylist()):
-        out[i] = x is not None and len(x) == size and None not in x and np.isfinite(x).all() and any(x)
+    out = pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False) == size
+    m = components(v.filter(pa.array(out)), size)
+    out[out] = np.isfinite(m).all(1) & m.any(1)
     return out
 
 
+def components(v: pa.Array, size: int) -> np.ndarray:
+    """Vectors of one length as rows; null components are NaN."""
+    return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+
+
 def spherical_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
     """k directions that unit vectors gather about: far seeds, then Lloyd rounds by cosine."""
     rng = np.random.default_rng(seed)
@@ -115,8 +121,8 @@ def vector_index(vectors: DataFrame, lists: int | None = None, sample: int = 20_
         ok = usable(v, size)
         out = np.full(len(v), -1, np.int32)
         if ok.any():
-            m = unit(v.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size))
-            out[ok] = (m @ centres.T).argmax(1)
+            m = unit(components(v.filter(pa.array(ok)), size))
+            out[ok] = np.concatenate([(m[i : i + 1024] @ centres.T).argmax(1) for i in range(0, len(m), 1024)])
         return pa.array(out)
 
     table = rows.withColumn("list", F.arrow_udf(place, "int")(F.col("vector"))).where("list >= 0").select("list", key, "vector")
@@ -126,6 +132,52 @@ def vector_index(vectors: DataFrame, lists: int | None = None, sample: int = 20_
     return VectorIndex(centres, table, key)
 
 
+class Nearest:
+    """The `top` nearest of each of some queries' unit vectors q, among rows that come in any number of batches.
+
+    Distances that a matrix product gives differ in their last bits from one place to another, so they only choose candidates; a candidate's
+    own is summed by itself, so that equal vectors are equally far. Memory follows the queries and `cells`, not the rows.
+    """
+
+    SLACK = 1e-9
+
+    def __init__(self, q: np.ndarray, top: int, farthest: float, cells: int = 1 << 20):
+        self.q, self.top, self.farthest, self.cells = q, top, farthest, cells
+        self.best = pd.DataFrame({"w": np.zeros(0, np.int64), "d": np.zeros(0), "k": []})
+        self.limit = np.full(len(q), farthest)
+
+    def add(self, m: np.ndarray, keys: pa.Array, asked: np.ndarray | None) -> None:
+        """Unit vectors m with their keys; asked has a row of bits for each, packed, for the queries that read it, or is None if all do."""
+        step = max(1, self.cells // len(self.q))
+        for i in range(0, len(m), step):
+            bits = None if asked is None else np.unpackbits(asked[i : i + step], axis=1, count=len(self.q)).astype(bool)
+            who = np.arange(len(self.q)) if bits is None else np.flatnonzero(bits.any(0))
+            d = 1 - m[i : i + step] @ self.q[who].T
+            if bits is not None:
+                d[~bits[:, who]] = np.inf
+            near = d < self.limit[who] + self.SLACK
+            many = np.flatnonzero(near.sum(0) > 4 * self.top)
+            if len(many):
+                least = np.partition(d[:, many], self.top - 1, axis=0)[self.top - 1]
+                near[:, many] &= d[:, many] <= least + self.SLACK
+            row, w = np.nonzero(near)
+            for j in range(0, len(row), self.cells // 64):
+                self.merge(who[w[j : j + self.cells // 64]], m, i + row[j : j + self.cells // 64], keys)
+
+    def merge(self, w: np.ndarray, m: np.ndarray, row: np.ndarray, keys: pa.Array) -> None:
+        d = 1 - (m[row] * self.q[w]).sum(1)
+        ok = (d < self.farthest) & (d <= self.limit[w])
+        if not ok.any():
+            return
+        new = pd.DataFrame({"w": w[ok], "d": d[ok], "k": keys.take(pa.array(row[ok])).to_pandas(integer_object_nulls=True)})
+        old = self.best.w.isin(new.w)
+        t = (pd.concat([self.best[old], new]) if old.any() else new).sort_values(["w", "d", "k"])
+        t = t[t.groupby("w").cumcount() < self.top]
+        last = t[t.groupby("w").cumcount() == self.top - 1]
+        self.limit[last.w.to_numpy()] = last.d.to_numpy()
+        self.best = pd.concat([self.best[~old], t], ignore_index=True) if len(self.best) else t.reset_index(drop=True)
+
+
 def index_search(index: VectorIndex, queries: DataFrame, top: int = 20, probes: int | None = None, farthest: float = 0.55, query_key: str = "query_id", vec: str = "embedding", block: int = 2048) -> DataFrame:
     """(query_id, key, distance, rank): each query's nearest vectors by cosine distance below `farthest` in its `probes` nearest lists.
 
@@ -145,32 +197,23 @@ def index_search(index: VectorIndex, queries: DataFrame, top: int = 20, probes:
             continue
         ids, q = [a[0] for a in asked], unit(np.array([a[1] for a in asked], float))
         p = min(lists, probes or max(1, -(-lists // 3)))
-        near = np.argsort(-(q @ index.centres.T), axis=1, kind="stable")[:, :p]
-        wanted = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
+        wanted = None
+        if p < lists:
+            wanted = np.zeros((lists, len(q)), bool)
+            np.put_along_axis(wanted.T, np.argsort(-(q @ index.centres.T), axis=1, kind="stable")[:, :p], True, axis=1)
 
-        def run(batches, ids=ids, q=q, wanted=wanted, key=index.key):
-            best: dict[int, pd.DataFrame] = {}
+        def run(batches, ids=pa.array(ids), q=q, wanted=None if wanted is None else np.packbits(wanted, axis=1), key=index.key, kind=None):
+            best = Nearest(q, top, farthest)
             for part in batches:
-                held = part.column("list").to_numpy()
-                m = unit(part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size))
-                keys = part.column(key)
-                for c in np.unique(held):
-                    at, who = np.flatnonzero(held == c), wanted.get(int(c), ())
-                    if not len(who):
-                        continue
-                    d = 1 - m[at] @ q[who].T
-                    names = keys.take(pa.array(at)).to_pylist()
-                    for j, w in enumerate(who.tolist()):
-                        close = np.flatnonzero(d[:, j] < farthest)
-                        if len(close) > 4 * top:
-                            close = close[d[close, j] <= np.partition(d[close, j], top - 1)[top - 1]]
-                        if len(close):
-                            new = pd.DataFrame({"k": [names[i] for i in close], "d": d[close, j]})
-                            best[w] = pd.concat([best[w], new] if w in best else [new]).sort_values(["d", "k"], kind="stable").head(top)
-            for w, t in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array([ids[w]] * len(t)), pa.array(t.k.tolist()), pa.array(t.d.to_numpy())], names=[query_key, key, "distance"])
-
-        found = index.table.where(F.col("list").isin(*sorted(wanted))).mapInArrow(run, schema)
+                kind = part.schema.field(key).type
+                m = unit(components(part.column("vector"), size))
+                best.add(m, part.column(key), None if wanted is None else wanted[part.column("list").to_numpy()])
+            t = best.best
+            if len(t):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(t.w.to_numpy())), pa.array(t.k, kind, from_pandas=True), pa.array(t.d.to_numpy())], names=[query_key, key, "distance"])
+
+        read = index.table if wanted is None else index.table.where(F.col("list").isin(*np.flatnonzero(wanted.any(1)).tolist()))
+        found = read.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return queries.sparkSession.createDataFrame([], f"{schema}, rank int")

@@ -1,6 +1,9 @@
 """Posting lists and the vector index against plain versions."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +64,38 @@ def test_awkward_vectors(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0])], "query_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id, r["rank"]) for r in X.index_search(index, q, probes=2).orderBy("rank").collect()] == [(1, 1, 1), (1, 7, 2)]
     assert X.index_search(X.vector_index(df.limit(0)), q).count() == 0
+
+
+def test_equal_vectors_are_equally_far(spark):
+    """Copies of a vector go by key wherever they stand, which the last bits of a matrix product don't keep to."""
+    rng = np.random.default_rng(5)
+    v, at = rng.standard_normal((40, 64)).astype(np.float32).tolist(), rng.permutation(3000)
+    df = spark.createDataFrame([(int(i), v[int(i) % 40]) for i in at], "vec_id long, embedding array<float>").coalesce(1)
+    queries = df.where("vec_id < 200").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = X.vector_index(df)
+    for probes in (len(index.centres), None):
+        got = {}
+        for r in X.index_search(index, queries, probes=probes).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == {q: [q % 40 + 40 * k for k in range(20)] for q in range(200)}
+
+
+def test_nearest_holds_a_block_at_a_time():
+    """What a task holds follows the queries and the block: not the rows of a batch, nor a frame for each query."""
+    rng = np.random.default_rng(6)
+    m, q = X.unit(rng.standard_normal((20_000, 16))), X.unit(rng.standard_normal((500, 16)))
+    m[10_000:] = m[0]  # many equally far
+    best = X.Nearest(q, 5, 0.9, cells=1 << 16)
+    tracemalloc.start()
+    best.add(m, pa.array(np.arange(20_000)[::-1]), None)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 << 20
+    got = best.best.sort_values(["w", "d", "k"])
+    for w in (0, 77, 499):
+        d = 1 - (m * q[w]).sum(1)
+        order = [i for i in np.lexsort((np.arange(20_000)[::-1], d)) if d[i] < 0.9][:5]
+        assert got[got.w == w].k.tolist() == [19_999 - i for i in order]
+    odd = X.Nearest(q[:1], 5, 2.5)
+    odd.add(m[:3], pa.array([2**60 + 1, None, 7]), None)
+    assert set(odd.best.k.dropna()) == {2**60 + 1, 7} and len(odd.best) == 3
