@@ -10,16 +10,20 @@ UNKNOWN, END = 0, 1
 BLOCK = 512
 
 
-def shapes(hidden: int, classes: int, members: int) -> dict[str, tuple[int, ...]]:
-    return {"x": (classes * members, 3 * hidden), "u": (hidden, 3 * hidden), "a": (hidden, classes), "ca": (classes,), "b": (classes, hidden, members), "wb": (classes, members)}
+def shapes(hidden: int, classes: int, members: int, singles: int = 0) -> dict[str, tuple[int, ...]]:
+    """The first `singles` ids are outcomes of a softmax of their own, whose last outcome is that a word lies in a
+    class; the others lie in `classes` of `members`. Without singles there is no such softmax."""
+    outcomes = classes + (singles + 1 if singles else 0)
+    return {"x": (singles + classes * members, 3 * hidden), "u": (hidden, 3 * hidden), "a": (hidden, outcomes), "ca": (outcomes,), "b": (classes, hidden, members), "wb": (classes, members)}
 
 
-def start(counts: np.ndarray, hidden: int, classes: int, members: int, seed: int = 3) -> dict[str, np.ndarray]:
-    """Weights that give the words' relative frequencies; counts has classes * members entries, in class order."""
+def start(counts: np.ndarray, hidden: int, classes: int, members: int, singles: int = 0, seed: int = 3) -> dict[str, np.ndarray]:
+    """Weights that give the words' relative frequencies; counts has singles + classes * members entries, in class order."""
     rng = np.random.default_rng(seed)
-    p = {k: (rng.standard_normal(s) * (0.1 if k == "x" else 0.3 / np.sqrt(hidden) if k == "u" else 0.02)).astype(np.float32) for k, s in shapes(hidden, classes, members).items()}
-    share = (counts.reshape(classes, members) + 0.5) / (counts.sum() + 0.5 * counts.size)
-    p["ca"] = np.log(share.sum(1)).astype(np.float32)
+    p = {k: (rng.standard_normal(s) * (0.1 if k == "x" else 0.3 / np.sqrt(hidden) if k == "u" else 0.02)).astype(np.float32) for k, s in shapes(hidden, classes, members, singles).items()}
+    share = (counts + 0.5) / (counts.sum() + 0.5 * counts.size)
+    alone, share = share[:singles], share[singles:].reshape(classes, members)
+    p["ca"] = np.log(np.concatenate([alone, [share.sum()] if singles else [], share.sum(1) / share.sum()])).astype(np.float32)
     p["wb"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
     p["x"][:, :hidden] -= 1.0  # gates open at first
     return p
@@ -29,9 +33,9 @@ def pack(p: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in sorted(p)])
 
 
-def unpack(flat: np.ndarray, hidden: int, classes: int, members: int) -> dict[str, np.ndarray]:
+def unpack(flat: np.ndarray, hidden: int, classes: int, members: int, singles: int = 0) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in sorted(shapes(hidden, classes, members).items()):
+    for k, s in sorted(shapes(hidden, classes, members, singles).items()):
         n = int(np.prod(s))
         out[k] = flat[at : at + n].reshape(s).astype(np.float32)
         at += n
@@ -51,120 +55,171 @@ def cell(p: dict[str, np.ndarray], word: np.ndarray, h: np.ndarray) -> np.ndarra
     return c + z * (h - c)
 
 
-def softmax_gradient(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, share: float, gw: np.ndarray, gb: np.ndarray, back: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Logits h @ w + b at one column of each row, and the sums of each row's exponentials.
+def layout(p: dict[str, np.ndarray], word: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, list[list[tuple[int, int, int]]]]:
+    """The number of outcomes before the classes; places of words that lie in classes, in class order, their classes and members.
 
-    Of `share` of the negative log-softmax there, the gradient of h is written to back, those of w and b are added to
-    gw and gb. If safe, each row's largest logit is taken off first.
+    Last the runs (class, from, to) of those places, in blocks of at most BLOCK rows.
+    """
+    classes, members = p["wb"].shape
+    first = len(p["ca"]) - classes
+    rest = word - max(0, first - 1)
+    k = rest // members
+    inside = np.flatnonzero(rest >= 0)
+    order = inside[np.argsort(k[inside].astype(np.uint16) if classes < 1 << 16 else k[inside], kind="stable")]
+    k = k[order]
+    ends = np.searchsorted(k, np.arange(classes + 1)).tolist()
+    blocks, at = [], 0
+    for c, (a, z) in enumerate(zip(ends, ends[1:])):
+        while a < z:
+            if a == at:
+                blocks.append([])
+                at += BLOCK
+            to = min(z, at)
+            blocks[-1].append((c, a, to))
+            a = to
+    return first, order, k, rest[order] % members, blocks
+
+
+def with_one(h: np.ndarray) -> np.ndarray:
+    """Rows with a last column of ones, by which a weight matrix's last row is its bias."""
+    out = np.empty((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    out[:, -1] = 1
+    return out
+
+
+def exponentials(v: np.ndarray, at: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of logits, which become their exponentials in place: places of one column of each row, what stood there, and rows' sums.
+
+    If safe, each row's largest logit is taken off first.
     """
-    v = h @ w
-    v += b
     if safe:
         v -= v.max(1, keepdims=True)
-    flat = v.reshape(-1)
-    at = at + np.arange(0, flat.size, v.shape[1])
-    own = flat[at]
+    at = at + np.arange(0, v.size, v.shape[1])
+    own = v.reshape(-1)[at]
     np.exp(v, out=v)
-    total = v @ np.ones(v.shape[1], v.dtype)
-    flat[at] -= total
-    scale = share / total
-    gw += (h * scale[:, None]).T @ v
-    gb += scale @ v
-    np.matmul(v, w.T, out=back)
-    back *= scale[:, None]
-    return own, total
+    return at, own, v @ np.ones(v.shape[1], v.dtype)
+
+
+def gradient(v: np.ndarray, at: np.ndarray, total: np.ndarray, share: float) -> None:
+    """Exponentials become the gradient of `share` of the negative log-softmax at each row's place."""
+    v.reshape(-1)[at] -= total
+    v *= (share / total)[:, None]
 
 
 def output(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray, safe: bool = False):
-    """Natural log of P(class | h) P(word | class, h), and the gradients of the mean loss as window_gradient() has them.
+    """Natural log of P(single or none | h) P(class | h) P(word | class, h), and the gradients of the mean loss as window_gradient() has them.
 
     Rows go in blocks that stay in the processor's cache, with plain exponentials; should one overflow or all of a row's vanish, all is done again, safely.
     """
     classes, members = p["wb"].shape
-    order = np.argsort((word // members).astype(np.uint16), kind="stable")
-    given, share = (h, word), h.dtype.type(1 / len(word))
-    word, h = word[order], h.take(order, 0)
-    k, m = word // members, word % members
-    seen, first = np.unique(k, return_index=True)
-    ga, gca = np.zeros_like(p["a"]), np.zeros_like(p["ca"])
-    gb, gwb = np.zeros((len(seen), *p["b"].shape[1:]), p["b"].dtype), np.zeros((len(seen), members), p["b"].dtype)
-    dh, dm = np.empty_like(h), np.empty_like(h)
-    own, total = np.empty((2, len(word)), h.dtype), np.empty((2, len(word)), h.dtype)
+    (rows, n), kind, share, given = h.shape, h.dtype, h.dtype.type(1 / len(word)), h
+    first, order, k, m, blocks = layout(p, word)
+    seen = sorted({c for block in blocks for c, _, _ in block})
+    row = {c: i for i, c in enumerate(seen)}
+    h, w = with_one(h), np.vstack([p["a"], p["ca"]])
+    out, inner = np.zeros(rows), np.empty(len(order))
+    back, back_m = np.zeros((rows, n), kind), np.empty((len(order), n), kind)
+    ga, gb = np.zeros(w.T.shape, kind), np.zeros((len(seen), n + 1, members), kind)
+    sums = []
     with np.errstate(all="ignore"):
-        for i in range(0, len(word), BLOCK):
-            i = slice(i, i + BLOCK)
-            own[0, i], total[0, i] = softmax_gradient(h[i], p["a"], p["ca"], k[i], share, ga, gca, dh[i], safe)
-        for row, (c, a, z) in enumerate(zip(seen.tolist(), first.tolist(), [*first.tolist()[1:], len(word)])):
-            for i in range(a, z, BLOCK):
-                i = slice(i, min(z, i + BLOCK))
-                own[1, i], total[1, i] = softmax_gradient(h[i], p["b"][c], p["wb"][c], m[i], share, gb[row], gwb[row], dm[i], safe)
-    if not safe and not (total.min() > 1e-30 and total.max() < 1e30):
-        return output(p, *given, safe=True)
-    dh += dm
-    back, out = np.empty_like(dh), np.empty(len(word))
-    back[order], out[order] = dh, (own - np.log(total)).sum(0)
-    whole = len(seen) == classes
-    return out, {"a": (None, ga), "ca": (None, gca), "b": (None if whole else seen, gb), "wb": (None if whole else seen, gwb)}, back
-
-
-def picked(v: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
-    """Log-softmax at one column of each row of logits, which are used up; as softmax_gradient() has it."""
-    if safe:
-        v -= v.max(1, keepdims=True)
-    own = v.reshape(-1)[at + np.arange(0, v.size, v.shape[1])]
-    np.exp(v, out=v)
-    return own - np.log(v @ np.ones(v.shape[1], v.dtype))
+        if first:
+            ws, wt = np.ascontiguousarray(w[:, :first]), np.ascontiguousarray(p["a"][:, :first].T)
+            outcome = np.minimum(word, first - 1)
+            for i in range(0, rows, BLOCK):
+                hi, i = h[i : i + BLOCK], slice(i, i + BLOCK)
+                v = hi @ ws
+                at, own, total = exponentials(v, outcome[i], safe)
+                gradient(v, at, total, share)
+                ga[:first] += v.T @ hi
+                np.matmul(v, wt, out=back[i])
+                out[i] = own - np.log(total)
+                sums.append(total)
+        h = h.take(order, 0)
+        wk, wt = np.ascontiguousarray(w[:, first:]), np.ascontiguousarray(p["a"][:, first:].T)
+        w = np.concatenate([p["b"], p["wb"][:, None]], 1)
+        for block in blocks:
+            a, z = block[0][1], block[-1][2]
+            hi = h[a:z]
+            v = hi @ wk
+            at, own, total = exponentials(v, k[a:z], safe)
+            gradient(v, at, total, share)
+            ga[first:] += v.T @ hi
+            toward = v @ wt
+            u = np.empty((z - a, members), kind)
+            for c, x, y in block:
+                np.matmul(h[x:y], w[c], out=u[x - a : y - a])
+            at, own_m, total_m = exponentials(u, m[a:z], safe)
+            gradient(u, at, total_m, share)
+            for c, x, y in block:
+                gb[row[c]] += h[x:y].T @ u[x - a : y - a]
+                np.matmul(u[x - a : y - a], p["b"][c].T, out=back_m[x:y])
+            back_m[a:z] += toward
+            inner[a:z] = own + own_m - np.log(total) - np.log(total_m)
+            sums += [total, total_m]
+        sums = np.concatenate(sums)
+    if not safe and not (sums.min() > 1e-30 and sums.max() < 1e30):
+        return output(p, given, word, safe=True)
+    back[order] += back_m
+    out[order] += inner
+    touched = None if len(seen) == classes else np.array(seen, np.int64)
+    ga = ga.T
+    return out, {"a": (None, np.ascontiguousarray(ga[:-1])), "ca": (None, ga[-1].copy()), "b": (touched, np.ascontiguousarray(gb[:, :-1])), "wb": (touched, gb[:, -1].copy())}, back
 
 
 def likelihood(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray, safe: bool = False) -> np.ndarray:
-    """The log-probabilities of output() alone, in place and on each class's block of weights."""
-    given = h, word
-    classes, members = p["wb"].shape
-    order = np.argsort((word // members).astype(np.uint16), kind="stable")
-    word, h = word[order], h.take(order, 0)
-    k, m = word // members, word % members
-    ends = np.searchsorted(k, np.arange(classes + 1)).tolist()
-    ll = np.empty(len(word), h.dtype)
+    """The log-probabilities of output() alone, in the same blocks."""
+    given = h
+    first, order, k, m, blocks = layout(p, word)
+    h, w = with_one(h), np.vstack([p["a"], p["ca"]])
+    ll, inner = np.zeros(len(word)), np.empty(len(order))
     with np.errstate(all="ignore"):
-        for i in range(0, len(word), BLOCK):
-            i = slice(i, i + BLOCK)
-            v = h[i] @ p["a"]
-            v += p["ca"]
-            ll[i] = picked(v, k[i], safe)
-        for c in range(classes):
-            for i in range(ends[c], ends[c + 1], BLOCK):
-                i = slice(i, min(ends[c + 1], i + BLOCK))
-                v = h[i] @ p["b"][c]
-                v += p["wb"][c]
-                ll[i] += picked(v, m[i], safe)
+        if first:
+            ws, outcome = np.ascontiguousarray(w[:, :first]), np.minimum(word, first - 1)
+            for i in range(0, len(h), BLOCK):
+                i = slice(i, i + BLOCK)
+                _, own, total = exponentials(h[i] @ ws, outcome[i], safe)
+                ll[i] = own - np.log(total)
+        h = h.take(order, 0)
+        wk, w = np.ascontiguousarray(w[:, first:]), np.concatenate([p["b"], p["wb"][:, None]], 1)
+        for block in blocks:
+            a, z = block[0][1], block[-1][2]
+            _, own, total = exponentials(h[a:z] @ wk, k[a:z], safe)
+            u = np.empty((z - a, w.shape[2]), h.dtype)
+            for c, x, y in block:
+                np.matmul(h[x:y], w[c], out=u[x - a : y - a])
+            _, own_m, total_m = exponentials(u, m[a:z], safe)
+            inner[a:z] = own + own_m - np.log(total) - np.log(total_m)
+    ll[order] += inner
     if not safe and not np.isfinite(ll).all():
-        return likelihood(p, *given, safe=True)
-    out = np.empty(len(ll))
-    out[order] = ll
-    return out
+        return likelihood(p, given, word, safe=True)
+    return ll
 
 
 def parted(p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """The cell's weights as step() takes them: those of both gates, with their signs turned, and those of the candidate."""
+    """The cell's weights as step() takes them: a row for each word and part, and both parts of u that make gates with their signs turned."""
     n = len(p["u"])
-    return tuple(np.ascontiguousarray(v) for v in (-p["x"][:, : 2 * n], p["x"][:, 2 * n :], -p["u"][:, : 2 * n], p["u"][:, 2 * n :]))
-
-
-def step(w: tuple[np.ndarray, ...], word: np.ndarray, h: np.ndarray) -> None:
-    """As cell(), in place, with the weights of parted()."""
-    xg, xc, ug, uc = w
-    n = h.shape[1]
-    zr, c = h @ ug, h @ uc
-    zr += xg.take(word, 0)
-    np.exp(zr, out=zr)
-    zr += 1
-    np.reciprocal(zr, out=zr)
-    c *= zr[:, n:]
-    c += xc.take(word, 0)
-    np.tanh(c, out=c)
-    h -= c
-    h *= zr[:, :n]
-    h += c
+    sign = np.repeat(np.array([-1, -1, 1], p["u"].dtype), n)
+    return np.ascontiguousarray(p["x"] * sign).reshape(-1, n), np.ascontiguousarray((p["u"] * sign).reshape(n, 3, n).transpose(1, 0, 2))
+
+
+def step(w: tuple[np.ndarray, ...], word: np.ndarray, h: np.ndarray, parts: np.ndarray = np.arange(3)[:, None]) -> None:
+    """As cell(), in place, with the weights of parted(), a block of rows at a time."""
+    x, u = w
+    for i in range(0, len(h), BLOCK):
+        hi = h[i : i + BLOCK]
+        v = np.matmul(hi, u)
+        given = x.take(word[i : i + BLOCK] * 3 + parts, 0)
+        zr, c = given[:2], given[2]
+        zr += v[:2]
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        c += np.multiply(v[2], zr[1], out=v[2])
+        np.tanh(c, out=c)
+        hi -= c
+        hi *= zr[0]
+        hi += c
 
 
 def row_sums(word: np.ndarray, v: np.ndarray, few: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +233,7 @@ def row_sums(word: np.ndarray, v: np.ndarray, few: int = 16) -> tuple[np.ndarray
     out = v.take(order[first], 0)
     often = int((count > few).sum())
     for j, (a, n) in enumerate(zip(first[:often].tolist(), count[:often].tolist())):
-        out[j] = v.take(order[a : a + n], 0).sum(0)
+        out[j] = np.ones(n, v.dtype) @ v.take(order[a : a + n], 0)
     for k in range(1, few):
         live = int((count > k).sum())
         out[often:live] += v.take(order[first[often:live] + k], 0)
@@ -193,57 +248,58 @@ def window_gradient(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndar
     """
     steps, streams = given.shape
     n, kind = h.shape[1], h.dtype
-    u, ut = p["u"], np.ascontiguousarray(p["u"].T)
-    # update gate, reset gate and candidate of each step, a row for each unit and a column for each stream
-    gates = np.ascontiguousarray(p["x"].take(given, 0).transpose(0, 2, 1))
-    live = (given != END).astype(kind)[:, None]
-    before, states, inner = (np.empty((steps, n, streams), kind) for _ in range(3))
-    h, v = np.ascontiguousarray(h.T), np.empty((3 * n, streams), kind)
+    # update gate, reset gate and candidate lie apart, so that each step's arrays are contiguous
+    u = p["u"].reshape(n, 3, n).transpose(1, 0, 2) * np.array([-1, -1, 1], kind)[:, None, None]
+    gates = p["x"].reshape(-1, n).take(given[:, None] * 3 + np.arange(3)[:, None], 0)
+    fresh = [np.flatnonzero(ends) for ends in given == END]
+    before, states, inner = (np.empty((steps, streams, n), kind) for _ in range(3))
+    v = np.empty((3, streams, n), kind)
     for t in range(steps):
-        hb = np.multiply(h, live[t], out=before[t])
-        np.matmul(ut, hb, out=v)
-        zr, c = gates[t, : 2 * n], gates[t, 2 * n :]
-        zr += v[: 2 * n]
-        np.negative(zr, out=zr)
+        hb = before[t]
+        hb[...] = h
+        hb[fresh[t]] = 0
+        np.matmul(hb, u, out=v)
+        zr, c = gates[t, :2], gates[t, 2]
+        np.subtract(v[:2], zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        inner[t] = v[2 * n :]
-        c += np.multiply(v[2 * n :], zr[n:], out=v[2 * n :])
+        inner[t] = v[2]
+        c += np.multiply(v[2], zr[1], out=v[2])
         np.tanh(c, out=c)
         h = np.subtract(hb, c, out=states[t])
-        h *= zr[:n]
+        h *= zr[0]
         h += c
-    ll, g, dout = output(p, np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, n), target.ravel())
-    dout = np.ascontiguousarray(dout.reshape(steps, streams, n).transpose(0, 2, 1))
-    dh, dx, gu = np.zeros((n, streams), kind), np.empty_like(gates), np.zeros_like(u)
-    left, dv = np.empty((n, streams), kind), np.empty((3 * n, streams), kind)
+    ll, g, dout = output(p, states.reshape(-1, n), target.ravel())
+    dout = dout.reshape(steps, streams, n)
+    # gradients of what the candidate's state is multiplied to, of both gates, and of the candidate
+    d, ut = np.empty((steps, streams, 4 * n), kind), np.ascontiguousarray(np.roll(p["u"], n, 1).T)
+    dh, q, back = np.zeros((streams, n), kind), np.empty((streams, n), kind), np.empty((streams, n), kind)
     for t in reversed(range(steps)):
-        z, r, c = gates[t, :n], gates[t, n : 2 * n], gates[t, 2 * n :]
-        dz, dr, dc = dx[t, :n], dx[t, n : 2 * n], dx[t, 2 * n :]
+        z, r, c = gates[t]
+        dk, dz, dr, dc = (d[t, :, i : i + n] for i in range(0, 4 * n, n))
         dh += dout[t]
-        np.subtract(1, z, out=left)
-        np.multiply(dh, left, out=dc)
-        left *= z
-        np.subtract(before[t], c, out=dz)
-        dz *= dh
-        dz *= left
+        np.subtract(1, z, out=q)
+        q *= dh
+        np.subtract(before[t], c, out=back)
+        back *= z
+        np.multiply(back, q, out=dz)
         np.multiply(c, c, out=c)
         np.subtract(1, c, out=c)
-        dc *= c
-        np.multiply(dc, inner[t], out=dr)
-        dr *= r
-        np.multiply(dc, r, out=dv[2 * n :])
-        dr *= np.subtract(1, r, out=r)
-        dv[: 2 * n] = dx[t, : 2 * n]
-        gu += before[t] @ dv.T
+        q *= c
+        dc[...] = q
+        q *= r
+        dk[...] = q
+        q *= inner[t]
+        np.multiply(q, np.subtract(1, r, out=r), out=dr)
         dh *= z
-        dh += u @ dv
-        dh *= live[t]
-    g["u"] = (None, gu)
-    dx = np.ascontiguousarray(dx.transpose(0, 2, 1)).reshape(-1, 3 * n)
-    g["x"] = row_sums(given.ravel(), dx)
-    return -ll.mean(), g, np.ascontiguousarray(h.T)
+        dh += np.matmul(d[t, :, : 3 * n], ut, out=back)
+        dh[fresh[t]] = 0
+    d = d.reshape(-1, 4 * n)
+    g["u"] = (None, np.roll((d[:, : 3 * n].T @ before.reshape(-1, n)).T, -n, 1))
+    seen, gx = row_sums(given.ravel(), d)
+    g["x"] = (seen, np.ascontiguousarray(gx[:, n:]))
+    return -ll.mean(), g, h
 
 
 def dense(p: dict[str, np.ndarray], g: dict) -> dict[str, np.ndarray]:
@@ -315,14 +371,15 @@ def score(p: dict[str, np.ndarray], words: np.ndarray, lengths: np.ndarray, step
     order = np.argsort(-lengths, kind="stable")
     first, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
     total, h = np.zeros(n), np.zeros((n, hidden), np.float32)
-    given, shorter, w = np.full(n, END, np.int64), -size, parted(p)
+    given, w = np.full(n, END, np.int64), parted(p)
     t, longest = 0, int(size[0]) if n else 0
+    alive = np.searchsorted(-size, -np.arange(longest), "left").tolist()
     while t < longest:
         # as many steps as keep a window's states within bounds
         states, targets, owners = [], [], []
         held = 0
-        while t < longest and (not states or len(states) < steps or held < 4096) and held < 60_000:
-            live = int(np.searchsorted(shorter, -t, "left"))
+        while t < longest and (not states or len(states) < steps or held < 4096) and held < 16_384:
+            live = alive[t]
             step(w, given[:live], h[:live])
             word = words[first[:live] + t]
             states.append(h[:live].copy())

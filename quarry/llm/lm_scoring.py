@@ -35,6 +35,15 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return h
 
 
+def distinct_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique() with the inverse, of few distinct values among many: only the distinct ones are sorted."""
+    at, distinct = pd.factorize(h)
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[at]
+
+
 def chunks(docs: DataFrame, size: int) -> DataFrame:
     """Documents in chunks of about `size` bytes of text: words as places in the chunk's sorted list of hashes.
 
@@ -49,7 +58,7 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
         def flush():
             nonlocal ids, held, hashes, bytes_held, chunk
             lengths = np.array([len(h) for h in hashes], np.int64)
-            distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            distinct, at = distinct_places(np.concatenate(hashes))
             learn = np.repeat(~np.array(held, bool), lengths)
             counts = np.bincount(at[learn], minlength=len(distinct))
             row = [[chunk], [np.array([i or 0 for i in ids], "<i8").tobytes()], [np.array([i is None for i in ids]).tobytes()], [np.array(held, bool).tobytes()], [lengths.astype("<i4").tobytes()], [squeeze(at.astype("<i4"))], [distinct.astype("<u8").tobytes()], [counts.astype("<i4").tobytes()]]
@@ -77,6 +86,21 @@ def sides(distinct: int) -> int:
     return max(32, math.ceil(2 * distinct**0.25))
 
 
+def ids_of(hidden: int, classes: int, members: int, singles: int = 0) -> int:
+    return singles + classes * members
+
+
+def layout(distinct: int) -> tuple[int, int, int, int]:
+    """(hidden, classes, members, singles) with room for as many words as sides() says, and the two special ids.
+
+    The end, other words and the most frequent ones, some half of all tokens, lie in no class and need a small softmax
+    alone; fewer, larger classes hold the rest.
+    """
+    side = sides(distinct)
+    singles, classes = side // 4, -(-2 * side // 3)
+    return 32, classes, -(-(side * side + 2 - singles) // classes), singles
+
+
 def lookups(packed: DataFrame, top: int | None, entries: int) -> DataFrame:
     """Counts over all training documents: rows (kind, chunk, bucket, payload, n, v).
 
@@ -86,7 +110,7 @@ def lookups(packed: DataFrame, top: int | None, entries: int) -> DataFrame:
     """
     n = packed.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
     buckets = max(1, math.ceil(n / 8 / entries))
-    top = top or sides(n // 8) ** 2  # a distinct word is an entry of some chunk
+    top = top or ids_of(*layout(n // 8))  # a distinct word is an entry of some chunk
     width = (1 << 64) // buckets + 1
 
     def split(batches):
@@ -200,13 +224,13 @@ def improve(packed: DataFrame, language: Language, groups: int, one_of: int = 1,
     return (np.frombuffer(got[0].w, np.float32), got[0].n) if got else (None, 0)
 
 
-def lm_scores(docs: DataFrame, dims: tuple[int, int, int] | None = None, chunk: int = 10 << 20, entries: int = 250_000, start: int = 500_000, group: int = 2_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, dims: tuple[int, ...] | None = None, chunk: int = 10 << 20, entries: int = 250_000, start: int = 500_000, group: int = 2_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     Counts are of all documents whose id's CRC-32 modulo 7 is not 2. The recurrent model has dims = (hidden,
-    classes, words a class): the most frequent words of all training documents, the end, and one id for other
+    classes, words a class, and words that are in none): the most frequent words of all training documents, the end, and one id for other
     words, whose share is dealt out by their counts plus one. By default hidden is 32 and the vocabulary grows
-    with the distinct words of the training documents, as sides() says. The model is started on training documents
+    with the distinct words of the training documents, as layout() says. The model is started on training documents
     of about `start` tokens; from there groups of about `group` tokens, or eight times the number of weights where
     that is more, each train on all their documents, and the weights are averaged.
     Every text is scored whole from its first word to its end, its state carried along. Null text counts as empty: one token,
@@ -215,12 +239,12 @@ def lm_scores(docs: DataFrame, dims: tuple[int, int, int] | None = None, chunk:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held_out("doc_id", 7))
     packed = cut(chunks(docs, chunk))
-    answers = cut(lookups(packed, dims and dims[1] * dims[2], entries))
+    answers = cut(lookups(packed, dims and ids_of(*dims), entries))
     stats = answers.where("kind = 1")
     sums = stats.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     tokens, distinct = int(sums.n or 0), int(sums.v or 0)
-    dims = dims or (32, sides(distinct), sides(distinct))
-    _, classes, members = dims
+    dims = dims or layout(distinct)
+    size = ids_of(*dims)
 
     def unroll(batches):
         for b in batches:
@@ -228,10 +252,10 @@ def lm_scores(docs: DataFrame, dims: tuple[int, int, int] | None = None, chunk:
                 a = np.frombuffer(raw, "<i8")
                 yield record("h long, c long", [a[: len(a) // 2], a[len(a) // 2 :]])
 
-    most = stats.select("payload").mapInArrow(unroll, "h long, c long").where("c > 0").orderBy(F.desc("c"), "h").limit(classes * members - 1).collect()
+    most = stats.select("payload").mapInArrow(unroll, "h long, c long").where("c > 0").orderBy(F.desc("c"), "h").limit(size - 1).collect()
     end = [x.c for x in most if x.h == 0] + [0]
-    vocabulary = [(x.h, x.c) for x in most if x.h != 0][: classes * members - 2]
-    counts = np.zeros(classes * members)
+    vocabulary = [(x.h, x.c) for x in most if x.h != 0][: size - 2]
+    counts = np.zeros(size)
     counts[gru.END] = end[0]
     counts[2 : 2 + len(vocabulary)] = [c for _, c in vocabulary]
     known_tokens = int(counts.sum())
@@ -240,8 +264,8 @@ def lm_scores(docs: DataFrame, dims: tuple[int, int, int] | None = None, chunk:
     order = np.argsort(hashes)
     ids = np.concatenate([[gru.END], np.arange(2, 2 + len(vocabulary))])
     language = Language(hashes[order], ids[order], gru.start(counts, *dims), tokens, distinct, known_tokens, len(vocabulary) + (end[0] > 0))
-    size = max(group, 8 * sum(v.size for v in language.weights.values()))
-    for groups, one_of in ((1, max(1, tokens // start)), (max(1, -(-tokens // size)), 1)):
+    at_least = max(group, 8 * sum(v.size for v in language.weights.values()))
+    for groups, one_of in ((1, max(1, tokens // start)), (max(1, -(-tokens // at_least)), 1)):
         flat, _ = improve(packed, language, groups, one_of)
         if flat is not None:
             language.weights = gru.unpack(flat, *dims)
