@@ -116,11 +116,11 @@ def output(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray, safe: bool
     (rows, n), kind, share, given = h.shape, h.dtype, h.dtype.type(1 / len(word)), h
     first, order, k, m, blocks = layout(p, word)
     seen = sorted({c for block in blocks for c, _, _ in block})
-    row = {c: i for i, c in enumerate(seen)}
+    row, begun = {c: i for i, c in enumerate(seen)}, set()
     h, w = with_one(h), np.vstack([p["a"], p["ca"]])
     out, inner = np.zeros(rows), np.empty(len(order))
     back, back_m = np.zeros((rows, n), kind), np.empty((len(order), n), kind)
-    ga, gb = np.zeros(w.T.shape, kind), np.zeros((len(seen), n + 1, members), kind)
+    ga, gb = np.zeros(w.T.shape, kind), np.empty((len(seen), n + 1, members), kind)
     sums = []
     with np.errstate(all="ignore"):
         if first:
@@ -137,7 +137,7 @@ def output(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray, safe: bool
                 sums.append(total)
         h = h.take(order, 0)
         wk, wt = np.ascontiguousarray(w[:, first:]), np.ascontiguousarray(p["a"][:, first:].T)
-        w = np.concatenate([p["b"], p["wb"][:, None]], 1)
+        w = joined(p)
         for block in blocks:
             a, z = block[0][1], block[-1][2]
             hi = h[a:z]
@@ -152,7 +152,11 @@ def output(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray, safe: bool
             at, own_m, total_m = exponentials(u, m[a:z], safe)
             gradient(u, at, total_m, share)
             for c, x, y in block:
-                gb[row[c]] += h[x:y].T @ u[x - a : y - a]
+                if c in begun:
+                    gb[row[c]] += h[x:y].T @ u[x - a : y - a]
+                else:
+                    begun.add(c)
+                    np.matmul(h[x:y].T, u[x - a : y - a], out=gb[row[c]])
                 np.matmul(u[x - a : y - a], p["b"][c].T, out=back_m[x:y])
             back_m[a:z] += toward
             inner[a:z] = own + own_m - np.log(total) - np.log(total_m)
@@ -167,8 +171,13 @@ def output(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray, safe: bool
     return out, {"a": (None, np.ascontiguousarray(ga[:-1])), "ca": (None, ga[-1].copy()), "b": (touched, np.ascontiguousarray(gb[:, :-1])), "wb": (touched, gb[:, -1].copy())}, back
 
 
-def likelihood(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray, safe: bool = False) -> np.ndarray:
-    """The log-probabilities of output() alone, in the same blocks."""
+def joined(p: dict[str, np.ndarray]) -> np.ndarray:
+    """Each class's weights with its biases as the last row."""
+    return np.concatenate([p["b"], p["wb"][:, None]], 1)
+
+
+def likelihood(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray, safe: bool = False, members: np.ndarray | None = None) -> np.ndarray:
+    """The log-probabilities of output() alone, in the same blocks; members is joined(p), if it is at hand."""
     given = h
     first, order, k, m, blocks = layout(p, word)
     h, w = with_one(h), np.vstack([p["a"], p["ca"]])
@@ -181,7 +190,7 @@ def likelihood(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray, safe:
                 _, own, total = exponentials(h[i] @ ws, outcome[i], safe)
                 ll[i] = own - np.log(total)
         h = h.take(order, 0)
-        wk, w = np.ascontiguousarray(w[:, first:]), np.concatenate([p["b"], p["wb"][:, None]], 1)
+        wk, w = np.ascontiguousarray(w[:, first:]), joined(p) if members is None else members
         for block in blocks:
             a, z = block[0][1], block[-1][2]
             _, own, total = exponentials(h[a:z] @ wk, k[a:z], safe)
@@ -192,10 +201,19 @@ def likelihood(p: dict[str, np.ndarray], h: np.ndarray, word: np.ndarray, safe:
             inner[a:z] = own + own_m - np.log(total) - np.log(total_m)
     ll[order] += inner
     if not safe and not np.isfinite(ll).all():
-        return likelihood(p, given, word, safe=True)
+        return likelihood(p, given, word, True, members)
     return ll
 
 
+def tangent(v: np.ndarray) -> None:
+    """tanh in place, by the exponential, which numpy has at half the price."""
+    v *= -2
+    np.exp(v, out=v)
+    v += 1
+    np.divide(2, v, out=v)
+    v -= 1
+
+
 def parted(p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """The cell's weights as step() takes them: a row for each word and part, and both parts of u that make gates with their signs turned."""
     n = len(p["u"])
@@ -216,7 +234,7 @@ def step(w: tuple[np.ndarray, ...], word: np.ndarray, h: np.ndarray, parts: np.n
         zr += 1
         np.reciprocal(zr, out=zr)
         c += np.multiply(v[2], zr[1], out=v[2])
-        np.tanh(c, out=c)
+        tangent(c)
         hi -= c
         hi *= zr[0]
         hi += c
@@ -266,7 +284,7 @@ def window_gradient(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndar
         np.reciprocal(zr, out=zr)
         inner[t] = v[2]
         c += np.multiply(v[2], zr[1], out=v[2])
-        np.tanh(c, out=c)
+        tangent(c)
         h = np.subtract(hb, c, out=states[t])
         h *= zr[0]
         h += c
@@ -371,14 +389,14 @@ def score(p: dict[str, np.ndarray], words: np.ndarray, lengths: np.ndarray, step
     order = np.argsort(-lengths, kind="stable")
     first, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
     total, h = np.zeros(n), np.zeros((n, hidden), np.float32)
-    given, w = np.full(n, END, np.int64), parted(p)
+    given, w, members = np.full(n, END, np.int64), parted(p), joined(p)
     t, longest = 0, int(size[0]) if n else 0
     alive = np.searchsorted(-size, -np.arange(longest), "left").tolist()
     while t < longest:
         # as many steps as keep a window's states within bounds
         states, targets, owners = [], [], []
         held = 0
-        while t < longest and (not states or len(states) < steps or held < 4096) and held < 16_384:
+        while t < longest and (not states or len(states) < steps or held < 4096) and held < 32_768:
             live = alive[t]
             step(w, given[:live], h[:live])
             word = words[first[:live] + t]
@@ -388,7 +406,7 @@ def score(p: dict[str, np.ndarray], words: np.ndarray, lengths: np.ndarray, step
             given[:live] = word
             held += live
             t += 1
-        ll = likelihood(p, np.concatenate(states), np.concatenate(targets))
+        ll = likelihood(p, np.concatenate(states), np.concatenate(targets), members=members)
         at = 0
         for live in owners:
             total[:live] += ll[at : at + live]
