@@ -58,7 +58,7 @@ def canonical_edges(t, spark):
 
 def tagged(t):
     """The suppliers of lines and all suppliers, each with two tags."""
-    a = t("lineitem").select(F.col("l_suppkey").alias("a"), F.array((F.col("l_suppkey") % 7).cast("long"), (7 + F.col("l_suppkey") % 3).cast("long")).alias("tags"))
+    a = t("lineitem").select("l_suppkey").distinct().select(F.col("l_suppkey").alias("a"), F.array((F.col("l_suppkey") % 7).cast("long"), (7 + F.col("l_suppkey") % 3).cast("long")).alias("tags"))
     b = t("supplier").select(F.col("s_suppkey").alias("b"), F.array((F.col("s_nationkey") % 7).cast("long"), (7 + F.col("s_suppkey") % 3).cast("long")).alias("tags"))
     return a, b
 
@@ -79,7 +79,7 @@ def shared_tag_counts(t, spark):
 
 @query("SELECT DISTINCT a.l_suppkey AS a, b.s_suppkey AS b FROM (SELECT DISTINCT l_suppkey FROM lineitem) a JOIN supplier b ON a.l_suppkey % 7 = b.s_nationkey % 7")
 def all_shared_tag_pairs(t, spark):
-    a = t("lineitem").select(F.col("l_suppkey").alias("x"), F.array(F.col("l_suppkey") % 7).alias("tags"))
+    a = t("lineitem").select("l_suppkey").distinct().select(F.col("l_suppkey").alias("x"), F.array(F.col("l_suppkey") % 7).alias("tags"))
     b = t("supplier").select(F.col("s_suppkey").alias("y"), F.array((F.col("s_nationkey") % 7).cast("long")).alias("tags"))
     return array_overlap(a, b, "x", "y", "tags")
 

@@ -16,6 +16,20 @@ def test_array_overlap_pairs_blocks(spark):
     assert "REPARTITION_BY_NUM" in next(line for line in plan.splitlines() if "Exchange" in line), "what is shuffled last is blocks"
 
 
+def test_array_overlap_keeps_one_ids_pairs(spark):
+    """Only the last explode is in generated code, which keeps all that it makes of a row; lines are made distinct before they get tags."""
+    from quarry.catalog import QUERIES
+
+    for name in ("shared_tag_pairs", "all_shared_tag_pairs"):
+        pairs = QUERIES[name](spark, "/root/testdata/sf0.001")
+        pairs.collect()
+        lines = pairs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+        made = [line.strip(" +-:") for line in lines[: next(k for k, line in enumerate(lines) if "Exchange" in line)] if "Generate explode" in line]
+        assert len(made) == 2 and made[0].startswith("*(") and made[1].startswith("Generate"), made
+        scans = [k for k, line in enumerate(lines) if "FileScan parquet" in line and "l_suppkey" in line]
+        assert scans and all("HashAggregate" in next(line for line in reversed(lines[:k]) if "Aggregate" in line or "Generate" in line) for k in scans)
+
+
 def test_shared_tag_pairs_are_pairs(spark):
     """The query gives the pairs themselves, as many as the counts add up to."""
     from quarry.catalog import QUERIES
